@@ -43,6 +43,8 @@ def attach_lookups(df: DataFrame, schema: Schema, tables: Mapping | None = None,
     for e in schema.encoders:
         if e.field not in feats or e.type not in ("embedding", "feature_table"):
             continue
+        if e.type == "embedding" and e.table is None and not (tables and e.field in tables):
+            continue
         t = _table_for(e, spark, tables)
         key = F.col(f"`{e.key}`").cast("string")
         if e.type == "embedding":
@@ -75,6 +77,10 @@ def feature_code(e: EncoderSpec, columns) -> tuple[Column, Column | None]:
         vec = X.json_vector_col(v, e.length)
         bad = vec.isNull() | (F.size(vec) != F.lit(e.length))
         return vec, F.when(bad, F.lit(f"bad vector for {e.field}"))
+    if e.type == "embedding" and _vec_tmp(e.field) not in columns:
+        vec = v.cast("array<double>")
+        bad = vec.isNull() | (F.size(vec) != F.lit(e.length))
+        return vec, F.when(bad, F.lit(f"bad vector for {e.field}"))
     vec = F.col(f"`{_vec_tmp(e.field)}`")
     if e.type == "embedding":
         vec = F.coalesce(vec, F.array_repeat(F.lit(0.0), e.length))

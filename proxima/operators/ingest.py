@@ -24,7 +24,7 @@ SEQ = "__seq"
 class IndexBuild:
     index: DataFrame        # the whole index after this load
     added: DataFrame        # accepted rows of this load
-    rejects: DataFrame      # datum (json), reason
+    rejects: DataFrame      # item_id, datum (json), reason
     duplicates: DataFrame   # item_id, reason
 
 
@@ -58,7 +58,7 @@ def build_index(df: DataFrame, schema: Schema, mode: str = "append", existing: D
     reason = F.coalesce(F.col(REJECT), filter_reject(schema),
                         F.when(F.col(ITEM_ID).isNull(), F.lit(f"missing {schema.id_col}")))
     coded = coded.withColumn(REJECT, reason)
-    rejects = coded.filter(F.col(REJECT).isNotNull()).select(F.col("__datum").alias("datum"),
+    rejects = coded.filter(F.col(REJECT).isNotNull()).select(ITEM_ID, F.col("__datum").alias("datum"),
                                                              F.col(REJECT).alias("reason"))
     cols = [ITEM_ID] + schema.filter_fields + [CODES]
     new = coded.filter(F.col(REJECT).isNull()).select(*cols, SEQ)

@@ -14,8 +14,9 @@ which is exactly ‖mean block - item block‖² / the dot product, for items (o
 and for averaged user profiles alike.  Numeric features use the scalar, vector features
 (embedding / JSON / feature table) the vector.
 
-Plan shape: the query side is broadcast when its row count is proven below
-``broadcast_rows``; otherwise both sides are salted on a hash of the id so a hot filter
+Plan shape: the query side is broadcast when its row count times the schema's row
+width is proven below ``broadcast_bytes`` (a bounded ``limit(n+1).count()`` probe);
+otherwise both sides are salted on a hash of the id so a hot filter
 partition is spread over ``salt`` tasks.  Candidates are cut to k per query inside each
 task (``WindowGroupLimit`` partial) before the single shuffle on the query id.
 """
@@ -29,13 +30,14 @@ from pyspark.sql import functions as F
 
 from ..functions import blocks as B
 from ..functions import encoders as X
+from ..functions.numeric import grid
 from ..schema import Schema
 from .encode import CODES, ITEM_ID, REJECT, with_codes
 from .ingest import explode_filters
 
 QUERY_ID = "query_id"
 STRATEGY_ID = "strategy_id"
-DEFAULT_BROADCAST_ROWS = 2_000_000
+DEFAULT_BROADCAST_BYTES = 64 * 1024 * 1024
 DEFAULT_SALT = 64
 TIE_DECIMALS = 9
 
@@ -178,14 +180,26 @@ def row_count_at_most(df: DataFrame, n: int) -> bool:
     return df.limit(n + 1).count() <= n
 
 
+def query_row_bytes(schema: Schema) -> int:
+    """Upper estimate of one query representation row (ids, filters, reps)."""
+    b = 64 + 32 * len(schema.filters)
+    for e in schema.encoders:
+        b += 16 + (8 * B.n_codes(e) if e.coded else 8 * max(1, e.length))
+    return b
+
+
+def broadcast_row_limit(schema: Schema, broadcast_bytes: int = DEFAULT_BROADCAST_BYTES) -> int:
+    return max(1, broadcast_bytes // query_row_bytes(schema))
+
+
 def candidate_pairs(queries: DataFrame, index: DataFrame, schema: Schema, restrict_partition: bool = True,
-                    broadcast_rows: int = DEFAULT_BROADCAST_ROWS, salt: int = DEFAULT_SALT,
+                    broadcast_bytes: int = DEFAULT_BROADCAST_BYTES, salt: int = DEFAULT_SALT,
                     broadcast: bool | None = None) -> DataFrame:
     """query ⋈ items on the partition keys (equi-join; never an unkeyed product)."""
     keys = list(schema.filter_fields) if restrict_partition else []
     q = queries if restrict_partition else queries.drop(*schema.filter_fields)
     if broadcast is None:
-        broadcast = row_count_at_most(q, broadcast_rows)
+        broadcast = row_count_at_most(q, broadcast_row_limit(schema, broadcast_bytes))
     if broadcast:
         if keys:
             return index.join(F.broadcast(q), keys)
@@ -203,7 +217,7 @@ def candidate_pairs(queries: DataFrame, index: DataFrame, schema: Schema, restri
 def knn(queries: DataFrame, index: DataFrame, schema: Schema, k: int = 10, strategy_id=None,
         strategies: Sequence | None = None, weights=None, explain: bool = False, k_scope: str = "partition",
         restrict_partition: bool = True, l2_root: bool = False, metric: str | None = None,
-        broadcast_rows: int = DEFAULT_BROADCAST_ROWS, salt: int = DEFAULT_SALT, broadcast: bool | None = None,
+        broadcast_bytes: int = DEFAULT_BROADCAST_BYTES, salt: int = DEFAULT_SALT, broadcast: bool | None = None,
         tie_decimals: int = TIE_DECIMALS, exclude_self: bool = False) -> DataFrame:
     """k nearest items of every query.
 
@@ -216,7 +230,7 @@ def knn(queries: DataFrame, index: DataFrame, schema: Schema, k: int = 10, strat
     where ``rank`` is 1-based over the query's merged, distance-ordered hits.
     """
     metric = metric or schema.metric
-    pairs = candidate_pairs(queries, index, schema, restrict_partition, broadcast_rows, salt, broadcast)
+    pairs = candidate_pairs(queries, index, schema, restrict_partition, broadcast_bytes, salt, broadcast)
     if exclude_self:
         pairs = pairs.filter(F.col(ITEM_ID) != F.col(QUERY_ID))
     multi = strategies is not None
@@ -236,7 +250,8 @@ def knn(queries: DataFrame, index: DataFrame, schema: Schema, k: int = 10, strat
         scored = pairs.select(*base, F.explode(F.array(*per)).alias("__s")).select(*base, "__s.*")
     else:
         scored = pairs.select(*base, per[0].alias("__s")).select(*base, "__s.*")
-    order = [F.round("distance", tie_decimals), F.col(ITEM_ID)]
+    # distances in the same 10^-tie_decimals cell are ties, broken by item_id (D20)
+    order = [grid(F.col("distance"), tie_decimals), F.col(ITEM_ID)]
     grp = [QUERY_ID, STRATEGY_ID]
     local_grp = grp + (part_cols if (k_scope == "partition" and restrict_partition) else [])
     w = Window.partitionBy(*local_grp).orderBy(*order)

@@ -75,6 +75,9 @@ class FilterSpec:
 class EncoderSpec:
     """One weighted feature.
 
+    An embedding encoder without ``table`` reads the vector from the field itself (a dense
+    array column); with a table it looks the field's value up by key.
+
     ``values`` means: the category list (onehot, strict_onehot, ordinal), the sorted bin
     boundaries (bin, bin_ordinal), the nested tree (hierarchy) or the optional id list
     of an embedding matrix.  ``table``/``key``/``vector`` name the lookup table of the
@@ -150,8 +153,8 @@ class EncoderSpec:
                 raise ValueError(f"bin boundaries of {self.field} must be sorted")
         if self.type in ("json", "feature_table") and self.length <= 0:
             raise ValueError(f"{self.field}: json/feature_table encoders need a positive length")
-        if self.type == "embedding" and (self.table is None or self.length <= 0):
-            raise ValueError(f"{self.field}: embedding encoders need a table and a length")
+        if self.type == "embedding" and self.length <= 0:
+            raise ValueError(f"{self.field}: embedding encoders need a length")
         if self.type == "feature_table" and (self.table is None or not self.entity):
             raise ValueError(f"{self.field}: feature_table encoders need a table and an entity column")
 
