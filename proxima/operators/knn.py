@@ -194,70 +194,159 @@ def broadcast_row_limit(schema: Schema, broadcast_bytes: int = DEFAULT_BROADCAST
 
 def candidate_pairs(queries: DataFrame, index: DataFrame, schema: Schema, restrict_partition: bool = True,
                     broadcast_bytes: int = DEFAULT_BROADCAST_BYTES, salt: int = DEFAULT_SALT,
-                    broadcast: bool | None = None) -> DataFrame:
-    """query ⋈ items on the partition keys (equi-join; never an unkeyed product)."""
-    keys = list(schema.filter_fields) if restrict_partition else []
+                    broadcast: bool | None = None, extra_keys: Sequence[str] = ()) -> DataFrame:
+    """query ⋈ items on the partition keys (+ ``extra_keys``); an equi-join, never an
+    unkeyed product."""
+    keys = (list(schema.filter_fields) if restrict_partition else []) + list(extra_keys)
     q = queries if restrict_partition else queries.drop(*schema.filter_fields)
     if broadcast is None:
         broadcast = row_count_at_most(q, broadcast_row_limit(schema, broadcast_bytes))
     if broadcast:
         if keys:
             return index.join(F.broadcast(q), keys)
-        # no partition key: a one-bucket hash key keeps this a broadcast hash join
+        # no key at all: a one-bucket hash key keeps this a broadcast hash join
         items = index.withColumn("__salt", F.pmod(F.xxhash64(ITEM_ID), F.lit(1)))
         qq = q.withColumn("__salt", F.pmod(F.xxhash64(QUERY_ID), F.lit(1)))
         return items.join(F.broadcast(qq), ["__salt"]).drop("__salt")
     # large query side: salt items into `salt` buckets, replicate queries per bucket, so a
-    # hot partition (or no partition at all) is spread over `salt` tasks
+    # hot partition / block (or no partition at all) is spread over `salt` tasks
     items = index.withColumn("__salt", F.pmod(F.xxhash64(ITEM_ID), F.lit(salt)))
     qq = q.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
     return items.join(qq, keys + ["__salt"]).drop("__salt")
 
 
+def _score(pairs: DataFrame, schema: Schema, sids, weights, metric, l2_root, explain, part_cols) -> DataFrame:
+    """Per pair: strategy_id, distance and (if explaining) the per-feature components."""
+    feats = schema.features
+    per = []
+    for sid in sids:
+        comps = components(schema, sid, weights, metric)
+        fields = [F.lit(sid if sid is not None else schema.base_strategy_id).alias(STRATEGY_ID),
+                  distance(schema, comps, metric, sid, weights, l2_root).alias("distance")]
+        if explain:
+            fields += [comps[f].alias(f"__c_{f}") for f in feats]
+        per.append(F.struct(*fields))
+    base = [QUERY_ID, *part_cols, ITEM_ID]
+    if len(per) > 1:
+        return pairs.select(*base, F.explode(F.array(*per)).alias("__s")).select(*base, "__s.*")
+    return pairs.select(*base, per[0].alias("__s")).select(*base, "__s.*")
+
+
+def _topk(scored: DataFrame, k: int, group, tie_decimals: int) -> DataFrame:
+    # distances in the same 10^-tie_decimals cell are ties, broken by item_id (D20)
+    order = [grid(F.col("distance"), tie_decimals), F.col(ITEM_ID)]
+    w = Window.partitionBy(*group).orderBy(*order)
+    return scored.withColumn("__r", F.row_number().over(w)).filter(F.col("__r") <= k).drop("__r")
+
+
+def block_feature(schema: Schema, strategy_id=None, weights=None):
+    """The coded feature whose codes are best separated: the largest minimum l2 component
+    between two different codes (None if no coded feature separates at all)."""
+    best, best_sep = None, 0.0
+    w = schema.weights(strategy_id, weights)
+    for e in schema.encoders:
+        if not e.coded or w[e.field] == 0:
+            continue
+        G = B.gram(e)
+        d = G.diagonal()
+        D = (d[:, None] - 2 * G + d[None, :]) * schema.factor(e.field, strategy_id, weights) ** 2
+        n = D.shape[0]
+        if n < 2:
+            continue
+        sep = min(D[a, b] for a in range(n) for b in range(n) if a != b)
+        if sep > best_sep:
+            best, best_sep = e, sep
+    return best
+
+
+def _lower_bounds(schema: Schema, e, strategy_id, weights) -> Column:
+    """Per query, the feature's exact l2 component against every code (a lower bound of the
+    whole distance to any item with that code, since all components are >= 0)."""
+    G = B.gram(e)
+    diag = X.lit_vector(G.diagonal())
+    c2 = F.lit(schema.factor(e.field, strategy_id, weights) ** 2)
+    s, g = F.col(rep_s(e.field)), F.col(rep_g(e.field))
+    return F.transform(F.sequence(F.lit(0), F.lit(B.n_codes(e) - 1)), lambda b: c2 * F.greatest(
+        s - 2 * F.element_at(g, b + 1) + F.element_at(diag, b + 1), F.lit(0.0)))
+
+
 def knn(queries: DataFrame, index: DataFrame, schema: Schema, k: int = 10, strategy_id=None,
         strategies: Sequence | None = None, weights=None, explain: bool = False, k_scope: str = "partition",
         restrict_partition: bool = True, l2_root: bool = False, metric: str | None = None,
         broadcast_bytes: int = DEFAULT_BROADCAST_BYTES, salt: int = DEFAULT_SALT, broadcast: bool | None = None,
-        tie_decimals: int = TIE_DECIMALS, exclude_self: bool = False) -> DataFrame:
-    """k nearest items of every query.
+        tie_decimals: int = TIE_DECIMALS, exclude_self: bool = False, method: str = "auto") -> DataFrame:
+    """k nearest items of every query (exact).
 
     ``k_scope="partition"`` keeps up to k hits per searched partition (the reference's
     multi-partition behaviour, D4); ``"total"`` keeps k per query overall.  With
     ``strategies`` (a list of strategy ids) every variant is ranked side by side from the
     same candidate scan (Q-5) and a ``strategy_id`` column is added.
 
+    ``method``: ``"scan"`` compares each query with every item of its partition;
+    ``"blocked"`` (l2, one strategy) first searches the query's home block of the best
+    separating coded feature, takes the k-th distance τ found there, and then visits only
+    the blocks whose exact lower bound is ≤ τ — the same result with far fewer pairs;
+    ``"auto"`` picks ``blocked`` when it applies.
+
     Output: ``query_id, [strategy_id], <filters>, rank, item_id, distance, [x_<feature>...]``
     where ``rank`` is 1-based over the query's merged, distance-ordered hits.
     """
     metric = metric or schema.metric
-    pairs = candidate_pairs(queries, index, schema, restrict_partition, broadcast_bytes, salt, broadcast)
-    if exclude_self:
-        pairs = pairs.filter(F.col(ITEM_ID) != F.col(QUERY_ID))
     multi = strategies is not None
     sids = [str(s) for s in strategies] if multi else [strategy_id]
     feats = schema.features
-    per = []
-    for sid in sids:
-        comps = components(schema, sid, weights, metric)
-        fields = [F.lit(sid if sid is not None else schema.base_strategy_id).alias(STRATEGY_ID),
-                  distance(schema, comps, metric, sid, weights, l2_root).alias("distance")]
-        if explain:
-            fields += [comps[f].alias(f"__c_{f}") for f in feats]
-        per.append(F.struct(*fields))
-    part_cols = [f for f in schema.filter_fields if f in pairs.columns]
-    base = [QUERY_ID, *part_cols, ITEM_ID]
-    if multi:
-        scored = pairs.select(*base, F.explode(F.array(*per)).alias("__s")).select(*base, "__s.*")
-    else:
-        scored = pairs.select(*base, per[0].alias("__s")).select(*base, "__s.*")
-    # distances in the same 10^-tie_decimals cell are ties, broken by item_id (D20)
-    order = [grid(F.col("distance"), tie_decimals), F.col(ITEM_ID)]
+    part_cols = list(schema.filter_fields)
     grp = [QUERY_ID, STRATEGY_ID]
     local_grp = grp + (part_cols if (k_scope == "partition" and restrict_partition) else [])
-    w = Window.partitionBy(*local_grp).orderBy(*order)
-    top = scored.withColumn("__r", F.row_number().over(w)).filter(F.col("__r") <= k).drop("__r")
-    wall = Window.partitionBy(*grp).orderBy(*order)
-    top = top.withColumn("rank", F.row_number().over(wall))
+    blk = None
+    if method in ("auto", "blocked") and metric == "l2" and not multi:
+        blk = block_feature(schema, strategy_id, weights)
+    if method == "blocked" and blk is None:
+        raise ValueError("blocked search needs the l2 metric, one strategy and a separating coded feature")
+
+    if blk is None:
+        pairs = candidate_pairs(queries, index, schema, restrict_partition, broadcast_bytes, salt, broadcast)
+        if exclude_self:
+            pairs = pairs.filter(F.col(ITEM_ID) != F.col(QUERY_ID))
+        top = _topk(_score(pairs, schema, sids, weights, metric, l2_root, explain, part_cols), k, local_grp,
+                    tie_decimals)
+    else:
+        if broadcast is None:  # pass 2 may fan each query out to every code of the block feature
+            limit = broadcast_row_limit(schema, broadcast_bytes) // B.n_codes(blk)
+            broadcast = row_count_at_most(queries, max(1, limit))
+        items = index.withColumn("__blk", F.col(f"{CODES}.`{blk.field}`"))
+        lb = _lower_bounds(schema, blk, strategy_id, weights)
+        q1 = queries.withColumn("__lb", lb)
+        q1 = q1.withColumn("__blk", (F.array_position("__lb", F.array_min("__lb")) - 1).cast("int"))
+        # pass 1: the home block only
+        p1 = candidate_pairs(q1.drop("__lb"), items, schema, restrict_partition, broadcast_bytes, salt,
+                             broadcast, ["__blk"])
+        if exclude_self:
+            p1 = p1.filter(F.col(ITEM_ID) != F.col(QUERY_ID))
+        t1 = _topk(_score(p1, schema, sids, weights, metric, False, explain, part_cols), k, local_grp,
+                   tie_decimals)
+        # τ = k-th distance found in the home block (infinite when fewer than k were found)
+        tgrp = [c for c in local_grp if c != STRATEGY_ID]
+        tau = t1.groupBy(*tgrp).agg(F.max("distance").alias("__tau"), F.count(F.lit(1)).alias("__n"))
+        q2 = q1.join(tau, tgrp, "left")
+        tau_eff = F.when(F.col("__n") >= k, F.col("__tau")).otherwise(F.lit(float("inf")))
+        slack = F.lit(2.0 * 10.0 ** -tie_decimals) + F.abs(F.col("__tau")) * F.lit(1e-12)
+        q2 = (q2.select(*[c for c in q2.columns if c not in ("__blk",)],
+                        F.posexplode("__lb").alias("__b2", "__lbv"), F.col("__blk").alias("__home"))
+              .filter((F.col("__b2") != F.col("__home")) & (F.col("__lbv") <= tau_eff + F.coalesce(slack, F.lit(0.0))))
+              .select(QUERY_ID, *[c for c in schema.filter_fields if c in queries.columns],
+                      *rep_columns(schema), F.col("__b2").cast("int").alias("__blk")))
+        # pass 2: every other block that can still hold a hit
+        p2 = candidate_pairs(q2, items, schema, restrict_partition, broadcast_bytes, salt, broadcast, ["__blk"])
+        if exclude_self:
+            p2 = p2.filter(F.col(ITEM_ID) != F.col(QUERY_ID))
+        s2 = _score(p2, schema, sids, weights, metric, False, explain, part_cols)
+        top = _topk(t1.unionByName(s2), k, local_grp, tie_decimals)
+        if l2_root:
+            top = top.withColumn("distance", F.sqrt("distance"))
+
+    order = [grid(F.col("distance"), tie_decimals), F.col(ITEM_ID)]
+    top = top.withColumn("rank", F.row_number().over(Window.partitionBy(*grp).orderBy(*order)))
     out_cols = [QUERY_ID] + ([STRATEGY_ID] if multi else []) + part_cols + ["rank", ITEM_ID, "distance"]
     if explain:
         if metric == "l2":
@@ -269,10 +358,8 @@ def knn(queries: DataFrame, index: DataFrame, schema: Schema, k: int = 10, strat
             for f in feats:
                 f0 = F.first(F.col(f"__c_{f}")).over(first)
                 xs.append(F.coalesce(F.lit(1.0) - F.try_divide(F.col(f"__c_{f}"), f0), F.lit(0.0)).alias(f"x_{f}"))
-        top = top.select(*out_cols, *xs)
-    else:
-        top = top.select(*out_cols)
-    return top
+        return top.select(*out_cols, *xs)
+    return top.select(*out_cols)
 
 
 def explanation_map(df: DataFrame, schema: Schema, name: str = "explanation") -> DataFrame:
