@@ -75,9 +75,9 @@ def _coded_rep(e, hist: Column, total: Column) -> tuple[Column, Column]:
     return s, g
 
 
-def profiles(history: DataFrame, index: DataFrame, schema: Schema, dedupe: bool = False,
-             cold_start: DataFrame | None = None, cold_start_weight: float = 1.0) -> DataFrame:
-    """``user_id, __n, <reps>``: one row per user with matched history or a cold-start item.
+def weighted_rows(history: DataFrame, index: DataFrame, schema: Schema, dedupe: bool = False,
+                  cold_start: DataFrame | None = None, cold_start_weight: float = 1.0) -> DataFrame:
+    """``user_id, w, codes``: history joined to the indexed items (+ cold-start pseudo-items).
 
     ``history``: ``user_id, item_id[, w]``.  ``dedupe=True`` counts each item once per
     user with weight 1 (the reference's list form, D10).  ``cold_start`` is a
@@ -91,7 +91,7 @@ def profiles(history: DataFrame, index: DataFrame, schema: Schema, dedupe: bool
                  F.col("w").cast("double").alias("w")).filter(F.col(ITEM_ID).isNotNull())
     if dedupe:
         h = h.select(USER_ID, ITEM_ID).distinct().withColumn("w", F.lit(1.0))
-    else:
+    elif not h.isStreaming:
         # collapse repeats of (user, item) before the join: a hot user / item shrinks map-side
         h = h.groupBy(USER_ID, ITEM_ID).agg(F.sum("w").alias("w"))
     rows = h.join(index.select(ITEM_ID, CODES), ITEM_ID).select(USER_ID, "w", CODES)
@@ -100,8 +100,19 @@ def profiles(history: DataFrame, index: DataFrame, schema: Schema, dedupe: bool
         cs = cs.filter(F.col(REJECT).isNull()).select(F.col("__uid").alias(USER_ID),
                                                       F.lit(float(cold_start_weight)).alias("w"), CODES)
         rows = rows.unionByName(cs)
+    return rows
+
+
+def profile_sums(rows: DataFrame, schema: Schema) -> DataFrame:
+    """``user_id, f, c, ws, xs``: per user, feature and code (or vector position) the summed
+    weight and weighted value.  Its size is bounded by users x schema, not by history
+    length; it is additive, so a stream can maintain it as a running aggregation (STR-4)."""
     long = rows.select(USER_ID, F.explode(_long_rows(schema)).alias("r")).select(USER_ID, "r.*")
-    agg = long.groupBy(USER_ID, "f", "c").agg(F.sum("ws").alias("ws"), F.sum("xs").alias("xs"))
+    return long.groupBy(USER_ID, "f", "c").agg(F.sum("ws").alias("ws"), F.sum("xs").alias("xs"))
+
+
+def assemble_profiles(agg: DataFrame, schema: Schema) -> DataFrame:
+    """``profile_sums`` -> ``user_id, __n, <reps>`` (one row per user)."""
     aggs = [F.sum(F.when(F.col("f") == TOTAL, F.col("ws"))).alias(TOTAL)]
     for e in schema.encoders:
         is_f = F.col("f") == e.field
@@ -129,6 +140,14 @@ def profiles(history: DataFrame, index: DataFrame, schema: Schema, dedupe: bool
     return per_user.select(*out, *cols)
 
 
+def profiles(history: DataFrame, index: DataFrame, schema: Schema, dedupe: bool = False,
+             cold_start: DataFrame | None = None, cold_start_weight: float = 1.0) -> DataFrame:
+    """``user_id, __n, <reps>``: one row per user with matched history or a cold-start item
+    (see ``weighted_rows`` for the arguments)."""
+    rows = weighted_rows(history, index, schema, dedupe, cold_start, cold_start_weight)
+    return assemble_profiles(profile_sums(rows, schema), schema)
+
+
 def zero_reps(schema: Schema) -> list[Column]:
     """Representation of the zero vector (no history, no cold start: D12)."""
     cols = []

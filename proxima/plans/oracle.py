@@ -284,6 +284,7 @@ def queries() -> dict:
              f"{noun_code()} AS c_p_noun")
     q["ingest_skip_existing"] = (f"WITH {PART_ENC} SELECT {codes} FROM part_enc WHERE p_size <= 25 "
                                  f"OR p_type IN ('PROMO', 'SMALL')")
+    q["stream_index"] = f"WITH {PART_ENC} SELECT {codes} FROM part_enc"
     q["ingest_upsert"] = (f"WITH {PART_ENC} SELECT item_id, p_type, CAST(CASE WHEN p_size > 40 THEN 1 ELSE c_brand "
                           f"END AS INTEGER) AS c_p_brand, c_size AS c_p_size, p_retailprice AS c_p_retailprice, "
                           f"{noun_code()} AS c_p_noun FROM part_enc")
@@ -343,6 +344,7 @@ SELECT query_id, label, CAST(rk AS INTEGER) AS rank, item_id, {rd('distance')} A
                         extra_rows="UNION ALL SELECT c.item_id, CAST(2.0 AS DOUBLE) AS w, c.vec FROM cold_vec c")
     q["user_coldstart"] = cold.replace(f"{PART_ENC}, {part_vec()},", f"{PART_ENC}, {part_vec()}, {COLD_ITEMS},", 1)
     q["user_query_events"] = user_knn_sql(EVENT_HIST, EVENT_USERS, k=2, per_partition=True)
+    q["stream_recommend"] = q["user_query_events"]
     q["user_query_explain"] = user_knn_sql(EVENT_HIST, EVENT_USERS, explain=True)
 
     # events
@@ -360,6 +362,15 @@ SELECT query_id, label, CAST(rk AS INTEGER) AS rank, item_id, {rd('distance')} A
                        f"AS rn, count(*) OVER (PARTITION BY user_id) AS n FROM ev) SELECT user_id, "
                        f"CAST(event_id AS VARCHAR) AS event_id, event_type, CAST(n - 1 AS BIGINT) AS remaining "
                        f"FROM r WHERE rn = 1")
+    q["stream_events"] = q["events_ordered"]
+    q["stream_event_lists"] = (
+        "WITH e AS (SELECT CAST(user_id AS VARCHAR) AS user_id, epoch_us(ts) AS t, event_id FROM events), "
+        "g AS (SELECT user_id, t, CASE WHEN lag(t) OVER w IS NULL OR t - lag(t) OVER w > 86400000000 "
+        "THEN 1 ELSE 0 END AS brk, event_id FROM e WINDOW w AS (PARTITION BY user_id ORDER BY t, event_id)), "
+        "s AS (SELECT user_id, t, sum(brk) OVER (PARTITION BY user_id ORDER BY t, event_id "
+        "ROWS UNBOUNDED PRECEDING) AS sid FROM g) "
+        "SELECT user_id, min(t) AS list_start_us, max(t) AS last_event_us, max(t) + 86400000000 AS expires_at_us, "
+        "count(*) AS n_events FROM s GROUP BY user_id, sid")
     q["events_delete"] = (f"WITH {ev} SELECT user_id, CAST(event_id AS VARCHAR) AS event_id FROM ev WHERE user_id "
                           f"NOT IN (SELECT user_id FROM ev WHERE event_type = 'error' AND value >= 19.0)")
     q["vectors_upsert"] = ("WITH v AS (SELECT CAST(vec_id AS VARCHAR) AS key, CASE WHEN label = 0 THEN "

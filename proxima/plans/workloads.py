@@ -521,6 +521,80 @@ def save_load_roundtrip(spark, sf):
     return _knn_out(R.similar_items(parts(spark, sf), idx, s2, k=K, explain=True))
 
 
+# ============================================================== streaming
+STREAM_CHUNKS = 4
+
+
+def _replayed(spark, df, name, order_col):
+    """The table replayed as an in-order file feed of STREAM_CHUNKS micro-batches."""
+    from ..streaming.runner import replay_in_order
+    return replay_in_order(df, _scratch(spark, name), order_col, STREAM_CHUNKS)
+
+
+def stream_events(spark, sf):
+    """STR-1: the event stream appended to a Parquet sink; read back = the whole log."""
+    from ..streaming import events as SE
+    from ..streaming.runner import file_stream, run_available_now
+    ev = table(spark, sf, "events")
+    src = _replayed(spark, ev, "events-src", "ts")
+    sink = _scratch(spark, "events-sink")
+    stream = file_stream(spark, src, ev, max_files_per_trigger=1)
+    run_available_now(SE.append_stream(stream, sink), _scratch(spark, "events-ck"))
+    out = EV.ordered_events(spark.read.parquet(sink).select(
+        F.col("user_id").cast("string").alias("user_id"), "ts", "event_id", "event_type",
+        _event_item().alias("item_id")))
+    return out.select("user_id", "pos", F.col("event_id").cast("string").alias("event_id"), "event_type", "item_id")
+
+
+def stream_event_lists(spark, sf):
+    """STR-2: per-user event lists with a 24 h idle expiry, maintained by a stateful stream;
+    the newest version of every list."""
+    from ..streaming import events as SE
+    from ..streaming.runner import batch_sink, file_stream, latest, run_available_now
+    ev = table(spark, sf, "events")
+    src = _replayed(spark, ev, "lists-src", "ts")
+    sink = _scratch(spark, "lists-sink")
+    lists = SE.event_lists(file_stream(spark, src, ev, max_files_per_trigger=1), SE.DAY_S)
+    run_available_now(lists.writeStream.outputMode("update").foreachBatch(batch_sink(sink)),
+                      _scratch(spark, "lists-ck"))
+    out = latest(spark.read.parquet(sink), ["user_id", "list_start_us"])
+    return out.select("user_id", "list_start_us", "last_event_us", "expires_at_us", "n_events")
+
+
+def stream_recommend(spark, sf):
+    """STR-4/5: live profiles from the event stream, re-ranked per micro-batch for the
+    users it touched; the newest answer per user (= user_query_events)."""
+    from ..sources.model_io import load_model, save_model
+    from ..streaming import recommend as SR
+    from ..streaming.runner import file_stream, run_available_now
+    model = _scratch(spark, "rec-model")           # the live stream serves a saved model
+    save_model(part_index(spark, sf, part_schema()), part_schema(), model)
+    idx, s = load_model(spark, model)
+    ev = table(spark, sf, "events")
+    src = _replayed(spark, ev, "rec-src", "ts")
+    sums, recs = _scratch(spark, "rec-sums"), _scratch(spark, "rec-out")
+    stream = file_stream(spark, src, ev, max_files_per_trigger=1)
+    agg = SR.profile_sums_stream(stream, idx, s, EVENT_WEIGHTS, item_col=_event_item())
+    users = lambda touched: touched.withColumn("p_type", F.array(*[F.lit(t) for t in P_TYPES]))
+    body = SR.recommend_batch_fn(idx, s, users, sums, recs, k=2)
+    run_available_now(agg.writeStream.outputMode("update").foreachBatch(body), _scratch(spark, "rec-ck"))
+    return _knn_out(SR.live_recommendations(spark, recs))
+
+
+def stream_index(spark, sf):
+    """STR-6: items arriving as a stream are coded per micro-batch into the index."""
+    from ..streaming import recommend as SR
+    from ..streaming.runner import file_stream, run_available_now
+    s = part_schema()
+    p = parts(spark, sf)
+    src = _replayed(spark, p, "items-src", "p_partkey")
+    ipath, rpath = _scratch(spark, "items-index"), _scratch(spark, "items-rejects")
+    stream = file_stream(spark, src, p, max_files_per_trigger=1)
+    run_available_now(stream.writeStream.foreachBatch(SR.index_batch_fn(s, ipath, rpath)),
+                      _scratch(spark, "items-ck"))
+    return _codes_out(SR.read_stream_index(spark, ipath, s), s)
+
+
 # ============================================================== registry
 def registry() -> dict:
     names = [
@@ -535,6 +609,7 @@ def registry() -> dict:
         "user_avg", "user_avg_dedup", "user_weighted", "user_coldstart", "user_query_events",
         "user_query_explain", "events_ordered", "events_import_export", "events_pop", "events_delete",
         "vectors_upsert", "save_load_roundtrip",
+        "stream_events", "stream_event_lists", "stream_recommend", "stream_index",
     ]
     g = globals()
     return {n: g[n] for n in names}
