@@ -274,7 +274,8 @@ def knn(queries: DataFrame, index: DataFrame, schema: Schema, k: int = 10, strat
         strategies: Sequence | None = None, weights=None, explain: bool = False, k_scope: str = "partition",
         restrict_partition: bool = True, l2_root: bool = False, metric: str | None = None,
         broadcast_bytes: int = DEFAULT_BROADCAST_BYTES, salt: int = DEFAULT_SALT, broadcast: bool | None = None,
-        tie_decimals: int = TIE_DECIMALS, exclude_self: bool = False, method: str = "auto") -> DataFrame:
+        tie_decimals: int = TIE_DECIMALS, exclude_self: bool = False, method: str = "auto",
+        nlist: int | None = None, nprobe: int = 4, ann_feature: str | None = None, centroids=None) -> DataFrame:
     """k nearest items of every query (exact).
 
     ``k_scope="partition"`` keeps up to k hits per searched partition (the reference's
@@ -286,7 +287,9 @@ def knn(queries: DataFrame, index: DataFrame, schema: Schema, k: int = 10, strat
     ``"blocked"`` (l2, one strategy) first searches the query's home block of the best
     separating coded feature, takes the k-th distance τ found there, and then visits only
     the blocks whose exact lower bound is ≤ τ — the same result with far fewer pairs;
-    ``"auto"`` picks ``blocked`` when it applies.
+    ``"auto"`` picks ``blocked`` when it applies; ``"ivf"`` is the approximate inverted-list
+    search of ``operators.ann`` (``nlist`` lists, ``nprobe`` probed per query, on the vector
+    feature ``ann_feature``; pass fitted ``centroids`` to reuse a quantizer).
 
     Output: ``query_id, [strategy_id], <filters>, rank, item_id, distance, [x_<feature>...]``
     where ``rank`` is 1-based over the query's merged, distance-ordered hits.
@@ -304,7 +307,17 @@ def knn(queries: DataFrame, index: DataFrame, schema: Schema, k: int = 10, strat
     if method == "blocked" and blk is None:
         raise ValueError("blocked search needs the l2 metric, one strategy and a separating coded feature")
 
-    if blk is None:
+    if method == "ivf":
+        from . import ann
+        cents = centroids if centroids is not None else ann.fit_ivf(index, schema, nlist, ann_feature)
+        ib = ann.assign_lists(index, schema, cents, ann_feature)
+        qb = ann.probe_lists(queries, schema, cents, nprobe, ann_feature)
+        pairs = candidate_pairs(qb, ib, schema, restrict_partition, broadcast_bytes, salt, broadcast, [ann.LIST_ID])
+        if exclude_self:
+            pairs = pairs.filter(F.col(ITEM_ID) != F.col(QUERY_ID))
+        top = _topk(_score(pairs, schema, sids, weights, metric, l2_root, explain, part_cols), k, local_grp,
+                    tie_decimals)
+    elif blk is None:
         pairs = candidate_pairs(queries, index, schema, restrict_partition, broadcast_bytes, salt, broadcast)
         if exclude_self:
             pairs = pairs.filter(F.col(ITEM_ID) != F.col(QUERY_ID))

@@ -375,6 +375,39 @@ def knn_dense(spark, sf):
     return _knn_out(R.similar_items(emb, idx, s, k=10))
 
 
+def _dense_setup(spark, sf):
+    s = embedding_schema()
+    emb = table(spark, sf, "embeddings")
+    return s, emb, ingest.build_index(emb, s).index
+
+
+def knn_ivf(spark, sf):
+    """Q-6: approximate dense kNN with inverted lists (k-means quantizer, nprobe lists)."""
+    s, emb, idx = _dense_setup(spark, sf)
+    q = knn.item_queries(emb, s)
+    return _knn_out(knn.knn(q, idx, s, k=10, method="ivf", nlist=8, nprobe=4))
+
+
+def knn_lsh(spark, sf):
+    """Q-6: approximate dense kNN with random-projection LSH within a radius."""
+    from ..operators import ann
+    s, emb, idx = _dense_setup(spark, sf)
+    q = knn.item_queries(emb, s)
+    return _knn_out(ann.knn_lsh(q, idx, s, k=10, radius=1.4, bucket_length=2.0, num_tables=6))
+
+
+def ann_recall(spark, sf):
+    """Recall@10 of the IVF and LSH searches against the exact dense search."""
+    from ..operators import ann
+    s, emb, idx = _dense_setup(spark, sf)
+    q = knn.item_queries(emb, s)
+    exact = knn.knn(q, idx, s, k=10, method="scan")
+    ivf = knn.knn(q, idx, s, k=10, method="ivf", nlist=8, nprobe=4)
+    lsh = ann.knn_lsh(q, idx, s, k=10, radius=1.4, bucket_length=2.0, num_tables=6)
+    return (ann.recall_at_k(ivf, exact).withColumn("method", F.lit("ivf"))
+            .unionByName(ann.recall_at_k(lsh, exact).withColumn("method", F.lit("lsh"))))
+
+
 def knn_global(spark, sf):
     """FLT-5: users from the event log searched over every partition at once."""
     s = part_schema()
@@ -610,6 +643,7 @@ def registry() -> dict:
         "user_query_explain", "events_ordered", "events_import_export", "events_pop", "events_delete",
         "vectors_upsert", "save_load_roundtrip",
         "stream_events", "stream_event_lists", "stream_recommend", "stream_index",
+        "knn_ivf", "knn_lsh", "ann_recall",
     ]
     g = globals()
     return {n: g[n] for n in names}
