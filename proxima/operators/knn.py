@@ -23,6 +23,8 @@ task (``WindowGroupLimit`` partial) before the single shuffle on the query id.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from typing import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -192,24 +194,47 @@ def broadcast_row_limit(schema: Schema, broadcast_bytes: int = DEFAULT_BROADCAST
     return max(1, broadcast_bytes // query_row_bytes(schema))
 
 
+def _aqe_splits_skew(spark) -> bool:
+    conf = spark.conf
+    return (conf.get("spark.sql.adaptive.enabled", "true") == "true"
+            and conf.get("spark.sql.adaptive.skewJoin.enabled", "true") == "true")
+
+
+def _spread(index: DataFrame) -> DataFrame:
+    """A broadcast join runs one task per stream-side partition: an index stored in fewer
+    files than the cluster has cores is spread first (never triggers on a large index)."""
+    par = index.sparkSession.sparkContext.defaultParallelism
+    return index.repartition(par) if index.rdd.getNumPartitions() < par else index
+
+
 def candidate_pairs(queries: DataFrame, index: DataFrame, schema: Schema, restrict_partition: bool = True,
-                    broadcast_bytes: int = DEFAULT_BROADCAST_BYTES, salt: int = DEFAULT_SALT,
+                    broadcast_bytes: int = DEFAULT_BROADCAST_BYTES, salt: int | None = None,
                     broadcast: bool | None = None, extra_keys: Sequence[str] = ()) -> DataFrame:
     """query ⋈ items on the partition keys (+ ``extra_keys``); an equi-join, never an
-    unkeyed product."""
+    unkeyed product.
+
+    Small query side (size proven by a bounded count): broadcast hash join, items
+    streamed.  Large query side: shuffle join on the keys; a hot key is split by AQE's skew
+    join when it is enabled, otherwise (and always when there is no key) items are salted
+    into ``salt`` buckets with the queries replicated per bucket."""
     keys = (list(schema.filter_fields) if restrict_partition else []) + list(extra_keys)
     q = queries if restrict_partition else queries.drop(*schema.filter_fields)
     if broadcast is None:
         broadcast = row_count_at_most(q, broadcast_row_limit(schema, broadcast_bytes))
     if broadcast:
+        items = _spread(index)
         if keys:
-            return index.join(F.broadcast(q), keys)
+            return items.join(F.broadcast(q), keys)
         # no key at all: a one-bucket hash key keeps this a broadcast hash join
-        items = index.withColumn("__salt", F.pmod(F.xxhash64(ITEM_ID), F.lit(1)))
+        items = items.withColumn("__salt", F.pmod(F.xxhash64(ITEM_ID), F.lit(1)))
         qq = q.withColumn("__salt", F.pmod(F.xxhash64(QUERY_ID), F.lit(1)))
         return items.join(F.broadcast(qq), ["__salt"]).drop("__salt")
-    # large query side: salt items into `salt` buckets, replicate queries per bucket, so a
-    # hot partition / block (or no partition at all) is spread over `salt` tasks
+    if salt is None:
+        salt = 1 if (keys and _aqe_splits_skew(index.sparkSession)) else DEFAULT_SALT
+    if salt <= 1:
+        return index.join(q, keys)
+    # salt items into `salt` buckets, replicate queries per bucket, so a hot partition /
+    # block (or no partition at all) is spread over `salt` tasks
     items = index.withColumn("__salt", F.pmod(F.xxhash64(ITEM_ID), F.lit(salt)))
     qq = q.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
     return items.join(qq, keys + ["__salt"]).drop("__salt")
@@ -270,10 +295,107 @@ def _lower_bounds(schema: Schema, e, strategy_id, weights) -> Column:
         s - 2 * F.element_at(g, b + 1) + F.element_at(diag, b + 1), F.lit(0.0)))
 
 
+MAX_FINE_BLOCKS = 4096
+NUMERIC_BUCKETS = 16
+COARSE_ITEMS_PER_K = 4
+
+
+@dataclass
+class BlockDim:
+    """One blocking dimension: items fall in ``size`` cells by ``item_cell``; for a query,
+    ``lower_bounds`` is its exact per-cell lower bound of that feature's l2 component."""
+    field: str
+    size: int
+    item_cell: Column
+    lower_bounds: Column
+
+
+def _coded_separation(schema: Schema, e, strategy_id, weights) -> float:
+    G = B.gram(e)
+    d = G.diagonal()
+    D = (d[:, None] - 2 * G + d[None, :]) * schema.factor(e.field, strategy_id, weights) ** 2
+    n = D.shape[0]
+    return min((D[a, b] for a in range(n) for b in range(n) if a != b), default=0.0)
+
+
+def _numeric_dim(schema: Schema, e, strategy_id, weights, lo: float, hi: float, nb: int) -> BlockDim:
+    """Equal-width value buckets; the two edge buckets are open-ended, so every value has a
+    cell even if the index changed since ``lo``/``hi`` were taken."""
+    width = (hi - lo) / nb if hi > lo else 1.0
+    x = F.col(f"{CODES}.`{e.field}`")
+    cell = F.least(F.greatest(F.floor((x - F.lit(lo)) / F.lit(width)), F.lit(0)), F.lit(nb - 1)).cast("int")
+    q = F.col(rep_x(e.field))
+    c2 = F.lit(schema.factor(e.field, strategy_id, weights) ** 2)
+
+    def lb(j):
+        a = F.when(j == 0, F.lit(float("-inf"))).otherwise(F.lit(lo) + j.cast("double") * F.lit(width))
+        b = F.when(j == nb - 1, F.lit(float("inf"))).otherwise(F.lit(lo) + (j + 1).cast("double") * F.lit(width))
+        gap = F.greatest(a - q, q - b, F.lit(0.0))
+        return c2 * gap * gap
+    return BlockDim(e.field, nb, cell, F.transform(F.sequence(F.lit(0), F.lit(nb - 1)), lb))
+
+
+def block_plan(schema: Schema, index: DataFrame, k: int, strategy_id=None, weights=None,
+               restrict_partition: bool = True, numeric_buckets: int = NUMERIC_BUCKETS):
+    """(coarse dims, fine dims) of the exact blocked search, or None when nothing separates.
+
+    Dims are the coded features whose codes are separated (largest minimum component
+    first), then equal-width buckets of the numeric features, up to MAX_FINE_BLOCKS cells.
+    The coarse key is the longest prefix whose cells still hold about COARSE_ITEMS_PER_K x k
+    items of a partition, so pass 1 finds k hits in the query's own coarse cell."""
+    w = schema.weights(strategy_id, weights)
+    coded = []
+    for e in schema.encoders:
+        if e.coded and w[e.field] != 0 and B.n_codes(e) > 1:
+            sep = _coded_separation(schema, e, strategy_id, weights)
+            if sep > 0:
+                coded.append((sep, e))
+    coded.sort(key=lambda t: -t[0])
+    nums = [e for e in schema.encoders if e.type == "numeric" and w[e.field] != 0]
+    if not coded and not nums:
+        return None
+    aggs = [F.count(F.lit(1)).alias("n")]
+    for e in nums:
+        x = F.col(f"{CODES}.`{e.field}`")
+        aggs += [F.min(x).alias(f"lo_{e.field}"), F.max(x).alias(f"hi_{e.field}")]
+    stats = index.agg(*aggs).first()          # one small aggregate over the index
+    dims, cells = [], 1
+    for _, e in coded:
+        if cells * B.n_codes(e) > MAX_FINE_BLOCKS:
+            break
+        code = F.col(f"{CODES}.`{e.field}`")
+        dims.append(BlockDim(e.field, B.n_codes(e), code, _lower_bounds(schema, e, strategy_id, weights)))
+        cells *= B.n_codes(e)
+    for e in nums:
+        lo, hi = stats[f"lo_{e.field}"], stats[f"hi_{e.field}"]
+        if lo is None or cells * numeric_buckets > MAX_FINE_BLOCKS:
+            continue
+        dims.append(_numeric_dim(schema, e, strategy_id, weights, float(lo), float(hi), numeric_buckets))
+        cells *= numeric_buckets
+    if not dims:
+        return None
+    n_parts = max(1, len(schema.partitions)) if restrict_partition else 1
+    per_part = (stats["n"] or 0) / n_parts
+    if per_part < k * dims[0].size:
+        return None      # a coarse cell would rarely hold k items: pruning cannot start, scan instead
+    m, c = 1, dims[0].size
+    while m < len(dims) and per_part / (c * dims[m].size) >= COARSE_ITEMS_PER_K * k:
+        c *= dims[m].size
+        m += 1
+    return dims[:m], dims
+
+
+def _cell_key(cells: Sequence[Column], dims: Sequence[BlockDim]) -> Column:
+    key = F.lit(0)
+    for c, d in zip(cells, dims):
+        key = key * F.lit(d.size) + c
+    return key.cast("int")
+
+
 def knn(queries: DataFrame, index: DataFrame, schema: Schema, k: int = 10, strategy_id=None,
         strategies: Sequence | None = None, weights=None, explain: bool = False, k_scope: str = "partition",
         restrict_partition: bool = True, l2_root: bool = False, metric: str | None = None,
-        broadcast_bytes: int = DEFAULT_BROADCAST_BYTES, salt: int = DEFAULT_SALT, broadcast: bool | None = None,
+        broadcast_bytes: int = DEFAULT_BROADCAST_BYTES, salt: int | None = None, broadcast: bool | None = None,
         tie_decimals: int = TIE_DECIMALS, exclude_self: bool = False, method: str = "auto",
         nlist: int | None = None, nprobe: int = 4, ann_feature: str | None = None, centroids=None) -> DataFrame:
     """k nearest items of every query (exact).
@@ -296,16 +418,32 @@ def knn(queries: DataFrame, index: DataFrame, schema: Schema, k: int = 10, strat
     """
     metric = metric or schema.metric
     multi = strategies is not None
+    if (multi and method in ("auto", "blocked") and metric == "l2"
+            and all(block_feature(schema, str(s), weights) is not None for s in strategies)):
+        # every weight set has its own k-th distance, so each is searched blocked on its
+        # own and the results are stacked (far fewer pairs than one shared full scan)
+        kw = dict(k=k, weights=weights, explain=explain, k_scope=k_scope, restrict_partition=restrict_partition,
+                  l2_root=l2_root, metric=metric, broadcast_bytes=broadcast_bytes, salt=salt,
+                  broadcast=broadcast, tie_decimals=tie_decimals, exclude_self=exclude_self, method="blocked")
+        parts = []
+        for sid in strategies:
+            one = knn(queries, index, schema, strategy_id=str(sid), **kw)
+            parts.append(one.withColumn(STRATEGY_ID, F.lit(str(sid))))
+        out = parts[0]
+        for p_ in parts[1:]:
+            out = out.unionByName(p_)
+        first = [QUERY_ID, STRATEGY_ID]
+        return out.select(*first, *[c for c in out.columns if c not in first])
     sids = [str(s) for s in strategies] if multi else [strategy_id]
     feats = schema.features
     part_cols = list(schema.filter_fields)
     grp = [QUERY_ID, STRATEGY_ID]
     local_grp = grp + (part_cols if (k_scope == "partition" and restrict_partition) else [])
-    blk = None
+    plan = None
     if method in ("auto", "blocked") and metric == "l2" and not multi:
-        blk = block_feature(schema, strategy_id, weights)
-    if method == "blocked" and blk is None:
-        raise ValueError("blocked search needs the l2 metric, one strategy and a separating coded feature")
+        plan = block_plan(schema, index, k, strategy_id, weights, restrict_partition)
+    if method == "blocked" and plan is None:
+        raise ValueError("blocked search needs the l2 metric, one strategy and a separating feature")
 
     if method == "ivf":
         from . import ann
@@ -317,40 +455,58 @@ def knn(queries: DataFrame, index: DataFrame, schema: Schema, k: int = 10, strat
             pairs = pairs.filter(F.col(ITEM_ID) != F.col(QUERY_ID))
         top = _topk(_score(pairs, schema, sids, weights, metric, l2_root, explain, part_cols), k, local_grp,
                     tie_decimals)
-    elif blk is None:
+    elif plan is None:
         pairs = candidate_pairs(queries, index, schema, restrict_partition, broadcast_bytes, salt, broadcast)
         if exclude_self:
             pairs = pairs.filter(F.col(ITEM_ID) != F.col(QUERY_ID))
         top = _topk(_score(pairs, schema, sids, weights, metric, l2_root, explain, part_cols), k, local_grp,
                     tie_decimals)
     else:
-        if broadcast is None:  # pass 2 may fan each query out to every code of the block feature
-            limit = broadcast_row_limit(schema, broadcast_bytes) // B.n_codes(blk)
-            broadcast = row_count_at_most(queries, max(1, limit))
-        items = index.withColumn("__blk", F.col(f"{CODES}.`{blk.field}`"))
-        lb = _lower_bounds(schema, blk, strategy_id, weights)
-        q1 = queries.withColumn("__lb", lb)
-        q1 = q1.withColumn("__blk", (F.array_position("__lb", F.array_min("__lb")) - 1).cast("int"))
-        # pass 1: the home block only
-        p1 = candidate_pairs(q1.drop("__lb"), items, schema, restrict_partition, broadcast_bytes, salt,
-                             broadcast, ["__blk"])
+        coarse, fine = plan
+        nc = len(coarse)
+        b1 = b2 = broadcast
+        if broadcast is None:   # decided up front: counting the pass-2 table would run pass 1 twice
+            limit = broadcast_row_limit(schema, broadcast_bytes)
+            b1 = row_count_at_most(queries, limit)
+            cells = 1
+            for d in fine:
+                cells *= d.size
+            b2 = b1 and row_count_at_most(queries, max(1, limit // cells))
+        items = index.select("*", _cell_key([d.item_cell for d in coarse], coarse).alias("__blk"),
+                             _cell_key([d.item_cell for d in fine], fine).alias("__fblk"))
+        q1 = queries.select("*", *[d.lower_bounds.alias(f"__lb{j}") for j, d in enumerate(fine)])
+        home = [(F.array_position(f"__lb{j}", F.array_min(f"__lb{j}")) - 1).cast("int") for j in range(nc)]
+        q1 = q1.select("*", *[h.alias(f"__h{j}") for j, h in enumerate(home)])
+        q1 = q1.withColumn("__blk", _cell_key([F.col(f"__h{j}") for j in range(nc)], coarse))
+        base_q = [QUERY_ID, *[c for c in schema.filter_fields if c in queries.columns], *rep_columns(schema)]
+        # pass 1: every item of the query's own coarse cell
+        p1 = candidate_pairs(q1.select(*base_q, "__blk"), items, schema, restrict_partition, broadcast_bytes,
+                             salt, b1, ["__blk"])
         if exclude_self:
             p1 = p1.filter(F.col(ITEM_ID) != F.col(QUERY_ID))
         t1 = _topk(_score(p1, schema, sids, weights, metric, False, explain, part_cols), k, local_grp,
                    tie_decimals)
-        # τ = k-th distance found in the home block (infinite when fewer than k were found)
+        # τ = k-th distance found there (infinite when fewer than k were found)
         tgrp = [c for c in local_grp if c != STRATEGY_ID]
         tau = t1.groupBy(*tgrp).agg(F.max("distance").alias("__tau"), F.count(F.lit(1)).alias("__n"))
         q2 = q1.join(tau, tgrp, "left")
-        tau_eff = F.when(F.col("__n") >= k, F.col("__tau")).otherwise(F.lit(float("inf")))
-        slack = F.lit(2.0 * 10.0 ** -tie_decimals) + F.abs(F.col("__tau")) * F.lit(1e-12)
-        q2 = (q2.select(*[c for c in q2.columns if c not in ("__blk",)],
-                        F.posexplode("__lb").alias("__b2", "__lbv"), F.col("__blk").alias("__home"))
-              .filter((F.col("__b2") != F.col("__home")) & (F.col("__lbv") <= tau_eff + F.coalesce(slack, F.lit(0.0))))
-              .select(QUERY_ID, *[c for c in schema.filter_fields if c in queries.columns],
-                      *rep_columns(schema), F.col("__b2").cast("int").alias("__blk")))
-        # pass 2: every other block that can still hold a hit
-        p2 = candidate_pairs(q2, items, schema, restrict_partition, broadcast_bytes, salt, broadcast, ["__blk"])
+        slack = F.lit(2.0 * 10.0 ** -tie_decimals) + F.abs(F.coalesce(F.col("__tau"), F.lit(0.0))) * F.lit(1e-12)
+        q2 = q2.withColumn("__lim", F.when(F.col("__n") >= k, F.col("__tau") + slack)
+                           .otherwise(F.lit(float("inf"))))
+        # pass 2: the fine cells outside the home coarse cell whose summed lower bound is <= τ,
+        # enumerated one dimension at a time (partial sums are lower bounds too)
+        q2 = q2.withColumn("__acc", F.lit(0.0))
+        for j in range(len(fine)):
+            q2 = (q2.select("*", F.posexplode(f"__lb{j}").alias(f"__d{j}", "__v"))
+                  .withColumn("__acc", F.col("__acc") + F.col("__v")).drop("__v", f"__lb{j}")
+                  .filter(F.col("__acc") <= F.col("__lim")))
+            if j == nc - 1:
+                same = F.lit(True)
+                for i in range(nc):
+                    same = same & (F.col(f"__d{i}") == F.col(f"__h{i}"))
+                q2 = q2.filter(~same)
+        q2 = q2.select(*base_q, _cell_key([F.col(f"__d{j}") for j in range(len(fine))], fine).alias("__fblk"))
+        p2 = candidate_pairs(q2, items, schema, restrict_partition, broadcast_bytes, salt, b2, ["__fblk"])
         if exclude_self:
             p2 = p2.filter(F.col(ITEM_ID) != F.col(QUERY_ID))
         s2 = _score(p2, schema, sids, weights, metric, False, explain, part_cols)
