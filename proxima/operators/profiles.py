@@ -70,8 +70,11 @@ def _coded_rep(e, hist: Column, total: Column) -> tuple[Column, Column]:
     g = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda j: F.aggregate(
         hist, F.lit(0.0), lambda acc, h: acc + h["ws"] * F.element_at(F.element_at(G, h["c"] + 1), j + 1)))
     g = F.when(total > 0, F.transform(g, lambda x: x / total)).otherwise(F.array_repeat(F.lit(0.0), n))
-    s = F.aggregate(hist, F.lit(0.0), lambda acc, h: acc + h["ws"] * F.element_at(g, h["c"] + 1))
-    s = F.when(total > 0, s / total).otherwise(F.lit(0.0))
+    # s = hᵀGh / n², summed over histogram pairs (no reference to g, which would be
+    # re-evaluated for every histogram entry)
+    s = F.aggregate(hist, F.lit(0.0), lambda acc, a: acc + a["ws"] * F.aggregate(
+        hist, F.lit(0.0), lambda acc2, b: acc2 + b["ws"] * F.element_at(F.element_at(G, a["c"] + 1), b["c"] + 1)))
+    s = F.when(total > 0, s / (total * total)).otherwise(F.lit(0.0))
     return s, g
 
 
