@@ -41,10 +41,20 @@ def ordered_events(events: DataFrame, user_col: str = "user_id", order_cols: Seq
                    ) -> DataFrame:
     """AGG-6 in long form: every event with its 1-based position in the user's log.
 
-    A streaming window (sort, spills) rather than a collected list, so a user with a huge
-    log never has to fit in memory."""
-    w = Window.partitionBy(user_col).orderBy(*order_cols)
-    return events.withColumn("pos", F.row_number().over(w))
+    No per-user window: a global sort range-partitions by (user, order) — Spark samples
+    the keys, so a user with a third of the log is split over many tasks — then each
+    task counts its rows per user, the counts of earlier tasks give each (task, user) its
+    offset (a table of at most tasks x users-per-task-boundary rows), and the position is
+    offset + the row's number inside its task."""
+    keys = [user_col, *order_cols]
+    part = "__part"
+    srt = events.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn(part, F.spark_partition_id())
+    pos = srt.withColumn("__loc", F.row_number().over(Window.partitionBy(part, user_col).orderBy(*order_cols)))
+    counts = pos.groupBy(part, user_col).agg(F.max("__loc").alias("__cnt"))
+    prior = Window.partitionBy(user_col).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(part, user_col, F.coalesce(F.sum("__cnt").over(prior), F.lit(0)).alias("__off"))
+    out = pos.join(offsets, [part, user_col])
+    return out.withColumn("pos", (F.col("__off") + F.col("__loc")).cast("int")).drop(part, "__loc", "__off")
 
 
 def pop_oldest(events: DataFrame, user_col: str = "user_id", order_cols: Sequence[str] = ("ts", "event_id"),

@@ -96,3 +96,17 @@ def test_vectors_upsert_last_write_wins(spark):
     new = spark.createDataFrame([("a", [9.0], 2), ("a", [8.0], 3)], "key string, vec array<double>, seq long")
     out = {r.key: r.vec for r in EV.upsert_vectors(old, new).collect()}
     assert out == {"a": [8.0], "b": [2.0]}
+
+
+def test_ordered_events_hot_user_split_across_tasks(spark):
+    # one user holds most of the log; positions must still be 1..n in (ts, event_id) order
+    ev = spark.range(30000).select(
+        F.when(F.col("id") % 10 < 8, F.lit("hot")).otherwise((F.col("id") % 7).cast("string")).alias("user_id"),
+        ((F.col("id") * 7919) % 30011).alias("ts"), F.col("id").alias("event_id"))
+    out = EV.ordered_events(ev)
+    hot = out.filter("user_id = 'hot'")
+    rows = [(r.ts, r.event_id, r.pos) for r in hot.orderBy("pos").collect()]
+    assert [p for _, _, p in rows] == list(range(1, len(rows) + 1))
+    assert [(t, e) for t, e, _ in rows] == sorted((t, e) for t, e, _ in rows)
+    per_user = out.groupBy("user_id").agg(F.max("pos").alias("m"), F.count(F.lit(1)).alias("n"))
+    assert per_user.filter("m != n").count() == 0
