@@ -336,7 +336,7 @@ def _numeric_dim(schema: Schema, e, strategy_id, weights, lo: float, hi: float,
 
 
 def block_plan(schema: Schema, index: DataFrame, k: int, strategy_id=None, weights=None,
-               restrict_partition: bool = True, numeric_buckets: int = NUMERIC_BUCKETS):
+               restrict_partition: bool = True, numeric_buckets: int = NUMERIC_BUCKETS, only_if_useful: bool = True):
     """(coarse dims, fine dims) of the exact blocked search, or None when nothing separates.
 
     Dims are the coded features whose codes are separated (largest minimum component
@@ -376,7 +376,7 @@ def block_plan(schema: Schema, index: DataFrame, k: int, strategy_id=None, weigh
         return None
     n_parts = max(1, len(schema.partitions)) if restrict_partition else 1
     per_part = (stats["n"] or 0) / n_parts
-    if per_part < k * dims[0].size:
+    if only_if_useful and per_part < k * dims[0].size:
         return None      # a coarse cell would rarely hold k items: pruning cannot start, scan instead
     m, c = 1, dims[0].size
     while m < len(dims) and per_part / (c * dims[m].size) >= COARSE_ITEMS_PER_K * k:
@@ -441,7 +441,8 @@ def knn(queries: DataFrame, index: DataFrame, schema: Schema, k: int = 10, strat
     local_grp = grp + (part_cols if (k_scope == "partition" and restrict_partition) else [])
     plan = None
     if method in ("auto", "blocked") and metric == "l2" and not multi:
-        plan = block_plan(schema, index, k, strategy_id, weights, restrict_partition)
+        plan = block_plan(schema, index, k, strategy_id, weights, restrict_partition,
+                          only_if_useful=(method == "auto"))
     if method == "blocked" and plan is None:
         raise ValueError("blocked search needs the l2 metric, one strategy and a separating feature")
 
