@@ -45,11 +45,14 @@ def ordered_events(events: DataFrame, user_col: str = "user_id", order_cols: Seq
     the keys, so a user with a third of the log is split over many tasks — then each
     task counts its rows per user, the counts of earlier tasks give each (task, user) its
     offset (a table of at most tasks x users-per-task-boundary rows), and the position is
-    offset + the row's number inside its task."""
+    offset + the row's number inside its task.  Runs one job when called (the checkpoint)."""
     keys = [user_col, *order_cols]
     part = "__part"
     srt = events.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn(part, F.spark_partition_id())
     pos = srt.withColumn("__loc", F.row_number().over(Window.partitionBy(part, user_col).orderBy(*order_cols)))
+    # both branches below must see the same task assignment: materialise it once (a
+    # reliable checkpoint under spark.checkpoint.dir; range sampling is not repeatable)
+    pos = pos.checkpoint(eager=True)
     counts = pos.groupBy(part, user_col).agg(F.max("__loc").alias("__cnt"))
     prior = Window.partitionBy(user_col).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(part, user_col, F.coalesce(F.sum("__cnt").over(prior), F.lit(0)).alias("__off"))
