@@ -37,22 +37,32 @@ def import_events(raw: DataFrame, fields: Sequence[str], sep: str = "|", raw_col
     return raw.select(*raw.columns, *[F.element_at(parts, i + 1).alias(f) for i, f in enumerate(fields)])
 
 
-def ordered_events(events: DataFrame, user_col: str = "user_id", order_cols: Sequence[str] = ("ts", "event_id")
-                   ) -> DataFrame:
+HOT_USER_ROWS = 1_000_000   # events one task may sort for one user
+
+
+def ordered_events(events: DataFrame, user_col: str = "user_id", order_cols: Sequence[str] = ("ts", "event_id"),
+                   hot_user_rows: int = HOT_USER_ROWS) -> DataFrame:
     """AGG-6 in long form: every event with its 1-based position in the user's log.
 
-    No per-user window: a global sort range-partitions by (user, order) — Spark samples
-    the keys, so a user with a third of the log is split over many tasks — then each
-    task counts its rows per user, the counts of earlier tasks give each (task, user) its
-    offset (a table of at most tasks x users-per-task-boundary rows), and the position is
-    offset + the row's number inside its task.  Runs one job when called (the checkpoint)."""
+    A map-side-combined count per user decides the plan.  No user above
+    ``hot_user_rows``: one shuffle and a per-user window.  Otherwise a user is never
+    sorted in one task: a global sort range-partitions by (user, order) — Spark samples
+    the keys, so a user with a third of the log is split over many tasks — each task's
+    row count per user gives every (task, user) its offset from the earlier tasks, and
+    the position is that offset + the row's number inside its task."""
     keys = [user_col, *order_cols]
+    biggest = events.groupBy(user_col).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+    if biggest is None or biggest <= hot_user_rows:
+        return events.withColumn("pos", F.row_number().over(Window.partitionBy(user_col).orderBy(*order_cols)))
     part = "__part"
     srt = events.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn(part, F.spark_partition_id())
     pos = srt.withColumn("__loc", F.row_number().over(Window.partitionBy(part, user_col).orderBy(*order_cols)))
-    # both branches below must see the same task assignment: materialise it once (a
-    # reliable checkpoint under spark.checkpoint.dir; range sampling is not repeatable)
-    pos = pos.checkpoint(eager=True)
+    # both branches below must see the same task assignment (range sampling is not
+    # repeatable): write it once as a table in the shared checkpoint folder
+    from ..session import scratch_path
+    path = scratch_path(events.sparkSession, "event-positions")
+    pos.write.parquet(path)
+    pos = events.sparkSession.read.parquet(path)
     counts = pos.groupBy(part, user_col).agg(F.max("__loc").alias("__cnt"))
     prior = Window.partitionBy(user_col).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(part, user_col, F.coalesce(F.sum("__cnt").over(prior), F.lit(0)).alias("__off"))

@@ -39,3 +39,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)
     return d
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh folder under the shared checkpoint directory for an intermediate table."""
+    import uuid
+    return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"

@@ -103,7 +103,7 @@ def test_ordered_events_hot_user_split_across_tasks(spark):
     ev = spark.range(30000).select(
         F.when(F.col("id") % 10 < 8, F.lit("hot")).otherwise((F.col("id") % 7).cast("string")).alias("user_id"),
         ((F.col("id") * 7919) % 30011).alias("ts"), F.col("id").alias("event_id"))
-    out = EV.ordered_events(ev)
+    out = EV.ordered_events(ev, hot_user_rows=1000)   # force the split path
     hot = out.filter("user_id = 'hot'")
     rows = [(r.ts, r.event_id, r.pos) for r in hot.orderBy("pos").collect()]
     assert [p for _, _, p in rows] == list(range(1, len(rows) + 1))
