@@ -372,7 +372,7 @@ SELECT query_id, label, CAST(rk AS INTEGER) AS rank, item_id, {rd('distance')} A
         "SELECT user_id, min(t) AS list_start_us, max(t) AS last_event_us, max(t) + 86400000000 AS expires_at_us, "
         "count(*) AS n_events FROM s GROUP BY user_id, sid")
     q["events_delete"] = (f"WITH {ev} SELECT user_id, CAST(event_id AS VARCHAR) AS event_id FROM ev WHERE user_id "
-                          f"NOT IN (SELECT user_id FROM ev WHERE event_type = 'error' AND value >= 19.0)")
+                          f"NOT IN (SELECT user_id FROM ev WHERE event_type = 'error' AND value >= 250.0)")
     q["vectors_upsert"] = ("WITH v AS (SELECT CAST(vec_id AS VARCHAR) AS key, CASE WHEN label = 0 THEN "
                            "list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * 2) ELSE CAST(embedding AS "
                            "DOUBLE[]) END AS vec FROM embeddings) " + long_form("v", ("key",)))

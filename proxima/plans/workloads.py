@@ -528,7 +528,7 @@ def events_pop(spark, sf):
 
 def events_delete(spark, sf):
     ev = _events(spark, sf)
-    gone = ev.filter((F.col("event_type") == "error") & (F.col("value") >= 19.0)).select("user_id")
+    gone = ev.filter((F.col("event_type") == "error") & (F.col("value") >= 250.0)).select("user_id")
     return EV.delete_users(ev, gone).select("user_id", F.col("event_id").cast("string").alias("event_id"))
 
 
