@@ -43,6 +43,13 @@ def history_from_events(events: DataFrame, event_weights: Mapping[str, float] |
     return out.filter(F.col(ITEM_ID).isNotNull())
 
 
+def _vector_entry(field_name: str, w: Column):
+    """(x, i) -> one long row of a vector feature (a two-argument lambda for transform)."""
+    def entry(x, i):
+        return F.struct(F.lit(field_name).alias("f"), i.alias("c"), w.alias("ws"), (w * x).alias("xs"))
+    return entry
+
+
 def _long_rows(schema: Schema) -> Column:
     """One history row -> array of (feature key, code/pos, weight, weighted value)."""
     parts = []
@@ -56,8 +63,7 @@ def _long_rows(schema: Schema) -> Column:
             parts.append(F.array(F.struct(F.lit(e.field).alias("f"), F.lit(-1).alias("c"), w.alias("ws"),
                                           (w * c).alias("xs"))))
         else:
-            parts.append(F.transform(c, lambda x, i, _f=e.field: F.struct(
-                F.lit(_f).alias("f"), i.alias("c"), w.alias("ws"), (w * x).alias("xs"))))
+            parts.append(F.transform(c, _vector_entry(e.field, w)))
     parts.append(F.array(F.struct(F.lit(TOTAL).alias("f"), F.lit(-1).alias("c"), w.alias("ws"),
                                   F.lit(0.0).alias("xs"))))
     return F.concat(*parts)

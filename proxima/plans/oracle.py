@@ -345,6 +345,16 @@ SELECT query_id, label, CAST(rk AS INTEGER) AS rank, item_id, {rd('distance')} A
     q["user_coldstart"] = cold.replace(f"{PART_ENC}, {part_vec()},", f"{PART_ENC}, {part_vec()}, {COLD_ITEMS},", 1)
     q["user_query_events"] = user_knn_sql(EVENT_HIST, EVENT_USERS, k=2, per_partition=True)
     q["stream_recommend"] = q["user_query_events"]
+    q["user_dense_events"] = f"""WITH {EVENT_HIST},
+emb AS (SELECT CAST(vec_id AS VARCHAR) AS item_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+hx AS (SELECT h.user_id, h.w, generate_subscripts(e.v, 1) AS pos, unnest(e.v) AS x
+       FROM hist h JOIN emb e ON h.item_id = e.item_id),
+uv AS (SELECT user_id, pos, sum(w * x) / sum(w) AS m FROM hx GROUP BY user_id, pos),
+ex AS (SELECT item_id, label, generate_subscripts(v, 1) AS pos, unnest(v) AS x FROM emb),
+pairs AS (SELECT u.user_id AS query_id, e.item_id, e.label, sum((u.m - e.x) * (u.m - e.x)) AS distance
+          FROM uv u JOIN ex e ON u.pos = e.pos GROUP BY u.user_id, e.item_id, e.label),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {rk9()}, item_id) AS rk FROM pairs)
+SELECT query_id, label, CAST(rk AS INTEGER) AS rank, item_id, {rd('distance')} AS distance FROM r WHERE rk <= {K}"""
     q["user_query_explain"] = user_knn_sql(EVENT_HIST, EVENT_USERS, explain=True)
 
     # events

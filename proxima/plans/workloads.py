@@ -489,6 +489,18 @@ def user_query_events(spark, sf):
     return _knn_out(out)
 
 
+def user_dense_events(spark, sf):
+    """Q-3 on a vector feature: weighted event-log profiles as mean embeddings (the event
+    item k is the embedding id), k nearest embeddings over every label."""
+    s = embedding_schema()
+    idx = ingest.build_index(table(spark, sf, "embeddings"), s).index
+    ev = table(spark, sf, "events")
+    users = ev.select(F.col("user_id").cast("string").alias("user_id")).distinct().withColumn("label", F.lit(None))
+    out = R.recommend_from_events(users, ev, idx, s, EVENT_WEIGHTS, k=K, item_col=_event_item(),
+                                  restrict_partition=False)
+    return _knn_out(out)
+
+
 def user_query_explain(spark, sf):
     s = part_schema()
     idx = part_index(spark, sf, s)
@@ -640,7 +652,7 @@ def registry() -> dict:
         "knn_multi_partition", "knn_total_topk", "knn_two_filters", "knn_no_filter", "knn_k_exceeds",
         "knn_variant", "knn_variants_side_by_side", "knn_dense", "knn_global", "fetch_vectors",
         "user_avg", "user_avg_dedup", "user_weighted", "user_coldstart", "user_query_events",
-        "user_query_explain", "events_ordered", "events_import_export", "events_pop", "events_delete",
+        "user_query_explain", "user_dense_events", "events_ordered", "events_import_export", "events_pop", "events_delete",
         "vectors_upsert", "save_load_roundtrip",
         "stream_events", "stream_event_lists", "stream_recommend", "stream_index",
         "knn_ivf", "knn_lsh", "ann_recall",

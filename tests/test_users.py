@@ -1,5 +1,6 @@
 """User profiles from histories (documented example) and event logs."""
 import pytest
+from pyspark.sql import functions as F
 
 from proxima.operators import ingest, profiles
 from proxima.plans import recommend as R
@@ -70,3 +71,19 @@ def test_profile_reps_bounded_by_schema(spark, items):
     hist = spark.createDataFrame([("u", str(i % 3 + 1)) for i in range(300)], "user_id string, item_id string")
     p = profiles.profiles(hist, idx, s).collect()
     assert len(p) == 1 and p[0]["__n"] == 300
+
+
+def test_cold_start_from_stored_vector(spark):
+    """JN-10: a user's stored vector (looked up by key) is the cold-start pseudo-item."""
+    s = Schema.build([{"field": "emb", "type": "embedding", "length": 2, "weight": 1}],
+                     [{"field": "country", "values": ["US"]}], "l2")
+    items = spark.createDataFrame([("a", "US", [0.0, 0.0]), ("b", "US", [1.0, 0.0]), ("c", "US", [5.0, 5.0])],
+                                  "id string, country string, emb array<double>")
+    idx = ingest.build_index(items, s).index
+    vectors = spark.createDataFrame([("k1", [4.0, 4.0])], "key string, vec array<double>")
+    users = spark.createDataFrame([("u", "US", "k1")], "user_id string, country string, key string")
+    cold = users.join(vectors, "key", "left").select("user_id", F.col("vec").alias("emb"))
+    hist = spark.createDataFrame([("u", "a")], "user_id string, item_id string")
+    out = R.recommend(users.drop("key"), hist, idx, s, k=1, cold_start=cold).collect()
+    # mean of a=(0,0) and the stored (4,4) is (2,2): nearest is b=(1,0) (dist 5) vs c (dist 18), a (dist 8)
+    assert [r.item_id for r in out] == ["b"] and out[0].distance == pytest.approx(5.0)
