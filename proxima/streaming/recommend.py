@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from ..operators import ingest, knn, profiles
 from ..operators.encode import CODES, ITEM_ID
 from ..schema import Schema
-from .runner import BATCH_ID, latest
+from .runner import BATCH_ID
 
 USER_ID = profiles.USER_ID
 
@@ -41,26 +41,50 @@ def profile_sums_stream(events: DataFrame, index: DataFrame, schema: Schema,
     return profiles.profile_sums(rows, schema)
 
 
-def current_sums(sums_path: str, spark, users: DataFrame | None = None) -> DataFrame:
-    """Newest running sums per ``(user_id, f, c)`` from the batch-keyed sums sink."""
+def current_sums(sums_path: str, spark, users: DataFrame | None = None, base_path: str | None = None,
+                 base_upto: int | None = None) -> DataFrame:
+    """Newest running sums per ``(user_id, f, c)`` from the batch-keyed sums sink, or from
+    a compacted snapshot (newest per key up to batch ``base_upto``) plus the batches
+    after it (``batch_id > base_upto`` prunes the older folders)."""
     s = spark.read.parquet(sums_path)
+    if base_path is not None and base_upto is not None:
+        s = s.filter(F.col(BATCH_ID) > F.lit(base_upto)).unionByName(spark.read.parquet(base_path))
     if users is not None:
         s = s.join(users, USER_ID, "left_semi")
-    return latest(s, [USER_ID, "f", "c"])
+    return latest_keep_batch(s, [USER_ID, "f", "c"])
+
+
+def latest_keep_batch(df: DataFrame, keys) -> DataFrame:
+    """``latest`` that keeps the winning ``batch_id`` (so a snapshot can be merged again)."""
+    vals = [c for c in df.columns if c not in keys]
+    top = df.groupBy(*keys).agg(F.max_by(F.struct(*vals), F.col(BATCH_ID)).alias("__v"))
+    return top.select(*keys, *[F.col(f"__v.`{c}`").alias(c) for c in vals])
 
 
 def recommend_batch_fn(index: DataFrame, schema: Schema, users_fn: Callable[[DataFrame], DataFrame],
-                       sums_path: str, recs_path: str, k: int = 10, **knn_kw):
+                       sums_path: str, recs_path: str, k: int = 10, compact_every: int = 16, **knn_kw):
     """The ``foreachBatch`` body of STR-5 (see module doc).  ``users_fn`` maps the touched
-    ``user_id`` table to the query users (``user_id, <filters>[, <user encoder fields>]``)."""
+    ``user_id`` table to the query users (``user_id, <filters>[, <user encoder fields>]``).
+
+    Every ``compact_every`` batches the newest sums are written as a snapshot, so a batch
+    reads the snapshot plus at most ``compact_every`` newer batch folders instead of the
+    whole history.  The snapshot pointer lives in the driver; after a driver restart the
+    reader falls back to all batch folders (slower, same result) until the next snapshot."""
+    snap = {"upto": None, "path": None}
+
     def on_batch(upd: DataFrame, batch_id: int) -> None:
         spark = upd.sparkSession
         upd.write.mode("overwrite").parquet(f"{sums_path}/{BATCH_ID}={batch_id}")
         touched = spark.read.parquet(f"{sums_path}/{BATCH_ID}={batch_id}").select(USER_ID).distinct()
-        prof = profiles.assemble_profiles(current_sums(sums_path, spark, touched), schema)
+        cur = current_sums(sums_path, spark, touched, snap["path"], snap["upto"]).drop(BATCH_ID)
+        prof = profiles.assemble_profiles(cur, schema)
         q = profiles.user_queries(users_fn(touched), prof, schema)
         recs = knn.knn(q, index, schema, k=k, **knn_kw)
         recs.write.mode("overwrite").parquet(f"{recs_path}/{BATCH_ID}={batch_id}")
+        if compact_every and (batch_id + 1) % compact_every == 0:
+            path = f"{sums_path}_snapshots/upto={batch_id}"
+            current_sums(sums_path, spark, None, snap["path"], snap["upto"]).write.mode("overwrite").parquet(path)
+            snap.update(upto=batch_id, path=path)
     return on_batch
 
 

@@ -42,3 +42,11 @@ def test_stream_index_equals_batch(spark):
     s = W.part_schema()
     batch = W._codes_out(W.part_index(spark, SF_SMALL, s), s)
     assert _canon(W.stream_index(spark, SF_SMALL)) == _canon(batch)
+
+
+def test_stream_recommend_with_compaction_equals_batch(spark, monkeypatch):
+    from proxima.streaming import recommend as SR
+    orig = SR.recommend_batch_fn
+    monkeypatch.setattr(SR, "recommend_batch_fn", lambda *a, **kw: orig(*a, **{**kw, "compact_every": 2}))
+    monkeypatch.setattr(W, "STREAM_CHUNKS", 5)
+    assert _canon(W.stream_recommend(spark, SF_SMALL)) == _canon(W.user_query_events(spark, SF_SMALL))
