@@ -45,3 +45,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint directory for an intermediate table."""
     import uuid
     return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def write_table(df, name: str):
+    """Materialise ``df`` once as Parquet under the shared checkpoint directory and return
+    the re-read table (cuts lineage; later actions never recompute ``df``'s inputs)."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
