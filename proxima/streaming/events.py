@@ -55,48 +55,66 @@ def _lists_fn(ttl_us: int):
             state.remove()
             yield _list_rows(uid, [(start, last, last + ttl_us, n, "expired")])
             return
-        start, last, n = state.get if state.exists else (None, None, 0)
+        cur = list(state.get) if state.exists else [None, None, 0]   # start, last, n
         done = []
-        for pdf in chunks:
-            t = np.sort(pdf["__t"].to_numpy(dtype=np.int64))
+
+        def absorb(t):
             if t.size == 0:
-                continue
-            if last is None:
-                start, last, n = int(t[0]), int(t[0]), 0
-            late = t < last                      # arrived after newer events: joins the open list
-            n += int(late.sum())
+                return
+            if cur[1] is None:
+                cur[:] = [int(t[0]), int(t[0]), 0]
+            late = t < cur[1]                    # arrived after newer events: joins the open list
+            cur[2] += int(late.sum())
             t = t[~late]
             # a gap > ttl before an event closes the open list and starts a new one (a list is
             # alive through its expiry instant, as Spark's session windows are)
-            gaps = np.diff(np.concatenate(([last], t)))
+            gaps = np.diff(np.concatenate(([cur[1]], t)))
             pieces = np.split(t, np.flatnonzero(gaps > ttl_us))
             if pieces[0].size:
-                n += int(pieces[0].size)
-                last = int(pieces[0][-1])
+                cur[2] += int(pieces[0].size)
+                cur[1] = int(pieces[0][-1])
             for p in pieces[1:]:
-                done.append((start, last, last + ttl_us, n, "expired"))
-                start, last, n = int(p[0]), int(p[-1]), int(p.size)
-        exp_ms = (last + ttl_us) // 1000
-        if exp_ms < state.getCurrentWatermarkMs():
+                done.append((cur[0], cur[1], cur[1] + ttl_us, cur[2], "expired"))
+                cur[:] = [int(p[0]), int(p[-1]), int(p.size)]
+
+        for pdf in chunks:
+            order = np.argsort(pdf["__t"].to_numpy(dtype=np.int64), kind="stable")
+            t = pdf["__t"].to_numpy(dtype=np.int64)[order]
+            dels = np.flatnonzero(pdf["__del"].to_numpy(dtype=bool)[order])
+            prev = 0
+            for d in dels:                       # STR-3: a delete event drops the user's list
+                absorb(t[prev:d])
+                if cur[1] is not None:
+                    done.append((cur[0], cur[1], cur[1] + ttl_us, cur[2], "deleted"))
+                cur[:] = [None, None, 0]
+                prev = d + 1
+            absorb(t[prev:])
+        start, last, n = cur
+        if last is None:                         # deleted and nothing after it
+            if state.exists:
+                state.remove()
+        elif (last + ttl_us) // 1000 < state.getCurrentWatermarkMs():
             done.append((start, last, last + ttl_us, n, "expired"))
             state.remove()
         else:
             state.update((start, last, n))
-            state.setTimeoutTimestamp(exp_ms)
+            state.setTimeoutTimestamp((last + ttl_us) // 1000)
             done.append((start, last, last + ttl_us, n, "open"))
         yield _list_rows(uid, done)
     return fn
 
 
 def event_lists(events: DataFrame, ttl_s: int = DAY_S, lateness: str = "1 hour", user_col: str = "user_id",
-                ts_col: str = "ts") -> DataFrame:
+                ts_col: str = "ts", delete_types=(), type_col: str = "event_type") -> DataFrame:
     """STR-2: ``user_id, list_start_us, last_event_us, expires_at_us, n_events, status``.
 
     Streaming input: the stateful operator (update output mode).  Each update re-emits
     the user's open list; a list is emitted as ``expired`` when a newer event arrives
     after ``ttl_s`` of silence or when the watermark (max event time minus ``lateness``)
     passes its expiry.  The newest row per ``(user_id, list_start_us)`` is the list's
-    final state.
+    final state.  Events whose ``type_col`` is in ``delete_types`` are control events
+    (STR-3): they drop the user's open list (emitted as ``deleted``) and are not part of
+    any list.
 
     Batch input: the same lists from Spark's ``session_window`` aggregation (gap =
     ``ttl_s``), whose sessions are merged within each partition before the shuffle."""
@@ -109,8 +127,10 @@ def event_lists(events: DataFrame, ttl_s: int = DAY_S, lateness: str = "1 hour",
                         F.unix_micros("__b").alias("last_event_us"),
                         (F.unix_micros("__b") + F.lit(int(ttl_s) * 1_000_000)).alias("expires_at_us"),
                         "n_events", F.lit("closed").alias("status"))
+    is_del = F.col(type_col).isin(list(delete_types)) if delete_types else F.lit(False)
     ev = events.select(F.col(user_col).cast("string").alias("user_id"), ts.alias("__ts"),
-                       F.unix_micros(ts).alias("__t")).withWatermark("__ts", lateness)
+                       F.unix_micros(ts).alias("__t"), F.coalesce(is_del, F.lit(False)).alias("__del")
+                       ).withWatermark("__ts", lateness)
     return ev.groupBy("user_id").applyInPandasWithState(
         _lists_fn(int(ttl_s) * 1_000_000), LIST_SCHEMA, STATE_SCHEMA, "update",
         GroupStateTimeout.EventTimeTimeout)

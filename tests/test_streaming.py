@@ -50,3 +50,21 @@ def test_stream_recommend_with_compaction_equals_batch(spark, monkeypatch):
     monkeypatch.setattr(SR, "recommend_batch_fn", lambda *a, **kw: orig(*a, **{**kw, "compact_every": 2}))
     monkeypatch.setattr(W, "STREAM_CHUNKS", 5)
     assert _canon(W.stream_recommend(spark, SF_SMALL)) == _canon(W.user_query_events(spark, SF_SMALL))
+
+
+def test_stream_event_lists_delete_control_event(spark):
+    from proxima.session import scratch_path
+    from proxima.streaming.runner import batch_sink, file_stream, latest, run_available_now
+    t0 = dt.datetime(2024, 1, 1)
+    h = lambda x: t0 + dt.timedelta(hours=x)
+    ev = spark.createDataFrame([("u", h(0), "view"), ("u", h(1), "view"), ("u", h(2), "delete"),
+                                ("u", h(3), "click"), ("u", h(4), "view"), ("v", h(0), "view")],
+                               "user_id string, ts timestamp, event_type string")
+    src, sink = scratch_path(spark, "del-src"), scratch_path(spark, "del-sink")
+    ev.coalesce(1).write.parquet(src)
+    lists = SE.event_lists(file_stream(spark, src, ev), delete_types=["delete"])
+    run_available_now(lists.writeStream.outputMode("update").foreachBatch(batch_sink(sink)),
+                      scratch_path(spark, "del-ck"))
+    out = sorted((r.user_id, r.n_events, r.status) for r in latest(spark.read.parquet(sink),
+                                                                    ["user_id", "list_start_us"]).collect())
+    assert out == [("u", 2, "deleted"), ("u", 2, "open"), ("v", 1, "open")]
