@@ -5,12 +5,18 @@ and read again as the next stage's docs.  A stage works on all that its predeces
 All but the last return the columns of ``documents``.
 """
 
-from proxima.llm import decontam, mixing, sharding, simhash
+from proxima.llm import decontam, mixing, sharding, simhash, toxicity
 from proxima.llm.common import table, write_table
 
 NEAR_DUPLICATES = {"k": 4, "radius": 4}  # four-word shingles, at most four differing bits
 
 
+def drop_toxic(spark, docs, sf_dir):
+    """Documents that the toxicity tagger rejects go."""
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), lambda i: ~toxicity.held_out(i))
+    return toxicity.drop_toxic(docs, model)
+
+
 def near_dedup(spark, docs, sf_dir):
     """One document of each near-duplicate group stays: the one with the smallest id."""
     return simhash.keep_one_per_group(docs, **NEAR_DUPLICATES)
@@ -32,6 +38,7 @@ def shard(spark, docs, sf_dir):
 
 
 STAGES = [
+    ("toxicity", drop_toxic),
     ("near_dedup", near_dedup),
     ("decontamination", decontaminate),
     ("mixing", mix),
