@@ -60,9 +60,12 @@ def _depth_below(path: tuple, in_list: bool, lca_len: int) -> int:
 def tree_distance(tree, a, b) -> int:
     """0 for the same leaf, 1 for siblings (same list), otherwise the depth of a plus the
     depth of b below their lowest common ancestor."""
+    return _path_distance(a, b, _leaf_paths(tree))
+
+
+def _path_distance(a, b, paths) -> int:
     if a == b:
         return 0
-    paths = _leaf_paths(tree)
     pa, la = paths[a]
     pb, lb = paths[b]
     if la is not None and la == lb:
@@ -107,58 +110,115 @@ def n_codes(e: EncoderSpec) -> int:
 
 
 # ------------------------------------------------------------------ blocks
-def _window_block(n_slots: int, centre: int, window, lo: int) -> np.ndarray:
+# Row ``code`` of a feature's block matrix is kept sparse ({slot: value}): one entry for
+# one-hot features, the window for ordinal ones, the similar leaves for trees.  Nothing
+# here is quadratic in the number of declared values.
+
+def _window_row(n_slots: int, centre: int, window, lo: int) -> dict[int, float]:
     """Window centred at ``centre``, clipped to slots lo..n_slots-1."""
-    v = np.zeros(n_slots)
     half = len(window) // 2
-    for off in range(-half, half + 1):
-        s = centre + off
-        if lo <= s < n_slots:
-            v[s] = window[half + off]
-    return v
-
-
-def block_matrix(e: EncoderSpec) -> np.ndarray:
-    """Unweighted block of every code: shape (n_codes, length)."""
-    t = e.type
-    n = len(code_values(e))
-    if t == "onehot":
-        return np.eye(n + 1)
+    return {centre + off: float(window[half + off]) for off in range(-half, half + 1)
+            if lo <= centre + off < n_slots and window[half + off]}
+
+
+def _tree_rows(e: EncoderSpec) -> list[dict[int, float]]:
+    leaves, sims = tree_leaves(e.values), list(e.similarity_by_depth)
+    paths = _leaf_paths(e.values)
+    rows = []
+    for a in leaves:
+        row = {}
+        for j, b in enumerate(leaves):
+            d = _path_distance(a, b, paths)
+            if d < len(sims) and sims[d]:
+                row[1 + j] = float(sims[d])
+        rows.append(row)
+    return rows
+
+
+def identity(e: EncoderSpec) -> bool:
+    """One-hot features, whose Gram matrix is the identity (strict one-hot: but for the
+    unknown code, whose block is zero): they need no table at all."""
+    return e.type in ("onehot", "bin", "strict_onehot")
+
+
+def block_rows(e: EncoderSpec) -> list[dict[int, float]]:
+    """Unweighted block of every code as {slot: value}."""
+    t, n = e.type, len(code_values(e))
+    if t in ("onehot", "bin"):
+        return [{c: 1.0} for c in range(n + 1)]
     if t == "strict_onehot":
-        return np.vstack([np.zeros(n), np.eye(n)])
-    if t == "bin":
-        return np.eye(n + 1)
+        return [{}] + [{c: 1.0} for c in range(n)]
     if t == "ordinal":
-        rows = [np.eye(n + 1)[0]]
-        rows += [_window_block(n + 1, c, e.window, 1) for c in range(1, n + 1)]
-        return np.vstack(rows)
+        return [{0: 1.0}] + [_window_row(n + 1, c, e.window, 1) for c in range(1, n + 1)]
     if t == "bin_ordinal":
-        return np.vstack([_window_block(n + 1, c, e.window, 0) for c in range(0, n + 1)])
+        return [_window_row(n + 1, c, e.window, 0) for c in range(n + 1)]
     if t == "hierarchy":
-        leaves = tree_leaves(e.values)
-        sims = list(e.similarity_by_depth)
-        rows = [np.eye(n + 1)[0]]
-        for a in leaves:
-            r = np.zeros(n + 1)
-            for j, b in enumerate(leaves):
-                d = tree_distance(e.values, a, b)
-                r[1 + j] = sims[d] if d < len(sims) else 0.0
-            rows.append(r)
-        return np.vstack(rows)
+        return [{0: 1.0}] + _tree_rows(e)
     raise TypeError(f"{t} is not a coded encoder")
 
 
+def block_matrix(e: EncoderSpec) -> np.ndarray:
+    """The blocks as a dense matrix (n_codes, length); for small features and tests."""
+    out = np.zeros((n_codes(e), encoder_length(e)))
+    for i, row in enumerate(block_rows(e)):
+        for j, v in row.items():
+            out[i, j] = v
+    return out
+
+
+def cross_products(left: list[dict[int, float]], right: list[dict[int, float]]) -> list[dict[int, float]]:
+    """Non-zero dot products of every left row with the right rows ({right code: value})."""
+    by_slot: dict[int, list[tuple[int, float]]] = {}
+    for b, row in enumerate(right):
+        for slot, v in row.items():
+            by_slot.setdefault(slot, []).append((b, v))
+    out = []
+    for row in left:
+        acc: dict[int, float] = {}
+        for slot, v in row.items():
+            for b, w in by_slot.get(slot, ()):
+                acc[b] = acc.get(b, 0.0) + v * w
+        out.append(dict(sorted(acc.items())))
+    return out
+
+
+def gram_rows(e: EncoderSpec) -> list[dict[int, float]]:
+    """Non-zero entries of the Gram matrix, row by row."""
+    rows = block_rows(e)
+    return cross_products(rows, rows)
+
+
+def gram_diagonal(e: EncoderSpec) -> list[float]:
+    return [sum(v * v for v in row.values()) for row in block_rows(e)]
+
+
 def gram(e: EncoderSpec) -> np.ndarray:
     b = block_matrix(e)
     return b @ b.T
 
 
-def cross_gram(user: EncoderSpec, item: EncoderSpec) -> np.ndarray:
-    """Dot products of user-side blocks with item-side blocks: (n_user_codes, n_item_codes)."""
-    bu, bi = block_matrix(user), block_matrix(item)
-    if bu.shape[1] != bi.shape[1]:
+def separation(e: EncoderSpec) -> float:
+    """Smallest squared distance between two different codes' blocks (0 with one code)."""
+    n = n_codes(e)
+    if n < 2:
+        return 0.0
+    if identity(e):
+        return 1.0 if e.type == "strict_onehot" else 2.0
+    rows, diag = gram_rows(e), gram_diagonal(e)
+    best, order = float("inf"), sorted(diag)
+    for a, row in enumerate(rows):
+        for b, g in row.items():
+            if b != a:
+                best = min(best, diag[a] - 2 * g + diag[b])
+    # pairs without common slots: at least the two smallest norms
+    return max(0.0, min(best, order[0] + order[1]))
+
+
+def cross_rows(user: EncoderSpec, item: EncoderSpec) -> list[dict[int, float]]:
+    """Dot products of user-side blocks with item-side blocks."""
+    if encoder_length(user) != encoder_length(item):
         raise ValueError(f"user encoder of {item.field} must have the item encoder's length")
-    return bu @ bi.T
+    return cross_products(block_rows(user), block_rows(item))
 
 
 def numeric_values(e: EncoderSpec) -> bool:

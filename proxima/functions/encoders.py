@@ -7,23 +7,38 @@ only the JSON / sparse-vector decoders use higher-order functions.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..schema import EncoderSpec
 from . import blocks as B
+from .numeric import finite
 
 
-def _floats(a) -> list:
-    return [float(x) for x in a]
+def lit_json(value, ddl: str) -> Column:
+    """A nested literal in one piece: Spark folds the parse into a constant, so planning does
+    not create one expression per entry."""
+    return F.from_json(F.lit(json.dumps(value)), ddl)
 
 
 def lit_vector(values) -> Column:
-    return F.lit(_floats(values)).cast("array<double>")
+    return lit_json([float(x) for x in values], "array<double>")
 
 
 def lit_matrix(rows) -> Column:
-    return F.lit([_floats(r) for r in rows]).cast("array<array<double>>")
+    return lit_json([[float(x) for x in r] for r in rows], "array<array<double>>")
+
+
+def lit_rows(rows) -> Column:
+    """Sparse rows ({index: value} each) as array<array<struct<c: int, v: double>>>."""
+    return lit_json([[{"c": int(c), "v": float(v)} for c, v in r.items()] for r in rows], "array<array<struct<c: int, v: double>>>")
+
+
+def row_map(rows: Column, code: Column) -> Column:
+    """Row ``code`` of sparse rows as map<int, double>."""
+    return F.map_from_entries(F.element_at(rows, code + 1))
 
 
 def value_col(e: EncoderSpec, columns) -> Column:
@@ -55,24 +70,50 @@ def code_col(e: EncoderSpec, v: Column) -> Column:
 
 
 def numeric_col(v: Column) -> Column:
-    return v.try_cast("double")
+    """The number, or null where it is not a finite one."""
+    x = v.try_cast("double")
+    return F.when(finite(x), x)
+
+
+def valid_vector(vec: Column, length: int) -> Column:
+    """True for an array of exactly ``length`` finite numbers."""
+    return F.coalesce((F.size(vec) == F.lit(length)) & F.forall(vec, finite), F.lit(False))
 
 
 def json_vector_col(v: Column, length: int) -> Column:
-    """Dense list ``[..]`` / ``(..)`` or sparse object ``{"i": x}`` -> array<double> (ENC-9)."""
+    """Dense list ``[..]`` / ``(..)`` or sparse object ``{"i": x}`` -> array<double> (ENC-9).
+
+    Null where the text does not parse, a slot is not a finite number, or an index is not an
+    integer within the length."""
     s = F.translate(F.trim(v.cast("string")), "()", "[]")
-    dense = F.from_json(s, "array<double>")
-    sparse = F.from_json(s, "map<string,double>")
-    as_dense = F.transform(F.sequence(F.lit(0), F.lit(length - 1)),
-                           lambda i: F.coalesce(F.element_at(sparse, i.cast("string")), F.lit(0.0)))
-    return F.when(s.startswith("{"), as_dense).otherwise(dense)
+
+    def spread(sparse):
+        slots = F.map_keys(sparse)
+        in_range = F.forall(slots, lambda k: k.rlike("^(0|[1-9][0-9]{0,8})$") & (F.coalesce(k.try_cast("int"), F.lit(-1)) < F.lit(length)))
+        dense = F.transform(F.sequence(F.lit(0), F.lit(length - 1)),
+                            lambda i: F.coalesce(F.try_element_at(sparse, i.cast("string")), F.lit(0.0)))
+        return F.when(in_range & F.forall(F.map_values(sparse), finite), dense)
+
+    parsed = F.when(F.get_json_object(s, "$").isNotNull(), F.from_json(s, "map<string,double>"))
+    vec = F.when(s.startswith("{"), once(parsed, spread)).otherwise(F.from_json(s, "array<double>"))
+    return once(vec, lambda x: F.when(valid_vector(x, length), x))
+
+
+def once(c: Column, use) -> Column:
+    """``use(c)`` with ``c`` evaluated a single time, however often ``use`` mentions it."""
+    return F.element_at(F.transform(F.array(c), use), 1)
 
 
 def block_col(e: EncoderSpec, code: Column, factor: float) -> Column:
     """Weighted vector block of a feature from its code (array<double>)."""
     if e.coded:
-        m = B.block_matrix(e) * factor
-        return F.element_at(lit_matrix(m), code + 1)
+        length = B.encoder_length(e)
+        if B.identity(e):
+            slot = code - 1 if e.type == "strict_onehot" else code
+            return F.transform(F.sequence(F.lit(0), F.lit(length - 1)),
+                               lambda j: F.when(j == slot, F.lit(float(factor))).otherwise(F.lit(0.0)))
+        row = row_map(lit_rows([{c: v * factor for c, v in r.items()} for r in B.block_rows(e)]), code)
+        return F.transform(F.sequence(F.lit(0), F.lit(length - 1)), lambda j: F.coalesce(F.try_element_at(row, j), F.lit(0.0)))
     if e.type == "numeric":
         return F.array(code * F.lit(float(factor)))
     return F.transform(code, lambda x: x * F.lit(float(factor)))
@@ -89,7 +130,3 @@ def sqdist(a: Column, b: Column) -> Column:
 
 def sqnorm(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda acc, x: acc + x * x)
-
-
-def scale(a: Column, s) -> Column:
-    return F.transform(a, lambda x: x * s)

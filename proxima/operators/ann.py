@@ -5,32 +5,35 @@ search, or a graph / hashing index); here ``method=`` selects among
 * ``ivf``    — inverted lists: a coarse k-means quantizer over one vector feature
   (MLlib ``KMeans``, fitted distributedly on the index), every item in the list of its
   nearest centroid, every query probing its ``nprobe`` nearest lists.  The candidate
-  join is keyed on ``(partition filters, list_id)``, so it is the same salted /
-  broadcast equi-join as the exact search, only over fewer pairs; the distances of the
+  join is keyed on ``(partition filters, list_id)``, so it is the same
+  equi-join as the exact search, only over fewer pairs; the distances of the
   candidates are exact and the result has the exact search's columns,
-* ``lsh``    — MLlib ``BucketedRandomProjectionLSH.approxSimilarityJoin`` within a
-  Euclidean radius, then the usual per-query top-k.
+* ``lsh``    — bucketed random projections: ids meet on (filters, table, bucket), distinct
+  pairs get exact distances, and queries that meet fewer than k items are searched
+  exactly.
 
-Only the centroid matrix (``nlist x dim`` doubles, size-checked) travels to the
-executors as a literal; items and queries never pass through the driver.
+Only the centroid matrix (``nlist x dim`` doubles) travels to the executors, as a broadcast
+variable; items and queries never pass through the driver.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import encoders as X
-from ..functions.numeric import grid
+from ..functions.numeric import rank_key
 from ..schema import Schema
 from .encode import CODES, ITEM_ID
-from .knn import QUERY_ID, TIE_DECIMALS, rep_x
+from ..session import ship_package, write_table
+from .knn import QUERY_ID, components, distance, knn, rep_x
 
 LIST_ID = "__blk"
-MAX_CENTROID_BYTES = 16 * 1024 * 1024
 
 
 def vector_feature(schema: Schema, feature: str | None = None):
@@ -55,63 +58,88 @@ def fit_ivf(index: DataFrame, schema: Schema, nlist: int | None = None, feature:
     e = vector_feature(schema, feature)
     if nlist is None:
         nlist = max(1, int(round(math.sqrt(index.count()))))
-    if nlist * e.length * 8 > MAX_CENTROID_BYTES:
-        raise ValueError(f"{nlist} centroids x {e.length} dims exceed the {MAX_CENTROID_BYTES} byte literal limit")
     vecs = index.select(array_to_vector(F.col(f"{CODES}.`{e.field}`").cast("array<double>")).alias("__v"))
     model = KMeans(k=nlist, seed=seed, maxIter=max_iter, featuresCol="__v", initMode="k-means||").fit(vecs)
     return np.array([c.tolist() for c in model.clusterCenters()], dtype=float)
 
 
-def _centroid_dists(v, centroids: np.ndarray):
-    C = X.lit_matrix(centroids)
-    return F.transform(C, lambda c: X.sqdist(c, v))
+def _nearest_lists(spark, vec, centroids: np.ndarray, n: int):
+    """The ``n`` nearest centroids of a vector column, by numpy block products in an Arrow
+    function; the centroid matrix is a broadcast variable."""
+    ship_package(spark)
+    shared = spark.sparkContext.broadcast(np.ascontiguousarray(centroids, dtype=float))
+
+    def near(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        c = shared.value
+        norm = (c * c).sum(axis=1)
+        for a in it:
+            x = np.asarray(a.flatten(), dtype=float).reshape(len(a), c.shape[1])
+            d = norm - 2.0 * (x @ c.T)  # plus |x|², the same for all centroids
+            ids = np.argsort(d, axis=1, kind="stable")[:, :n].astype(np.int32)
+            yield pa.ListArray.from_arrays(pa.array(np.arange(0, ids.size + 1, ids.shape[1]), pa.int32()), pa.array(ids.ravel()))
+
+    return F.arrow_udf(near, "array<int>")(vec.cast("array<double>"))
 
 
 def assign_lists(index: DataFrame, schema: Schema, centroids: np.ndarray, feature: str | None = None) -> DataFrame:
     """Index rows + ``__blk``: the id of the nearest centroid (0-based)."""
     e = vector_feature(schema, feature)
-    d = _centroid_dists(F.col(f"{CODES}.`{e.field}`").cast("array<double>"), centroids)
-    return index.withColumn(LIST_ID, (F.array_position(d, F.array_min(d)) - 1).cast("int"))
+    near = _nearest_lists(index.sparkSession, F.col(f"{CODES}.`{e.field}`"), centroids, 1)
+    return index.withColumn(LIST_ID, F.get(near, 0))
 
 
 def probe_lists(queries: DataFrame, schema: Schema, centroids: np.ndarray, nprobe: int,
                 feature: str | None = None) -> DataFrame:
     """Query rows, one per probed list (the ``nprobe`` nearest centroids)."""
     e = vector_feature(schema, feature)
-    d = _centroid_dists(F.col(rep_x(e.field)).cast("array<double>"), centroids)
-    ranked = F.array_sort(F.transform(d, lambda x, i: F.struct(x.alias("d"), i.alias("i"))))
-    near = F.slice(ranked, 1, min(int(nprobe), len(centroids)))
-    return queries.withColumn(LIST_ID, F.explode(F.transform(near, lambda s: s["i"].cast("int"))))
-
-
-def knn_lsh(queries: DataFrame, index: DataFrame, schema: Schema, k: int = 10, radius: float = 1.0,
-            bucket_length: float = 1.0, num_tables: int = 3, feature: str | None = None,
-            restrict_partition: bool = True, seed: int = 17, tie_decimals: int = TIE_DECIMALS) -> DataFrame:
-    """LSH kNN on one vector feature: pairs closer than ``radius`` (Euclidean) found by
-    MLlib's bucketed random projections, then ``rank <= k`` per query (and partition).
-    ``distance`` is the squared weighted l2 of that feature, as in the exact search."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
+    near = _nearest_lists(queries.sparkSession, F.col(rep_x(e.field)), centroids, min(int(nprobe), len(centroids)))
+    return queries.withColumn(LIST_ID, F.explode(near))
+
+
+def _lsh_keys(vec, length: int, tables: int, hashes: int, width: float, seed: int):
+    """One (table, key) per hash table: the cells of ``hashes`` random projections."""
+    rng = np.random.default_rng(seed)
+    planes, shift = rng.normal(size=(tables, hashes, length)), rng.random((tables, hashes)) * width
+    p, b = X.lit_json(planes.tolist(), "array<array<array<double>>>"), X.lit_json(shift.tolist(), "array<array<double>>")
+    v = vec.cast("array<double>")
+
+    def table(t):
+        cells = F.zip_with(F.element_at(p, t + 1), F.element_at(b, t + 1), lambda r, s: F.floor((X.dot(r, v) + s) / F.lit(float(width))))
+        return F.struct(t.alias("t"), F.xxhash64(cells).alias("h"))
+
+    return F.transform(F.sequence(F.lit(0), F.lit(tables - 1)), table)
+
+
+def knn_lsh(queries: DataFrame, index: DataFrame, schema: Schema, k: int = 10, bucket_length: float = 2.0,
+            num_tables: int = 12, num_hashes: int = 2, feature: str | None = None, restrict_partition: bool = True,
+            seed: int = 17, tie_decimals: int | None = None) -> DataFrame:
+    """Approximate l2 kNN by bucketed random projections of one vector feature.
+
+    Ids meet on (filters, table, bucket) first, without their vectors; distinct pairs then
+    fetch both vectors and get the exact distance over all features.  A query that meets
+    fewer than k items is searched exactly, so none comes back short."""
     e = vector_feature(schema, feature)
     flt = list(schema.filter_fields) if restrict_partition else []
-    items = index.select(ITEM_ID, *schema.filter_fields,
-                         array_to_vector(F.col(f"{CODES}.`{e.field}`").cast("array<double>")).alias("__v"))
-    qs = queries.select(QUERY_ID, *[F.col(f).alias(f"__q_{f}") for f in flt],
-                        array_to_vector(F.col(rep_x(e.field)).cast("array<double>")).alias("__v"))
-    lsh = BucketedRandomProjectionLSH(inputCol="__v", outputCol="__h", bucketLength=bucket_length,
-                                      numHashTables=num_tables, seed=seed).fit(items)
-    pairs = lsh.approxSimilarityJoin(qs, items, radius, distCol="__d")
-    cols = [F.col(f"datasetA.{QUERY_ID}").alias(QUERY_ID)]
-    cols += [F.col(f"datasetB.`{f}`").alias(f) for f in schema.filter_fields]
-    cols += [F.col(f"datasetB.{ITEM_ID}").alias(ITEM_ID),
-             (F.col("__d") * F.col("__d") * F.lit(schema.factor(e.field) ** 2)).alias("distance")]
-    out = pairs.select(*cols, *[F.col(f"datasetA.__q_{f}").alias(f"__q_{f}") for f in flt])
-    for f in flt:
-        out = out.filter(F.col(f) == F.col(f"__q_{f}")).drop(f"__q_{f}")
+    q = queries if restrict_partition else queries.dropDuplicates([QUERY_ID])
+    keyed = lambda df, vec, cols: df.select(*cols, F.explode(_lsh_keys(vec, e.length, num_tables, num_hashes, bucket_length, seed)).alias("k")).select(
+        *cols, "k.t", "k.h")
+    items = keyed(index, F.col(f"{CODES}.`{e.field}`"), [ITEM_ID, *schema.filter_fields])
+    met = keyed(q, F.col(rep_x(e.field)), [QUERY_ID, *flt]).join(items, [*flt, "t", "h"])
+    met = met.select(QUERY_ID, ITEM_ID, *schema.filter_fields).distinct()
+    reps = q if restrict_partition else q.drop(*schema.filter_fields)
+    pairs = met.join(index, [ITEM_ID, *schema.filter_fields]).join(reps, [QUERY_ID, *flt])
+    total = distance(schema, components(schema, metric="l2"), "l2")
+    scored = pairs.select(QUERY_ID, *schema.filter_fields, ITEM_ID, total.alias("distance"))
     grp = [QUERY_ID] + flt
-    w = Window.partitionBy(*grp).orderBy(grid(F.col("distance"), tie_decimals), F.col(ITEM_ID))
-    out = out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-    return out.select(QUERY_ID, *schema.filter_fields, "rank", ITEM_ID, "distance")
+    w = Window.partitionBy(*grp).orderBy(rank_key(F.col("distance"), tie_decimals), F.col(ITEM_ID))
+    near = write_table(scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k), "lsh-hits")
+    full = near.groupBy(*grp).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") >= k)
+    short = q.join(full.select(*grp), grp, "left_anti")
+    rest = knn(short, index, schema, k=k, metric="l2", restrict_partition=restrict_partition, tie_decimals=tie_decimals, method="scan")
+    out = near.join(full.select(*grp), grp, "left_semi").select(QUERY_ID, *schema.filter_fields, ITEM_ID, "distance")
+    out = out.unionByName(rest.select(*out.columns))
+    return out.withColumn("rank", F.row_number().over(Window.partitionBy(QUERY_ID).orderBy(
+        rank_key(F.col("distance"), tie_decimals), F.col(ITEM_ID)))).select(QUERY_ID, *schema.filter_fields, "rank", ITEM_ID, "distance")
 
 
 def recall_at_k(approx: DataFrame, exact: DataFrame, keys=(QUERY_ID,)) -> DataFrame:

@@ -13,6 +13,7 @@ from typing import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import custom
 from ..functions import encoders as X
 from ..schema import Schema, EncoderSpec
 
@@ -31,30 +32,29 @@ def _table_for(e: EncoderSpec, spark, tables: Mapping | None) -> DataFrame:
     return spark.read.parquet(e.table)
 
 
-def attach_lookups(df: DataFrame, schema: Schema, tables: Mapping | None = None,
-                   features=None) -> DataFrame:
+def attach_lookups(df: DataFrame, encoders, tables: Mapping | None = None) -> DataFrame:
     """Left-join the lookup tables of embedding / feature-table encoders (JN-7).
 
-    The lookup table is reduced to (key, vector) first; Spark picks broadcast only when
-    its runtime size is under the broadcast threshold, otherwise it shuffles on the key.
-    Unknown keys get a zero vector (embedding) or a reject (feature table)."""
+    The lookup table is reduced to one (key, vector) row per key first; a key with differing
+    vectors has none.  Spark picks broadcast only when the table's runtime size is under the
+    broadcast threshold, otherwise it shuffles on the key.  Unknown keys get a zero vector
+    (embedding) or a reject (feature table)."""
     spark = df.sparkSession
-    feats = features if features is not None else schema.features
-    for e in schema.encoders:
-        if e.field not in feats or e.type not in ("embedding", "feature_table"):
+    for e in encoders:
+        if e.type not in ("embedding", "feature_table"):
             continue
         if e.type == "embedding" and e.table is None and not (tables and e.field in tables):
             continue
         t = _table_for(e, spark, tables)
         key = F.col(f"`{e.key}`").cast("string")
-        if e.type == "embedding":
-            vec = F.col(f"`{e.vector}`").cast("array<double>")
-        else:
-            raw = F.col(f"`{e.vector}`")
-            vec = X.json_vector_col(raw, e.length) if dict(t.dtypes)[e.vector] == "string" \
-                else raw.cast("array<double>")
-        kname = f"__key_{e.field}"
-        lk = t.select(key.alias(kname), vec.alias(_vec_tmp(e.field)))
+        raw = F.col(f"`{e.vector}`")
+        text = e.type == "feature_table" and dict(t.dtypes)[e.vector] == "string"
+        vec = X.json_vector_col(raw, e.length) if text else raw.cast("array<double>")
+        kname, vname = f"__key_{e.field}", _vec_tmp(e.field)
+        lk = t.select(key.alias(kname), vec.alias(vname)).groupBy(kname).agg(
+            F.min(vname).alias(vname), F.max(vname).alias("__max"), F.count(vname).alias("__n"), F.count(F.lit(1)).alias("__all"))
+        agreed = (F.col("__n") == F.col("__all")) & (F.col(vname) == F.col("__max"))
+        lk = lk.select(kname, F.when(agreed, F.col(vname)).otherwise(F.array().cast("array<double>")).alias(vname))
         src = e.entity if e.type == "feature_table" else e.field
         v = X.value_col(EncoderSpec(src, "numeric", default=e.default), df.columns).cast("string")
         df = df.withColumn(f"__lk_{e.field}", v)
@@ -70,23 +70,23 @@ def feature_code(e: EncoderSpec, columns) -> tuple[Column, Column | None]:
         if e.type in ("bin", "bin_ordinal"):
             return code, F.when(code.isNull(), F.lit(f"non-numeric value for {e.field}"))
         return code, None
+    if e.type == "custom":
+        code = custom.code(e, v)
+        return code, F.when(custom.bad(e, code), F.lit(f"bad value for {e.field}"))
     if e.type == "numeric":
         x = X.numeric_col(v)
         return x, F.when(x.isNull(), F.lit(f"non-numeric value for {e.field}"))
     if e.type == "json":
         vec = X.json_vector_col(v, e.length)
-        bad = vec.isNull() | (F.size(vec) != F.lit(e.length))
-        return vec, F.when(bad, F.lit(f"bad vector for {e.field}"))
+        return vec, F.when(vec.isNull(), F.lit(f"bad vector for {e.field}"))
     if e.type == "embedding" and _vec_tmp(e.field) not in columns:
         vec = v.cast("array<double>")
-        bad = vec.isNull() | (F.size(vec) != F.lit(e.length))
-        return vec, F.when(bad, F.lit(f"bad vector for {e.field}"))
+        return vec, F.when(~X.valid_vector(vec, e.length), F.lit(f"bad vector for {e.field}"))
     vec = F.col(f"`{_vec_tmp(e.field)}`")
     if e.type == "embedding":
         vec = F.coalesce(vec, F.array_repeat(F.lit(0.0), e.length))
-        return vec, F.when(F.size(vec) != F.lit(e.length), F.lit(f"bad vector for {e.field}"))
-    bad = vec.isNull() | (F.size(vec) != F.lit(e.length))
-    return vec, F.when(bad, F.lit(f"missing feature for {e.field}"))
+        return vec, F.when(~X.valid_vector(vec, e.length), F.lit(f"bad vector for {e.field}"))
+    return vec, F.when(~X.valid_vector(vec, e.length), F.lit(f"missing feature for {e.field}"))
 
 
 def with_codes(df: DataFrame, schema: Schema, tables: Mapping | None = None,
@@ -94,7 +94,7 @@ def with_codes(df: DataFrame, schema: Schema, tables: Mapping | None = None,
     """Return ``item_id?, <filters>, <keep>, codes, reject_reason``.
 
     Filter columns are returned as they are (lists are handled by the caller)."""
-    df = attach_lookups(df, schema, tables)
+    df = attach_lookups(df, schema.encoders, tables)
     cols = df.columns
     fields, reasons = [], []
     for e in schema.encoders:

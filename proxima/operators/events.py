@@ -13,73 +13,70 @@ from typing import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..session import write_table
 
-def trim_int(c: Column) -> Column:
-    """The reference's integer trimming of event fields: ``12.0`` -> ``12``, other values
-    as their string form."""
-    d = c.cast("string").try_cast("double")
-    is_int = d.isNotNull() & (d == F.floor(d)) & ~F.isnan(d) & (F.abs(d) < F.lit(9.0e15))
-    return F.when(is_int, d.cast("long").cast("string")).otherwise(c.cast("string"))
+
+def trim_int(c: Column, kind: T.DataType) -> Column:
+    """The string form of a field; a number without a fraction loses its ``.0``.  Text stays
+    as it is (``007`` is not 7)."""
+    if not isinstance(kind, (T.DoubleType, T.FloatType, T.DecimalType)):
+        return c.cast("string")
+    d = c.cast("double")
+    whole = (d == F.rint(d)) & (F.abs(d) < F.lit(9.0e15))
+    return F.when(whole, d.cast("long").cast("string")).otherwise(c.cast("string"))
 
 
 def export_events(events: DataFrame, fields: Sequence[str], sep: str = "|", user_col: str = "user_id",
                   order_cols: Sequence[str] = ("ts",)) -> DataFrame:
     """Structured events -> ``user_id, <order cols>, raw`` with ``raw`` the ``sep``-joined
     fields (import/export format only, D18)."""
-    raw = F.concat_ws(sep, *[F.coalesce(trim_int(F.col(f)), F.lit("")) for f in fields])
+    raw = F.concat_ws(sep, *[F.coalesce(trim_int(F.col(f), events.schema[f].dataType), F.lit("")) for f in fields])
     return events.select(F.col(user_col).alias("user_id"), *order_cols, raw.alias("raw"))
 
 
 def import_events(raw: DataFrame, fields: Sequence[str], sep: str = "|", raw_col: str = "raw") -> DataFrame:
-    """``raw`` strings -> one string column per field name (SRC-6)."""
+    """``raw`` strings -> one string column per field name (SRC-6); a line with fewer fields
+    leaves the others null."""
     parts = F.split(F.col(raw_col), re.escape(sep), -1)
-    return raw.select(*raw.columns, *[F.element_at(parts, i + 1).alias(f) for i, f in enumerate(fields)])
-
-
-HOT_USER_ROWS = 1_000_000   # events one task may sort for one user
+    return raw.select(*raw.columns, *[F.get(parts, i).alias(f) for i, f in enumerate(fields)])
 
 
-def ordered_events(events: DataFrame, user_col: str = "user_id", order_cols: Sequence[str] = ("ts", "event_id"),
-                   hot_user_rows: int = HOT_USER_ROWS) -> DataFrame:
+def ordered_events(events: DataFrame, user_col: str = "user_id", order_cols: Sequence[str] = ("ts", "event_id")) -> DataFrame:
     """AGG-6 in long form: every event with its 1-based position in the user's log.
 
-    A map-side-combined count per user decides the plan.  No user above
-    ``hot_user_rows``: one shuffle and a per-user window.  Otherwise a user is never
-    sorted in one task: a global sort range-partitions by (user, order) — Spark samples
-    the keys, so a user with a third of the log is split over many tasks — each task's
-    row count per user gives every (task, user) its offset from the earlier tasks, and
-    the position is that offset + the row's number inside its task."""
+    A user is never sorted in one task: a range partitioning by (user, order) — Spark
+    samples the keys, so a user with a third of the log is split over many tasks — is written
+    once, each task's row count per user gives every (task, user) its offset from the
+    earlier tasks, and the position is that offset + the row's number inside its task."""
     keys = [user_col, *order_cols]
-    biggest = events.groupBy(user_col).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
-    if biggest is None or biggest <= hot_user_rows:
-        return events.withColumn("pos", F.row_number().over(Window.partitionBy(user_col).orderBy(*order_cols)))
     part = "__part"
     srt = events.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn(part, F.spark_partition_id())
     pos = srt.withColumn("__loc", F.row_number().over(Window.partitionBy(part, user_col).orderBy(*order_cols)))
     # both branches below must see the same task assignment (range sampling is not
     # repeatable): write it once as a table in the shared checkpoint folder
-    from ..session import scratch_path
-    path = scratch_path(events.sparkSession, "event-positions")
-    pos.write.parquet(path)
-    pos = events.sparkSession.read.parquet(path)
+    pos = write_table(pos, "event-positions")
     counts = pos.groupBy(part, user_col).agg(F.max("__loc").alias("__cnt"))
     prior = Window.partitionBy(user_col).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(part, user_col, F.coalesce(F.sum("__cnt").over(prior), F.lit(0)).alias("__off"))
     out = pos.join(offsets, [part, user_col])
-    return out.withColumn("pos", (F.col("__off") + F.col("__loc")).cast("int")).drop(part, "__loc", "__off")
+    return out.select(*events.columns, (F.col("__off") + F.col("__loc")).cast("int").alias("pos"))
 
 
-def pop_oldest(events: DataFrame, user_col: str = "user_id", order_cols: Sequence[str] = ("ts", "event_id"),
-               key_col: str = "event_id") -> tuple[DataFrame, DataFrame]:
+def pop_oldest(events: DataFrame, user_col: str = "user_id", order_cols: Sequence[str] = ("ts", "event_id")
+               ) -> tuple[DataFrame, DataFrame]:
     """WIN-4: (popped, remaining).  The oldest event per user is found with a map-side
-    combined ``min`` over the ordering struct, not a per-user sort."""
+    combined ``min`` over the ordering struct, not a per-user sort; of several events with
+    that order exactly one is popped."""
     order = F.struct(*[F.col(c) for c in order_cols])
     first = events.groupBy(user_col).agg(F.min(order).alias("__first"))
-    key_first = first.select(user_col, *[F.col(f"__first.{c}").alias(c) for c in order_cols])
-    popped = events.join(key_first, [user_col, *order_cols], "left_semi")
-    remaining = events.join(popped.select(key_col), key_col, "left_anti")
-    return popped, remaining
+    marked = events.join(first, user_col).withColumn("__is", order.eqNullSafe(F.col("__first")))
+    oldest = marked.filter("__is").withColumn("__rn", F.row_number().over(
+        Window.partitionBy(user_col).orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in events.columns]))))
+    popped = oldest.filter("__rn = 1").select(*events.columns)
+    rest = marked.filter(~F.col("__is")).select(*events.columns)
+    return popped, rest.unionByName(oldest.filter("__rn > 1").select(*events.columns))
 
 
 def delete_users(events: DataFrame, users: DataFrame, user_col: str = "user_id") -> DataFrame:

@@ -18,6 +18,7 @@ from .encode import CODES, ITEM_ID, REJECT, with_codes
 
 MODES = ("append", "skip_existing", "upsert", "overwrite")
 SEQ = "__seq"
+ORDER = "__order"
 
 
 @dataclass
@@ -46,14 +47,34 @@ def filter_reject(schema: Schema):
     return F.coalesce(*reasons) if reasons else F.lit(None).cast("string")
 
 
+def _some_partition(df: DataFrame, schema: Schema):
+    """Does the row name at least one declared partition?"""
+    ok = F.lit(True)
+    for flt in schema.filters:
+        c, values = F.col(f"`{flt.field}`"), list(flt.values)
+        if isinstance(df.schema[flt.field].dataType, T.ArrayType):
+            ok = ok & F.exists(c, lambda x, v=values: x.isin(v))
+        else:
+            ok = ok & c.isin(values)
+    return F.coalesce(ok, F.lit(False))
+
+
 def build_index(df: DataFrame, schema: Schema, mode: str = "append", existing: DataFrame | None = None,
-                tables=None, strict_unknown: bool = False) -> IndexBuild:
+                tables=None, strict_unknown: bool = False, order_col: str | None = None) -> IndexBuild:
+    """Code and validate item rows and load them into an index (see ``MODES``).
+
+    Of several rows with one id, ``upsert`` keeps the one with the largest ``order_col`` and
+    ``skip_existing`` the one with the smallest; without ``order_col`` the order is that of
+    the input files.  The row is chosen by one aggregation over a single evaluation of the
+    input."""
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
     raw_cols = df.columns
     src = df.withColumn(SEQ, F.monotonically_increasing_id())
     src = src.withColumn("__datum", F.to_json(F.struct(*[F.col(f"`{c}`") for c in raw_cols])))
-    coded = with_codes(src, schema, tables, strict_unknown, keep=[SEQ, "__datum"])
+    order = F.col(f"`{order_col}`") if order_col else F.lit(0)
+    coded = with_codes(src.withColumn(ORDER, order), schema, tables, strict_unknown, keep=[SEQ, ORDER, "__datum"])
+    whole = coded
     coded = explode_filters(coded, schema)
     reason = F.coalesce(F.col(REJECT), filter_reject(schema),
                         F.when(F.col(ITEM_ID).isNull(), F.lit(f"missing {schema.id_col}")))
@@ -74,14 +95,15 @@ def build_index(df: DataFrame, schema: Schema, mode: str = "append", existing: D
 
     if mode == "append" or mode == "overwrite":
         added = new
-    elif mode == "skip_existing":
-        first = new.groupBy(ITEM_ID).agg(F.min(SEQ).alias(SEQ))
-        added = new.join(first, [ITEM_ID, SEQ], "left_semi")
-        if existing is not None:
+    else:
+        pick = F.max_by if mode == "upsert" else F.min_by
+        valid = whole.filter(F.col(REJECT).isNull() & F.col(ITEM_ID).isNotNull() & _some_partition(whole, schema))
+        kept = [c for c in cols if c != ITEM_ID]
+        one = valid.groupBy(ITEM_ID).agg(pick(F.struct(*kept), F.struct(ORDER, SEQ)).alias("__row"))
+        added = explode_filters(one.select(ITEM_ID, "__row.*"), schema)
+        added = added.filter(filter_reject(schema).isNull()) if schema.filters else added
+        if mode == "skip_existing" and existing is not None:
             added = added.join(existing.select(ITEM_ID), ITEM_ID, "left_anti")
-    else:  # upsert: latest load row wins, older versions of the id are replaced
-        last = new.groupBy(ITEM_ID).agg(F.max(SEQ).alias(SEQ))
-        added = new.join(last, [ITEM_ID, SEQ], "left_semi")
     added = added.select(*cols)
 
     if existing is None or mode == "overwrite":

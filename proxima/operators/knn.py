@@ -16,9 +16,10 @@ and for averaged user profiles alike.  Numeric features use the scalar, vector f
 
 Plan shape: the query side is broadcast when its row count times the schema's row
 width is proven below ``broadcast_bytes`` (a bounded ``limit(n+1).count()`` probe);
-otherwise both sides are salted on a hash of the id so a hot filter
-partition is spread over ``salt`` tasks.  Candidates are cut to k per query inside each
-task (``WindowGroupLimit`` partial) before the single shuffle on the query id.
+otherwise it is a shuffle join whose hot keys are cut into buckets by their pair count.
+Candidates are cut to k per query inside each task (``WindowGroupLimit`` partial) before
+the single shuffle on the query id.  Hits are ordered by the exact double distance, then
+by item id.
 """
 
 from __future__ import annotations
@@ -32,16 +33,16 @@ from pyspark.sql import functions as F
 
 from ..functions import blocks as B
 from ..functions import encoders as X
-from ..functions.numeric import grid
+from ..functions.numeric import rank_key
 from ..schema import Schema
 from .encode import CODES, ITEM_ID, REJECT, with_codes
-from .ingest import explode_filters
+from .ingest import explode_filters, filter_reject
 
 QUERY_ID = "query_id"
 STRATEGY_ID = "strategy_id"
 DEFAULT_BROADCAST_BYTES = 64 * 1024 * 1024
-DEFAULT_SALT = 64
-TIE_DECIMALS = 9
+METHODS = ("auto", "scan", "blocked", "ivf", "lsh")
+PAIRS_PER_TASK = 20_000_000   # query-item pairs that one task compares
 
 
 # ------------------------------------------------------------------ query reps
@@ -64,11 +65,30 @@ def rep_columns(schema: Schema) -> list[str]:
     return out
 
 
+def g_at(f: str, code: Column) -> Column:
+    """The query's dot product with a code's block; codes the map lacks have none."""
+    return F.coalesce(F.try_element_at(F.col(rep_g(f)), code), F.lit(0.0))
+
+
+def diag_at(e, code: Column) -> Column:
+    """Squared norm of a code's unweighted block."""
+    if B.identity(e):
+        return F.when(code > 0, F.lit(1.0)).otherwise(F.lit(0.0)) if e.type == "strict_onehot" else F.lit(1.0)
+    return F.element_at(X.lit_vector(B.gram_diagonal(e)), code + 1)
+
+
 def coded_rep_from_code(e, code: Column) -> tuple[Column, Column]:
-    """(s, g) of a single code: (G[a,a], G[a,:])."""
-    G = B.gram(e)
-    diag = X.lit_vector(G.diagonal())
-    return F.element_at(diag, code + 1), F.element_at(X.lit_matrix(G), code + 1)
+    """(s, g) of a single code: its squared norm and the non-zero products with all codes."""
+    if B.identity(e):
+        own = F.create_map(code, F.lit(1.0))
+        g = F.when(code > 0, own).otherwise(EMPTY_MAP()) if e.type == "strict_onehot" else own
+    else:
+        g = X.row_map(X.lit_rows(B.gram_rows(e)), code)
+    return diag_at(e, code), g
+
+
+def EMPTY_MAP() -> Column:  # noqa: N802
+    return F.create_map().cast("map<int,double>")
 
 
 def reps_from_codes(schema: Schema, codes: str = CODES) -> list[Column]:
@@ -83,20 +103,36 @@ def reps_from_codes(schema: Schema, codes: str = CODES) -> list[Column]:
     return cols
 
 
+def _coded_queries(df: DataFrame, schema: Schema, query_id, tables, strict_unknown, restrict_partition) -> DataFrame:
+    qid = query_id or schema.id_col
+    src = df.withColumn("__qid", F.col(f"`{qid}`").cast("string"))
+    src = src.withColumn("__datum", F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
+    coded = with_codes(src, schema, tables, strict_unknown, keep=["__qid", "__datum"])
+    coded = explode_filters(coded, schema)
+    if restrict_partition:
+        coded = coded.withColumn(REJECT, F.coalesce(F.col(REJECT), filter_reject(schema)))
+    return coded
+
+
 def item_queries(df: DataFrame, schema: Schema, query_id: str | None = None, tables=None,
-                 strict_unknown: bool = False) -> DataFrame:
+                 strict_unknown: bool = False, restrict_partition: bool = True) -> DataFrame:
     """Query table with item-like rows -> ``query_id, <filters>, <reps>`` (Q-1).
 
-    Filter values may be lists (the query searches every listed partition, FLT-3).
-    Rows that cannot be encoded are dropped (they are the reference's query errors)."""
-    qid = query_id or schema.id_col
-    coded = with_codes(df.withColumn("__qid", F.col(f"`{qid}`").cast("string")), schema, tables,
-                       strict_unknown, keep=["__qid"])
-    coded = coded.filter(F.col(REJECT).isNull())
-    coded = explode_filters(coded, schema)
+    Filter values may be lists (the query searches every listed partition, FLT-3).  Rows
+    that cannot be encoded or name an undeclared partition are not searched;
+    ``query_rejects`` returns them with the reason."""
+    coded = _coded_queries(df, schema, query_id, tables, strict_unknown, restrict_partition).filter(F.col(REJECT).isNull())
     return coded.select(F.col("__qid").alias(QUERY_ID), *schema.filter_fields, *reps_from_codes(schema))
 
 
+def query_rejects(df: DataFrame, schema: Schema, query_id: str | None = None, tables=None,
+                  strict_unknown: bool = False, restrict_partition: bool = True) -> DataFrame:
+    """``query_id, datum, reason`` of the query rows that ``item_queries`` leaves out (one row
+    for each undeclared value of a listed filter)."""
+    coded = _coded_queries(df, schema, query_id, tables, strict_unknown, restrict_partition).filter(F.col(REJECT).isNotNull())
+    return coded.select(F.col("__qid").alias(QUERY_ID), F.col("__datum").alias("datum"), F.col(REJECT).alias("reason"))
+
+
 # ------------------------------------------------------------------ components
 def _is_coded(schema, f):
     return schema.encoder(f).coded
@@ -116,11 +152,9 @@ def components(schema: Schema, strategy_id=None, weights=None, metric: str | Non
         c2 = F.lit(schema.factor(f, strategy_id, weights) ** 2)
         item = F.col(f"{codes}.`{f}`")
         if e.coded:
-            G = B.gram(e)
-            gb = F.element_at(F.col(rep_g(f)), item + 1)
+            gb = g_at(f, item)
             if metric == "l2":
-                diag_b = F.element_at(X.lit_vector(G.diagonal()), item + 1)
-                out[f] = c2 * F.greatest(F.col(rep_s(f)) - 2 * gb + diag_b, F.lit(0.0))
+                out[f] = c2 * F.greatest(F.col(rep_s(f)) - 2 * gb + diag_at(e, item), F.lit(0.0))
             else:
                 out[f] = c2 * gb
         elif e.type == "numeric":
@@ -143,9 +177,8 @@ def norms(schema: Schema, strategy_id=None, weights=None, codes: str = CODES) ->
         c2 = F.lit(schema.factor(f, strategy_id, weights) ** 2)
         item = F.col(f"{codes}.`{f}`")
         if e.coded:
-            diag = X.lit_vector(B.gram(e).diagonal())
             qn = qn + c2 * F.col(rep_s(f))
-            inn = inn + c2 * F.element_at(diag, item + 1)
+            inn = inn + c2 * diag_at(e, item)
         elif e.type == "numeric":
             q = F.col(rep_x(f))
             qn, inn = qn + c2 * q * q, inn + c2 * item * item
@@ -194,50 +227,49 @@ def broadcast_row_limit(schema: Schema, broadcast_bytes: int = DEFAULT_BROADCAST
     return max(1, broadcast_bytes // query_row_bytes(schema))
 
 
-def _aqe_splits_skew(spark) -> bool:
-    conf = spark.conf
-    return (conf.get("spark.sql.adaptive.enabled", "true") == "true"
-            and conf.get("spark.sql.adaptive.skewJoin.enabled", "true") == "true")
-
-
 def _spread(index: DataFrame) -> DataFrame:
-    """A broadcast join runs one task per stream-side partition: an index stored in fewer
-    files than the cluster has cores is spread first (never triggers on a large index)."""
-    par = index.sparkSession.sparkContext.defaultParallelism
-    return index.repartition(par) if index.rdd.getNumPartitions() < par else index
+    """A broadcast join runs one task per stream-side partition: let Spark rebalance an index
+    that is stored in few files over the cores (adaptive execution sizes the partitions)."""
+    return index.hint("rebalance")
+
+
+def _balanced(index: DataFrame, q: DataFrame, keys: list[str], pairs_per_task: int) -> DataFrame:
+    """Shuffle join whose hot keys are cut by their pair count: a key with more than
+    ``pairs_per_task`` query-item pairs deals its items to that many more buckets and
+    repeats its queries in each.  Without keys all items are one key."""
+    if not keys:
+        n = index.count() * q.count()
+        buckets = F.lit(max(1, -(-n // pairs_per_task)))
+        items = index.withColumn("__salt", F.pmod(F.xxhash64(ITEM_ID), buckets))
+        qq = q.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("bigint"), buckets.cast("bigint") - 1)))
+        return items.join(qq, ["__salt"]).drop("__salt")
+    ni = index.groupBy(*keys).agg(F.count(F.lit(1)).alias("__ni"))
+    nq = q.groupBy(*keys).agg(F.count(F.lit(1)).alias("__nq"))
+    buckets = F.least(F.col("__ni"), F.ceil(F.col("__ni") * F.col("__nq") / F.lit(float(pairs_per_task)))).cast("bigint")
+    hot = ni.join(nq, keys).select(*keys, buckets.alias("__b")).filter("__b > 1")
+    one = F.coalesce(F.col("__b"), F.lit(1).cast("bigint"))
+    items = index.join(hot, keys, "left").withColumn("__salt", F.pmod(F.xxhash64(ITEM_ID), one)).drop("__b")
+    qq = q.join(hot, keys, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("bigint"), one - 1))).drop("__b")
+    return items.join(qq, keys + ["__salt"]).drop("__salt")
 
 
 def candidate_pairs(queries: DataFrame, index: DataFrame, schema: Schema, restrict_partition: bool = True,
-                    broadcast_bytes: int = DEFAULT_BROADCAST_BYTES, salt: int | None = None,
+                    broadcast_bytes: int = DEFAULT_BROADCAST_BYTES, pairs_per_task: int = PAIRS_PER_TASK,
                     broadcast: bool | None = None, extra_keys: Sequence[str] = ()) -> DataFrame:
-    """query ⋈ items on the partition keys (+ ``extra_keys``); an equi-join, never an
-    unkeyed product.
+    """query ⋈ items on the partition keys (+ ``extra_keys``).
 
-    Small query side (size proven by a bounded count): broadcast hash join, items
-    streamed.  Large query side: shuffle join on the keys; a hot key is split by AQE's skew
-    join when it is enabled, otherwise (and always when there is no key) items are salted
-    into ``salt`` buckets with the queries replicated per bucket."""
+    Small query side (size proven by a bounded count): broadcast hash join, items streamed.
+    Otherwise, and always when there is no key, the shuffle join of ``_balanced``.
+    Unrestricted queries are searched once, however many partitions they list."""
     keys = (list(schema.filter_fields) if restrict_partition else []) + list(extra_keys)
-    q = queries if restrict_partition else queries.drop(*schema.filter_fields)
-    if broadcast is None:
+    q = queries
+    if not restrict_partition and schema.filter_fields:
+        q = queries.drop(*schema.filter_fields).dropDuplicates([QUERY_ID, *extra_keys])
+    if keys and broadcast is None:
         broadcast = row_count_at_most(q, broadcast_row_limit(schema, broadcast_bytes))
-    if broadcast:
-        items = _spread(index)
-        if keys:
-            return items.join(F.broadcast(q), keys)
-        # no key at all: a one-bucket hash key keeps this a broadcast hash join
-        items = items.withColumn("__salt", F.pmod(F.xxhash64(ITEM_ID), F.lit(1)))
-        qq = q.withColumn("__salt", F.pmod(F.xxhash64(QUERY_ID), F.lit(1)))
-        return items.join(F.broadcast(qq), ["__salt"]).drop("__salt")
-    if salt is None:
-        salt = 1 if (keys and _aqe_splits_skew(index.sparkSession)) else DEFAULT_SALT
-    if salt <= 1:
-        return index.join(q, keys)
-    # salt items into `salt` buckets, replicate queries per bucket, so a hot partition /
-    # block (or no partition at all) is spread over `salt` tasks
-    items = index.withColumn("__salt", F.pmod(F.xxhash64(ITEM_ID), F.lit(salt)))
-    qq = q.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
-    return items.join(qq, keys + ["__salt"]).drop("__salt")
+    if keys and broadcast:
+        return _spread(index).join(F.broadcast(q), keys)
+    return _balanced(index, q, keys, pairs_per_task)
 
 
 def _score(pairs: DataFrame, schema: Schema, sids, weights, metric, l2_root, explain, part_cols) -> DataFrame:
@@ -257,45 +289,27 @@ def _score(pairs: DataFrame, schema: Schema, sids, weights, metric, l2_root, exp
     return pairs.select(*base, per[0].alias("__s")).select(*base, "__s.*")
 
 
-def _topk(scored: DataFrame, k: int, group, tie_decimals: int) -> DataFrame:
-    # distances in the same 10^-tie_decimals cell are ties, broken by item_id (D20)
-    order = [grid(F.col("distance"), tie_decimals), F.col(ITEM_ID)]
+def _topk(scored: DataFrame, k: int, group, tie_decimals: int | None) -> DataFrame:
+    # equal distances are ties, broken by item_id (D20)
+    order = [rank_key(F.col("distance"), tie_decimals), F.col(ITEM_ID)]
     w = Window.partitionBy(*group).orderBy(*order)
     return scored.withColumn("__r", F.row_number().over(w)).filter(F.col("__r") <= k).drop("__r")
 
 
-def block_feature(schema: Schema, strategy_id=None, weights=None):
-    """The coded feature whose codes are best separated: the largest minimum l2 component
-    between two different codes (None if no coded feature separates at all)."""
-    best, best_sep = None, 0.0
-    w = schema.weights(strategy_id, weights)
-    for e in schema.encoders:
-        if not e.coded or w[e.field] == 0:
-            continue
-        G = B.gram(e)
-        d = G.diagonal()
-        D = (d[:, None] - 2 * G + d[None, :]) * schema.factor(e.field, strategy_id, weights) ** 2
-        n = D.shape[0]
-        if n < 2:
-            continue
-        sep = min(D[a, b] for a in range(n) for b in range(n) if a != b)
-        if sep > best_sep:
-            best, best_sep = e, sep
-    return best
+def _coded_separation(schema: Schema, e, strategy_id, weights) -> float:
+    return B.separation(e) * schema.factor(e.field, strategy_id, weights) ** 2
 
 
 def _lower_bounds(schema: Schema, e, strategy_id, weights) -> Column:
     """Per query, the feature's exact l2 component against every code (a lower bound of the
     whole distance to any item with that code, since all components are >= 0)."""
-    G = B.gram(e)
-    diag = X.lit_vector(G.diagonal())
     c2 = F.lit(schema.factor(e.field, strategy_id, weights) ** 2)
-    s, g = F.col(rep_s(e.field)), F.col(rep_g(e.field))
     return F.transform(F.sequence(F.lit(0), F.lit(B.n_codes(e) - 1)), lambda b: c2 * F.greatest(
-        s - 2 * F.element_at(g, b + 1) + F.element_at(diag, b + 1), F.lit(0.0)))
+        F.col(rep_s(e.field)) - 2 * g_at(e.field, b) + diag_at(e, b), F.lit(0.0)))
 
 
-MAX_FINE_BLOCKS = 4096
+MAX_CODES = 4096        # a query holds one lower bound for each code of a blocking feature
+MAX_BUCKETS = 4096      # and for each bucket of a numeric one
 NUMERIC_BUCKETS = 16
 COARSE_ITEMS_PER_K = 4
 
@@ -310,14 +324,6 @@ class BlockDim:
     lower_bounds: Column
 
 
-def _coded_separation(schema: Schema, e, strategy_id, weights) -> float:
-    G = B.gram(e)
-    d = G.diagonal()
-    D = (d[:, None] - 2 * G + d[None, :]) * schema.factor(e.field, strategy_id, weights) ** 2
-    n = D.shape[0]
-    return min((D[a, b] for a in range(n) for b in range(n) if a != b), default=0.0)
-
-
 def _numeric_dim(schema: Schema, e, strategy_id, weights, lo: float, hi: float, nb: int) -> BlockDim:
     """Equal-width value buckets; the two edge buckets are open-ended, so every value has a
     cell even if the index changed since ``lo``/``hi`` were taken."""
@@ -335,18 +341,27 @@ def _numeric_dim(schema: Schema, e, strategy_id, weights, lo: float, hi: float,
     return BlockDim(e.field, nb, cell, F.transform(F.sequence(F.lit(0), F.lit(nb - 1)), lb))
 
 
+def separable(schema: Schema, strategy_id=None, weights=None) -> bool:
+    """Can any feature prune an l2 search under these weights?"""
+    w = schema.weights(strategy_id, weights)
+    return any(w[e.field] != 0 and (e.type == "numeric" or (e.coded and 1 < B.n_codes(e) <= MAX_CODES and B.separation(e) > 0))
+               for e in schema.encoders)
+
+
 def block_plan(schema: Schema, index: DataFrame, k: int, strategy_id=None, weights=None,
-               restrict_partition: bool = True, numeric_buckets: int = NUMERIC_BUCKETS, only_if_useful: bool = True):
+               restrict_partition: bool = True, only_if_useful: bool = True):
     """(coarse dims, fine dims) of the exact blocked search, or None when nothing separates.
 
     Dims are the coded features whose codes are separated (largest minimum component
-    first), then equal-width buckets of the numeric features, up to MAX_FINE_BLOCKS cells.
-    The coarse key is the longest prefix whose cells still hold about COARSE_ITEMS_PER_K x k
-    items of a partition, so pass 1 finds k hits in the query's own coarse cell."""
+    first; those with more than ``MAX_CODES`` codes are left to the other dims), then
+    equal-width buckets of the numeric features, whose number grows with the items so that a
+    fine cell holds about ``COARSE_ITEMS_PER_K`` x k of them.  The coarse key is the longest
+    prefix whose cells still hold that many, so pass 1 finds k hits in the query's own
+    coarse cell.  Sizes are per partition that really has items, not per declared one."""
     w = schema.weights(strategy_id, weights)
     coded = []
     for e in schema.encoders:
-        if e.coded and w[e.field] != 0 and B.n_codes(e) > 1:
+        if e.coded and w[e.field] != 0 and 1 < B.n_codes(e) <= MAX_CODES:
             sep = _coded_separation(schema, e, strategy_id, weights)
             if sep > 0:
                 coded.append((sep, e))
@@ -355,48 +370,62 @@ def block_plan(schema: Schema, index: DataFrame, k: int, strategy_id=None, weigh
     if not coded and not nums:
         return None
     aggs = [F.count(F.lit(1)).alias("n")]
+    if restrict_partition and schema.filter_fields:
+        aggs.append(F.approx_count_distinct(F.struct(*schema.filter_fields)).alias("parts"))
     for e in nums:
         x = F.col(f"{CODES}.`{e.field}`")
         aggs += [F.min(x).alias(f"lo_{e.field}"), F.max(x).alias(f"hi_{e.field}")]
     stats = index.agg(*aggs).first()          # one small aggregate over the index
+    per_part = (stats["n"] or 0) / max(1, stats["parts"] if "parts" in stats else 1)
+    fill = COARSE_ITEMS_PER_K * k
     dims, cells = [], 1
     for _, e in coded:
-        if cells * B.n_codes(e) > MAX_FINE_BLOCKS:
-            break
         code = F.col(f"{CODES}.`{e.field}`")
         dims.append(BlockDim(e.field, B.n_codes(e), code, _lower_bounds(schema, e, strategy_id, weights)))
         cells *= B.n_codes(e)
     for e in nums:
         lo, hi = stats[f"lo_{e.field}"], stats[f"hi_{e.field}"]
-        if lo is None or cells * numeric_buckets > MAX_FINE_BLOCKS:
+        buckets = int(min(MAX_BUCKETS, max(NUMERIC_BUCKETS, per_part / (cells * fill))))
+        if lo is None:
             continue
-        dims.append(_numeric_dim(schema, e, strategy_id, weights, float(lo), float(hi), numeric_buckets))
-        cells *= numeric_buckets
+        dims.append(_numeric_dim(schema, e, strategy_id, weights, float(lo), float(hi), buckets))
+        cells *= buckets
     if not dims:
         return None
-    n_parts = max(1, len(schema.partitions)) if restrict_partition else 1
-    per_part = (stats["n"] or 0) / n_parts
     if only_if_useful and per_part < k * dims[0].size:
         return None      # a coarse cell would rarely hold k items: pruning cannot start, scan instead
     m, c = 1, dims[0].size
-    while m < len(dims) and per_part / (c * dims[m].size) >= COARSE_ITEMS_PER_K * k:
+    while m < len(dims) and per_part / (c * dims[m].size) >= fill:
         c *= dims[m].size
         m += 1
     return dims[:m], dims
 
 
 def _cell_key(cells: Sequence[Column], dims: Sequence[BlockDim]) -> Column:
-    key = F.lit(0)
+    key = F.lit(0).cast("bigint")
     for c, d in zip(cells, dims):
-        key = key * F.lit(d.size) + c
-    return key.cast("int")
+        key = key * F.lit(d.size).cast("bigint") + c
+    return key.cast("bigint")
+
+
+def engine(schema: Schema, nlist: int | None = None) -> tuple[str, int | None]:
+    """(method, nlist) that the schema's ``index_factory`` names: ``Flat`` (exact, the
+    default), ``IVF`` or ``IVF<lists>`` (inverted lists), ``LSH`` (random projections)."""
+    name = (schema.index_factory or "Flat").split(",")[0].strip()
+    if name.lower() in ("flat", "exact", ""):
+        return "auto", nlist
+    if name.upper().startswith("IVF") and name[3:].isdigit() | (len(name) == 3):
+        return "ivf", nlist or (int(name[3:]) if name[3:] else None)
+    if name.upper() == "LSH":
+        return "lsh", nlist
+    raise ValueError(f"unknown index_factory {schema.index_factory!r}: Flat, IVF<lists> or LSH")
 
 
 def knn(queries: DataFrame, index: DataFrame, schema: Schema, k: int = 10, strategy_id=None,
         strategies: Sequence | None = None, weights=None, explain: bool = False, k_scope: str = "partition",
         restrict_partition: bool = True, l2_root: bool = False, metric: str | None = None,
-        broadcast_bytes: int = DEFAULT_BROADCAST_BYTES, salt: int | None = None, broadcast: bool | None = None,
-        tie_decimals: int = TIE_DECIMALS, exclude_self: bool = False, method: str = "auto",
+        broadcast_bytes: int = DEFAULT_BROADCAST_BYTES, pairs_per_task: int = PAIRS_PER_TASK, broadcast: bool | None = None,
+        tie_decimals: int | None = None, exclude_self: bool = False, method: str = "auto",
         nlist: int | None = None, nprobe: int = 4, ann_feature: str | None = None, centroids=None) -> DataFrame:
     """k nearest items of every query (exact).
 
@@ -418,13 +447,21 @@ def knn(queries: DataFrame, index: DataFrame, schema: Schema, k: int = 10, strat
     """
     metric = metric or schema.metric
     multi = strategies is not None
-    if (multi and method in ("auto", "blocked") and metric == "l2"
-            and all(block_feature(schema, str(s), weights) is not None for s in strategies)):
-        # every weight set has its own k-th distance, so each is searched blocked on its
-        # own and the results are stacked (far fewer pairs than one shared full scan)
+    if method == "auto":
+        method, nlist = engine(schema, nlist)
+    if method not in METHODS:
+        raise ValueError(f"unknown search method {method!r}: one of {', '.join(METHODS)}")
+    if method == "lsh":
+        from . import ann
+        if multi or explain or metric != "l2":
+            raise ValueError("lsh search takes one strategy, the l2 metric and no explanation")
+        return ann.knn_lsh(queries, index, schema, k=k, feature=ann_feature, restrict_partition=restrict_partition, tie_decimals=tie_decimals)
+    if multi and method in ("auto", "blocked") and metric == "l2" and all(separable(schema, str(s), weights) for s in strategies):
+        # every weight set has its own k-th distance, so each is searched on its own and the
+        # results are stacked (far fewer pairs than one shared full scan)
         kw = dict(k=k, weights=weights, explain=explain, k_scope=k_scope, restrict_partition=restrict_partition,
-                  l2_root=l2_root, metric=metric, broadcast_bytes=broadcast_bytes, salt=salt,
-                  broadcast=broadcast, tie_decimals=tie_decimals, exclude_self=exclude_self, method="blocked")
+                  l2_root=l2_root, metric=metric, broadcast_bytes=broadcast_bytes, pairs_per_task=pairs_per_task,
+                  broadcast=broadcast, tie_decimals=tie_decimals, exclude_self=exclude_self, method=method)
         parts = []
         for sid in strategies:
             one = knn(queries, index, schema, strategy_id=str(sid), **kw)
@@ -451,13 +488,13 @@ def knn(queries: DataFrame, index: DataFrame, schema: Schema, k: int = 10, strat
         cents = centroids if centroids is not None else ann.fit_ivf(index, schema, nlist, ann_feature)
         ib = ann.assign_lists(index, schema, cents, ann_feature)
         qb = ann.probe_lists(queries, schema, cents, nprobe, ann_feature)
-        pairs = candidate_pairs(qb, ib, schema, restrict_partition, broadcast_bytes, salt, broadcast, [ann.LIST_ID])
+        pairs = candidate_pairs(qb, ib, schema, restrict_partition, broadcast_bytes, pairs_per_task, broadcast, [ann.LIST_ID])
         if exclude_self:
             pairs = pairs.filter(F.col(ITEM_ID) != F.col(QUERY_ID))
         top = _topk(_score(pairs, schema, sids, weights, metric, l2_root, explain, part_cols), k, local_grp,
                     tie_decimals)
     elif plan is None:
-        pairs = candidate_pairs(queries, index, schema, restrict_partition, broadcast_bytes, salt, broadcast)
+        pairs = candidate_pairs(queries, index, schema, restrict_partition, broadcast_bytes, pairs_per_task, broadcast)
         if exclude_self:
             pairs = pairs.filter(F.col(ITEM_ID) != F.col(QUERY_ID))
         top = _topk(_score(pairs, schema, sids, weights, metric, l2_root, explain, part_cols), k, local_grp,
@@ -482,7 +519,7 @@ def knn(queries: DataFrame, index: DataFrame, schema: Schema, k: int = 10, strat
         base_q = [QUERY_ID, *[c for c in schema.filter_fields if c in queries.columns], *rep_columns(schema)]
         # pass 1: every item of the query's own coarse cell
         p1 = candidate_pairs(q1.select(*base_q, "__blk"), items, schema, restrict_partition, broadcast_bytes,
-                             salt, b1, ["__blk"])
+                             pairs_per_task, b1, ["__blk"])
         if exclude_self:
             p1 = p1.filter(F.col(ITEM_ID) != F.col(QUERY_ID))
         t1 = _topk(_score(p1, schema, sids, weights, metric, False, explain, part_cols), k, local_grp,
@@ -491,7 +528,10 @@ def knn(queries: DataFrame, index: DataFrame, schema: Schema, k: int = 10, strat
         tgrp = [c for c in local_grp if c != STRATEGY_ID]
         tau = t1.groupBy(*tgrp).agg(F.max("distance").alias("__tau"), F.count(F.lit(1)).alias("__n"))
         q2 = q1.join(tau, tgrp, "left")
-        slack = F.lit(2.0 * 10.0 ** -tie_decimals) + F.abs(F.coalesce(F.col("__tau"), F.lit(0.0))) * F.lit(1e-12)
+        # cells whose bound equals tau up to rounding may still hold ties
+        slack = F.abs(F.coalesce(F.col("__tau"), F.lit(0.0))) * F.lit(1e-9)
+        if tie_decimals is not None:
+            slack = slack + F.lit(2.0 * 10.0 ** -tie_decimals)
         q2 = q2.withColumn("__lim", F.when(F.col("__n") >= k, F.col("__tau") + slack)
                            .otherwise(F.lit(float("inf"))))
         # pass 2: the fine cells outside the home coarse cell whose summed lower bound is <= τ,
@@ -507,7 +547,7 @@ def knn(queries: DataFrame, index: DataFrame, schema: Schema, k: int = 10, strat
                     same = same & (F.col(f"__d{i}") == F.col(f"__h{i}"))
                 q2 = q2.filter(~same)
         q2 = q2.select(*base_q, _cell_key([F.col(f"__d{j}") for j in range(len(fine))], fine).alias("__fblk"))
-        p2 = candidate_pairs(q2, items, schema, restrict_partition, broadcast_bytes, salt, b2, ["__fblk"])
+        p2 = candidate_pairs(q2, items, schema, restrict_partition, broadcast_bytes, pairs_per_task, b2, ["__fblk"])
         if exclude_self:
             p2 = p2.filter(F.col(ITEM_ID) != F.col(QUERY_ID))
         s2 = _score(p2, schema, sids, weights, metric, False, explain, part_cols)
@@ -515,7 +555,7 @@ def knn(queries: DataFrame, index: DataFrame, schema: Schema, k: int = 10, strat
         if l2_root:
             top = top.withColumn("distance", F.sqrt("distance"))
 
-    order = [grid(F.col("distance"), tie_decimals), F.col(ITEM_ID)]
+    order = [rank_key(F.col("distance"), tie_decimals), F.col(ITEM_ID)]
     top = top.withColumn("rank", F.row_number().over(Window.partitionBy(*grp).orderBy(*order)))
     out_cols = [QUERY_ID] + ([STRATEGY_ID] if multi else []) + part_cols + ["rank", ITEM_ID, "distance"]
     if explain:

@@ -12,6 +12,7 @@ vector length), never by the history size.
 
 from __future__ import annotations
 
+import math
 from typing import Mapping
 
 from pyspark.sql import Column, DataFrame
@@ -20,9 +21,9 @@ from pyspark.sql import functions as F
 from ..functions import blocks as B
 from ..functions import encoders as X
 from ..schema import Schema
-from .encode import CODES, ITEM_ID, REJECT, with_codes
-from .ingest import explode_filters
-from .knn import QUERY_ID, rep_g, rep_s, rep_x, reps_from_codes
+from .encode import CODES, ITEM_ID, REJECT, attach_lookups, feature_code, with_codes
+from .ingest import explode_filters, filter_reject
+from .knn import EMPTY_MAP, QUERY_ID, rep_g, rep_s, rep_x
 
 USER_ID = "user_id"
 TOTAL = "__n"
@@ -69,19 +70,32 @@ def _long_rows(schema: Schema) -> Column:
     return F.concat(*parts)
 
 
-def _coded_rep(e, hist: Column, total: Column) -> tuple[Column, Column]:
-    """(s, g) of a normalised code histogram ``hist`` = array<struct<c, ws>>."""
-    G = X.lit_matrix(B.gram(e))
-    n = B.n_codes(e)
-    g = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda j: F.aggregate(
-        hist, F.lit(0.0), lambda acc, h: acc + h["ws"] * F.element_at(F.element_at(G, h["c"] + 1), j + 1)))
-    g = F.when(total > 0, F.transform(g, lambda x: x / total)).otherwise(F.array_repeat(F.lit(0.0), n))
-    # s = hᵀGh / n², summed over histogram pairs (no reference to g, which would be
-    # re-evaluated for every histogram entry)
-    s = F.aggregate(hist, F.lit(0.0), lambda acc, a: acc + a["ws"] * F.aggregate(
-        hist, F.lit(0.0), lambda acc2, b: acc2 + b["ws"] * F.element_at(F.element_at(G, a["c"] + 1), b["c"] + 1)))
-    s = F.when(total > 0, s / (total * total)).otherwise(F.lit(0.0))
-    return s, g
+def _coded_rep(e, hist: Column, prod: Column, total: Column) -> tuple[Column, Column]:
+    """(s, g) of a code histogram ``hist`` and its products with all codes ``prod`` (both
+    array<struct<c, ws>>): s = hᵀGh / n², g = Gh / n."""
+    h, g = F.map_from_entries(hist), F.map_from_entries(prod)
+    s = F.aggregate(F.map_entries(h), F.lit(0.0), lambda acc, x: acc + x["value"] * F.coalesce(F.try_element_at(g, x["key"]), F.lit(0.0)))
+    return (F.when(total > 0, s / (total * total)).otherwise(F.lit(0.0)),
+            F.when(total > 0, F.transform_values(g, lambda _, v: v / total)).otherwise(EMPTY_MAP()))
+
+
+def _with_products(agg: DataFrame, schema: Schema) -> DataFrame:
+    """``profile_sums`` plus, for each coded feature, the histogram's products with all codes
+    (kind ``g``; kind ``h`` are the sums themselves).  One-hot features need none: there the
+    product is the histogram.  Others multiply by the sparse Gram rows, one join-free explode
+    and one aggregation."""
+    plain = agg.select(USER_ID, "f", F.lit("h").alias("kind"), "c", "ws", "xs")
+    parts = [plain]
+    for e in schema.encoders:
+        if e.coded and not B.identity(e):
+            row = F.element_at(X.lit_rows(B.gram_rows(e)), F.col("c") + 1)
+            x = agg.where(F.col("f") == e.field).select(USER_ID, "f", "ws", F.explode(row).alias("r"))
+            x = x.groupBy(USER_ID, "f", F.col("r.c").alias("c")).agg(F.sum(F.col("ws") * F.col("r.v")).alias("ws"))
+            parts.append(x.select(USER_ID, "f", F.lit("g").alias("kind"), "c", "ws", F.lit(0.0).alias("xs")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def weighted_rows(history: DataFrame, index: DataFrame, schema: Schema, dedupe: bool = False,
@@ -124,21 +138,25 @@ def assemble_profiles(agg: DataFrame, schema: Schema) -> DataFrame:
     """``profile_sums`` -> ``user_id, __n, <reps>`` (one row per user)."""
     aggs = [F.sum(F.when(F.col("f") == TOTAL, F.col("ws"))).alias(TOTAL)]
     for e in schema.encoders:
-        is_f = F.col("f") == e.field
+        is_f = (F.col("f") == e.field) & (F.col("kind") == "h")
         if e.coded:
-            aggs.append(F.collect_list(F.when(is_f, F.struct("c", "ws"))).alias(f"__h_{e.field}"))
+            known = is_f if e.type != "strict_onehot" else is_f & (F.col("c") > 0)
+            aggs.append(F.collect_list(F.when(known, F.struct("c", "ws"))).alias(f"__h_{e.field}"))
+            if not B.identity(e):
+                is_g = (F.col("f") == e.field) & (F.col("kind") == "g")
+                aggs.append(F.collect_list(F.when(is_g, F.struct("c", "ws"))).alias(f"__p_{e.field}"))
         elif e.type == "numeric":
             aggs.append(F.sum(F.when(is_f, F.col("xs"))).alias(f"__h_{e.field}"))
         else:
             aggs.append(F.collect_list(F.when(is_f, F.struct("c", "xs"))).alias(f"__h_{e.field}"))
-    per_user = agg.groupBy(USER_ID).agg(*aggs)
+    per_user = _with_products(agg, schema).groupBy(USER_ID).agg(*aggs)
     total = F.col(TOTAL)
     out = [USER_ID, TOTAL]
     cols = []
     for e in schema.encoders:
         hcol = F.col(f"__h_{e.field}")
         if e.coded:
-            s, g = _coded_rep(e, hcol, total)
+            s, g = _coded_rep(e, hcol, hcol if B.identity(e) else F.col(f"__p_{e.field}"), total)
             cols += [s.alias(rep_s(e.field)), g.alias(rep_g(e.field))]
         elif e.type == "numeric":
             cols.append(F.when(total > 0, F.coalesce(hcol, F.lit(0.0)) / total).otherwise(0.0).alias(rep_x(e.field)))
@@ -163,7 +181,7 @@ def zero_reps(schema: Schema) -> list[Column]:
     for e in schema.encoders:
         if e.coded:
             cols += [F.lit(0.0).alias(rep_s(e.field)),
-                     F.array_repeat(F.lit(0.0), B.n_codes(e)).alias(rep_g(e.field))]
+                     EMPTY_MAP().alias(rep_g(e.field))]
         elif e.type == "numeric":
             cols.append(F.lit(0.0).alias(rep_x(e.field)))
         else:
@@ -172,15 +190,18 @@ def zero_reps(schema: Schema) -> list[Column]:
 
 
 def user_queries(users: DataFrame, prof: DataFrame, schema: Schema, min_history: float = 0.0,
-                 override: bool = True) -> DataFrame:
+                 override: bool = True, tables: Mapping | None = None) -> DataFrame:
     """Users (``user_id, <filters>, <override fields>``) + profiles -> kNN query table.
 
     Users without a profile search with the zero vector unless ``min_history`` > 0.
     ENC-19 / D8: a user column named by a ``user_encoders`` entry replaces that feature's
-    averaged part with the user encoder's block (same length as the item encoder; the
-    feature keeps its strategy weight)."""
+    averaged part with the user encoder's own block: its values, weight and normaliser, and
+    for embeddings and feature tables its lookup table.  A value that cannot be encoded
+    leaves the averaged part (``user_rejects`` lists it)."""
     u = users.withColumn(USER_ID, F.col(USER_ID).cast("string"))
     u = explode_filters(u, schema)
+    active = [ue for ue in schema.user_encoders if override and _user_fields(ue) & set(users.columns)]
+    u = attach_lookups(u, active, tables)
     j = u.join(prof, USER_ID, "left")
     if min_history > 0:
         j = j.filter(F.col(TOTAL) >= F.lit(float(min_history)))
@@ -190,21 +211,139 @@ def user_queries(users: DataFrame, prof: DataFrame, schema: Schema, min_history:
         zs = zero_reps(Schema(encoders=(e,)))
         vals = [F.coalesce(F.col(n), z) for n, z in zip(names, zs)]
         ue = schema.user_encoder(e.field)
-        if override and ue is not None and e.field in users.columns:
-            v = X.value_col(ue, users.columns)
-            if e.coded and ue.coded:
-                code = X.code_col(ue, v)
-                Gu = B.block_matrix(ue) @ B.block_matrix(ue).T
-                Gx = B.cross_gram(ue, e)
-                s_o = F.element_at(X.lit_vector(Gu.diagonal()), code + 1)
-                g_o = F.element_at(X.lit_matrix(Gx), code + 1)
-                has = v.isNotNull() & code.isNotNull()
-                vals = [F.when(has, s_o).otherwise(vals[0]), F.when(has, g_o).otherwise(vals[1])]
-            elif e.type == "numeric":
-                x = v.try_cast("double")
-                vals = [F.when(x.isNotNull(), x).otherwise(vals[0])]
-            else:
-                vec = X.json_vector_col(v, e.length)
-                vals = [F.when(vec.isNotNull(), vec).otherwise(vals[0])]
+        if ue in active:
+            own = _override_reps(ue, e, u.columns)
+            given = _given(ue, users.columns)
+            vals = [F.when(given & o.isNotNull(), o).otherwise(v) for o, v in zip(own, vals)]
         reps += [c.alias(n) for c, n in zip(vals, names)]
     return j.select(F.col(USER_ID).alias(QUERY_ID), *schema.filter_fields, *reps)
+
+
+def _user_fields(ue) -> set:
+    return {ue.entity if ue.type == "feature_table" else ue.field}
+
+
+def _given(ue, columns) -> Column:
+    """Did the user give a value for this encoder?"""
+    (name,) = _user_fields(ue)
+    return F.col(f"`{name}`").isNotNull() if name in columns else F.lit(False)
+
+
+def _override_reps(ue, e, columns) -> list[Column]:
+    """The user encoder's block in units of the item encoder's weight; null where the value
+    cannot be encoded."""
+    ratio = ue.weight / math.sqrt(B.nonzero_elements(ue)) / ((e.weight or 1.0) / math.sqrt(B.nonzero_elements(e)))
+    code, why = feature_code(ue, columns)
+    ok = why.isNull() if why is not None else F.lit(True)
+    if e.coded:
+        diag = F.element_at(X.lit_vector(B.gram_diagonal(ue)), code + 1) * F.lit(ratio * ratio)
+        g = X.row_map(X.lit_rows([{c: v * ratio for c, v in r.items()} for r in B.cross_rows(ue, e)]), code)
+        return [F.when(ok, diag), F.when(ok, g)]
+    x = code * F.lit(ratio) if e.type == "numeric" else F.transform(code, lambda v: v * F.lit(ratio))
+    return [F.when(ok, x)]
+
+
+def user_rejects(users: DataFrame, schema: Schema, tables: Mapping | None = None, restrict_partition: bool = True) -> DataFrame:
+    """``user_id, datum, reason``: users whose partition is undeclared, or whose override value
+    cannot be encoded."""
+    u = users.withColumn(USER_ID, F.col(USER_ID).cast("string")).withColumn("__datum", F.to_json(F.struct(*[F.col(f"`{c}`") for c in users.columns])))
+    u = explode_filters(u, schema)
+    active = [ue for ue in schema.user_encoders if _user_fields(ue) & set(users.columns)]
+    u = attach_lookups(u, active, tables)
+    why = [filter_reject(schema)] if restrict_partition else []
+    for ue in active:
+        w = feature_code(ue, u.columns)[1]
+        if w is not None:
+            why.append(F.when(_given(ue, users.columns), w))
+    reason = F.coalesce(*why) if why else F.lit(None).cast("string")
+    return u.select(USER_ID, F.col("__datum").alias("datum"), reason.alias("reason")).filter(F.col("reason").isNotNull())
+
+
+def cold_start_rejects(cold_start: DataFrame, schema: Schema) -> DataFrame:
+    """``user_id, reason``: cold-start pseudo-items that cannot be encoded."""
+    cs = with_codes(cold_start.withColumn("__uid", F.col(USER_ID).cast("string")), schema, keep=["__uid"])
+    return cs.filter(F.col(REJECT).isNotNull()).select(F.col("__uid").alias(USER_ID), F.col(REJECT).alias("reason"))
+
+
+# ------------------------------------------------------------------ stored vectors
+def stored_vector_rows(vectors: DataFrame, schema: Schema, weight: float = 1.0) -> DataFrame:
+    """Long form of stored whole-space vectors (``user_id, vec`` in the base strategy's
+    weighted coordinates): one row for each feature and slot, in unweighted units."""
+    at, parts = 0, []
+    offsets = schema.offsets()
+    for e in schema.encoders:
+        if e.field not in offsets:
+            continue
+        lo, hi = offsets[e.field]
+        f = schema.factor(e.field)
+        parts.append(F.transform(F.slice("vec", lo + 1, hi - lo), _slot(e.field, f)))
+        at = hi
+    v = vectors.filter(X.valid_vector(F.col("vec").cast("array<double>"), at))
+    long = v.select(F.col(USER_ID).cast("string").alias(USER_ID), F.explode(F.concat(*parts)).alias("r"))
+    return long.select(USER_ID, "r.f", "r.slot", (F.col("r.x") * F.lit(float(weight))).alias("x"))
+
+
+def _slot(name: str, factor: float):
+    def entry(x, i):
+        return F.struct(F.lit(name).alias("f"), i.alias("slot"), (x.cast("double") / F.lit(factor)).alias("x"))
+    return entry
+
+
+def profiles_with_vectors(history: DataFrame, index: DataFrame, schema: Schema, vectors: DataFrame, weight: float = 1.0,
+                          dedupe: bool = False) -> DataFrame:
+    """JN-10: profiles where a user's stored vector over the whole feature space counts as one
+    more item of the given weight (D11: a true weighted mean).
+
+    Everything is summed slot by slot in unweighted blocks: a history row adds its codes'
+    block rows, a stored vector its slots; a user's sums are bounded by the schema."""
+    rows = weighted_rows(history, index, schema, dedupe)
+    sums = profile_sums(rows, schema)
+    slots = []
+    for e in schema.encoders:
+        mine = sums.where(F.col("f") == e.field)
+        if e.coded:
+            row = F.element_at(X.lit_rows(B.block_rows(e)), F.col("c") + 1)
+            slots.append(mine.select(USER_ID, "f", F.explode(row).alias("r"), "ws").select(USER_ID, "f", F.col("r.c").alias("slot"), (F.col("ws") * F.col("r.v")).alias("x")))
+        else:
+            slots.append(mine.select(USER_ID, "f", F.greatest("c", F.lit(0)).alias("slot"), F.col("xs").alias("x")))
+    stored = stored_vector_rows(vectors, schema, weight)
+    long = stored
+    for s in slots:
+        long = long.unionByName(s)
+    n = sums.where(F.col("f") == TOTAL).select(USER_ID, F.col("ws").alias("n")).unionByName(
+        stored.select(USER_ID).distinct().withColumn("n", F.lit(float(weight))))
+    long = long.groupBy(USER_ID, "f", "slot").agg(F.sum("x").alias("x")).unionByName(
+        n.groupBy(USER_ID).agg(F.sum("n").alias("x")).select(USER_ID, F.lit(TOTAL).alias("f"), F.lit(0).alias("slot"), "x"))
+    aggs = [F.sum(F.when(F.col("f") == TOTAL, F.col("x"))).alias(TOTAL)]
+    aggs += [F.map_from_entries(F.collect_list(F.when(F.col("f") == e.field, F.struct("slot", "x")))).alias(f"__s_{e.field}") for e in schema.encoders]
+    per = long.groupBy(USER_ID).agg(*aggs)
+    total, cols = F.col(TOTAL), []
+    for e in schema.encoders:
+        m = F.transform_values(F.col(f"__s_{e.field}"), lambda _, v: v / total)
+        at = _reader(m)
+        if e.coded:
+            s = F.aggregate(F.map_values(m), F.lit(0.0), lambda acc, x: acc + x * x)
+            if B.identity(e):
+                g = F.map_from_entries(F.transform(F.map_entries(m), _shift(1 if e.type == "strict_onehot" else 0)))
+            else:
+                g = F.map_from_entries(F.transform(X.lit_rows(B.block_rows(e)), _project(at)))
+            cols += [s.alias(rep_s(e.field)), g.alias(rep_g(e.field))]
+        elif e.type == "numeric":
+            cols.append(at(F.lit(0)).alias(rep_x(e.field)))
+        else:
+            cols.append(F.transform(F.sequence(F.lit(0), F.lit(e.length - 1)), at).alias(rep_x(e.field)))
+    return per.select(USER_ID, TOTAL, *cols)
+
+
+def _reader(m: Column):
+    return lambda slot: F.coalesce(F.try_element_at(m, slot), F.lit(0.0))
+
+
+def _shift(by: int):
+    return lambda x: F.struct((x["key"] + by).alias("c"), x["value"].alias("v"))
+
+
+def _project(at):
+    def entry(row, code):
+        return F.struct(code.alias("c"), F.aggregate(row, F.lit(0.0), lambda acc, r: acc + r["v"] * at(r["c"])).alias("v"))
+    return entry

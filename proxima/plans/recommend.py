@@ -17,21 +17,40 @@ from ..session import write_table
 def similar_items(queries: DataFrame, index: DataFrame, schema: Schema, k: int = 10, strategy_id=None,
                   explain: bool = False, query_id: str | None = None, **kw) -> DataFrame:
     """Q-1 (+Q-4): k nearest indexed items of every item-like query row."""
-    q = knn.item_queries(queries, schema, query_id=query_id)
+    q = knn.item_queries(queries, schema, query_id=query_id, restrict_partition=kw.get("restrict_partition", True))
     return knn.knn(q, index, schema, k=k, strategy_id=strategy_id, explain=explain, **kw)
 
 
+def query_rejects(queries: DataFrame, schema: Schema, **kw) -> DataFrame:
+    """The query rows that ``similar_items`` cannot search, with the reason."""
+    return knn.query_rejects(queries, schema, **kw)
+
+
+def user_rejects(users: DataFrame, schema: Schema, **kw) -> DataFrame:
+    """The users that ``recommend`` cannot search as asked, with the reason."""
+    return profiles.user_rejects(users, schema, **kw)
+
+
 def recommend(users: DataFrame, history: DataFrame, index: DataFrame, schema: Schema, k: int = 10,
               strategy_id=None, explain: bool = False, dedupe: bool = False,
               cold_start: DataFrame | None = None, cold_start_weight: float = 1.0,
-              min_history: float = 0.0, materialize: bool = True, **kw) -> DataFrame:
+              min_history: float = 0.0, materialize: bool = True, cold_vectors: DataFrame | None = None,
+              tables: Mapping | None = None, **kw) -> DataFrame:
     """Q-2: k nearest items to each user's (weighted) item history.
 
     ``users``: ``user_id, <filters>[, <user encoder fields>]``; ``history``:
-    ``user_id, item_id[, w]``."""
-    prof = profiles.profiles(history, index, schema, dedupe=dedupe, cold_start=cold_start,
-                             cold_start_weight=cold_start_weight)
-    q = profiles.user_queries(users, prof, schema, min_history=min_history)
+    ``user_id, item_id[, w]``.  Cold start: pseudo-items (``cold_start``) or stored vectors
+    over the whole feature space (``cold_vectors``: ``user_id, vec``, JN-10), either with
+    ``cold_start_weight``.  ``user_rejects`` and ``profiles.cold_start_rejects`` list what
+    could not be used."""
+    if cold_vectors is not None:
+        if cold_start is not None:
+            raise ValueError("give cold_start items or cold_vectors, not both")
+        prof = profiles.profiles_with_vectors(history, index, schema, cold_vectors, cold_start_weight, dedupe)
+    else:
+        prof = profiles.profiles(history, index, schema, dedupe=dedupe, cold_start=cold_start,
+                                 cold_start_weight=cold_start_weight)
+    q = profiles.user_queries(users, prof, schema, min_history=min_history, tables=tables)
     if materialize:
         # the join planner counts the query side and the search reads it several times:
         # write it once (users x schema sized) rather than re-aggregating the history
@@ -50,7 +69,7 @@ def recommend_from_events(users: DataFrame, events: DataFrame, index: DataFrame,
 
 def variants_side_by_side(queries: DataFrame, index: DataFrame, schema: Schema,
                           strategy_ids: Sequence, k: int = 10, **kw) -> DataFrame:
-    """Q-5: the same queries ranked under several weight sets from one candidate scan."""
+    """Q-5: the same queries ranked under several weight sets."""
     q = knn.item_queries(queries, schema)
     return knn.knn(q, index, schema, k=k, strategies=list(strategy_ids), **kw)
 

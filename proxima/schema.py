@@ -27,7 +27,7 @@ ENCODER_ALIASES = {
     "hierarchy": ["hier", "hierarchy", "nested"],
     "embedding": ["numpy", "np", "embedding"],
     "json": ["JSON", "json", "js"],
-    "feature_table": ["qwak", "feature_table"],
+    "feature_table": ["feature_table"],
 }
 METRICS = ["l2", "ip", "cosine"]
 DEFAULT_METRIC = "ip"
@@ -39,29 +39,19 @@ _ALIAS_TO_TYPE = {alias: canon for canon, aliases in ENCODER_ALIASES.items() for
 
 CODED_TYPES = {"onehot", "strict_onehot", "ordinal", "bin", "bin_ordinal", "hierarchy"}
 SCALAR_TYPES = {"numeric"}
-VECTOR_TYPES = {"embedding", "json", "feature_table"}
+VECTOR_TYPES = {"embedding", "json", "feature_table", "custom"}
 
 
 def canonical_type(name: str) -> str:
     try:
         return _ALIAS_TO_TYPE[name]
     except KeyError:
+        from .functions import custom
+        if custom.registered(name) is not None:
+            return "custom"
         raise TypeError(f"Unknown encoder type {name!r}") from None
 
 
-def _freeze(v):
-    if isinstance(v, list):
-        return tuple(_freeze(x) for x in v)
-    if isinstance(v, dict):
-        return tuple((k, _freeze(x)) for k, x in v.items())
-    return v
-
-
-def _thaw_tree(v):
-    """Hierarchy values are kept as plain dict/list/str trees."""
-    return v
-
-
 @dataclass(frozen=True)
 class FilterSpec:
     field: str
@@ -96,6 +86,7 @@ class EncoderSpec:
     key: str = "key"
     vector: str = "vector"
     entity: str | None = None
+    custom: str | None = None  # registered name of a custom encoder
 
     @property
     def coded(self) -> bool:
@@ -106,7 +97,7 @@ class EncoderSpec:
         return self.type in VECTOR_TYPES
 
     def to_dict(self):
-        d = {"field": self.field, "type": self.type, "weight": self.weight, "default": self.default}
+        d = {"field": self.field, "type": self.custom or self.type, "weight": self.weight, "default": self.default}
         if self.type == "hierarchy":
             d["values"] = self.values
             d["similarity_by_depth"] = list(self.similarity_by_depth)
@@ -139,7 +130,11 @@ class EncoderSpec:
             key=d.get("key", "key"),
             vector=d.get("vector", "vector"),
             entity=d.get("entity"),
+            custom=d["type"] if t == "custom" else None,
         )
+        if t == "custom":
+            from .functions import custom
+            spec = replace(spec, length=custom.registered(d["type"]).length)
         spec.validate()
         return spec
 

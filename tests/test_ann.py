@@ -24,13 +24,14 @@ def test_ivf_full_probe_is_exact(spark):
     assert 0 < r.recall <= 1 and r.exact == exact.count()
 
 
-def test_lsh_distances_are_exact(spark):
+def test_lsh_distances_are_exact_and_nobody_comes_back_short(spark):
     s, emb, idx = W._dense_setup(spark, SF_SMALL)
     q = knn.item_queries(emb, s)
-    exact = knn.knn(q, idx, s, k=500, method="scan").select("query_id", "item_id", F.col("distance").alias("d0"))
-    lsh = ann.knn_lsh(q, idx, s, k=5, radius=1.4, bucket_length=2.0, num_tables=4)
-    j = lsh.join(exact, ["query_id", "item_id"])
-    assert j.count() == lsh.count() > 0
-    assert j.agg(F.max(F.abs(F.col("distance") - F.col("d0")))).first()[0] == pytest.approx(0, abs=1e-6)
-    # within a query, ranks are 1..n
-    assert lsh.groupBy("query_id").agg((F.max("rank") == F.count(F.lit(1))).alias("ok")).filter("not ok").count() == 0
+    exact = knn.knn(q, idx, s, k=5, method="scan")
+    for tables in (1, 12):
+        lsh = ann.knn_lsh(q, idx, s, k=5, num_tables=tables, num_hashes=4)
+        d0 = knn.knn(q, idx, s, k=500, method="scan").select("query_id", "item_id", F.col("distance").alias("d0"))
+        j = lsh.join(d0, ["query_id", "item_id"])
+        assert j.count() == lsh.count() == exact.count()
+        assert j.agg(F.max(F.abs(F.col("distance") - F.col("d0")))).first()[0] == pytest.approx(0, abs=1e-6)
+        assert lsh.groupBy("query_id").agg((F.max("rank") == F.count(F.lit(1))).alias("ok")).filter("not ok").count() == 0

@@ -1,4 +1,5 @@
-"""Encoder values: the reference's golden vectors over one-row DataFrames."""
+"""Encoder values over one-row DataFrames.  The expected vectors are fixed values: the
+documented golden results."""
 import math
 
 import numpy as np

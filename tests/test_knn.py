@@ -81,14 +81,95 @@ def test_blocked_equals_scan(spark):
     assert ra == rb and len(ra) > 0
 
 
-def test_broadcast_and_salted_paths_agree(spark):
+def test_broadcast_and_split_key_paths_agree(spark):
     s, parts, idx = _part_setup(spark)
-    q = knn.item_queries(parts.limit(60), s)
+    q = knn.item_queries(parts.orderBy("p_partkey").limit(60), s)
     a = knn.knn(q, idx, s, k=4, method="scan", broadcast=True)
-    b = knn.knn(q, idx, s, k=4, method="scan", broadcast=False, salt=3)
+    b = knn.knn(q, idx, s, k=4, method="scan", broadcast=False, pairs_per_task=50)
     assert _rows(a) == _rows(b)
 
 
+def test_a_hot_key_is_cut_by_its_pairs(spark):
+    """90 % of the items in one partition with one code: no bucket gets more than its share
+    of query-item pairs."""
+    from proxima.operators.encode import ITEM_ID
+    s = Schema.build([{"field": "c", "type": "onehot", "values": ["x", "y"], "weight": 1}, {"field": "n", "type": "numeric", "weight": 1}],
+                     [{"field": "p", "values": ["hot", "cold"]}], "l2")
+    df = spark.range(1000).select(F.col("id").cast("string"), F.when(F.col("id") % 10 < 9, "hot").otherwise("cold").alias("p"),
+                                  F.lit("x").alias("c"), (F.col("id") * 37 % 1000).cast("double").alias("n"))
+    idx, q = ingest.build_index(df, s).index, knn.item_queries(df, s)
+    pairs = knn._balanced(idx.withColumn("part", F.spark_partition_id()), q, ["p"], 20_000)
+    assert pairs.count() == 900 * 900 + 100 * 100
+    ni, nq = 900, 900
+    salted = pairs.filter("p = 'hot'").select(F.pmod(F.xxhash64(ITEM_ID), F.lit(-(-ni * nq // 20_000))).alias("b")).groupBy("b").count()
+    assert salted.agg(F.max("count")).first()[0] <= 3 * 20_000
+    a = knn.knn(q, idx, s, k=3, method="scan")
+    b = knn.knn(q, idx, s, k=3, method="blocked", broadcast=False, pairs_per_task=5000)
+    assert _rows(a) == _rows(b)
+
+
+def test_many_declared_partitions_do_not_turn_off_blocking(spark):
+    from proxima.plans import workloads as W
+    s = W.part_schema(filters=[{"field": "p_type", "values": W.P_TYPES + [f"T{i}" for i in range(1000)]}])
+    idx = ingest.build_index(W.parts(spark, SF_SMALL.replace("0.001", "0.01")), s).index
+    assert knn.block_plan(s, idx, 5) is not None
+
+
+def test_ranking_is_by_the_exact_distance(spark):
+    s = Schema.build([{"field": "n", "type": "numeric", "weight": 1}], [], "l2")
+    for items in ([("a", 900000.0), ("b", 500000.0), ("c", 110000.0)], [("a", 9e-6), ("b", 5e-6), ("c", 0.0)]):
+        idx = ingest.build_index(spark.createDataFrame(items, "id string, n double"), s).index
+        q = knn.item_queries(spark.createDataFrame([("q", 0.0)], "id string, n double"), s)
+        for method in ("scan", "blocked"):
+            out = knn.knn(q, idx, s, k=2, method=method).orderBy("rank").collect()
+            assert [r.item_id for r in out] == ["c", "b"]
+
+
+def test_values_that_are_not_finite_are_rejected(spark):
+    s = Schema.build([{"field": "n", "type": "numeric", "weight": 1}, {"field": "v", "type": "embedding", "length": 2, "weight": 1}], [], "l2")
+    rows = [("1", 1.0, [1.0, 2.0]), ("2", float("nan"), [1.0, 2.0]), ("3", float("inf"), [1.0, 2.0]), ("4", 1.0, [None, 2.0]), ("5", 1.0, [float("nan"), 2.0]),
+            ("6", 1.0, [1.0]), ("7", None, [1.0, 2.0]), ("8", 1.0, None)]
+    b = ingest.build_index(spark.createDataFrame(rows, "id string, n double, v array<double>"), s)
+    assert [r.item_id for r in b.index.collect()] == ["1"] and b.rejects.count() == 7
+
+
+def test_query_rejects_and_listed_filters(spark):
+    s = Schema.build([{"field": "n", "type": "numeric", "weight": 1}], [{"field": "p", "values": ["a", "b"]}], "l2")
+    idx = ingest.build_index(spark.createDataFrame([("1", "a", 1.0), ("2", "b", 2.0)], "id string, p string, n double"), s).index
+    q = spark.createDataFrame([("good", ["a", "b"], "1"), ("text", ["a"], "x"), ("far", ["z"], "1"), ("half", ["a", "z"], "1")], "id string, p array<string>, n string")
+    hits = R.similar_items(q, idx, s, k=5)
+    assert sorted((r.query_id, r.item_id) for r in hits.collect()) == [("good", "1"), ("good", "2"), ("half", "1")]
+    bad = R.query_rejects(q, s).collect()
+    assert sorted((r.query_id, r.reason) for r in bad) == [("far", "undeclared partition value for p"), ("half", "undeclared partition value for p"),
+                                                           ("text", "non-numeric value for n")]
+    once = R.similar_items(q.filter("id = 'good'"), idx, s, k=5, restrict_partition=False)
+    assert sorted(r.item_id for r in once.collect()) == ["1", "2"]
+
+
+def test_engine_choice(spark):
+    s, parts, idx = _part_setup(spark)
+    q = knn.item_queries(parts, s)
+    with pytest.raises(ValueError):
+        knn.knn(q, idx, s, method="no_such")
+    assert knn.engine(Schema.build([], [], index_factory="IVF64,Flat")) == ("ivf", 64)
+    assert knn.engine(Schema.build([], [])) == ("auto", None) and knn.engine(Schema.build([], [], index_factory="LSH"))[0] == "lsh"
+    with pytest.raises(ValueError):
+        knn.engine(Schema.build([], [], index_factory="Tree"))
+
+
+def test_large_vocabularies_plan_fast(spark):
+    import time
+    values = [f"v{i}" for i in range(10_000)]
+    s = Schema.build([{"field": "c", "type": "onehot", "values": values, "weight": 1}], [], "l2")
+    df = spark.createDataFrame([(str(i), f"v{i}") for i in range(5)], "id string, c string")
+    idx = ingest.build_index(df, s).index
+    t = time.time()
+    out = knn.knn(knn.item_queries(df, s), idx, s, k=2, method="scan")
+    out._jdf.queryExecution().executedPlan()
+    assert time.time() - t < 20  # was beyond a minute with a few hundred values
+    assert sorted(r.distance for r in out.collect()) == [0.0] * 5 + [2.0] * 5
+
+
 def test_explanation_sums_to_distance_and_self_is_zero(spark):
     s, parts, idx = _part_setup(spark)
     q = knn.item_queries(parts, s)

@@ -87,3 +87,62 @@ def test_cold_start_from_stored_vector(spark):
     out = R.recommend(users.drop("key"), hist, idx, s, k=1, cold_start=cold).collect()
     # mean of a=(0,0) and the stored (4,4) is (2,2): nearest is b=(1,0) (dist 5) vs c (dist 18), a (dist 8)
     assert [r.item_id for r in out] == ["b"] and out[0].distance == pytest.approx(5.0)
+
+
+def test_user_encoder_keeps_its_own_weight(spark):
+    s = Schema.build([{"field": "c", "type": "onehot", "values": ["x", "y"], "weight": 1}], [], "l2",
+                     user_encoders=[{"field": "c", "type": "onehot", "values": ["x", "y"], "weight": 5}])
+    idx = ingest.build_index(spark.createDataFrame([("a", "x"), ("b", "y")], "id string, c string"), s).index
+    users = spark.createDataFrame([("u", "x")], "user_id string, c string")
+    hist = spark.createDataFrame([("u", "b")], "user_id string, item_id string")
+    out = R.recommend(users, hist, idx, s, k=2).orderBy("rank").collect()
+    assert [(r.item_id, r.distance) for r in out] == [("a", pytest.approx(16.0)), ("b", pytest.approx(26.0))]
+
+
+def test_user_override_by_lookup(spark):
+    vecs = spark.createDataFrame([("1", [0.0, 1.0]), ("2", [1.0, 0.0]), ("3", [9.0, 9.0]), ("3", [8.0, 8.0])], "key string, vector array<double>")
+    enc = {"field": "e", "type": "embedding", "length": 2, "weight": 1, "table": "vecs"}
+    s = Schema.build([enc], [], "l2", user_encoders=[enc])
+    items = spark.createDataFrame([("a", "1"), ("b", "2"), ("c", "3"), ("d", "9")], "id string, e string")
+    b = ingest.build_index(items, s, tables={"e": vecs})
+    assert sorted(r.item_id for r in b.index.collect()) == ["a", "b", "d"]  # key 3 has two vectors
+    users = spark.createDataFrame([("u", "2"), ("v", None)], "user_id string, e string")
+    hist = spark.createDataFrame([("u", "a"), ("v", "a")], "user_id string, item_id string")
+    out = {r.query_id: r.item_id for r in R.recommend(users, hist, b.index, s, k=1, tables={"e": vecs}).collect()}
+    assert out == {"u": "b", "v": "a"}
+
+
+def test_stored_vector_over_the_whole_space(spark):
+    """Profiles with a stored vector equal the mean of the plain vectors, for every encoder."""
+    import numpy as np
+
+    from proxima.operators import encode as E
+    from proxima.operators import knn
+    s = Schema.build([
+        {"field": "o", "type": "onehot", "values": ["x", "y"], "weight": 2}, {"field": "t", "type": "soh", "values": ["x", "y"], "weight": 1},
+        {"field": "r", "type": "ordinal", "values": ["p", "q", "z"], "window": [0.5, 1, 0.5], "weight": 3}, {"field": "n", "type": "numeric", "weight": 0.5},
+        {"field": "h", "type": "hierarchy", "values": {"m": ["h1", "h2"], "k": ["h3"]}, "weight": 1}, {"field": "v", "type": "json", "length": 2, "weight": 1}], [], "l2")
+    rows = [("1", "x", "y", "p", 2.0, "h1", "[1,2]"), ("2", "y", "?", "q", -1.0, "h3", "[0,1]"), ("3", "?", "x", "?", 4.0, "h2", "[5,5]")]
+    items = spark.createDataFrame(rows, "id string, o string, t string, r string, n double, h string, v string")
+    idx = ingest.build_index(items, s).index
+    vec = {r.item_id: np.array(r.vec) for r in E.decode(idx, s).collect()}
+    stored = [0.5 * i - 2 for i in range(s.dim())]
+    hist = spark.createDataFrame([("u", "1"), ("u", "2"), ("w", "3")], "user_id string, item_id string")
+    vectors = spark.createDataFrame([("u", stored), ("k", stored), ("bad", [1.0])], "user_id string, vec array<double>")
+    users = spark.createDataFrame([("u",), ("k",), ("w",), ("bad",)], "user_id string")
+    out = R.recommend(users, hist, idx, s, k=3, cold_vectors=vectors, cold_start_weight=2.0)
+    want = {"u": (vec["1"] + vec["2"] + 2 * np.array(stored)) / 4, "k": np.array(stored), "w": vec["3"], "bad": np.zeros(s.dim())}
+    got = {(r.query_id, r.item_id): r.distance for r in out.collect()}
+    assert len(got) == 12
+    for (u, i), d in got.items():
+        assert d == pytest.approx(float(((want[u] - vec[i]) ** 2).sum()), abs=1e-6)
+    assert knn.QUERY_ID in out.columns
+
+
+def test_rejected_users_are_listed(spark, items):
+    s = Schema.build([{"field": "n", "type": "numeric", "weight": 1}], FILTERS, "l2", user_encoders=[{"field": "n", "type": "numeric", "weight": 1}])
+    users = spark.createDataFrame([("a", "US", "1"), ("b", "XX", "1"), ("c", "EU", "one")], "user_id string, country string, n string")
+    out = sorted((r.user_id, r.reason) for r in R.user_rejects(users, s).collect())
+    assert out == [("b", "undeclared partition value for country"), ("c", "non-numeric value for n")]
+    cold = spark.createDataFrame([("a", "1"), ("b", "NaN")], "user_id string, n string")
+    assert [r.user_id for r in profiles.cold_start_rejects(cold, s).collect()] == ["b"]
