@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from ..operators import ingest, knn, profiles
 from ..operators.encode import CODES, ITEM_ID
 from ..schema import Schema
+from ..sources.model_io import read_typed, save_types
 from .runner import BATCH_ID
 
 USER_ID = profiles.USER_ID
@@ -103,10 +104,11 @@ def index_batch_fn(schema: Schema, index_path: str, rejects_path: str, tables=No
         if schema.filter_fields:
             w = w.partitionBy(*schema.filter_fields)
         w.parquet(f"{index_path}/{BATCH_ID}={batch_id}")
+        save_types(b.added, f"{index_path}_types")
         b.rejects.write.mode("overwrite").parquet(f"{rejects_path}/{BATCH_ID}={batch_id}")
     return on_batch
 
 
 def read_stream_index(spark, index_path: str, schema: Schema) -> DataFrame:
     """The index written by STR-6 (every batch), in the usual index layout."""
-    return spark.read.parquet(index_path).select(ITEM_ID, *schema.filter_fields, CODES)
+    return read_typed(spark, index_path, f"{index_path}_types").select(ITEM_ID, *schema.filter_fields, CODES)

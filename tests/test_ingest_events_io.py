@@ -13,6 +13,7 @@ from proxima.sources import model_io
 
 from conftest import ENCODERS_2, FILTERS
 
+# fixed values: the documented second load of the toy catalogue
 MORE = [("id1", "low", "meat", "US"), ("id2", "mid", "meat", "EU"), ("id3", "low", "dairy", "US"),
         ("id4", "high", "meat", "EU"), ("id5", "low", "meat", "US"), ("id6", "mid", "meat", "EU")]
 DDL = "id string, price string, category string, country string"
@@ -103,10 +104,68 @@ def test_ordered_events_hot_user_split_across_tasks(spark):
     ev = spark.range(30000).select(
         F.when(F.col("id") % 10 < 8, F.lit("hot")).otherwise((F.col("id") % 7).cast("string")).alias("user_id"),
         ((F.col("id") * 7919) % 30011).alias("ts"), F.col("id").alias("event_id"))
-    out = EV.ordered_events(ev, hot_user_rows=1000)   # force the split path
+    out = EV.ordered_events(ev)
     hot = out.filter("user_id = 'hot'")
     rows = [(r.ts, r.event_id, r.pos) for r in hot.orderBy("pos").collect()]
     assert [p for _, _, p in rows] == list(range(1, len(rows) + 1))
     assert [(t, e) for t, e, _ in rows] == sorted((t, e) for t, e, _ in rows)
     per_user = out.groupBy("user_id").agg(F.max("pos").alias("m"), F.count(F.lit(1)).alias("n"))
     assert per_user.filter("m != n").count() == 0
+
+
+def test_pop_takes_one_event_of_each_user(spark):
+    ev = spark.createDataFrame([("u1", 1, 1), ("u1", 2, 2), ("u2", 1, 1), ("u2", 3, 1), ("u3", 5, 9), ("u3", 5, 9)], "user_id string, ts long, event_id long")
+    popped, rest = EV.pop_oldest(ev)
+    assert sorted(map(tuple, popped.collect())) == [("u1", 1, 1), ("u2", 1, 1), ("u3", 5, 9)]
+    assert sorted(map(tuple, rest.collect())) == [("u1", 2, 2), ("u2", 3, 1), ("u3", 5, 9)]
+
+
+def test_text_fields_are_not_trimmed_and_short_lines_pass(spark):
+    ev = spark.createDataFrame([("u", 1, "007", 2.0), ("u", 2, "1e3", 2.5)], "user_id string, ts long, code string, qty double")
+    raw = EV.export_events(ev, ["code", "qty"]).orderBy("ts").collect()
+    assert [r.raw for r in raw] == ["007|2", "1e3|2.5"]
+    back = EV.import_events(spark.createDataFrame([("a|b",), ("a",)], "raw string"), ["x", "y"]).collect()
+    assert [(r.x, r.y) for r in back] == [("a", "b"), ("a", None)]
+
+
+def test_filter_values_keep_their_type(spark):
+    s = Schema.build(ENCODERS_2, [{"field": "country", "values": ["01", "1"]}], "l2")
+    df = spark.createDataFrame([("a", "low", "meat", "01"), ("b", "low", "meat", "1")], DDL)
+    path = os.path.join(ensure_checkpoint_dir(spark), f"model-{uuid.uuid4().hex}")
+    model_io.save_model(ingest.build_index(df, s).index, s, path)
+    model_io.save_model(ingest.build_index(df.filter("id = 'b'"), s).index, s.with_variant("v", "v", {}), path, mode="append")
+    idx, s2 = model_io.load_model(spark, path)
+    assert sorted((r.item_id, r.country) for r in idx.collect()) == [("a", "01"), ("b", "1"), ("b", "1")]
+    assert len(s2.strategies) == 2
+
+
+def test_upsert_keeps_the_row_with_the_largest_order(spark):
+    s = Schema.build(ENCODERS_2, FILTERS, "l2")
+    df = spark.createDataFrame([("1", "low", "meat", "US", 3), ("1", "mid", "meat", "EU", 9), ("1", "high", "meat", "US", 5), ("2", "low", "meat", "XX", 1)], DDL + ", v int")
+    up = ingest.build_index(df, s, "upsert", order_col="v").index.collect()
+    assert [(r.item_id, r.country, r.codes.price) for r in up] == [("1", "EU", 2)]
+    first = ingest.build_index(df, s, "skip_existing", order_col="v").index.collect()
+    assert [(r.item_id, r.country, r.codes.price) for r in first] == [("1", "US", 1)]
+
+
+def test_json_files_with_lists_and_broken_lines(spark):
+    from proxima.sources import files
+    path = os.path.join(ensure_checkpoint_dir(spark), f"json-{uuid.uuid4().hex}")
+    lines = ['{"id": "1", "price": "low", "category": "meat", "country": ["US", "EU"]}', '{"id": "2", "price": "mid", "category": "meat", "country": "US"}',
+             '{"id": "3", "price": ', '{"id": "4", "price": "mid", "category": "meat", "country": "XX"}']
+    spark.createDataFrame([(x,) for x in lines], "value string").write.text(path)
+    b = files.ingest_json(spark, path, Schema.build(ENCODERS_2, FILTERS, "l2"))
+    assert sorted((r.item_id, r.country) for r in b.index.collect()) == [("1", "EU"), ("1", "US"), ("2", "US")]
+    assert sorted(r.reason for r in b.rejects.collect()) == ["malformed record", "undeclared partition value for country"]
+
+
+def test_clusters_need_a_shared_checkpoint_folder(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    import pytest
+
+    from proxima import session
+    conf = SimpleNamespace(get=lambda *a: None)
+    fake = SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="spark://host:7077", getConf=lambda: conf))
+    with pytest.raises(ValueError):
+        session.ensure_checkpoint_dir(fake)

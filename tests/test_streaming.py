@@ -54,7 +54,7 @@ def test_stream_recommend_with_compaction_equals_batch(spark, monkeypatch):
 
 def test_stream_event_lists_delete_control_event(spark):
     from proxima.session import scratch_path
-    from proxima.streaming.runner import batch_sink, file_stream, latest, run_available_now
+    from proxima.streaming.runner import batch_sink, file_stream, run_available_now
     t0 = dt.datetime(2024, 1, 1)
     h = lambda x: t0 + dt.timedelta(hours=x)
     ev = spark.createDataFrame([("u", h(0), "view"), ("u", h(1), "view"), ("u", h(2), "delete"),
@@ -65,6 +65,30 @@ def test_stream_event_lists_delete_control_event(spark):
     lists = SE.event_lists(file_stream(spark, src, ev), delete_types=["delete"])
     run_available_now(lists.writeStream.outputMode("update").foreachBatch(batch_sink(sink)),
                       scratch_path(spark, "del-ck"))
-    out = sorted((r.user_id, r.n_events, r.status) for r in latest(spark.read.parquet(sink),
-                                                                    ["user_id", "list_start_us"]).collect())
+    out = sorted((r.user_id, r.n_events, r.status) for r in SE.live_lists(spark.read.parquet(sink)).collect())
     assert out == [("u", 2, "deleted"), ("u", 2, "open"), ("v", 1, "open")]
+    batch = SE.event_lists(ev, delete_types=["delete"])
+    assert sorted((r.user_id, r.n_events, r.status == "deleted") for r in batch.collect()) == [("u", 2, False), ("u", 2, True), ("v", 1, False)]
+
+
+def test_runs_merge_whatever_the_order_and_the_cut():
+    import numpy as np
+    rng = np.random.default_rng(1)
+    none = np.zeros(0, np.int64)
+    for _ in range(50):
+        t = rng.integers(0, 200, 30)
+        one = np.ones(30, np.int64)
+        whole = SE.merge_runs(t, t, one, none, 5)
+        cut = rng.integers(1, 29)
+        parts = [SE.merge_runs(x, x, one[:len(x)], none, 5) for x in (t[:cut], t[cut:])]
+        again = SE.merge_runs(*[np.concatenate(c) for c in zip(*parts)], none, 5)
+        assert all((a == b).all() for a, b in zip(whole, again))
+
+
+def test_unsorted_and_control_streams_match_batch(spark):
+    cols = W.LIST_COLS
+    batch = SE.event_lists(W.table(spark, SF_SMALL, "events")).select(*cols)
+    assert _canon(W.stream_event_lists_unsorted(spark, SF_SMALL)) == _canon(batch)
+    control = SE.event_lists(W.table(spark, SF_SMALL, "events"), delete_types=["purchase"], pop_types=["error"])
+    control = control.select(*cols, (F.col("status") == "deleted").alias("deleted"))
+    assert _canon(W.stream_event_control(spark, SF_SMALL)) == _canon(control)
