@@ -251,8 +251,12 @@ def queries() -> dict:
                           f"LEFT JOIN embeddings e ON p.p_partkey = e.vec_id) {long_form('v')}")
     q["enc_json"] = (f"WITH v AS (SELECT CAST(vec_id AS VARCHAR) AS item_id, CAST(embedding AS DOUBLE[]) AS vec "
                      f"FROM embeddings) {long_form('v')}")
-    q["enc_json_sparse"] = (f"SELECT CAST(event_id AS VARCHAR) AS item_id, CAST(json_extract_string(props, '$.k') "
-                            f"AS INTEGER) AS pos, {rd('value')} AS val FROM events WHERE value <> 0")
+    q["enc_json_sparse"] = (
+        f"WITH e AS (SELECT CAST(event_id AS VARCHAR) AS item_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, value FROM events) "
+        f"SELECT item_id, CASE WHEN k < 50 THEN 50 END AS n_slots, CASE WHEN k < 50 THEN CAST(50 - CAST(value <> 0 AS INTEGER) AS INTEGER) END AS n_zero, "
+        f"CASE WHEN k < 50 THEN {rd('value')} END AS total, CASE WHEN k >= 50 THEN 'bad vector for sparse' END AS reason FROM e")
+    q["enc_custom"] = (f"WITH v AS (SELECT CAST(p_partkey AS VARCHAR) AS item_id, [{dbl(2)} * (p_size / {dbl(50)}), "
+                       f"{dbl(2)} * ({dbl(1)} - p_size / {dbl(50)})] AS vec FROM part) {long_form('v')}")
     q["enc_feature_table"] = (f"WITH v AS (SELECT CAST(p.p_partkey AS VARCHAR) AS item_id, "
                               f"list_transform(CAST(e.embedding AS DOUBLE[]), lambda x: x * 1.0) AS vec FROM part p "
                               f"JOIN embeddings e ON p.p_partkey = e.vec_id) {long_form('v')}")
@@ -268,7 +272,7 @@ def queries() -> dict:
     # user override: the profile's brand block is replaced by the customer's own brand
     ub_o = f"""ubo AS (SELECT ub.user_id, list_concat(ob.bb, ub.bs, ub.bp, ub.bn) AS vec, ob.bb AS bb, ub.bs, ub.bp, ub.bn
                FROM ub JOIN (SELECT CAST(c_custkey AS VARCHAR) AS user_id,
-                 {b_brand(2, brand_code("'Brand#' || CAST(c_nationkey + 1 AS VARCHAR)"))} AS bb FROM customer) ob
+                 {b_brand(1, brand_code("'Brand#' || CAST(c_nationkey + 1 AS VARCHAR)"))} AS bb FROM customer) ob
                ON ub.user_id = ob.user_id)"""
     base = user_knn_sql(ORDER_HIST.format(w=dbl(1)), CUSTOMERS, explain=True, ub_override="ubo")
     q["enc_user_override"] = base.replace("\npairs AS (", f"\n{ub_o},\npairs AS (", 1)
@@ -282,8 +286,12 @@ def queries() -> dict:
                            f"{_slist(P_TYPES[:-1])}, p_type)")
     codes = (f"item_id, p_type, c_brand AS c_p_brand, c_size AS c_p_size, p_retailprice AS c_p_retailprice, "
              f"{noun_code()} AS c_p_noun")
-    q["ingest_skip_existing"] = (f"WITH {PART_ENC} SELECT {codes} FROM part_enc WHERE p_size <= 25 "
-                                 f"OR p_type IN ('PROMO', 'SMALL')")
+    q["ingest_skip_existing"] = f"WITH {PART_ENC} SELECT {codes} FROM part_enc"
+    q["query_rejects"] = q["ingest_rejects"].replace("AS item_id", "AS query_id", 1)
+    q["ingest_json"] = (f"WITH {PART_ENC} SELECT {codes}, CAST(NULL AS VARCHAR) AS reason FROM part_enc WHERE p_size <> 50 UNION ALL "
+                        f"SELECT NULL, NULL, NULL, NULL, NULL, NULL, 'malformed record' FROM part WHERE p_size = 50")
+    q["ingest_csv"] = (f"WITH {PART_ENC} SELECT item_id, CASE WHEN p_size <> 50 THEN c_brand END AS c_p_brand, "
+                       f"CASE WHEN p_size = 50 THEN 'malformed record' END AS reason FROM part_enc")
     q["stream_index"] = f"WITH {PART_ENC} SELECT {codes} FROM part_enc"
     q["ingest_upsert"] = (f"WITH {PART_ENC} SELECT item_id, p_type, CAST(CASE WHEN p_size > 40 THEN 1 ELSE c_brand "
                           f"END AS INTEGER) AS c_p_brand, c_size AS c_p_size, p_retailprice AS c_p_retailprice, "
@@ -297,8 +305,7 @@ def queries() -> dict:
     q["partition_stats"] = (f"WITH d AS ({decl}), c AS (SELECT p_type, count(*) AS n FROM part GROUP BY p_type) "
                             f"SELECT d.p_type AS partition, d.p_type, CAST(coalesce(c.n, 0) AS BIGINT) AS "
                             f"element_count FROM d LEFT JOIN c ON d.p_type = c.p_type")
-    q["affected_partitions"] = ("SELECT count(DISTINCT p_type) AS affected_partitions FROM part "
-                                "WHERE p_size <= 10")
+    q["affected_partitions"] = "SELECT count(DISTINCT p_type) AS affected_partitions FROM part"
     q["total_items"] = "SELECT count(DISTINCT p_partkey) AS total_items FROM part"
     q["index_stats"] = ("SELECT p_type AS partition, p_type, count(*) AS element_count, "
                         f"CAST({DIM} AS INTEGER) AS dim FROM part GROUP BY p_type")
@@ -313,6 +320,19 @@ def queries() -> dict:
     q["knn_cosine"] = knn_sql("cosine")
     q["knn_explain_l2"] = knn_sql("l2", explain=True)
     q["knn_explain_ip"] = knn_sql("ip", explain=True)
+    parts = " UNION ALL ".join(f"SELECT query_id, rank, item_id, '{f}' AS feature, x_{f} AS part FROM e" for f in FEATS)
+    q["explanation_long"] = f"WITH e AS ({knn_sql('l2', explain=True)}) {parts}"
+    q["explanation_sums"] = f"SELECT query_id, rank, item_id, true AS sums FROM ({knn_sql('l2')})"
+    q["knn_unscaled"] = """WITH pairs AS (SELECT CAST(q.o_orderkey AS VARCHAR) AS query_id, CAST(i.o_orderkey AS VARCHAR) AS item_id,
+  (q.o_totalprice - i.o_totalprice) * (q.o_totalprice - i.o_totalprice) AS distance FROM orders q JOIN orders i
+  ON q.o_orderpriority = i.o_orderpriority AND q.o_orderstatus = i.o_orderstatus),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, item_id) AS rk FROM pairs)
+SELECT query_id, CAST(rk AS INTEGER) AS rank, item_id, distance FROM r WHERE rk <= 3"""
+    tiny = dbl((1e-9) ** 2)
+    q["knn_tiny_weight"] = f"""WITH pairs AS (SELECT CAST(q.p_partkey AS VARCHAR) AS query_id, CAST(i.p_partkey AS VARCHAR) AS item_id,
+  {tiny} * ((q.p_retailprice - i.p_retailprice) * (q.p_retailprice - i.p_retailprice)) AS distance FROM part q JOIN part i ON q.p_type = i.p_type),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, item_id) AS rk FROM pairs)
+SELECT query_id, CAST(rk AS INTEGER) AS rank, item_id FROM r WHERE rk <= 3"""
     q["knn_multi_partition"] = multi_partition_sql(3, "partition")
     q["knn_total_topk"] = multi_partition_sql(3, "total")
     q["knn_two_filters"] = knn_sql("l2", on="q.p_type = i.p_type AND q.size_class = i.size_class",
@@ -329,6 +349,9 @@ def queries() -> dict:
 pairs AS (SELECT q.item_id AS query_id, i.label, i.item_id, {sq('q.vec', 'i.vec')} AS distance FROM e q JOIN e i ON q.label = i.label),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {rk9()}, item_id) AS rk FROM pairs)
 SELECT query_id, label, CAST(rk AS INTEGER) AS rank, item_id, {rd('distance')} AS distance FROM r WHERE rk <= 10"""
+    q["knn_ivf"] = q["knn_dense"]  # every list probed
+    q["ann_recall"] = ("SELECT method, true AS recall_reached, (SELECT count(*) FROM embeddings) > 0 AS all_have_k "
+                       "FROM (VALUES ('ivf'), ('lsh')) t(method)")
     q["knn_global"] = user_knn_sql(EVENT_HIST, EVENT_USERS)
     q["fetch_vectors"] = (f"WITH {PART_ENC}, {part_vec()}, f AS (SELECT * FROM part_vec WHERE item_id IN "
                           f"(SELECT json_extract_string(props, '$.k') FROM events)) "
@@ -355,6 +378,10 @@ pairs AS (SELECT u.user_id AS query_id, e.item_id, e.label, sum((u.m - e.x) * (u
           FROM uv u JOIN ex e ON u.pos = e.pos GROUP BY u.user_id, e.item_id, e.label),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {rk9()}, item_id) AS rk FROM pairs)
 SELECT query_id, label, CAST(rk AS INTEGER) AS rank, item_id, {rd('distance')} AS distance FROM r WHERE rk <= {K}"""
+    q["user_coldstart_vector"] = q["user_dense_events"].replace("uv AS (", """hy AS (SELECT * FROM hx UNION ALL
+       SELECT e.item_id AS user_id, CAST(2.0 AS DOUBLE) AS w, generate_subscripts(e.v, 1) AS pos, unnest(e.v) AS x
+       FROM emb e JOIN customer c ON CAST(c.c_custkey AS VARCHAR) = e.item_id),
+uv AS (""", 1).replace("FROM hx GROUP BY user_id, pos", "FROM hy WHERE user_id IN (SELECT e.item_id FROM emb e JOIN customer c ON CAST(c.c_custkey AS VARCHAR) = e.item_id) GROUP BY user_id, pos", 1)
     q["user_query_explain"] = user_knn_sql(EVENT_HIST, EVENT_USERS, explain=True)
 
     # events
@@ -363,6 +390,7 @@ SELECT query_id, label, CAST(rk AS INTEGER) AS rank, item_id, {rd('distance')} A
     q["events_ordered"] = (f"WITH {ev} SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, "
                            f"event_id) AS INTEGER) AS pos, CAST(event_id AS VARCHAR) AS event_id, event_type, "
                            f"item_id FROM ev")
+    q["events_append"] = f"SELECT user_id, pos, event_id FROM ({q['events_ordered']})"
     trim_v = ("CASE WHEN value = floor(value) THEN CAST(CAST(value AS BIGINT) AS VARCHAR) "
               "ELSE CAST(value AS VARCHAR) END")
     q["events_import_export"] = (f"WITH {ev} SELECT user_id, CAST(event_id AS VARCHAR) || '|' || event_type || '|' "
@@ -381,8 +409,23 @@ SELECT query_id, label, CAST(rk AS INTEGER) AS rank, item_id, {rd('distance')} A
         "ROWS UNBOUNDED PRECEDING) AS sid FROM g) "
         "SELECT user_id, min(t) AS list_start_us, max(t) AS last_event_us, max(t) + 86400000000 AS expires_at_us, "
         "count(*) AS n_events FROM s GROUP BY user_id, sid")
+    q["stream_event_lists_unsorted"] = q["stream_event_lists"]
+    q["stream_event_control"] = """WITH e AS (SELECT CAST(user_id AS VARCHAR) AS user_id, epoch_us(ts) AS t, event_id, event_type FROM events),
+d AS (SELECT user_id, t FROM e WHERE event_type = 'purchase'), p AS (SELECT user_id, t FROM e WHERE event_type = 'error'),
+x AS (SELECT e.*, (SELECT count(*) FROM d WHERE d.user_id = e.user_id AND d.t < e.t) AS epoch FROM e WHERE event_type NOT IN ('purchase', 'error')),
+g AS (SELECT *, CASE WHEN lag(t) OVER w IS NULL OR t - lag(t) OVER w > 86400000000 THEN 1 ELSE 0 END AS brk
+      FROM x WINDOW w AS (PARTITION BY user_id, epoch ORDER BY t, event_id)),
+s AS (SELECT *, sum(brk) OVER (PARTITION BY user_id, epoch ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS sid FROM g),
+l AS (SELECT user_id, epoch, sid, min(t) AS a, max(t) AS z, count(*) AS n FROM s GROUP BY user_id, epoch, sid),
+c AS (SELECT *, (SELECT min(d.t) FROM d WHERE d.user_id = l.user_id AND d.t >= l.z) AS cut FROM l),
+o AS (SELECT *, least(z + 86400000000, coalesce(cut, z + 86400000000)) AS ended FROM c)
+SELECT user_id, a AS list_start_us, z AS last_event_us, z + 86400000000 AS expires_at_us,
+       CAST(greatest(0, n - (SELECT count(*) FROM p WHERE p.user_id = o.user_id AND p.t >= o.a AND p.t <= o.ended)) AS BIGINT) AS n_events,
+       coalesce(cut <= z + 86400000000, false) AS deleted FROM o"""
     q["events_delete"] = (f"WITH {ev} SELECT user_id, CAST(event_id AS VARCHAR) AS event_id FROM ev WHERE user_id "
                           f"NOT IN (SELECT user_id FROM ev WHERE event_type = 'error' AND value >= 250.0)")
+    q["get_vectors"] = ("WITH v AS (SELECT CAST(vec_id AS VARCHAR) AS key, CAST(embedding AS DOUBLE[]) AS vec FROM embeddings "
+                        "WHERE vec_id IN (SELECT user_id FROM events)) " + long_form("v", ("key",)))
     q["vectors_upsert"] = ("WITH v AS (SELECT CAST(vec_id AS VARCHAR) AS key, CASE WHEN label = 0 THEN "
                            "list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * 2) ELSE CAST(embedding AS "
                            "DOUBLE[]) END AS vec FROM embeddings) " + long_form("v", ("key",)))

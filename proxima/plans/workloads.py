@@ -9,16 +9,20 @@ places, ranks are 1-based INT, ties are broken by ``item_id``.
 from __future__ import annotations
 
 import uuid
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import ann
 from ..operators import encode as E
 from ..operators import events as EV
 from ..operators import ingest, knn, profiles
 from ..schema import Schema
+from ..functions import custom
 from ..functions.numeric import quantize
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, write_table
+from ..sources import files
 from . import recommend as R
 
 # --- fixed values of the workloads (domains of the driver's tables) ------------
@@ -33,9 +37,18 @@ EVENT_WEIGHTS = {"view": 5, "click": 100, "purchase": 100}
 VARIANT_WEIGHTS = {"p_brand": 0.5, "p_noun": 0.0}
 K = 5
 DEC = 6
+TIES = 9  # distances equal to so many places count as ties, as other engines round differently
 # -------------------------------------------------------------------------------
 
 
+similar_items = partial(R.similar_items, tie_decimals=TIES)
+recommend = partial(R.recommend, tie_decimals=TIES)
+recommend_from_events = partial(R.recommend_from_events, tie_decimals=TIES)
+variants_side_by_side = partial(R.variants_side_by_side, tie_decimals=TIES)
+search = partial(knn.knn, tie_decimals=TIES)
+lsh_search = partial(ann.knn_lsh, tie_decimals=TIES)
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
@@ -155,10 +168,22 @@ def _event_sparse(spark, sf) -> DataFrame:
 
 
 def enc_json_sparse(spark, sf):
-    """Sparse ``{"index": value}`` objects -> dense length-100 vectors (non-zero slots shown)."""
-    enc = {"field": "sparse", "type": "json", "length": 100, "weight": 1}
-    out = _encode_single(spark, sf, enc, _event_sparse(spark, sf), "event_id")
-    return out.filter(F.col("val") != 0)
+    """Sparse ``{"index": value}`` objects -> dense vectors of 50 slots; an index beyond them
+    rejects the row."""
+    enc = {"field": "sparse", "type": "json", "length": 50, "weight": 1}
+    s = Schema.build([enc], [], "l2", "event_id")
+    b = ingest.build_index(_event_sparse(spark, sf), s)
+    v = F.col("codes.sparse")
+    good = b.added.select("item_id", F.size(v).alias("n_slots"), F.size(F.filter(v, lambda x: x == 0)).alias("n_zero"),
+                          _rd(F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x)).alias("total"), F.lit(None).cast("string").alias("reason"))
+    none = [F.lit(None).cast(t).alias(n) for n, t in (("n_slots", "int"), ("n_zero", "int"), ("total", "double"))]
+    return good.unionByName(b.rejects.select("item_id", *none, "reason"))
+
+
+def enc_custom(spark, sf):
+    """UDF-1: a registered encoder turns the part size into two slots."""
+    custom.register("size_share", 2, lambda v, spec: F.array(v.cast("double") / 50.0, F.lit(1.0) - v.cast("double") / 50.0))
+    return _encode_single(spark, sf, {"field": "p_size", "type": "size_share", "weight": 2})
 
 
 def enc_feature_table(spark, sf):
@@ -200,13 +225,13 @@ def decode_variant(spark, sf):
 
 def enc_user_override(spark, sf):
     """ENC-19: customers' profiles (from their orders) with the brand part replaced by the
-    user's own brand (derived from the nation)."""
-    s = part_schema(user_encoders=[{"field": "p_brand", "type": "onehot", "values": BRANDS_DECLARED, "weight": 2}])
+    user's own brand (derived from the nation), under the user encoder's own weight."""
+    s = part_schema(user_encoders=[{"field": "p_brand", "type": "onehot", "values": BRANDS_DECLARED, "weight": 1}])
     idx = part_index(spark, sf, s)
     users = table(spark, sf, "customer").select(
         F.col("c_custkey").cast("string").alias("user_id"), F.lit(None).cast("string").alias("p_type"),
         F.concat(F.lit("Brand#"), (F.col("c_nationkey") + 1).cast("string")).alias("p_brand"))
-    out = R.recommend(users, _order_history(spark, sf), idx, s, k=K, explain=True, restrict_partition=False)
+    out = recommend(users, _order_history(spark, sf), idx, s, k=K, explain=True, restrict_partition=False)
     return _knn_out(out)
 
 
@@ -226,7 +251,7 @@ def ingest_skip_existing(spark, sf):
     s = part_schema()
     p = parts(spark, sf)
     first = ingest.build_index(p.filter(F.col("p_size") <= 25), s).index
-    b = ingest.build_index(p.filter(F.col("p_type").isin("PROMO", "SMALL")), s, "skip_existing", first)
+    b = ingest.build_index(p, s, "skip_existing", first)
     return _codes_out(b.index, s)
 
 
@@ -264,7 +289,7 @@ def partition_stats(spark, sf):
 
 def affected_partitions(spark, sf):
     s = part_schema()
-    b = ingest.build_index(parts(spark, sf).filter(F.col("p_size") <= 10), s)
+    b = ingest.build_index(parts(spark, sf), s)
     return ingest.affected_partitions(b.added, s)
 
 
@@ -286,10 +311,45 @@ def distinct_keys(spark, sf):
             .unionByName(EV.distinct_keys(emb, "vec_id", "vector")))
 
 
+def ingest_json(spark, sf):
+    """SRC-2: parts written as JSON lines and read back; the lines of the largest size are cut
+    off and go to the rejects."""
+    js = F.to_json(F.struct("p_partkey", "p_type", "p_brand", "p_size", "p_retailprice", "p_noun"))
+    lines = parts(spark, sf).select("p_size", js.alias("line")).select(
+        F.when(F.col("p_size") == 50, F.substring("line", 1, 30)).otherwise(F.col("line")).alias("value"))
+    s = part_schema()
+    path = _scratch(spark, "parts-json")
+    lines.write.text(path)
+    b = files.ingest_json(spark, path, s)
+    out = _codes_out(b.index, s).withColumn("reason", F.lit(None).cast("string"))
+    bad = b.rejects.select("reason")
+    return out.unionByName(bad, allowMissingColumns=True)
+
+
+def ingest_csv(spark, sf):
+    """SRC-3: parts written as CSV and read back; the lines of the largest size miss their last
+    fields and go to the rejects."""
+    p = parts(spark, sf)
+    names = ["p_partkey", "p_type", "p_brand", "p_size", "p_retailprice", "p_noun"]
+    whole = F.concat_ws(",", *[F.col(n).cast("string") for n in names])
+    lines = p.select(F.when(F.col("p_size") == 50, F.concat_ws(",", F.col("p_partkey").cast("string"), "p_type")).otherwise(whole).alias(",".join(names)))
+    path = _scratch(spark, "parts-csv")
+    lines.write.option("header", True).option("sep", "\t").csv(path)  # one column: the lines as they are
+    b = files.ingest_csv(spark, path, part_schema())
+    good = b.index.select("item_id", F.col("codes.p_brand").alias("c_p_brand"), F.lit(None).cast("string").alias("reason"))
+    return good.unionByName(b.rejects.select("item_id", F.lit(None).cast("int").alias("c_p_brand"), "reason"))
+
+
+def query_rejects(spark, sf):
+    """FLT-2 on the query side: parts of the undeclared type, or of an unknown brand."""
+    s = Schema.build(part_encoders(), [{"field": "p_type", "values": P_TYPES[:-1]}], "l2", "p_partkey")
+    return R.query_rejects(parts(spark, sf), s, strict_unknown=True).select("query_id", "reason")
+
+
 # ============================================================== kNN
 def _item_knn(spark, sf, schema, k=K, **kw):
     idx = part_index(spark, sf, schema)
-    return R.similar_items(parts(spark, sf), idx, schema, k=k, **kw)
+    return similar_items(parts(spark, sf), idx, schema, k=k, **kw)
 
 
 def knn_l2(spark, sf):
@@ -312,6 +372,35 @@ def knn_explain_l2(spark, sf):
     return _knn_out(_item_knn(spark, sf, part_schema(), explain=True))
 
 
+def explanation_long(spark, sf):
+    """Q-4: the explanation map of every hit, one row a feature."""
+    out = knn.explanation_map(_item_knn(spark, sf, part_schema(), explain=True), part_schema())
+    out = out.select("query_id", "rank", "item_id", F.explode("explanation").alias("feature", "part"))
+    return out.withColumn("part", _rd(F.col("part")))
+
+
+def explanation_sums(spark, sf):
+    """AGG-7: the components of every hit sum to its distance."""
+    out = knn.explanation_check(_item_knn(spark, sf, part_schema(), explain=True), part_schema())
+    return out.select("query_id", "rank", "item_id", (F.col("explain_gap") < 1e-6).alias("sums"))
+
+
+def knn_unscaled(spark, sf):
+    """Distances far above one: orders by total price, weight 1, ranked by the exact double."""
+    o = table(spark, sf, "orders")
+    prio = [*PRIORITIES_DECLARED, "5-LOW"]
+    s = Schema.build([{"field": "o_totalprice", "type": "numeric", "weight": 1}],
+                     [{"field": "o_orderpriority", "values": prio}, {"field": "o_orderstatus", "values": ["F", "O", "P"]}], "l2", "o_orderkey")
+    return R.similar_items(o, ingest.build_index(o, s).index, s, k=3).select("query_id", "rank", "item_id", "distance")
+
+
+def knn_tiny_weight(spark, sf):
+    """Distances far below one: part prices under a weight of 1e-9."""
+    s = Schema.build([{"field": "p_retailprice", "type": "numeric", "weight": 1e-9}], [{"field": "p_type", "values": P_TYPES}], "l2", "p_partkey")
+    p = parts(spark, sf)
+    return R.similar_items(p, ingest.build_index(p, s).index, s, k=3).select("query_id", "rank", "item_id")
+
+
 def knn_explain_ip(spark, sf):
     return _knn_out(_item_knn(spark, sf, part_schema("ip"), explain=True))
 
@@ -320,13 +409,13 @@ def knn_multi_partition(spark, sf):
     """FLT-3 / D4: each query searches its own type and PROMO, up to k per partition."""
     s = part_schema()
     idx = part_index(spark, sf, s)
-    return _knn_out(R.similar_items(_multi_partition_parts(spark, sf), idx, s, k=3))
+    return _knn_out(similar_items(_multi_partition_parts(spark, sf), idx, s, k=3))
 
 
 def knn_total_topk(spark, sf):
     s = part_schema()
     idx = part_index(spark, sf, s)
-    return _knn_out(R.similar_items(_multi_partition_parts(spark, sf), idx, s, k=3, k_scope="total"))
+    return _knn_out(similar_items(_multi_partition_parts(spark, sf), idx, s, k=3, k_scope="total"))
 
 
 def _size_class(df):
@@ -337,7 +426,7 @@ def knn_two_filters(spark, sf):
     s = part_schema(filters=[{"field": "p_type", "values": P_TYPES}, {"field": "size_class", "values": ["S", "L"]}])
     p = _size_class(parts(spark, sf))
     idx = part_index(spark, sf, s, p)
-    return _knn_out(R.similar_items(p, idx, s, k=K))
+    return _knn_out(similar_items(p, idx, s, k=K))
 
 
 def knn_no_filter(spark, sf):
@@ -359,7 +448,7 @@ def knn_variant(spark, sf):
 def knn_variants_side_by_side(spark, sf):
     s = part_schema(strategies={"v1": VARIANT_WEIGHTS})
     idx = part_index(spark, sf, s)
-    return _knn_out(R.variants_side_by_side(parts(spark, sf), idx, s, ["0", "v1"], k=K))
+    return _knn_out(variants_side_by_side(parts(spark, sf), idx, s, ["0", "v1"], k=K))
 
 
 def embedding_schema(metric="l2") -> Schema:
@@ -372,7 +461,7 @@ def knn_dense(spark, sf):
     s = embedding_schema()
     emb = table(spark, sf, "embeddings")
     idx = ingest.build_index(emb, s).index
-    return _knn_out(R.similar_items(emb, idx, s, k=10))
+    return _knn_out(similar_items(emb, idx, s, k=10))
 
 
 def _dense_setup(spark, sf):
@@ -382,30 +471,36 @@ def _dense_setup(spark, sf):
 
 
 def knn_ivf(spark, sf):
-    """Q-6: approximate dense kNN with inverted lists (k-means quantizer, nprobe lists)."""
+    """Q-6: inverted lists (k-means quantizer); probing every list is the exact search."""
     s, emb, idx = _dense_setup(spark, sf)
-    q = knn.item_queries(emb, s)
-    return _knn_out(knn.knn(q, idx, s, k=10, method="ivf", nlist=8, nprobe=4))
+    return _knn_out(search(knn.item_queries(emb, s), idx, s, k=10, method="ivf", nlist=8, nprobe=8))
 
 
 def knn_lsh(spark, sf):
-    """Q-6: approximate dense kNN with random-projection LSH within a radius."""
-    from ..operators import ann
+    """Q-6: approximate dense kNN by bucketed random projections."""
     s, emb, idx = _dense_setup(spark, sf)
-    q = knn.item_queries(emb, s)
-    return _knn_out(ann.knn_lsh(q, idx, s, k=10, radius=1.4, bucket_length=2.0, num_tables=6))
+    return _knn_out(search(knn.item_queries(emb, s), idx, s, k=10, method="lsh"))
+
+
+RECALL = {"ivf": 0.6, "lsh": 0.9}  # at least
 
 
 def ann_recall(spark, sf):
-    """Recall@10 of the IVF and LSH searches against the exact dense search."""
-    from ..operators import ann
+    """Recall@10 of the IVF (half of the lists) and LSH searches against the exact search: is
+    the stated value reached, and has every query its k hits?"""
     s, emb, idx = _dense_setup(spark, sf)
-    q = knn.item_queries(emb, s)
-    exact = knn.knn(q, idx, s, k=10, method="scan")
-    ivf = knn.knn(q, idx, s, k=10, method="ivf", nlist=8, nprobe=4)
-    lsh = ann.knn_lsh(q, idx, s, k=10, radius=1.4, bucket_length=2.0, num_tables=6)
-    return (ann.recall_at_k(ivf, exact).withColumn("method", F.lit("ivf"))
-            .unionByName(ann.recall_at_k(lsh, exact).withColumn("method", F.lit("lsh"))))
+    idx = write_table(idx, "dense-index")
+    q = write_table(knn.item_queries(emb, s), "dense-queries")
+    exact = write_table(search(q, idx, s, k=10, method="scan"), "dense-exact")
+    out = None
+    for name, kw in (("ivf", {"method": "ivf", "nlist": 8, "nprobe": 4}), ("lsh", {"method": "lsh"})):
+        hits = write_table(search(q, idx, s, k=10, **kw), f"dense-{name}")
+        n = lambda df: df.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
+        short = n(exact).join(n(hits).withColumnRenamed("n", "m"), "query_id", "left").filter("m is null or m < n").agg(F.count(F.lit(1)).alias("short"))
+        row = ann.recall_at_k(hits, exact).select((F.col("recall") >= RECALL[name]).alias("recall_reached"))
+        row = row.crossJoin(short).select(F.lit(name).alias("method"), "recall_reached", (F.col("short") == 0).alias("all_have_k"))
+        out = row if out is None else out.unionByName(row)
+    return out
 
 
 def knn_global(spark, sf):
@@ -414,7 +509,7 @@ def knn_global(spark, sf):
     idx = part_index(spark, sf, s)
     ev = table(spark, sf, "events")
     users = ev.select(F.col("user_id").cast("string").alias("user_id")).distinct().withColumn("p_type", F.lit(None))
-    out = R.recommend_from_events(users, ev, idx, s, EVENT_WEIGHTS, k=K, item_col=_event_item(),
+    out = recommend_from_events(users, ev, idx, s, EVENT_WEIGHTS, k=K, item_col=_event_item(),
                                   restrict_partition=False)
     return _knn_out(out)
 
@@ -449,7 +544,7 @@ def _customers(spark, sf) -> DataFrame:
 def _user_knn(spark, sf, explain=False, **kw):
     s = part_schema()
     idx = part_index(spark, sf, s)
-    out = R.recommend(_customers(spark, sf), kw.pop("history", None) or _order_history(spark, sf), idx, s,
+    out = recommend(_customers(spark, sf), kw.pop("history", None) or _order_history(spark, sf), idx, s,
                       k=K, explain=explain, restrict_partition=False, **kw)
     return _knn_out(out)
 
@@ -485,7 +580,7 @@ def user_query_events(spark, sf):
     ev = table(spark, sf, "events")
     users = ev.select(F.col("user_id").cast("string").alias("user_id")).distinct() \
         .withColumn("p_type", F.array(*[F.lit(t) for t in P_TYPES]))
-    out = R.recommend_from_events(users, ev, idx, s, EVENT_WEIGHTS, k=2, item_col=_event_item())
+    out = recommend_from_events(users, ev, idx, s, EVENT_WEIGHTS, k=2, item_col=_event_item())
     return _knn_out(out)
 
 
@@ -496,17 +591,31 @@ def user_dense_events(spark, sf):
     idx = ingest.build_index(table(spark, sf, "embeddings"), s).index
     ev = table(spark, sf, "events")
     users = ev.select(F.col("user_id").cast("string").alias("user_id")).distinct().withColumn("label", F.lit(None))
-    out = R.recommend_from_events(users, ev, idx, s, EVENT_WEIGHTS, k=K, item_col=_event_item(),
+    out = recommend_from_events(users, ev, idx, s, EVENT_WEIGHTS, k=K, item_col=_event_item(),
                                   restrict_partition=False)
     return _knn_out(out)
 
 
+def user_coldstart_vector(spark, sf):
+    """JN-10: customers with a stored vector (weight 2) beside their event history."""
+    s = embedding_schema()
+    emb = table(spark, sf, "embeddings")
+    idx = ingest.build_index(emb, s).index
+    key = F.col("c_custkey").cast("string")
+    stored = emb.join(table(spark, sf, "customer"), F.col("vec_id") == F.col("c_custkey")).select(
+        key.alias("user_id"), F.col("embedding").cast("array<double>").alias("vec"))
+    users = stored.select("user_id", F.lit(None).cast("int").alias("label"))
+    hist = profiles.history_from_events(table(spark, sf, "events"), EVENT_WEIGHTS, item_col=_event_item())
+    out = recommend(users, hist, idx, s, k=K, cold_vectors=stored, cold_start_weight=2.0, restrict_partition=False)
+    return _knn_out(out)
+
+
 def user_query_explain(spark, sf):
     s = part_schema()
     idx = part_index(spark, sf, s)
     ev = table(spark, sf, "events")
     users = ev.select(F.col("user_id").cast("string").alias("user_id")).distinct().withColumn("p_type", F.lit(None))
-    out = R.recommend_from_events(users, ev, idx, s, EVENT_WEIGHTS, k=K, item_col=_event_item(),
+    out = recommend_from_events(users, ev, idx, s, EVENT_WEIGHTS, k=K, item_col=_event_item(),
                                   restrict_partition=False, explain=True)
     return _knn_out(out)
 
@@ -555,6 +664,20 @@ def vectors_upsert(spark, sf):
     return _long(up, ["key"])
 
 
+def get_vectors(spark, sf):
+    """SRC-7: the stored vectors of the users of the event log."""
+    emb = table(spark, sf, "embeddings")
+    v = emb.select(F.col("vec_id").cast("string").alias("key"), F.col("embedding").cast("array<double>").alias("vec"))
+    return _long(EV.get_vectors(v, _events(spark, sf).select(F.col("user_id").alias("key"))), ["key"])
+
+
+def events_append(spark, sf):
+    """SNK-4 (batch): the views appended to the other events, in order again."""
+    ev = _events(spark, sf)
+    both = EV.append_events(ev.filter("event_type <> 'view'"), ev.filter("event_type = 'view'"))
+    return EV.ordered_events(both).select("user_id", "pos", F.col("event_id").cast("string").alias("event_id"))
+
+
 # ============================================================== save / load
 def save_load_roundtrip(spark, sf):
     """SNK-2/3: the loaded model answers the same item queries (= knn_explain_l2)."""
@@ -563,7 +686,7 @@ def save_load_roundtrip(spark, sf):
     path = _scratch(spark, "model")
     save_model(part_index(spark, sf, s), s, path)
     idx, s2 = load_model(spark, path)
-    return _knn_out(R.similar_items(parts(spark, sf), idx, s2, k=K, explain=True))
+    return _knn_out(similar_items(parts(spark, sf), idx, s2, k=K, explain=True))
 
 
 # ============================================================== streaming
@@ -591,19 +714,36 @@ def stream_events(spark, sf):
     return out.select("user_id", "pos", F.col("event_id").cast("string").alias("event_id"), "event_type", "item_id")
 
 
+def _stream_lists(spark, sf, name, order_col, ev=None, **kw):
+    from ..streaming import events as SE
+    from ..streaming.runner import batch_sink, file_stream, run_available_now
+    ev = table(spark, sf, "events") if ev is None else ev
+    src = _replayed(spark, ev, f"{name}-src", order_col)
+    sink = _scratch(spark, f"{name}-sink")
+    lists = SE.event_lists(file_stream(spark, src, ev, max_files_per_trigger=1), SE.DAY_S, **kw)
+    run_available_now(lists.writeStream.outputMode("update").foreachBatch(batch_sink(sink)), _scratch(spark, f"{name}-ck"))
+    return SE.live_lists(spark.read.parquet(sink))
+
+
+LIST_COLS = ["user_id", "list_start_us", "last_event_us", "expires_at_us", "n_events"]
+
+
 def stream_event_lists(spark, sf):
     """STR-2: per-user event lists with a 24 h idle expiry, maintained by a stateful stream;
     the newest version of every list."""
-    from ..streaming import events as SE
-    from ..streaming.runner import batch_sink, file_stream, latest, run_available_now
-    ev = table(spark, sf, "events")
-    src = _replayed(spark, ev, "lists-src", "ts")
-    sink = _scratch(spark, "lists-sink")
-    lists = SE.event_lists(file_stream(spark, src, ev, max_files_per_trigger=1), SE.DAY_S)
-    run_available_now(lists.writeStream.outputMode("update").foreachBatch(batch_sink(sink)),
-                      _scratch(spark, "lists-ck"))
-    out = latest(spark.read.parquet(sink), ["user_id", "list_start_us"])
-    return out.select("user_id", "list_start_us", "last_event_us", "expires_at_us", "n_events")
+    return _stream_lists(spark, sf, "lists", "ts").select(*LIST_COLS)
+
+
+def stream_event_lists_unsorted(spark, sf):
+    """STR-2 with events that arrive in no order of time: the same lists."""
+    ev = table(spark, sf, "events").withColumn("arrival", F.pmod(F.xxhash64("event_id"), F.lit(1000)).cast("double"))
+    return _stream_lists(spark, sf, "unsorted", "arrival", ev, lateness="3650 days").select(*LIST_COLS)
+
+
+def stream_event_control(spark, sf):
+    """STR-3: purchases end the user's list, errors pop one event off it."""
+    out = _stream_lists(spark, sf, "control", "ts", delete_types=["purchase"], pop_types=["error"])
+    return out.select(*LIST_COLS, (F.col("status") == "deleted").alias("deleted"))
 
 
 def stream_recommend(spark, sf):
@@ -621,7 +761,7 @@ def stream_recommend(spark, sf):
     stream = file_stream(spark, src, ev, max_files_per_trigger=1)
     agg = SR.profile_sums_stream(stream, idx, s, EVENT_WEIGHTS, item_col=_event_item())
     users = lambda touched: touched.withColumn("p_type", F.array(*[F.lit(t) for t in P_TYPES]))
-    body = SR.recommend_batch_fn(idx, s, users, sums, recs, k=2)
+    body = SR.recommend_batch_fn(idx, s, users, sums, recs, k=2, tie_decimals=TIES)
     run_available_now(agg.writeStream.outputMode("update").foreachBatch(body), _scratch(spark, "rec-ck"))
     return _knn_out(SR.live_recommendations(spark, recs))
 
@@ -644,17 +784,17 @@ def stream_index(spark, sf):
 def registry() -> dict:
     names = [
         "enc_numeric", "enc_onehot", "enc_strict_onehot", "enc_ordinal", "enc_bin", "enc_binordinal",
-        "enc_hierarchy", "enc_embedding", "enc_json", "enc_json_sparse", "enc_feature_table", "enc_defaults",
+        "enc_hierarchy", "enc_embedding", "enc_json", "enc_json_sparse", "enc_custom", "enc_feature_table", "enc_defaults",
         "enc_weights_override", "encode_all", "decode_variant", "enc_user_override",
-        "ingest_rejects", "ingest_skip_existing", "ingest_upsert", "ingest_duplicates", "ingest_multi_partition",
+        "ingest_rejects", "ingest_json", "ingest_csv", "query_rejects", "ingest_skip_existing", "ingest_upsert", "ingest_duplicates", "ingest_multi_partition",
         "partition_stats", "affected_partitions", "total_items", "index_stats", "distinct_keys",
         "knn_l2", "knn_l2_root", "knn_ip", "knn_cosine", "knn_explain_l2", "knn_explain_ip",
         "knn_multi_partition", "knn_total_topk", "knn_two_filters", "knn_no_filter", "knn_k_exceeds",
-        "knn_variant", "knn_variants_side_by_side", "knn_dense", "knn_global", "fetch_vectors",
-        "user_avg", "user_avg_dedup", "user_weighted", "user_coldstart", "user_query_events",
+        "knn_variant", "knn_unscaled", "knn_tiny_weight", "explanation_long", "explanation_sums", "knn_variants_side_by_side", "knn_dense", "knn_global", "fetch_vectors",
+        "user_avg", "user_avg_dedup", "user_weighted", "user_coldstart", "user_coldstart_vector", "user_query_events",
         "user_query_explain", "user_dense_events", "events_ordered", "events_import_export", "events_pop", "events_delete",
-        "vectors_upsert", "save_load_roundtrip",
-        "stream_events", "stream_event_lists", "stream_recommend", "stream_index",
+        "events_append", "vectors_upsert", "get_vectors", "save_load_roundtrip",
+        "stream_events", "stream_event_lists", "stream_event_lists_unsorted", "stream_event_control", "stream_recommend", "stream_index",
         "knn_ivf", "knn_lsh", "ann_recall",
     ]
     g = globals()

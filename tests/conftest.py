@@ -16,7 +16,7 @@ def spark():
     s.stop()
 
 
-# the reference's documented toy catalogue (item-query and user-query examples)
+# fixed values: the documented toy catalogue (item-query and user-query examples)
 ITEMS = [
     {"id": "1", "price": "low", "category": "meat", "weight": 2.2, "country": "US"},
     {"id": "2", "price": "mid", "category": "meat", "weight": 3.0, "country": "US"},
