@@ -35,6 +35,7 @@ from ..functions import blocks as B
 from ..functions import encoders as X
 from ..functions.numeric import rank_key
 from ..schema import Schema
+from ..session import write_table
 from .encode import CODES, ITEM_ID, REJECT, with_codes
 from .ingest import explode_filters, filter_reject
 
@@ -426,7 +427,8 @@ def knn(queries: DataFrame, index: DataFrame, schema: Schema, k: int = 10, strat
         restrict_partition: bool = True, l2_root: bool = False, metric: str | None = None,
         broadcast_bytes: int = DEFAULT_BROADCAST_BYTES, pairs_per_task: int = PAIRS_PER_TASK, broadcast: bool | None = None,
         tie_decimals: int | None = None, exclude_self: bool = False, method: str = "auto",
-        nlist: int | None = None, nprobe: int = 4, ann_feature: str | None = None, centroids=None) -> DataFrame:
+        nlist: int | None = None, nprobe: int = 4, ann_feature: str | None = None, centroids=None,
+        materialize: bool = True, _written: bool = False) -> DataFrame:
     """k nearest items of every query (exact).
 
     ``k_scope="partition"`` keeps up to k hits per searched partition (the reference's
@@ -442,6 +444,10 @@ def knn(queries: DataFrame, index: DataFrame, schema: Schema, k: int = 10, strat
     search of ``operators.ann`` (``nlist`` lists, ``nprobe`` probed per query, on the vector
     feature ``ann_feature``; pass fitted ``centroids`` to reuse a quantizer).
 
+    ``materialize`` writes the query table and, in the blocked search, the first pass's hits
+    once under the checkpoint folder: the size probe and both passes read them instead of
+    encoding the queries and searching the home cells again.
+
     Output: ``query_id, [strategy_id], <filters>, rank, item_id, distance, [x_<feature>...]``
     where ``rank`` is 1-based over the query's merged, distance-ordered hits.
     """
@@ -456,12 +462,15 @@ def knn(queries: DataFrame, index: DataFrame, schema: Schema, k: int = 10, strat
         if multi or explain or metric != "l2":
             raise ValueError("lsh search takes one strategy, the l2 metric and no explanation")
         return ann.knn_lsh(queries, index, schema, k=k, feature=ann_feature, restrict_partition=restrict_partition, tie_decimals=tie_decimals)
+    if materialize and not _written:
+        queries = write_table(queries, "knn-queries")
     if multi and method in ("auto", "blocked") and metric == "l2" and all(separable(schema, str(s), weights) for s in strategies):
         # every weight set has its own k-th distance, so each is searched on its own and the
         # results are stacked (far fewer pairs than one shared full scan)
         kw = dict(k=k, weights=weights, explain=explain, k_scope=k_scope, restrict_partition=restrict_partition,
                   l2_root=l2_root, metric=metric, broadcast_bytes=broadcast_bytes, pairs_per_task=pairs_per_task,
-                  broadcast=broadcast, tie_decimals=tie_decimals, exclude_self=exclude_self, method=method)
+                  broadcast=broadcast, tie_decimals=tie_decimals, exclude_self=exclude_self, method=method, materialize=materialize,
+                  _written=True)
         parts = []
         for sid in strategies:
             one = knn(queries, index, schema, strategy_id=str(sid), **kw)
@@ -524,6 +533,8 @@ def knn(queries: DataFrame, index: DataFrame, schema: Schema, k: int = 10, strat
             p1 = p1.filter(F.col(ITEM_ID) != F.col(QUERY_ID))
         t1 = _topk(_score(p1, schema, sids, weights, metric, False, explain, part_cols), k, local_grp,
                    tie_decimals)
+        if materialize:
+            t1 = write_table(t1, "knn-home")
         # τ = k-th distance found there (infinite when fewer than k were found)
         tgrp = [c for c in local_grp if c != STRATEGY_ID]
         tau = t1.groupBy(*tgrp).agg(F.max("distance").alias("__tau"), F.count(F.lit(1)).alias("__n"))

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from ..operators import ingest, knn, profiles
 from ..operators.encode import ITEM_ID
 from ..schema import Schema
-from ..session import write_table
 
 
 def similar_items(queries: DataFrame, index: DataFrame, schema: Schema, k: int = 10, strategy_id=None,
@@ -34,7 +33,7 @@ def user_rejects(users: DataFrame, schema: Schema, **kw) -> DataFrame:
 def recommend(users: DataFrame, history: DataFrame, index: DataFrame, schema: Schema, k: int = 10,
               strategy_id=None, explain: bool = False, dedupe: bool = False,
               cold_start: DataFrame | None = None, cold_start_weight: float = 1.0,
-              min_history: float = 0.0, materialize: bool = True, cold_vectors: DataFrame | None = None,
+              min_history: float = 0.0, cold_vectors: DataFrame | None = None,
               tables: Mapping | None = None, **kw) -> DataFrame:
     """Q-2: k nearest items to each user's (weighted) item history.
 
@@ -51,10 +50,7 @@ def recommend(users: DataFrame, history: DataFrame, index: DataFrame, schema: Sc
         prof = profiles.profiles(history, index, schema, dedupe=dedupe, cold_start=cold_start,
                                  cold_start_weight=cold_start_weight)
     q = profiles.user_queries(users, prof, schema, min_history=min_history, tables=tables)
-    if materialize:
-        # the join planner counts the query side and the search reads it several times:
-        # write it once (users x schema sized) rather than re-aggregating the history
-        q = write_table(q, "user-queries")
+    # the search writes the user queries once, so the history is not aggregated again
     return knn.knn(q, index, schema, k=k, strategy_id=strategy_id, explain=explain, **kw)
 
 

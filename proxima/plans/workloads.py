@@ -76,7 +76,12 @@ def part_schema(metric="l2", filters=None, strategies=None, user_encoders=()) ->
 
 
 def part_index(spark, sf, schema=None, df=None) -> DataFrame:
+    """The coded parts, written once as an index is meant to be (searches read it often)."""
     schema = schema or part_schema()
+    return write_table(coded_parts(spark, sf, schema, df), "part-index")
+
+
+def coded_parts(spark, sf, schema, df=None) -> DataFrame:
     return ingest.build_index(df if df is not None else parts(spark, sf), schema).index
 
 
@@ -220,7 +225,7 @@ def encode_all(spark, sf):
 def decode_variant(spark, sf):
     """ENC-17/18: vectors of a variant rebuilt from the stored codes."""
     s = part_schema(strategies={"v1": VARIANT_WEIGHTS})
-    return _long(E.decode(part_index(spark, sf, s), s, "v1"))
+    return _long(E.decode(coded_parts(spark, sf, s), s, "v1"))
 
 
 def enc_user_override(spark, sf):
@@ -284,7 +289,7 @@ def ingest_multi_partition(spark, sf):
 
 def partition_stats(spark, sf):
     s = part_schema(filters=[{"field": "p_type", "values": P_TYPES + ["SPECIAL"]}])
-    return ingest.partition_stats(part_index(spark, sf, s), s)
+    return ingest.partition_stats(coded_parts(spark, sf, s), s)
 
 
 def affected_partitions(spark, sf):
@@ -300,12 +305,12 @@ def total_items(spark, sf):
 
 def index_stats(spark, sf):
     s = part_schema()
-    return R.index_stats(part_index(spark, sf, s), s)
+    return R.index_stats(coded_parts(spark, sf, s), s)
 
 
 def distinct_keys(spark, sf):
     ev = table(spark, sf, "events")
-    idx = part_index(spark, sf)
+    idx = coded_parts(spark, sf, part_schema())
     emb = table(spark, sf, "embeddings")
     return (EV.distinct_keys(ev, "user_id", "user").unionByName(EV.distinct_keys(idx, "item_id", "item"))
             .unionByName(EV.distinct_keys(emb, "vec_id", "vector")))
@@ -684,7 +689,7 @@ def save_load_roundtrip(spark, sf):
     from ..sources.model_io import load_model, save_model
     s = part_schema()
     path = _scratch(spark, "model")
-    save_model(part_index(spark, sf, s), s, path)
+    save_model(coded_parts(spark, sf, s), s, path)
     idx, s2 = load_model(spark, path)
     return _knn_out(similar_items(parts(spark, sf), idx, s2, k=K, explain=True))
 
@@ -753,7 +758,7 @@ def stream_recommend(spark, sf):
     from ..streaming import recommend as SR
     from ..streaming.runner import file_stream, run_available_now
     model = _scratch(spark, "rec-model")           # the live stream serves a saved model
-    save_model(part_index(spark, sf, part_schema()), part_schema(), model)
+    save_model(coded_parts(spark, sf, part_schema()), part_schema(), model)
     idx, s = load_model(spark, model)
     ev = table(spark, sf, "events")
     src = _replayed(spark, ev, "rec-src", "ts")
