@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from proxima.session import ship_package, write_table
 
-__all__ = ["arrow_column", "block_words", "fit_logistic", "free_name", "join_groups", "labelled_sample", "lossless_bytes", "remainder",
+__all__ = ["arrow_column", "block_words", "columns_of", "fit_logistic", "free_name", "join_groups", "labelled_sample", "lossless_bytes", "remainder",
            "segments_of", "table", "write_table"]
 
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
@@ -35,6 +35,11 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def columns_of(df: DataFrame) -> list[Column]:
+    """All columns of ``df``, whatever characters their names hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
 def lossless_bytes(text: Column) -> Column:
     """The UTF-8 bytes of a text column; Python functions over it never decode."""
     return text.cast("string").cast("binary")

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from proxima.llm.common import free_name, join_groups, write_table
+from proxima.llm.common import columns_of, free_name, join_groups, write_table
 from proxima.session import ship_package
 
 WEIGHTS = (3, 1, 2)  # by the source's place, repeating
@@ -171,7 +171,8 @@ def take_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
              weights=WEIGHTS, share: Fraction = SHARE, dp_budget: int = DP_BUDGET) -> DataFrame:
     """``docs`` as the mix takes them: each row as many times as chosen, all columns kept.
     Documents without words cost nothing; they stay once, but for classes taken twice."""
-    c, k = free_name(docs, "_copies"), free_name(docs, "_key")
+    c, k, n = free_name(docs, "_copies"), free_name(docs, "_key"), free_name(docs, "_times")
+    all_columns = columns_of(docs)
     rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), token_count(F.col(text_col)).alias("size"))
     decided = decide(write_table(rows, "mix-sizes"), seed, weights, share, dp_budget)
     decided = decided.withColumn("copies", F.when(F.col("size") == 0, F.greatest("copies", F.lit(1))).otherwise(F.col("copies")))
@@ -182,10 +183,10 @@ def take_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     met = docs.join(agreed, own.eqNullSafe(F.col(k)))
     each = F.floor(F.col(f"{c}.s") / F.col(f"{c}.m"))
     even = met.where(F.col(f"{c}.s") % F.col(f"{c}.m") == 0)
-    out = even.withColumn(c, F.explode(F.sequence(F.lit(1), each))).select(*docs.columns)
+    out = even.withColumn(c, F.explode(F.sequence(F.lit(1), each))).select(*all_columns)
     odd = F.col(f"{c}.s") % F.col(f"{c}.m") != 0
     if agreed.where(odd).isEmpty():
         return out
     place = F.row_number().over(Window.partitionBy(k).orderBy(F.xxhash64(text_col)))
-    odd = met.where(odd).withColumn("_n", each + F.when(place <= F.col(f"{c}.s") % F.col(f"{c}.m"), 1).otherwise(0)).where("_n > 0")
-    return out.unionByName(odd.withColumn(c, F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*docs.columns))
+    odd = met.where(odd).withColumn(n, each + F.when(place <= F.col(f"{c}.s") % F.col(f"{c}.m"), 1).otherwise(0)).where(F.col(n) > 0)
+    return out.unionByName(odd.withColumn(c, F.explode(F.sequence(F.lit(1), F.col(n)))).select(*all_columns))

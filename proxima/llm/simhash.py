@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from proxima.llm.common import arrow_column, block_words, free_name, lossless_bytes, write_table
+from proxima.llm.common import arrow_column, block_words, columns_of, free_name, lossless_bytes, write_table
 from proxima.session import ship_package
 
 SHINGLE = 4
@@ -352,6 +352,7 @@ def keep_one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     with that id (or with no id at all) one stays.  All columns are kept."""
     fp = free_name(docs, "_fp")
     key = free_name(docs, "_id")
+    lead_fp = free_name(docs, "_lead")
     with_fp = with_fingerprint(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text", "fp", k)
     ids = write_table(with_fp.select("id", "fp"), "simhash-ids")
     groups = near_duplicate_groups(ids, "id", "fp", radius, tile)
@@ -359,12 +360,12 @@ def keep_one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     per_id = marked.groupBy("id").agg(F.count("*").alias("n"), F.max("lead").alias("lead")).where("lead")
     per_id = write_table(per_id.select(F.col("id").alias(key), F.col("n").alias(fp)), "simhash-keep")
     kept = docs.join(per_id, F.col(id_col).eqNullSafe(F.col(key)))
-    own = [docs[c] for c in docs.columns]
+    own = columns_of(docs)
     single = kept.where(F.col(fp) == 1).select(*own)
     if per_id.where(F.col(fp) > 1).isEmpty():
         return single
     # ids that several rows carry: their rows are told apart by fingerprint
-    leads = marked.where("lead").groupBy("id", "root").agg(F.min("fp").alias("fp")).select(F.col("id").alias(key), F.col("fp").alias("lead_fp"))
+    leads = marked.where("lead").groupBy("id", "root").agg(F.min("fp").alias("fp")).select(F.col("id").alias(key), F.col("fp").alias(lead_fp))
     several = with_fingerprint(kept.where(F.col(fp) > 1).select(*own), text_col, fp, k)
-    several = several.join(leads, F.col(id_col).eqNullSafe(F.col(key)) & (F.col(fp) == F.col("lead_fp")), "left_semi")
-    return single.unionByName(several.dropDuplicates([id_col, fp]).select(*docs.columns))
+    several = several.join(leads, F.col(id_col).eqNullSafe(F.col(key)) & (F.col(fp) == F.col(lead_fp)), "left_semi")
+    return single.unionByName(several.dropDuplicates([id_col, fp]).select(*own))

@@ -3,6 +3,7 @@ import re
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from proxima.llm import mixing as M
 
@@ -81,10 +82,11 @@ def test_runs_of_a_hot_class_are_ranked_apart(spark):
 
 def test_take_mix_repeats_rows(spark):
     data = rows(200)
-    df = spark.createDataFrame(data, "doc_id long, text string, source string, _copies int")
+    df = spark.createDataFrame(data + data[-2:], "doc_id long, text string, source string, _copies int").withColumn("_times", F.lit("x")).withColumn("a.b", F.lit(1))
     got = M.take_mix(df)
     assert got.columns == df.columns
     n, want = defaultdict(int), defaultdict(int)
+    assert {r["_times"] for r in got.collect()} == {"x"}
     for r in got.collect():
         n[str(r.doc_id), size(r.text)] += max(1, size(r.text))
     for r in M.mix(df).collect():

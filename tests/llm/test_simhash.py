@@ -142,7 +142,8 @@ def test_chain_of_many_links(spark):
 def test_keep_one_per_group(spark):
     a, b = " ".join(f"a{i}" for i in range(300)), " ".join(f"b{i}" for i in range(300))
     rows = [(1, a, "x"), (2, a, "y"), (2, b, "z"), (3, b + " c", "u"), (4, None, "v"), (5, "", "w"), (None, "alone here", "n"), (1, a, "x")]
-    df = spark.createDataFrame(rows, "doc_id long, text string, fp string").withColumnRenamed("fp", "_fp")
+    df = spark.createDataFrame(rows, "doc_id long, text string, fp string").withColumnRenamed("fp", "_fp") \
+        .selectExpr("*", "1 as lead_fp", "2 as id", "3 as `n.m`", "4 as lead", "5 as component_id")
     out = S.keep_one_per_group(df)
     assert out.columns == df.columns
     got = sorted((r.doc_id if r.doc_id is not None else -1, r["_fp"]) for r in out.collect())
