@@ -228,10 +228,16 @@ def broadcast_row_limit(schema: Schema, broadcast_bytes: int = DEFAULT_BROADCAST
     return max(1, broadcast_bytes // query_row_bytes(schema))
 
 
+SPREAD_BYTES = 64 * 1024 * 1024
+
+
 def _spread(index: DataFrame) -> DataFrame:
-    """A broadcast join runs one task per stream-side partition: let Spark rebalance an index
-    that is stored in few files over the cores (adaptive execution sizes the partitions)."""
-    return index.hint("rebalance")
+    """A broadcast join runs one task per stream-side partition, and a small index may be
+    stored in fewer files than there are cores: it is dealt over them.  The plan's own size
+    estimate decides, without a job; a large index is never moved."""
+    cores = index.sparkSession.sparkContext.defaultParallelism
+    estimate = int(index._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return index.repartition(cores) if estimate < cores * SPREAD_BYTES else index
 
 
 def _balanced(index: DataFrame, q: DataFrame, keys: list[str], pairs_per_task: int) -> DataFrame:
