@@ -159,7 +159,6 @@ def train_field(docs: list[tuple[int, list[list[str]]]], telling: set[str], roun
     g1, g0 = gold[:, :-1], gold[:, 1:]
     both = real[:, 1:] * weight[:, None]
     gold_pair = np.array([[((1 - g1) * (1 - g0) * both).sum(), ((1 - g1) * g0 * both).sum()], [(g1 * (1 - g0) * both).sum(), (g1 * g0 * both).sum()]])
-    total = float((real * weight[:, None]).sum())
     scale = max(1.0, float((gold * weight[:, None]).sum()))
     for t in range(1, rounds + 1):
         unary = np.full(real.shape, w[k])
@@ -173,7 +172,6 @@ def train_field(docs: list[tuple[int, list[list[str]]]], telling: set[str], roun
         grad = grad / scale - ridge * w * (np.arange(len(w)) != k)
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
         w += rate * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.99 ** t)) + 1e-8) * (0.5 if t > rounds // 2 else 1)
-    assert total >= 0
     return {f: float(w[i]) for f, i in index.items()}, float(w[k]), w[k + 1:].reshape(2, 2).copy()
 
 
