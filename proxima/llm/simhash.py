@@ -359,7 +359,8 @@ def keep_one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     marked = ids.join(groups, "fp").withColumn("lead", F.col("id").eqNullSafe(F.col("component_id")))
     per_id = marked.groupBy("id").agg(F.count("*").alias("n"), F.max("lead").alias("lead")).where("lead")
     per_id = write_table(per_id.select(F.col("id").alias(key), F.col("n").alias(fp)), "simhash-keep")
-    kept = docs.join(per_id, F.col(id_col).eqNullSafe(F.col(key)))
+    # a merge join at every size: the texts are dealt by id once, whether few or many ids stay
+    kept = docs.join(per_id.hint("merge"), F.col(id_col).eqNullSafe(F.col(key)))
     own = columns_of(docs)
     single = kept.where(F.col(fp) == 1).select(*own)
     if per_id.where(F.col(fp) > 1).isEmpty():
