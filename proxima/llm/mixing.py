@@ -176,11 +176,12 @@ def take_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), token_count(F.col(text_col)).alias("size"))
     decided = decide(write_table(rows, "mix-sizes"), seed, weights, share, dp_budget)
     decided = decided.withColumn("copies", F.when(F.col("size") == 0, F.greatest("copies", F.lit(1))).otherwise(F.col("copies")))
-    key = F.struct(F.col("id"), F.col("source"), F.col("size"))
-    agreed = decided.groupBy(key.alias(k)).agg(F.count("*").alias("m"), F.sum("copies").alias("s")).where("s > 0")
-    agreed = write_table(agreed.select(k, F.struct("m", "s").alias(c)), "mix-copies")
-    own = F.struct(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), token_count(F.col(text_col)).alias("size"))
-    met = docs.join(agreed, own.eqNullSafe(F.col(k)))
+    agreed = decided.groupBy("id", "source", "size").agg(F.count("*").alias("m"), F.sum("copies").alias("s")).where("s > 0")
+    agreed = write_table(agreed.select(F.struct("id", "source", "size").alias(k), F.struct("m", "s").alias(c)), "mix-copies")
+    # tokens are counted once for each row, before the join sorts by them; a merge join at every size
+    counted = docs.withColumn(n, token_count(F.col(text_col)))
+    same = F.col(id_col).eqNullSafe(F.col(f"{k}.id")) & F.col(source_col).cast("string").eqNullSafe(F.col(f"{k}.source")) & (F.col(n) == F.col(f"{k}.size"))
+    met = counted.join(agreed.hint("merge"), same)
     each = F.floor(F.col(f"{c}.s") / F.col(f"{c}.m"))
     even = met.where(F.col(f"{c}.s") % F.col(f"{c}.m") == 0)
     out = even.withColumn(c, F.explode(F.sequence(F.lit(1), each))).select(*all_columns)
