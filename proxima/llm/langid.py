@@ -33,6 +33,7 @@ SEGMENT, SEGMENTS = 2000, 4  # characters, and stretches of that many, of each o
 ROUNDS = 3
 SMOOTHING = 0.1
 CACHED_WORDS = 200_000
+ROWS_AT_ONCE = 500
 UNKNOWN = "und"
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -249,7 +250,11 @@ def identify_column(docs: DataFrame, model: LanguageModel, text: Column) -> Colu
     def batches(it):
         score = shared.value.scorer()
         for texts in it:
-            lang, sure = score(texts.to_pylist())
+            lang, sure = [], []
+            for i in range(0, len(texts), ROWS_AT_ONCE):  # bounds the word counts held at a time
+                more, p = score(texts.slice(i, ROWS_AT_ONCE).to_pylist())
+                lang += more
+                sure += p.tolist()
             yield pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(sure, pa.float64())], names=["lang_pred", "score"])
 
     return arrow_column(docs.sparkSession, batches, "struct<lang_pred: string, score: double>")(text.cast("string"))
