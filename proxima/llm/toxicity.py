@@ -160,15 +160,21 @@ def train_field(docs: list[tuple[int, list[list[str]]]], telling: set[str], roun
     both = real[:, 1:] * weight[:, None]
     gold_pair = np.array([[((1 - g1) * (1 - g0) * both).sum(), ((1 - g1) * g0 * both).sum()], [(g1 * (1 - g0) * both).sum(), (g1 * g0 * both).sum()]])
     scale = max(1.0, float((gold * weight[:, None]).sum()))
+    blocks = [(i, min(i + 1024, len(kept))) for i in range(0, len(kept), 1024)]  # bounds the arrays of a step
+    cut = np.searchsorted(row, [i for i, _ in blocks] + [len(kept)])
     for t in range(1, rounds + 1):
-        unary = np.full(real.shape, w[k])
-        np.add.at(unary, (row, col), w[feat])
-        p, pair = _pair_marginals(unary, real, w[k + 1:].reshape(2, 2))
-        diff = (gold - p) * real * weight[:, None]
         grad = np.zeros_like(w)
-        grad[:k] = np.bincount(feat, diff[row, col], k)
-        grad[k] = diff.sum()
-        grad[k + 1:] = (gold_pair - np.einsum("ijab,i->ab", pair, weight)).ravel()
+        grad[k + 1:] = gold_pair.ravel()
+        for n, (i, j) in enumerate(blocks):
+            at = slice(cut[n], cut[n + 1])
+            r, c, f = row[at] - i, col[at], feat[at]
+            unary = np.full((j - i, CHAIN), w[k])
+            np.add.at(unary, (r, c), w[f])
+            p, pair = _pair_marginals(unary, real[i:j], w[k + 1:].reshape(2, 2))
+            diff = (gold[i:j] - p) * real[i:j] * weight[i:j, None]
+            grad[:k] += np.bincount(f, diff[r, c], k)
+            grad[k] += diff.sum()
+            grad[k + 1:] -= np.einsum("ijab,i->ab", pair, weight[i:j]).ravel()
         grad = grad / scale - ridge * w * (np.arange(len(w)) != k)
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
         w += rate * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.99 ** t)) + 1e-8) * (0.5 if t > rounds // 2 else 1)
@@ -239,7 +245,9 @@ def fit(docs: DataFrame, labels: DataFrame, train=lambda i: F.lit(True), label:
     n1, n0 = totals.get(1, 0), totals.get(0, 0)
     if not n1 or not n0:
         return ToxicityModel(intercept=float(np.log((n1 + 1) / (n0 + 1))))
-    docs_ = [(y, [_TOKEN.findall(p.lower()) for p in parts]) for y, parts in rows]
+    same: dict[str, str] = {}  # one object for each distinct word
+    docs_ = [(y, [[same.setdefault(w, w) for w in _TOKEN.findall(p.lower())] for p in parts]) for y, parts in rows]
+    del rows
     build = [d for i, d in enumerate(docs_) if i % 3 < 2]
     hold = [d for i, d in enumerate(docs_) if i % 3 == 2] or docs_
     telling = telling_features(build)
