@@ -4,10 +4,12 @@ search, or a graph / hashing index); here ``method=`` selects among
 * ``exact``  — ``knn.knn`` (scan or blocked; the default ``Flat``),
 * ``ivf``    — inverted lists: a coarse k-means quantizer over one vector feature
   (MLlib ``KMeans``, fitted distributedly on the index), every item in the list of its
-  nearest centroid, every query probing its ``nprobe`` nearest lists.  The candidate
-  join is keyed on ``(partition filters, list_id)``, so it is the same
-  equi-join as the exact search, only over fewer pairs; the distances of the
-  candidates are exact and the result has the exact search's columns,
+  nearest centroid, every query probing its ``nprobe`` nearest lists.  Unless given,
+  ``nprobe`` is the smallest number of lists that reaches the asked recall against the
+  exact search (``measured_probes``).  The candidate join is keyed on
+  ``(partition filters, list_id)``, so it is the same equi-join as the exact search, only
+  over fewer pairs; the distances of the candidates are exact, the result has the exact
+  search's columns, and queries that meet fewer than k items are searched exactly,
 * ``lsh``    — bucketed random projections: ids meet on (filters, table, bucket), distinct
   pairs get exact distances, and queries that meet fewer than k items are searched
   exactly.
@@ -31,9 +33,11 @@ from ..functions.numeric import rank_key
 from ..schema import Schema
 from .encode import CODES, ITEM_ID
 from ..session import ship_package, write_table
-from .knn import QUERY_ID, components, distance, knn, rep_x
+from .knn import QUERY_ID, STRATEGY_ID, _score, _topk, candidate_pairs, components, distance, knn, rep_x
 
 LIST_ID = "__blk"
+RECALL = 0.9          # of the exact hits, that an approximate search finds at least
+MEASURED_QUERIES = 200  # queries that nprobe is measured on
 
 
 def vector_feature(schema: Schema, feature: str | None = None):
@@ -96,6 +100,43 @@ def probe_lists(queries: DataFrame, schema: Schema, centroids: np.ndarray, nprob
     return queries.withColumn(LIST_ID, F.explode(near))
 
 
+def measured_probes(queries: DataFrame, listed: DataFrame, schema: Schema, centroids: np.ndarray, k: int, recall: float = RECALL,
+                    sids=(None,), weights=None, metric: str = "l2", restrict_partition: bool = True, group=(QUERY_ID, STRATEGY_ID),
+                    exclude_self: bool = False, tie_decimals: int | None = None, feature: str | None = None,
+                    sample: int = MEASURED_QUERIES) -> int:
+    """The smallest ``nprobe`` that finds ``recall`` of the exact search's hits.
+
+    A hit of the exact search is found if its list is among those probed, so one exact search
+    tells the recall of every ``nprobe``: by how far down the query's order of lists each hit
+    stands.  It is measured on all queries if there are at most ``sample`` of them, else on
+    that many (by id hash); there the recall less two standard errors has to reach
+    ``recall``.  Every strategy must reach it.  ``listed`` are the items with their list."""
+    e = vector_feature(schema, feature)
+    picked = [r[0] for r in queries.select(QUERY_ID).distinct().orderBy(F.xxhash64(QUERY_ID), QUERY_ID).limit(sample + 1).collect()]
+    nlist, whole = len(centroids), len(picked) <= sample
+    q = queries.filter(F.col(QUERY_ID).isin(picked[:sample]))
+    q = q.withColumn("__lists", _nearest_lists(q.sparkSession, F.col(rep_x(e.field)), centroids, nlist))
+    pairs = candidate_pairs(q, listed, schema, restrict_partition).withColumn("__at", F.array_position("__lists", F.col(LIST_ID)))
+    if exclude_self:
+        pairs = pairs.filter(F.col(ITEM_ID) != F.col(QUERY_ID))
+    top = _topk(_score(pairs, schema, sids, weights, metric, False, False, [*schema.filter_fields, "__at"]), k, group, tie_decimals)
+    rows = top.groupBy(STRATEGY_ID, QUERY_ID, "__at").agg(F.count(F.lit(1)).alias("n")).collect()
+    need = 1
+    for sid in {r[0] for r in rows}:
+        mine = [r for r in rows if r[0] == sid]
+        row = {i: j for j, i in enumerate(dict.fromkeys(r[1] for r in mine))}
+        found = np.zeros((len(row), nlist))
+        for _, i, at, n in mine:
+            found[row[i], at - 1] += n
+        found = found.cumsum(axis=1)
+        total = found[:, -1:]
+        reached = found.sum(axis=0) / total.sum()
+        if not whole:
+            reached = reached - 2.0 * np.sqrt(((found - reached * total) ** 2).sum(axis=0)) / total.sum()
+        need = max(need, int(np.argmax(reached >= recall - 1e-12)) + 1)  # all lists reach 1
+    return need
+
+
 def _lsh_keys(vec, length: int, tables: int, hashes: int, width: float, seed: int):
     """One (table, key) per hash table: the cells of ``hashes`` random projections."""
     rng = np.random.default_rng(seed)

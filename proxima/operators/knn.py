@@ -433,7 +433,7 @@ def knn(queries: DataFrame, index: DataFrame, schema: Schema, k: int = 10, strat
         restrict_partition: bool = True, l2_root: bool = False, metric: str | None = None,
         broadcast_bytes: int = DEFAULT_BROADCAST_BYTES, pairs_per_task: int = PAIRS_PER_TASK, broadcast: bool | None = None,
         tie_decimals: int | None = None, exclude_self: bool = False, method: str = "auto",
-        nlist: int | None = None, nprobe: int = 4, ann_feature: str | None = None, centroids=None,
+        nlist: int | None = None, nprobe: int | None = None, ann_feature: str | None = None, centroids=None,
         materialize: bool = True, _written: bool = False) -> DataFrame:
     """k nearest items of every query (exact).
 
@@ -448,7 +448,9 @@ def knn(queries: DataFrame, index: DataFrame, schema: Schema, k: int = 10, strat
     the blocks whose exact lower bound is ≤ τ — the same result with far fewer pairs;
     ``"auto"`` picks ``blocked`` when it applies; ``"ivf"`` is the approximate inverted-list
     search of ``operators.ann`` (``nlist`` lists, ``nprobe`` probed per query, on the vector
-    feature ``ann_feature``; pass fitted ``centroids`` to reuse a quantizer).
+    feature ``ann_feature``; pass fitted ``centroids`` to reuse a quantizer).  Without
+    ``nprobe`` it probes as many lists as reach ``ann.RECALL`` of the exact hits.  A query
+    that meets fewer than k items is searched exactly.
 
     ``materialize`` writes the query table and, in the blocked search, the first pass's hits
     once under the checkpoint folder: the size probe and both passes read them instead of
@@ -502,12 +504,28 @@ def knn(queries: DataFrame, index: DataFrame, schema: Schema, k: int = 10, strat
         from . import ann
         cents = centroids if centroids is not None else ann.fit_ivf(index, schema, nlist, ann_feature)
         ib = ann.assign_lists(index, schema, cents, ann_feature)
+        if nprobe is None:
+            nprobe = ann.measured_probes(queries, ib, schema, cents, k, sids=sids, weights=weights, metric=metric,
+                                         restrict_partition=restrict_partition, group=local_grp, exclude_self=exclude_self,
+                                         tie_decimals=tie_decimals, feature=ann_feature)
         qb = ann.probe_lists(queries, schema, cents, nprobe, ann_feature)
-        pairs = candidate_pairs(qb, ib, schema, restrict_partition, broadcast_bytes, pairs_per_task, broadcast, [ann.LIST_ID])
-        if exclude_self:
-            pairs = pairs.filter(F.col(ITEM_ID) != F.col(QUERY_ID))
-        top = _topk(_score(pairs, schema, sids, weights, metric, l2_root, explain, part_cols), k, local_grp,
-                    tie_decimals)
+
+        def hits(q, items, extra):
+            pairs = candidate_pairs(q, items, schema, restrict_partition, broadcast_bytes, pairs_per_task, broadcast, extra)
+            if exclude_self:
+                pairs = pairs.filter(F.col(ITEM_ID) != F.col(QUERY_ID))
+            return _topk(_score(pairs, schema, sids, weights, metric, l2_root, explain, part_cols), k, local_grp, tie_decimals)
+
+        near = hits(qb, ib, [ann.LIST_ID])
+        if materialize:
+            near = write_table(near, "ivf-hits")
+        # those that met fewer than k items in the lists probed are searched exactly
+        met = [c for c in local_grp if c != STRATEGY_ID]
+        full = near.groupBy(*met).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") >= k * len(sids)).select(*met)
+        short = queries.join(full, met, "left_anti")
+        if materialize:
+            short = write_table(short, "ivf-short")
+        top = near.join(full, met, "left_semi").unionByName(hits(short, index, []))
     elif plan is None:
         pairs = candidate_pairs(queries, index, schema, restrict_partition, broadcast_bytes, pairs_per_task, broadcast)
         if exclude_self:

@@ -487,18 +487,18 @@ def knn_lsh(spark, sf):
     return _knn_out(search(knn.item_queries(emb, s), idx, s, k=10, method="lsh"))
 
 
-RECALL = {"ivf": 0.6, "lsh": 0.9}  # at least
+RECALL = {"ivf": 0.9, "lsh": 0.9}  # at least
 
 
 def ann_recall(spark, sf):
-    """Recall@10 of the IVF (half of the lists) and LSH searches against the exact search: is
-    the stated value reached, and has every query its k hits?"""
+    """Recall@10 of the IVF (as many lists as measured to be needed) and LSH searches against
+    the exact search: is the stated value reached, and has every query its k hits?"""
     s, emb, idx = _dense_setup(spark, sf)
     idx = write_table(idx, "dense-index")
     q = write_table(knn.item_queries(emb, s), "dense-queries")
     exact = write_table(search(q, idx, s, k=10, method="scan"), "dense-exact")
     out = None
-    for name, kw in (("ivf", {"method": "ivf", "nlist": 8, "nprobe": 4}), ("lsh", {"method": "lsh"})):
+    for name, kw in (("ivf", {"method": "ivf", "nlist": 8}), ("lsh", {"method": "lsh"})):
         hits = write_table(search(q, idx, s, k=10, **kw), f"dense-{name}")
         n = lambda df: df.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
         short = n(exact).join(n(hits).withColumnRenamed("n", "m"), "query_id", "left").filter("m is null or m < n").agg(F.count(F.lit(1)).alias("short"))

@@ -35,3 +35,33 @@ def test_lsh_distances_are_exact_and_nobody_comes_back_short(spark):
         assert j.count() == lsh.count() == exact.count()
         assert j.agg(F.max(F.abs(F.col("distance") - F.col("d0")))).first()[0] == pytest.approx(0, abs=1e-6)
         assert lsh.groupBy("query_id").agg((F.max("rank") == F.count(F.lit(1))).alias("ok")).filter("not ok").count() == 0
+
+
+def _short(hits, exact):
+    n = lambda df: df.groupBy("query_id", "label").agg(F.count(F.lit(1)).alias("n"))
+    return n(exact).join(n(hits).withColumnRenamed("n", "m"), ["query_id", "label"], "left").filter("m is null or m < n").count()
+
+
+def test_ivf_probes_as_many_lists_as_reach_the_recall(spark):
+    s, emb, idx = W._dense_setup(spark, SF_SMALL)
+    q = knn.item_queries(emb, s)
+    exact = knn.knn(q, idx, s, k=5, method="scan")
+    cents = ann.fit_ivf(idx, s)  # ~ sqrt(items) lists
+    hits = knn.knn(q, idx, s, k=5, method="ivf", centroids=cents)
+    assert ann.recall_at_k(hits, exact).first().recall >= 0.9
+    few = knn.knn(q, idx, s, k=5, method="ivf", centroids=cents, nprobe=1)
+    assert _short(hits, exact) == _short(few, exact) == 0
+    assert all(v >= 0.9 for v in W.RECALL.values())
+    assert all(r.recall_reached and r.all_have_k for r in W.ann_recall(spark, SF_SMALL).collect())
+
+
+def test_measured_probes_stop_at_the_recall(spark):
+    s, emb, idx = W._dense_setup(spark, SF_SMALL)
+    q = knn.item_queries(emb, s)
+    cents = ann.fit_ivf(idx, s, nlist=8)
+    listed = ann.assign_lists(idx, s, cents)
+    exact = knn.knn(q, idx, s, k=5, method="scan")
+    n = ann.measured_probes(q, listed, s, cents, 5, recall=0.5, sample=10**6, group=["query_id", "strategy_id", "label"])
+    part = lambda p: ann.recall_at_k(knn.knn(q, idx, s, k=5, method="ivf", centroids=cents, nprobe=p), exact).first().recall
+    assert 1 < n < 8 and part(n) >= 0.5
+    assert ann.measured_probes(q, listed, s, cents, 5, recall=1.0, group=["query_id", "strategy_id", "label"]) >= n
