@@ -2,7 +2,7 @@
 
 Every element subtree is hashed (tag, text and children, no attributes).  Spark counts on
 how many different pages of a host each subtree stands; subtrees that recur across many of
-them are the site's template and are deleted, wherever they stand.  Elements that are
+them are the site's template and are deleted, but for the exemption below.  Elements that are
 boilerplate by their tag, role, class or id (menus, page headers and footers, sidebars,
 notices, adverts, forms, reader comments) go as well, and where a page marks its article or
 main part, only that is read.
