@@ -7,6 +7,10 @@ boilerplate by their tag, role, class or id (menus, page headers and footers, si
 notices, adverts, forms, reader comments) go as well, and where a page marks its article or
 main part, only that is read.
 
+A name that counts by its last part only (post-header, left-sidebar) is weak: it deletes nothing
+by itself, but inside an article what bears it goes if the element or its name recurs on the
+host.  No name deletes the element that holds the page's article or the article's headline.
+
 Plain prose inside a marked article (paragraphs, headings, quotes, list items, table cells)
 is never taken for template: articles of one host may well quote the same passage.
 """
@@ -54,18 +58,27 @@ BOILERPLATE = frozenset(_WORDS.split())
 NOT_NAMES = frozenset("has no with without not js is".split())
 
 
-def boilerplate(attributes: str) -> bool:
-    """Does a class, id or role name the element as boilerplate?  A hyphenated name counts by
-    its first and last part (site-header, cookie-bar), unless it starts like has-sidebar."""
+STRONG, WEAK = 2, 1
+HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
+
+
+def boilerplate(attributes: str) -> tuple[int, str]:
+    """How a class, id or role names the element as boilerplate (STRONG, WEAK or 0), and the
+    name.  A hyphenated name counts by its first part (cookie-bar), or weakly by its last
+    (site-header), unless it starts like has-sidebar."""
+    weak = ""
     for m in _NAMED.finditer(attributes):
         kind = m[1].lower()
         for name in (m[2] or m[3] or m[4] or "").lower().split():
             if kind == "role" and name == "banner" or name in BOILERPLATE:
-                return True
+                return STRONG, name
             parts = re.split(r"[-_]+", name)
-            if len(parts) > 1 and parts[0] not in NOT_NAMES and (parts[0] in BOILERPLATE or parts[-1] in BOILERPLATE):
-                return True
-    return False
+            if len(parts) > 1 and parts[0] not in NOT_NAMES:
+                if parts[0] in BOILERPLATE:
+                    return STRONG, name
+                if parts[-1] in BOILERPLATE:
+                    weak = weak or name
+    return (WEAK, weak) if weak else (0, "")
 
 
 class Page:
@@ -73,6 +86,7 @@ class Page:
 
     def __init__(self, html: str):
         self.tag, self.parent, self.own_drop, self.hash = ["#page"], [-1], [False], [0]
+        self.named: dict[int, tuple[int, str]] = {}  # elements that only their name makes boilerplate
         self.pieces: list[tuple[str, int]] = []  # text and the element it stands in
         self._content: list[list[str]] = [[]]
         self._stack = [0]
@@ -85,7 +99,9 @@ class Page:
         in_article = any(self.tag[i] in ROOTS for i in self._stack)
         drop = tag in DROPPED or (tag == "header" and not in_article)
         if not drop and attributes and tag not in KEPT_NAMES - {"article"}:
-            drop = boilerplate(attributes) and not (tag == "header" and in_article)
+            how = boilerplate(attributes)
+            if how[0] and not (tag == "header" and in_article):
+                self.named[len(self.tag)] = how
         self.tag.append(tag)
         self.parent.append(up)
         self.own_drop.append(drop)
@@ -172,13 +188,67 @@ class Page:
                 at = end.end() if end else n
                 self._close()
 
+    def _above(self, i: int):
+        while (i := self.parent[i]) > 0:
+            yield i
+
+    def _headlines(self) -> set[int]:
+        """Of each outermost article or main: its first heading of the highest level."""
+        best: dict[int, int] = {}
+        for i, t in enumerate(self.tag):
+            if t in HEADINGS and not any(self.own_drop[a] for a in self._above(i)):
+                root = [a for a in self._above(i) if self.tag[a] in ROOTS]
+                if root and (root[-1] not in best or t < self.tag[best[root[-1]]]):
+                    best[root[-1]] = i
+        return set(best.values())
+
+    def _holders(self) -> tuple[set[int], set[int], set[int]]:
+        """Elements that hold an article or main; that hold the headline of one; of the latter
+        those that hold an h1."""
+        roots, heads, first = set(), set(), set()
+        for i, t in enumerate(self.tag):
+            if t in ROOTS:
+                roots.update(self._above(i))
+        for i in self._headlines():
+            heads.update(self._above(i))
+            if self.tag[i] == "h1":
+                first.update(self._above(i))
+        return roots, heads, first
+
+    def _named_drops(self) -> set[int]:
+        """Elements that a strong name deletes: not one that holds an article's h1 or a main,
+        nor one that holds an article while no article would be left outside such elements."""
+        strong = {i for i, (how, _) in self.named.items() if how == STRONG}
+        if not strong:
+            return strong
+        _, _, first = self._holders()
+        mains = {a for i, t in enumerate(self.tag) if t == "main" for a in self._above(i)}
+        # reader comments and teasers are often articles too, so only the article itself counts
+        strong = {i for i in strong if i not in mains and not (i in first and any(self.tag[a] in ROOTS for a in (*self._above(i), i)))}
+        roots = [i for i, t in enumerate(self.tag) if t in ROOTS]
+        free = [i for i in roots if not any(a in strong or self.own_drop[a] for a in (i, *self._above(i)))]
+        if roots and not free:
+            strong -= {a for i in roots if i not in strong for a in self._above(i)}
+        return strong
+
+    def _weak(self, gone, inside) -> dict[int, int]:
+        """Elements inside an article with a weak name, and the hash of that name; not those
+        that hold an article, a main or a headline."""
+        weak = {i: name for i, (how, name) in self.named.items() if how == WEAK and inside[i] and not gone[i]}
+        if not weak:
+            return {}
+        roots, heads, _ = self._holders()
+        return {i: xxhash.xxh64_intdigest(f"\0name\0{self.tag[i]}\0{name}".encode("utf-8", "surrogatepass"))
+                for i, name in weak.items() if i not in roots and i not in heads and self.tag[i] != "main"}
+
     def _marks(self):
         """(removed by name, inside a marked article, whether the page marks one)."""
         n = len(self.tag)
         gone, inside = [False] * n, [False] * n
+        dropped = self._named_drops() if self.named else ()
         for i in range(1, n):
             up = self.parent[i]
-            gone[i] = gone[up] or self.own_drop[i]
+            gone[i] = gone[up] or self.own_drop[i] or i in dropped
             inside[i] = inside[up] or (self.tag[i] in ROOTS and not gone[i])
         has_text = any(inside[i] and not gone[i] and t.strip() for t, i in self.pieces)
         return gone, inside, has_text
@@ -193,15 +263,18 @@ class Page:
                 continue
             matters = not gone[i] and (inside[i] or not marked)
             out[self.hash[i]] = out.get(self.hash[i], False) or matters
+        for i, name in self._weak(gone, inside).items():
+            out[self.hash[i]] = out[name] = True
         return list(out.items())
 
     def text(self, templates=frozenset()) -> str:
         gone, inside, marked = self._marks()
         if templates:
+            weak = self._weak(gone, inside)
             for i in range(1, len(self.tag)):
                 gone[i] = gone[i] or gone[self.parent[i]] or (
                     self.hash[i] in templates and self.tag[i] not in ("html", "body") and self.tag[i] not in ROOTS
-                    and not (inside[i] and self.tag[i] in PROSE))
+                    and not (inside[i] and self.tag[i] in PROSE)) or (i in weak and (weak[i] in templates or self.hash[i] in templates))
         return " ".join("".join(t for t, i in self.pieces if not gone[i] and (inside[i] or not marked)).split())
 
 

@@ -42,6 +42,24 @@ def test_recurring_subtrees_go(spark):
     assert got[300] == got[301] == "" and got[None] == "q" and got[302] == "x"
 
 
+@pytest.mark.parametrize("html, want", [
+    ("<div class=content-with-sidebar><article><h1>T</h1><p>x</article></div>", "T x"), ("<div class=left-sidebar><article>x</article></div>", "x"),
+    ("<div class=sidebar-layout><article>x</article></div>", "x"), ("<div class=banner><main>x</main></div>", "x"),
+    ("<article><div class=post-header><h1>T</h1></div><p>x</article>", "T x"), ("<article><div class=entry-header><h2>T</h2></div><p>x<h2>S</h2></article>", "T x S"),
+    ("<article><div class=header><h1>T</h1></div><p>x</article>", "T x"), ("<article><p>x</p><div class=related><h3>More</h3></div></article>", "x"),
+    ("<article>x</article><div class=comments><article>c</article></div>", "x"), ("<div class=page-header><p>only text</p></div>", "only text"),
+])
+def test_a_name_alone_deletes_no_article_and_no_headline(html, want):
+    assert text(html) == want
+
+
+def test_a_last_part_name_deletes_what_recurs(spark):
+    page = "<article><div class=post-header><h1>T{i}</h1></div><p>s{i}</p><div class=user-comments><p>c{i}</p></div><div class=extra{i}-notice>n{i}</div></article>"
+    rows = [(i, f"http://a.example/{i}", page.format(i=i)) for i in range(8)] + [(100, "http://b.example/0", page.format(i=100))]
+    got = {r.page_id: r.text for r in H.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"T{i} s{i} n{i}" for i in range(8)) and got[100] == "T100 s100 c100 n100"
+
+
 def test_extract_nothing(spark):
     assert H.extract(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
 
