@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 from proxima.llm.common import arrow_column, write_table
 
 MIN_PAGES = 5  # different pages of a host that a template stands on, at least
-MIN_SHARE = 0.05  # and this share of them
+MIN_SHARE = 0.05  # and this share of them on a host of SHARE_PAGES, falling with the root of the pages of larger ones
+SHARE_PAGES = 100
 
 _TAG = re.compile(
     r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']+|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>""",
@@ -308,13 +309,18 @@ def _text_column(spark):
 
 def page_templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
     """(host, digest, templates) for the distinct pages (host, html) that hold template
-    subtrees in what would otherwise be kept.  ``pages`` has host, digest, html."""
+    subtrees in what would otherwise be kept.  ``pages`` has host, digest, html.
+
+    A template stands on ``min_pages`` pages at least and on ``min_share`` of them; on a host of
+    more than ``SHARE_PAGES`` pages the share falls with the root of their number (5 of 100
+    pages, 50 of 10,000, 500 of 1,000,000), as a section's template is on few of many pages."""
     marks = pages.select("host", "digest", F.explode_outer(_subtree_column(pages.sparkSession)(F.col("html"))).alias("s"))
     marks = write_table(marks.groupBy("host", "digest", F.col("s.h").alias("h")).agg(F.max("s.matters").alias("matters")), "subtrees")
     sizes = marks.select("host", "digest").distinct().groupBy("host").agg(F.count("*").alias("pages"))
     seen = marks.where("h is not null").groupBy("host", "h").agg(F.count("*").alias("n"), F.max("matters").alias("any"))
     seen = seen.where((F.col("n") >= min_pages) & F.col("any"))
-    found = seen.join(sizes, "host").where(F.col("n") >= min_share * F.col("pages")).select("host", "h")
+    counted = F.least(F.col("pages").cast("double"), F.sqrt(F.lit(float(SHARE_PAGES)) * F.col("pages")))
+    found = seen.join(sizes, "host").where(F.col("n") >= min_share * counted).select("host", "h")
     return marks.where("matters").join(found, ["host", "h"]).groupBy("host", "digest").agg(F.collect_list("h").alias("templates"))
 
 

@@ -60,6 +60,13 @@ def test_a_last_part_name_deletes_what_recurs(spark):
     assert all(got[i] == f"T{i} s{i} n{i}" for i in range(8)) and got[100] == "T100 s100 c100 n100"
 
 
+def test_a_section_of_a_large_host_has_its_template(spark):
+    box = lambda i: "<div><span>Section news</span></div>" if i < 32 else "<div><span>rare</span></div>" if i < 40 else ""
+    rows = [(i, f"http://a.example/{i}", f"<div><p>story {i}</p></div>{box(i)}") for i in range(800)]
+    got = {r.page_id: r.text for r in H.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"story {i}" + (" rare" if 32 <= i < 40 else "") for i in range(800))  # 32 of 800 are 4 %, 8 too few
+
+
 def test_extract_nothing(spark):
     assert H.extract(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
 
