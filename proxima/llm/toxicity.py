@@ -4,7 +4,8 @@ Tokens are lower-case letter runs; their features are the word and its prefixes.
 labels for training come from document labels: a token of a toxic document is labelled
 toxic if it carries a feature that many toxic and hardly any clean documents have; all
 tokens of clean documents are labelled clean.  The field has two states and is trained by
-maximum likelihood; documents are tagged in chains of ``CHAIN`` tokens.
+maximum likelihood on chains of ``CHAIN`` tokens; a document is tagged as one whole: it is laid
+out in such chains, and the odds are carried over their ends.
 
 Forward-backward marginals give each token's probability.  A document's score is a logistic
 function of the expected number and share of toxic tokens, calibrated on labelled documents
@@ -70,14 +71,44 @@ def chains(lengths: np.ndarray, size: int = CHAIN):
     return first[doc] + pos // size, pos % size, int(per.sum()), doc
 
 
-def forward_backward(unary: np.ndarray, real: np.ndarray, trans: np.ndarray):
+def carried(unary: np.ndarray, real: np.ndarray, trans: np.ndarray, first: np.ndarray):
+    """Forward odds at the end of the chain before each one (NaN for a document's first) and
+    backward odds from the chain after it, where ``first`` marks the chains that start a
+    document.  Each chain becomes one 2 x 2 matrix, so documents are walked chain by chain."""
+    n, size = unary.shape
+    e, a = np.exp(np.clip(unary, -40, 40)), np.exp(trans)
+    m = np.tile(np.eye(2), (n, 1, 1))
+    for t in range(size):
+        step = m @ a
+        if t == 0:
+            step = np.where(first[:, None, None], m, step)
+        step[:, :, 1] *= e[:, t, None]
+        m = np.where(real[:, t, None, None], step, m)
+        m /= m.sum(axis=(1, 2), keepdims=True)
+    start = np.flatnonzero(first)
+    number = np.arange(n) - np.repeat(start, np.diff(np.append(start, n)))
+    order = np.argsort(number, kind="stable")
+    nth = np.split(order, np.searchsorted(number[order], np.arange(1, number.max() + 1)))
+    before, after = np.ones(n), np.ones(n)
+    for i in nth[1:]:
+        r, p = before[i - 1], m[i - 1]
+        before[i] = (p[:, 0, 1] + r * p[:, 1, 1]) / (p[:, 0, 0] + r * p[:, 1, 0])
+    for i in reversed(nth[1:]):
+        q, p = after[i], m[i]
+        after[i - 1] = (p[:, 1, 0] + p[:, 1, 1] * q) / (p[:, 0, 0] + p[:, 0, 1] * q)
+    return np.where(first, np.nan, before), after
+
+
+def forward_backward(unary: np.ndarray, real: np.ndarray, trans: np.ndarray, before=np.nan, after=1.0):
     """Odds form of the two-state recursions, one step for all chains at once: forward odds
-    r, backward odds q; the marginal odds of a token are r * q."""
+    r, backward odds q; the marginal odds of a token are r * q.  ``before`` and ``after`` are
+    what ``carried`` brings from the neighbouring chains."""
     n, size = unary.shape
     e = np.exp(np.clip(unary, -40, 40))
     (a00, a01), (a10, a11) = np.exp(trans)
     r, q = np.empty_like(e), np.ones_like(e)
-    r[:, 0] = e[:, 0]
+    r[:, 0] = np.where(np.isnan(before), e[:, 0], e[:, 0] * (a01 + before * a11) / (a00 + before * a10))
+    q[:, -1] = after
     for t in range(1, size):
         r[:, t] = e[:, t] * (a01 + r[:, t - 1] * a11) / (a00 + r[:, t - 1] * a10)
     for t in range(size - 2, -1, -1):
@@ -86,8 +117,8 @@ def forward_backward(unary: np.ndarray, real: np.ndarray, trans: np.ndarray):
     return e, r, q
 
 
-def marginals(unary: np.ndarray, real: np.ndarray, trans: np.ndarray) -> np.ndarray:
-    _, r, q = forward_backward(unary, real, trans)
+def marginals(unary: np.ndarray, real: np.ndarray, trans: np.ndarray, before=np.nan, after=1.0) -> np.ndarray:
+    _, r, q = forward_backward(unary, real, trans, before, after)
     odds = r * q
     return np.where(real, odds / (1 + odds), 0.0)
 
@@ -208,7 +239,13 @@ class Tagger:
         unary, real = np.zeros((n, CHAIN)), np.zeros((n, CHAIN), bool)
         unary[row, col] = np.concatenate([self._values(d) for d in docs if d])
         real[row, col] = True
-        p = marginals(unary, real, self.model.trans)[row, col]
+        first = np.zeros(n, bool)
+        first[row[(np.cumsum(lengths) - lengths)[lengths > 0]]] = True
+        before, after = np.full(n, np.nan), np.ones(n)
+        long = ~(first & np.append(first[1:], True))  # chains of documents that have several
+        if long.any():
+            before[long], after[long] = carried(unary[long], real[long], self.model.trans, first[long])
+        p = marginals(unary, real, self.model.trans, before, after)[row, col]
         return np.split(p, np.cumsum(lengths)[:-1])
 
     def tag(self, texts: list[str | None]):

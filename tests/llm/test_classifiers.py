@@ -162,3 +162,16 @@ def test_language_without_training_rows(spark):
     m = L.fit(empty)
     assert [tuple(r) for r in L.identify(empty, m).collect()] == [(1, "und", 0.0)]
     assert L.identify(empty.limit(0), m).collect() == []
+
+
+def test_toxicity_odds_cross_the_chains():
+    import numpy as np
+    from proxima.llm import toxicity as T
+    rng = np.random.default_rng(3)
+    model = T.ToxicityModel({f"w:{w}": float(rng.normal(0, 4)) for w in "abcdefgh"}, -1.0, np.array([[1.5, -1.0], [-2.0, 2.5]]))
+    docs = [[str(w) for w in rng.choice(list("abcdefgh"), n)] for n in (5, 0, 128, 129, 700, 1, 256, 4000)]
+    for d, p in zip(docs, T.Tagger(model).token_probabilities(docs)):
+        if d:
+            u = np.array([[model.unary(w) for w in d]])
+            assert np.abs(p - T.marginals(u, np.ones(u.shape, bool), model.trans)[0]).max() < 1e-9  # the document as one chain
+        assert len(p) == len(d)
