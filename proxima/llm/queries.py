@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proxima.llm import decontam, exact_dedup, html_extract, langid, mixing, quality, sharding, simhash, toxicity, url_filter
+from proxima.llm import (centroids, decontam, exact_dedup, html_extract, langid, mixing, quality, sharding, simhash, spelling,
+                         toxicity, url_filter, warc)
 from proxima.llm.common import table
 from proxima.session import scratch_path
 
@@ -61,10 +62,22 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive(table(spark, sf_dir, "pages"))
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_simhash_near_dedup, op2_quality_classifier, op3_language_id, op4_html_extraction, op5_exact_dedup, op6_mixing,
-        op7_decontamination, op8_toxicity, op9_url_filter, op10_sharding)}
+        op7_decontamination, op8_toxicity, op9_url_filter, op10_sharding, op11_spelling_variants, op12_warc, op13_centroid_clustering)}
 
 
 _LOWER = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -107,5 +120,71 @@ FROM d LEFT JOIN hits USING (r) LEFT JOIN items USING (r)
 """
 
 
+#: CRC-32 of a string of letters up to U+00FF: its bytes bit by bit, lowest first, through the polynomial.
+_CRC32 = """CAST(xor(list_reduce(list_prepend(4294967295, flatten(list_transform(flatten(list_transform(string_split({}, ''),
+  lambda c: CASE WHEN ord(c) < 128 THEN [ord(c)] ELSE [192 + (ord(c) >> 6), 128 + (ord(c) & 63)] END)),
+  lambda b: list_transform(range(8), lambda i: (b >> i) & 1)))), lambda a, t: xor(a >> 1, (xor(a, t) & 1) * 3988292384)), 4294967295) AS BIGINT)"""
+
+_OP11 = rf"""
+WITH RECURSIVE runs AS (
+  SELECT doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+h AS (SELECT run, {_CRC32.format("coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run")} AS h FROM runs WHERE length(run) >= 7),
+made AS (SELECT CASE WHEN h % 31 = 0 THEN run[:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS word FROM h),
+words AS MATERIALIZED (SELECT word, count(*) AS n FROM made WHERE length(word) >= 7 GROUP BY word HAVING count(*) >= 2),
+less AS MATERIALIZED (SELECT DISTINCT word, i, word[:i - 1] || word[i + 1:] AS rest FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM words)),
+pairs AS (
+  SELECT DISTINCT a.word AS word, b.word AS other FROM less a JOIN less b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT DISTINCT less.word, w.word FROM less JOIN words w ON less.rest = w.word
+  UNION SELECT DISTINCT w.word, less.word FROM less JOIN words w ON less.rest = w.word),
+near AS (
+  SELECT p.word, count(*) AS n_near, first(p.other ORDER BY w.n DESC, encode(p.other)) AS best, max(w.n) AS best_n
+  FROM pairs p JOIN words w ON w.word = p.other GROUP BY p.word),
+forms AS MATERIALIZED (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN best_n >= 10 * w.n THEN best END AS form, CASE WHEN best_n >= 10 * w.n THEN best_n END AS form_n
+  FROM words w LEFT JOIN near USING (word)),
+chain(word, root) AS (
+  SELECT word, word FROM forms
+  UNION ALL SELECT c.word, f.form FROM chain c JOIN forms f ON f.word = c.root WHERE f.form IS NOT NULL),
+roots AS (SELECT c.word, c.root FROM chain c JOIN forms f ON f.word = c.root WHERE f.form IS NULL)
+SELECT word, form, root, n, n_near, form_n FROM forms JOIN roots USING (word)
+"""
+
+_OP12 = """
+WITH p AS (SELECT page_id, url, coalesce(html, '') AS html, sha256(coalesce(html, '')) AS digest FROM pages),
+r AS (
+  SELECT *, strlen(html) >= 100 AND row_number() OVER w > 1 AS again, first_value(page_id) OVER w AS lead
+  FROM p WINDOW w AS (PARTITION BY digest ORDER BY page_id NULLS LAST, url NULLS LAST))
+SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, digest AS payload_digest,
+       CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN lead END AS refers_to
+FROM r
+"""
+
+
+def _op13() -> str:
+    apart = "list_sum(list_transform(list_zip(v.x, c.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    near = "SELECT r, arg_min(c, (d, c)) AS c, min(d) AS d FROM (SELECT v.r, c.c, {} AS d FROM v, c{} c) GROUP BY r"
+    steps = []
+    for i in range(centroids.ROUNDS):
+        steps.append(f"""a{i} AS MATERIALIZED ({near.format(apart, i)}),
+m{i} AS (SELECT c, pos, CAST(floor(sum(x) / count(*)) AS BIGINT) AS x
+  FROM (SELECT a.c, unnest(v.x) AS x, unnest(range(1, {centroids.DIM + 1})) AS pos FROM a{i} a JOIN v USING (r)) GROUP BY c, pos),
+n{i} AS (SELECT c, list(x ORDER BY pos) AS x FROM m{i} GROUP BY c),
+c{i + 1} AS MATERIALIZED (SELECT c.c, coalesce(n.x, c.x) AS x FROM c{i} c LEFT JOIN n{i} n USING (c))""")
+    last = centroids.ROUNDS
+    return f"""
+WITH kept AS (
+  SELECT vec_id, list_transform(embedding, lambda e: CAST(e AS DOUBLE)) AS e FROM embeddings
+  WHERE len(embedding) = {centroids.DIM} AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = {centroids.DIM}),
+v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(e, lambda y: CAST(floor({centroids.SCALE} * y) AS BIGINT)) AS x FROM kept),
+s AS (SELECT row_number() OVER (ORDER BY sha256('{centroids.SEED}:' || coalesce(CAST(vec_id AS VARCHAR), '')), x) - 1 AS c, x FROM v),
+c0 AS MATERIALIZED (SELECT c, x FROM s WHERE c < {centroids.CENTROIDS}),
+{", ".join(steps)},
+z AS MATERIALIZED ({near.format(apart, last)})
+SELECT v.vec_id, CAST(z.c AS INTEGER) AS cluster, CAST(z.d AS BIGINT) AS distance, CAST(sum(z.d) OVER (PARTITION BY z.c) AS BIGINT) AS cluster_inertia,
+       CAST(sum(z.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.x, ',')) AS centroid_sha256
+FROM z JOIN v USING (r) JOIN c{last} c ON c.c = z.c
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_dedup": _OP5, "op7_decontamination": _OP7}
+    return {"op5_exact_dedup": _OP5, "op7_decontamination": _OP7, "op11_spelling_variants": _OP11, "op12_warc": _OP12, "op13_centroid_clustering": _op13()}
