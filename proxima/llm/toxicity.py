@@ -31,10 +31,38 @@ PREFIXES = range(3, 9)
 PER_CLASS = 2500  # labelled documents that the model is fitted on, of either label
 SEGMENT, SEGMENTS = 1500, 8  # characters, and stretches of that many, of each of them
 THRESHOLD = 0.7
-CACHED_WORDS = 300_000
-BATCH_TOKENS = 1 << 20
+PLAIN_EVERY = 8  # of the training chains without a telling feature one in so many is used, weighted as many times
+CACHED_WORDS, CACHED_LETTERS = 100_000, 64  # words that a worker remembers, and the longest of them
+BATCH_TOKENS = 1 << 17  # places in the chains that are tagged together
+BLOCK = 1 << 16  # characters that are cut into tokens at a time
+ROWS_AT_ONCE = 500
 
 _TOKEN = re.compile(r"[^\W\d_]+")
+_GAP = re.compile(r"[\W\d_]")
+
+
+def blocks_of(text: str):
+    """(offset, stretch) of a text, cut only between tokens after about ``BLOCK`` characters."""
+    at = 0
+    while at < len(text):
+        m = _GAP.search(text, at + BLOCK) if at + BLOCK < len(text) else None
+        end = m.start() if m else len(text)
+        yield at, text[at:end]
+        at = end
+
+
+def found_in(stretch: str):
+    """(the string to match in, whether it is lower case yet).  A capital dotted I becomes two
+    characters in lower case and would shift offsets: such a stretch is lowered word by word."""
+    low = stretch.lower()
+    return (low, True) if len(low) == len(stretch) else (stretch, False)
+
+
+def tokens_of(stretch: str) -> list[str]:
+    """The lower-case letter runs of a stretch, in its order."""
+    s, lowered = found_in(stretch)
+    words = _TOKEN.findall(s)
+    return words if lowered else [w.lower() for w in words]
 
 
 def features_of(word: str) -> list[str]:
@@ -157,8 +185,11 @@ def telling_features(docs: list[tuple[int, list[list[str]]]], support: int = 3,
     return out
 
 
-def train_field(docs: list[tuple[int, list[list[str]]]], telling: set[str], rounds: int = 120, rate: float = 0.2, ridge: float = 1e-4):
-    """Maximum likelihood (Adam on the mean log-likelihood of a token) of the field's weights."""
+def train_field(docs: list[tuple[int, list[list[str]]]], telling: set[str], rounds: int = 120, rate: float = 0.2, ridge: float = 1e-4,
+                plain_every: int = PLAIN_EVERY):
+    """Maximum likelihood (Adam on the mean log-likelihood of a token) of the field's weights.
+    Of the chains without a telling feature, which differ only in length, one in
+    ``plain_every`` is used and counts that many times (1: all of them)."""
     index = {f: i for i, f in enumerate(sorted(telling))}
     seqs = [(y, p[i:i + CHAIN]) for y, parts in docs for p in parts for i in range(0, len(p), CHAIN)]
     ids: dict[str, list[int]] = {}
@@ -167,8 +198,8 @@ def train_field(docs: list[tuple[int, list[list[str]]]], telling: set[str], roun
             if w not in ids:
                 ids[w] = [index[f] for f in features_of(w) if f in index]
     telling_seq = [any(ids[w] for w in s) for _, s in seqs]
-    kept = [i for i in range(len(seqs)) if telling_seq[i] or i % 8 == 0]  # of the plain chains one in eight, counted eightfold
-    weight = np.array([1.0 if telling_seq[i] else 8.0 for i in kept])
+    kept = [i for i in range(len(seqs)) if telling_seq[i] or i % plain_every == 0]
+    weight = np.array([1.0 if telling_seq[i] else float(plain_every) for i in kept])
     seqs = [seqs[i] for i in kept]
     lengths = np.array([len(s) for _, s in seqs])
     real = np.arange(CHAIN)[None, :] < lengths[:, None]
@@ -219,25 +250,32 @@ class Tagger:
         self.model, self.cache = model, {}
 
     def _values(self, words: list[str]) -> np.ndarray:
-        cache, out = self.cache, None
+        cache = self.cache
         try:
             out = [cache[w] for w in words]
         except KeyError:
             if len(cache) > CACHED_WORDS:
                 cache.clear()
-            for w in words:
-                if w not in cache:
-                    cache[w] = self.model.unary(w)
-            out = [cache[w] for w in words]
+            new = {w: self.model.unary(w) for w in set(words) if w not in cache}
+            cache.update((w, x) for w, x in new.items() if len(w) <= CACHED_LETTERS)
+            out = [new[w] if w in new else cache[w] for w in words]
         return np.array(out, float)
 
+    def values_of(self, text: str | None) -> np.ndarray:
+        """One number for each token of a text; its words are not kept."""
+        parts = [self._values(tokens_of(s)) for _, s in blocks_of(text or "")]
+        return np.concatenate(parts) if parts else np.zeros(0)
+
     def token_probabilities(self, docs: list[list[str]]) -> list[np.ndarray]:
+        return self._probabilities([self._values(d) for d in docs])
+
+    def _probabilities(self, docs: list[np.ndarray]) -> list[np.ndarray]:
         lengths = np.array([len(d) for d in docs], int)
         if not lengths.sum():
             return [np.zeros(0) for _ in docs]
         row, col, n, _ = chains(lengths)
         unary, real = np.zeros((n, CHAIN)), np.zeros((n, CHAIN), bool)
-        unary[row, col] = np.concatenate([self._values(d) for d in docs if d])
+        unary[row, col] = np.concatenate(docs)
         real[row, col] = True
         first = np.zeros(n, bool)
         first[row[(np.cumsum(lengths) - lengths)[lengths > 0]]] = True
@@ -248,6 +286,16 @@ class Tagger:
         p = marginals(unary, real, self.model.trans, before, after)[row, col]
         return np.split(p, np.cumsum(lengths)[:-1])
 
+    def spans_of(self, text: str, bad: np.ndarray) -> list[tuple[int, int]]:
+        """Code point offsets in the text of the tokens that ``bad`` marks."""
+        out, j = [], 0
+        for at, stretch in blocks_of(text):
+            for m in _TOKEN.finditer(found_in(stretch)[0]):
+                if bad[j]:
+                    out.append((at + m.start(), at + m.end()))
+                j += 1
+        return out
+
     def tag(self, texts: list[str | None]):
         """(scores, offending spans as code point offsets) of whole texts."""
         scores, spans = np.zeros(len(texts)), [[] for _ in texts]
@@ -255,40 +303,38 @@ class Tagger:
         while at < len(texts):
             docs, size, end = [], 0, at
             while end < len(texts) and (size < BATCH_TOKENS or end == at):
-                docs.append(_TOKEN.findall((texts[end] or "").lower()))
-                size += len(docs[-1])
+                docs.append(self.values_of(texts[end]))
+                size += -(-len(docs[-1]) // CHAIN) * CHAIN
                 end += 1
-            probs = self.token_probabilities(docs)
+            probs = self._probabilities(docs)
             expected = np.array([p.sum() for p in probs])
             peak = np.array([p.max(initial=0.0) for p in probs])
             scores[at:end] = self.model.scores(expected, peak, np.array([len(p) for p in probs], float))
             for i, p in enumerate(probs):
                 if peak[i] >= 0.5:
-                    bad = set(np.flatnonzero(p >= 0.5).tolist())
-                    low = texts[at + i].lower()
-                    same = len(low) == len(texts[at + i])  # a few letters change length in lower case
-                    found = _TOKEN.finditer(low if same else texts[at + i])
-                    spans[at + i] = [(m.start(), m.end()) for j, m in enumerate(found) if j in bad]
+                    spans[at + i] = self.spans_of(texts[at + i], p >= 0.5)
             at = end
         return scores, spans
 
 
 def fit(docs: DataFrame, labels: DataFrame, train=lambda i: F.lit(True), label: str = "toxic", per_class: int = PER_CLASS,
-        seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> ToxicityModel:
+        seed: int = 42, id_col: str = "doc_id", text_col: str = "text", plain_every: int = PLAIN_EVERY) -> ToxicityModel:
     """Fit on a sample bounded by ``per_class`` documents of either label and ``SEGMENTS``
     stretches of ``SEGMENT`` characters each: two thirds train the field, one third
-    calibrates the document score.  Without labels of both kinds scores are constant."""
+    calibrates the document score.  The field uses one in ``plain_every`` of the chains
+    without a telling feature, weighted so many times.  Without labels of both kinds scores
+    are constant."""
     rows, totals = labelled_sample(docs, labels, label, train, per_class, seed, id_col, text_col, SEGMENT, SEGMENTS)
     n1, n0 = totals.get(1, 0), totals.get(0, 0)
     if not n1 or not n0:
         return ToxicityModel(intercept=float(np.log((n1 + 1) / (n0 + 1))))
     same: dict[str, str] = {}  # one object for each distinct word
-    docs_ = [(y, [[same.setdefault(w, w) for w in _TOKEN.findall(p.lower())] for p in parts]) for y, parts in rows]
+    docs_ = [(y, [[same.setdefault(w, w) for w in tokens_of(p)] for p in parts]) for y, parts in rows]
     del rows
     build = [d for i, d in enumerate(docs_) if i % 3 < 2]
     hold = [d for i, d in enumerate(docs_) if i % 3 == 2] or docs_
     telling = telling_features(build)
-    model = ToxicityModel(*train_field(build, telling)) if telling else ToxicityModel()
+    model = ToxicityModel(*train_field(build, telling, plain_every=plain_every)) if telling else ToxicityModel()
     probs = Tagger(model).token_probabilities([[w for p in parts for w in p] for _, parts in hold])
     x = document_features(np.array([p.sum() for p in probs]), np.array([p.max(initial=0.0) for p in probs]), np.array([len(p) for p in probs], float))
     y = np.array([y for y, _ in hold], float)
@@ -308,9 +354,12 @@ def tag_column(docs: DataFrame, model: ToxicityModel, text: Column) -> Column:
     def batches(it):
         tagger = Tagger(shared.value)
         for texts in it:
-            scores, spans = tagger.tag(texts.to_pylist())
-            listed = pa.array([[{"start": a, "end": z} for a, z in s] for s in spans], kind)
-            yield pa.StructArray.from_arrays([pa.array(scores, pa.float64()), listed], names=["score", "spans"])
+            done = []
+            for i in range(0, len(texts), ROWS_AT_ONCE):  # bounds the texts held as Python strings
+                scores, spans = tagger.tag(texts.slice(i, ROWS_AT_ONCE).to_pylist())
+                listed = pa.array([[{"start": a, "end": z} for a, z in s] for s in spans], kind)
+                done.append(pa.StructArray.from_arrays([pa.array(scores, pa.float64()), listed], names=["score", "spans"]))
+            yield pa.concat_arrays(done) if done else pa.StructArray.from_arrays([pa.array([], pa.float64()), pa.array([], kind)], names=["score", "spans"])
 
     return arrow_column(docs.sparkSession, batches, RESULT)(text.cast("string"))
 

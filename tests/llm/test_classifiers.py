@@ -94,6 +94,24 @@ def test_tagging_does_not_depend_on_the_batch():
         assert alone == pytest.approx(s) and sp1 == sp
 
 
+def test_spans_after_letters_that_change_length():
+    m = T.ToxicityModel({"w:bad": 12.0}, -6.0)
+    for text in ("\u0130x ok bad", "\u0130x bad ok yes", "BAD \u0130 bad", "x " * 70000 + "\u0130 bad " + "y " * 70000 + "bad"):
+        _, (spans,) = T.Tagger(m).tag([text])
+        assert [text[a:b].lower() for a, b in spans] == ["bad"] * text.lower().count("bad")
+        assert len(T.Tagger(m).values_of(text)) == len(T._TOKEN.findall(text))
+
+
+def test_a_very_long_text_is_tagged_in_bounded_memory():
+    import tracemalloc
+    text = "some plain words and one bad word among them, " * 100_000  # 4.6 MB, 900,000 tokens
+    tracemalloc.start()
+    (score,), (spans,) = T.Tagger(T.ToxicityModel({"w:bad": 12.0}, -6.0)).tag([text])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(spans) == 100_000 and peak < 200e6
+
+
 # ---------------------------------------------------------------- language
 
 def slow_log_probability(word, prob):
