@@ -31,12 +31,12 @@ MIN_PAGES = 5  # different pages of a host that a template stands on, at least
 MIN_SHARE = 0.05  # and this share of them on a host of SHARE_PAGES, falling with the root of the pages of larger ones
 SHARE_PAGES = 100
 
-_TAG = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']+|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>""",
-    re.S)
+_START = re.compile(r"<!--|<!\[CDATA\[|<(/?)([a-zA-Z][^\s/>]*)|<[!?/]")
+_ASIDE = re.compile(r"<!--|<!\[CDATA\[")
+_MARK = re.compile(r"""[>"']""")
 _NAMED = re.compile(r"""(?:\s|^)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 
-RAW = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in ("script", "style", "textarea", "title", "noscript", "template", "iframe", "xmp", "noembed", "noframes")}
+RAW = {t: re.compile(rf"</{t}\b", re.I) for t in ("script", "style", "textarea", "title", "noscript", "template", "iframe", "xmp", "noembed", "noframes")}
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup "
                    "time tt u var wbr".split())
@@ -82,6 +82,60 @@ def boilerplate(attributes: str) -> tuple[int, str]:
     return (WEAK, weak) if weak else (0, "")
 
 
+class Ends:
+    """Where the markup of one page ends, in time linear in the page however it is built: what a
+    search ran over to no avail is remembered, so that no later one runs over it again."""
+
+    def __init__(self, html: str):
+        self.html, self.last = html, html.rfind(">")
+        self._mark = (0, -1)  # the first mark at or after [0] stands at [1]
+        self._without = {}    # character -> place from which there is none
+        self._open: set[int] = set()  # marks outside quotes from which no tag ends
+
+    def find(self, what: str, at: int) -> int:
+        if at >= self._without.get(what, len(self.html) + 1):
+            return -1
+        i = self.html.find(what, at)
+        if i < 0:
+            self._without[what] = at
+        return i
+
+    def _next_mark(self, at: int) -> int:
+        start, found = self._mark
+        if not start <= at <= found:
+            m = _MARK.search(self.html, at)
+            found = m.start() if m else len(self.html)
+            self._mark = (at, found)
+        return found
+
+    def tag(self, at: int) -> int:
+        """The place of the > that ends a tag whose name ends at ``at``: the first one outside
+        quotes, or the first one at all if a quote stays open; -1 if there is none."""
+        first = self.html.find(">", at) if at <= self.last else -1  # what is run over is used up by the tag
+        if first < 0:
+            return -1
+        inside = self.html[at:first]
+        if '"' not in inside and "'" not in inside:
+            return first
+        met, i = [], self._next_mark(at)
+        while i < len(self.html) and i not in self._open:
+            met.append(i)
+            if self.html[i] == ">":
+                return i
+            close = self.find(self.html[i], i + 1)
+            if close < 0:
+                break
+            i = self._next_mark(close + 1)
+        self._open.update(met)
+        return first
+
+    def raw(self, tag: str, at: int) -> tuple[int, int]:
+        """Where the text of a raw element ends and where what follows starts."""
+        m = RAW[tag].search(self.html, at)
+        end = self.find(">", m.end()) if m else -1
+        return (m.start(), end + 1) if end >= 0 else (len(self.html), len(self.html))
+
+
 class Page:
     """The elements of a page in opening order, with text pieces and subtree hashes."""
 
@@ -91,13 +145,14 @@ class Page:
         self.pieces: list[tuple[str, int]] = []  # text and the element it stands in
         self._content: list[list[str]] = [[]]
         self._stack = [0]
+        self._depths: dict[str, list[int]] = {}  # of the open elements of each tag
         self._read(html)
         while self._stack:
             self._close()
 
     def _open(self, tag: str, attributes: str) -> None:
         up = self._stack[-1]
-        in_article = any(self.tag[i] in ROOTS for i in self._stack)
+        in_article = any(self._depths.get(t) for t in ROOTS)
         drop = tag in DROPPED or (tag == "header" and not in_article)
         if not drop and attributes and tag not in KEPT_NAMES - {"article"}:
             how = boilerplate(attributes)
@@ -108,6 +163,7 @@ class Page:
         self.own_drop.append(drop)
         self.hash.append(0)
         self._content.append([])
+        self._depths.setdefault(tag, []).append(len(self._stack))
         self._stack.append(len(self.tag) - 1)
         if tag not in INLINE:
             self.pieces.append((" ", up))
@@ -118,6 +174,7 @@ class Page:
         self.hash[i] = h = xxhash.xxh64_intdigest(body.encode("utf-8", "surrogatepass"))
         self._content[i] = []
         if self._stack:
+            self._depths[self.tag[i]].pop()
             up = self._stack[-1]
             self._content[up].append(f"{h:x}")
             if self.tag[i] not in INLINE:
@@ -129,13 +186,17 @@ class Page:
 
     def _end(self, tags, stops) -> None:
         """Close the nearest open element of ``tags`` unless one of ``stops`` stands between."""
-        for d in range(len(self._stack) - 1, 0, -1):
-            t = self.tag[self._stack[d]]
-            if t in tags:
-                self._close_to(d)
-                return
-            if t in stops:
-                return
+        d = self._deepest(tags)
+        if d and d > self._deepest(stops):
+            self._close_to(d)
+
+    def _deepest(self, tags) -> int:
+        get, d = self._depths.get, 0
+        for t in tags:
+            at = get(t)
+            if at and at[-1] > d:
+                d = at[-1]
+        return d
 
     def _text(self, raw: str) -> None:
         text = unescape(raw) if "&" in raw else raw
@@ -145,22 +206,34 @@ class Page:
         self.pieces.append((text, self._stack[-1]))
 
     def _read(self, html: str) -> None:
-        at, n = 0, len(html)
+        at, n, ends = 0, len(html), Ends(html)
         while at < n:
-            m = _TAG.search(html, at)
+            m = _START.search(html, at)
             if m is None:
                 self._text(html[at:])
                 break
-            if m.start() > at:
-                self._text(html[at:m.start()])
-            at = m.end()
-            name = m[2] or m[5]
+            start, name = m.start(), m[2]
+            if m[0] in ("<!--", "<![CDATA["):
+                close = "-->" if m[0] == "<!--" else "]]>"
+                end = ends.find(close, m.end())
+                stop, after = (end, end + 3) if end >= 0 else (n, n)
+            else:
+                end = ends.tag(m.end()) if name else ends.find(">", m.end())
+                stop, after = end, end + 1
+            if end < 0 and stop < 0:  # no tag ends any more: text up to the next comment
+                m = _ASIDE.search(html, start)
+                self._text(html[at:m.start() if m else n])
+                at = m.start() if m else n
+                continue
+            if start > at:
+                self._text(html[at:start])
+            at = after
             if not name:
-                if m[0].startswith("<![CDATA["):
-                    self._text(m[0][9:].removesuffix("]]>").replace("&", "&amp;"))
+                if m[0] == "<![CDATA[":
+                    self._text(html[m.end():stop].replace("&", "&amp;"))
                 continue
-            tag, attributes = name.lower(), m[3] or m[6] or ""
-            if m[1] or m[4]:
+            tag, attributes = name.lower(), html[m.end():stop]
+            if m[1]:
                 if tag in VOID:
                     if tag == "br":
                         self.pieces.append((" ", self._stack[-1]))
@@ -180,41 +253,50 @@ class Page:
             if attributes.endswith("/") and tag in ("svg", "path", "rect", "circle", "use"):
                 self._close()
             elif tag in RAW:
-                end = RAW[tag].search(html, at)
-                raw = html[at:end.start() if end else n]
+                stop, after = ends.raw(tag, at)
+                raw = html[at:stop]
                 if tag in ("title", "textarea"):
                     self._text(raw)
                 else:
                     self._content[self._stack[-1]].append(raw)
-                at = end.end() if end else n
+                at = after
                 self._close()
 
-    def _above(self, i: int):
-        while (i := self.parent[i]) > 0:
-            yield i
+    def _below(self, mark) -> list[bool]:
+        """For each element whether ``mark`` holds for one above it."""
+        out = [False] * len(self.tag)
+        for i in range(1, len(out)):
+            up = self.parent[i]
+            out[i] = out[up] or (up > 0 and mark(up))
+        return out
+
+    def _holding(self, marked) -> set[int]:
+        """The elements above a marked one."""
+        out: set[int] = set()
+        marked = set(marked)
+        for i in range(len(self.tag) - 1, 0, -1):  # children stand after their parents
+            if (i in marked or i in out) and self.parent[i] > 0:
+                out.add(self.parent[i])
+        return out
 
     def _headlines(self) -> set[int]:
         """Of each outermost article or main: its first heading of the highest level."""
         best: dict[int, int] = {}
-        for i, t in enumerate(self.tag):
-            if t in HEADINGS and not any(self.own_drop[a] for a in self._above(i)):
-                root = [a for a in self._above(i) if self.tag[a] in ROOTS]
-                if root and (root[-1] not in best or t < self.tag[best[root[-1]]]):
-                    best[root[-1]] = i
+        dropped = self._below(self.own_drop.__getitem__)
+        outer = [0] * len(self.tag)
+        for i in range(1, len(self.tag)):
+            up = self.parent[i]
+            outer[i] = outer[up] or (up if self.tag[up] in ROOTS else 0)
+            if self.tag[i] in HEADINGS and not dropped[i] and outer[i] and (outer[i] not in best or self.tag[i] < self.tag[best[outer[i]]]):
+                best[outer[i]] = i
         return set(best.values())
 
     def _holders(self) -> tuple[set[int], set[int], set[int]]:
         """Elements that hold an article or main; that hold the headline of one; of the latter
         those that hold an h1."""
-        roots, heads, first = set(), set(), set()
-        for i, t in enumerate(self.tag):
-            if t in ROOTS:
-                roots.update(self._above(i))
-        for i in self._headlines():
-            heads.update(self._above(i))
-            if self.tag[i] == "h1":
-                first.update(self._above(i))
-        return roots, heads, first
+        heads = self._headlines()
+        return (self._holding(i for i, t in enumerate(self.tag) if t in ROOTS), self._holding(heads),
+                self._holding(i for i in heads if self.tag[i] == "h1"))
 
     def _named_drops(self) -> set[int]:
         """Elements that a strong name deletes: not one that holds an article's h1 or a main,
@@ -223,13 +305,15 @@ class Page:
         if not strong:
             return strong
         _, _, first = self._holders()
-        mains = {a for i, t in enumerate(self.tag) if t == "main" for a in self._above(i)}
+        mains = self._holding(i for i, t in enumerate(self.tag) if t == "main")
+        in_root = self._below(lambda a: self.tag[a] in ROOTS)
         # reader comments and teasers are often articles too, so only the article itself counts
-        strong = {i for i in strong if i not in mains and not (i in first and any(self.tag[a] in ROOTS for a in (*self._above(i), i)))}
+        strong = {i for i in strong if i not in mains and not (i in first and (in_root[i] or self.tag[i] in ROOTS))}
         roots = [i for i, t in enumerate(self.tag) if t in ROOTS]
-        free = [i for i in roots if not any(a in strong or self.own_drop[a] for a in (i, *self._above(i)))]
-        if roots and not free:
-            strong -= {a for i in roots if i not in strong for a in self._above(i)}
+        drops = lambda a: a in strong or self.own_drop[a]
+        below = self._below(drops)
+        if roots and all(below[i] or drops(i) for i in roots):
+            strong -= self._holding(i for i in roots if i not in strong)
         return strong
 
     def _weak(self, gone, inside) -> dict[int, int]:

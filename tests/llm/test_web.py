@@ -110,3 +110,16 @@ def test_viterbi_finds_the_cheapest_split():
 def test_no_urls(spark):
     df = spark.createDataFrame([], "page_id long, url string")
     assert U.judge(df, U.fit(df)).collect() == []
+
+
+@pytest.mark.parametrize("page", [
+    "<div>" * 100_000 + "deep" + "</div>" * 100_000, "<span>" * 60_000 + "<hr>" * 60_000, "<article>" * 60_000 + "<h1>x</h1>" * 3000, "<i>" * 60_000 + "</b>" * 60_000,
+    "<a href=\"x>" * 90_001, "<a ' \" >" * 90_000, "<a " * 300_000, "<a \"" * 200_000 + ">", "<! " * 300_000, "<script></script " * 60_000, "<p><button>" + "<i>" * 60_000 + "<hr>" * 60_000,
+    "<div class=sidebar><article><h1>t</h1>" * 20_000, "&amp" * 200_000, "<!-- " * 200_000, "<![CDATA[" * 100_000, "<a" * 400_000])
+def test_a_hostile_megabyte_takes_seconds(page):
+    import time
+    t0 = time.time()
+    p = H.Page(page)
+    p.text()
+    p.subtrees()
+    assert time.time() - t0 < 20
