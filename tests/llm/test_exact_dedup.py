@@ -52,6 +52,31 @@ def test_later_batches_meet_the_index(spark):
         plan.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
 
 
+def test_a_batch_added_again_changes_nothing(spark):
+    path = scratch_path(spark, "index")
+    df = spark.createDataFrame(ROWS, "doc_id long, text string")
+    index = DigestIndex(spark, path)
+    want = seen(index.add(df))
+    other = spark.createDataFrame([(20, "new"), (21, "a b")], "doc_id long, text string")
+    assert want == slow(ROWS) and {(r.doc_id, r.keep_id, r.kept) for r in index.add(other, batch="second").collect()} == {(20, 20, True), (21, 3, False)}
+    n = index.rows().count()
+    assert seen(DigestIndex(spark, path).add(df.repartition(3))) == want
+    assert {(r.doc_id, r.keep_id, r.kept) for r in index.add(other, batch="second").collect()} == {(20, 20, True), (21, 3, False)}
+    assert {r.kept for r in index.add(other, batch="third").collect()} == {False}
+    assert index.rows().count() == n
+
+
+def test_a_batch_that_failed_half_way(spark):
+    path = scratch_path(spark, "index")
+    df = spark.createDataFrame(ROWS, "doc_id long, text string")
+    whole = DigestIndex(spark, scratch_path(spark, "index"))
+    want = seen(whole.add(df, batch="b"))
+    half = DigestIndex(spark, path)
+    whole.rows().where("hex(digest) < '8'").write.insertInto(half.name)  # some of its digests had been appended
+    assert seen(half.add(df, batch="b")) == want
+    assert half.rows().count() == whole.rows().count() == half.rows().select("digest").distinct().count()
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert exact_duplicates(df, scratch_path(spark, "index")).collect() == []
