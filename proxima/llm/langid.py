@@ -30,10 +30,12 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 LONGEST = 8
 PER_LANGUAGE = 2000  # documents that the model is fitted on, of either language
 SEGMENT, SEGMENTS = 2000, 4  # characters, and stretches of that many, of each of them
+LONGEST_WORD = 63  # bytes of a word that the model is fitted on
 ROUNDS = 3
 SMOOTHING = 0.1
-CACHED_WORDS = 200_000
+CACHED_WORDS, CACHED_LETTERS = 200_000, 256  # words that a worker remembers, and the longest of them
 ROWS_AT_ONCE = 500
+WINDOW = 2048  # bytes of a word whose pieces are looked up together
 UNKNOWN = "und"
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -67,6 +69,7 @@ class Pieces:
     def _matches(self, letters: np.ndarray):
         """For a (words, bytes) block: per length k the piece numbers at each start, -1: none."""
         m, n = letters.shape
+        letters = letters.astype(np.uint64)
         h, out = np.zeros((m, n + 1), np.uint64), []
         for k in range(1, min(LONGEST, n) + 1):
             h = (h[:, :n - k + 1] << np.uint64(8)) | letters[:, k - 1:]
@@ -80,31 +83,30 @@ class Pieces:
     def _probabilities(self, found):
         return [np.where((at >= 0)[..., None], self.prob[k][at], 0.0) for k, at in enumerate(found)]
 
-    def _forward(self, p, m: int, n: int):
-        """alpha[e] (words, languages), each scaled by the log factors beside it."""
-        langs = self.prob[0].shape[1]
-        alpha, scale = [np.ones((m, langs))], [np.zeros((m, langs))]
-        log = np.zeros((m, langs))
-        for e in range(1, n + 1):
-            a = np.zeros((m, langs))
-            for k in range(1, min(LONGEST, e) + 1):
-                a += alpha[e - k] * p[k - 1][:, e - k]
-            if e % 12 == 0:  # rescale the last few, against underflow in long words
-                log = log + np.log(a)
-                for b in range(max(0, e - LONGEST + 1), e):
-                    alpha[b] = alpha[b] / a
-                a = np.ones_like(a)
-            alpha.append(a)
-            scale.append(log)
-        return alpha, log
-
     def log_words(self, words: list[bytes]) -> np.ndarray:
-        """log probability of each word in each language."""
-        out = np.empty((len(words), self.prob[0].shape[1]))
+        """log probability of each word in each language.  Of a long word only the pieces of
+        ``WINDOW`` bytes and the last ``LONGEST`` sums are held."""
+        langs = self.prob[0].shape[1]
+        out = np.empty((len(words), langs))
         for ix, block in _blocks(words):
-            p = self._probabilities(self._matches(block))
-            alpha, log = self._forward(p, *block.shape)
-            out[ix] = np.log(alpha[-1]) + log
+            m, n = block.shape
+            log = np.zeros((m, langs))
+            alpha = {0: np.ones((m, langs))}  # sums up to each of the last few places, scaled by exp(-log)
+            for start in range(0, n, WINDOW):
+                base, stop = max(0, start - LONGEST + 1), min(n, start + WINDOW)
+                p = self._probabilities(self._matches(block[:, base:stop]))
+                for e in range(start + 1, stop + 1):
+                    a = np.zeros((m, langs))
+                    for k in range(1, min(LONGEST, e) + 1):
+                        a += alpha[e - k] * p[k - 1][:, e - k - base]
+                    if e % 12 == 0:  # rescale the last few, against underflow in long words
+                        log = log + np.log(a)
+                        for b in range(max(0, e - LONGEST + 1), e):
+                            alpha[b] = alpha[b] / a
+                        a = np.ones_like(a)
+                    alpha[e] = a
+                    alpha.pop(e - LONGEST, None)
+            out[ix] = np.log(alpha[n]) + log
         return out
 
     def expected(self, words: list[bytes], counts: np.ndarray, lang: int) -> list[np.ndarray]:
@@ -138,7 +140,7 @@ def _blocks(words: list[bytes], most: int = 1 << 14):
         size = max(1, min(most, (most * 16) // int(n)))
         for i in range(0, len(ix), size):
             part = ix[i:i + size]
-            yield part, np.frombuffer(b"".join(words[j] for j in part), np.uint8).reshape(-1, n).astype(np.uint64)
+            yield part, np.frombuffer(b"".join(words[j] for j in part), np.uint8).reshape(-1, n)
 
 
 def spell(word: str) -> bytes:
@@ -161,6 +163,9 @@ class LanguageModel:
             if len(cache) > CACHED_WORDS:
                 cache.clear()
             new = list({w for c in counts for w in c if w not in cache})
+            if self.langs:  # longer words are not remembered: a cache of them has no bound
+                long = {w: x for w in new if len(w) > CACHED_LETTERS for x in self.pieces.log_words([spell(w)])}
+                new = [w for w in new if len(w) <= CACHED_LETTERS]
             if new and self.langs:
                 while len(cache) + len(new) > len(table):
                     table = np.vstack([table, np.zeros_like(table)])
@@ -172,7 +177,9 @@ class LanguageModel:
                 if not self.langs or not any(ch.isalpha() for w in c for ch in w):
                     lang.append(UNKNOWN)
                     continue
-                ll = np.fromiter(c.values(), float, len(c)) @ table[[cache[w] for w in c]]
+                ll = sum((n * long[w] for w, n in c.items() if w in long), np.zeros(len(self.langs)))
+                short = [w for w in c if w not in long] if long else c
+                ll = ll + np.fromiter((c[w] for w in short), float, len(short)) @ table[[cache[w] for w in short]]
                 best = int(ll.argmax())
                 lang.append(self.langs[best])
                 sure[i] = 1 / np.exp(np.clip(ll - ll[best], -700, 0)).sum()
@@ -181,7 +188,8 @@ class LanguageModel:
         return score
 
 
-def _sample(docs: DataFrame, train, per_language: int, seed: int, id_col: str, text_col: str, lang_col: str) -> DataFrame:
+def _sample(docs: DataFrame, train, per_language: int, seed: int, id_col: str, text_col: str, lang_col: str, segment: int = SEGMENT,
+            segments: int = SEGMENTS) -> DataFrame:
     """About ``per_language`` documents of each language, by seeded hash of the id."""
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
@@ -190,23 +198,25 @@ def _sample(docs: DataFrame, train, per_language: int, seed: int, id_col: str, t
     h = F.xxhash64(F.lit(seed), "id")
     share = F.create_map(*[x for lang, n in sizes.items() for x in (F.lit(lang), F.lit(min(1.0, per_language / n)))]) if sizes else F.create_map(F.lit(""), F.lit(0.0))
     u = F.shiftrightunsigned(h, 11) / F.lit(float(1 << 53))
-    return known.where(u < share[F.col("lang")]).select("lang", segments_of(F.col("text"), h, SEGMENT, SEGMENTS).alias("parts"))
+    return known.where(u < share[F.col("lang")]).select("lang", segments_of(F.col("text"), h, segment, segments).alias("parts"))
 
 
 def word_counts(sample: DataFrame) -> DataFrame:
-    """(lang, word, n) over the sampled stretches; words of up to 63 bytes."""
+    """(lang, word, n) over the sampled stretches; words of up to ``LONGEST_WORD`` bytes."""
     words = F.regexp_extract_all(F.lower(F.array_join("parts", " ")), F.lit(r"((?U)[\p{L}]+)"), F.lit(1))
-    return sample.select("lang", F.explode(words).alias("word")).where(F.octet_length("word") < 64).groupBy("lang", "word").agg(F.count("*").alias("n"))
+    return sample.select("lang", F.explode(words).alias("word")).where(F.octet_length("word") <= LONGEST_WORD).groupBy("lang", "word").agg(F.count("*").alias("n"))
 
 
 def fit(docs: DataFrame, train=lambda i: F.lit(True), vocabulary: str = VOCABULARY, per_language: int = PER_LANGUAGE, seed: int = 42,
-        id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rounds: int = ROUNDS) -> LanguageModel:
+        id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rounds: int = ROUNDS, segment: int = SEGMENT,
+        segments: int = SEGMENTS) -> LanguageModel:
     """Learn piece probabilities from a sample bounded by ``per_language`` documents a
-    language.  What reaches the driver is one number for each language and piece.  Without
+    language and, of each, ``segments`` stretches of ``segment`` characters; words of more than
+    ``LONGEST_WORD`` bytes are not learned from (they are scored).  What reaches the driver is one number for each language and piece.  Without
     labelled documents the model knows no language and answers ``und``."""
     spark = docs.sparkSession
     ship_package(spark)
-    counts = write_table(word_counts(_sample(docs, train, per_language, seed, id_col, text_col, lang_col)).repartition("lang", "word"), "language-words")
+    counts = write_table(word_counts(_sample(docs, train, per_language, seed, id_col, text_col, lang_col, segment, segments)).repartition("lang", "word"), "language-words")
     langs = sorted(r.lang for r in counts.select("lang").distinct().collect())
     keys = read_vocabulary(vocabulary)
     size = sum(map(len, keys))

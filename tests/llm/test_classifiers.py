@@ -167,6 +167,24 @@ def test_very_long_words_do_not_underflow():
     assert lang == ["x", "und", "und", "x"] and sure[0] == pytest.approx(0.5) and sure[1] == 0
 
 
+def test_a_long_word_is_scored_in_bounded_memory():
+    import tracemalloc
+    pieces, rnd = small_pieces(4), random.Random(9)
+    word = L.spell("".join(rnd.choice("ab") for _ in range(300_000)))
+    tracemalloc.start()
+    (got,) = pieces.log_words([word])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.isfinite(got).all() and peak < 20e6
+    keep, L.WINDOW = L.WINDOW, 16
+    try:
+        words = [L.spell("".join(rnd.choice("ab") for _ in range(n))) for n in (1, 7, 15, 16, 17, 40, 333)]
+        small = pieces.log_words(words)
+    finally:
+        L.WINDOW = keep
+    assert np.allclose(small, pieces.log_words(words), rtol=1e-12)
+
+
 def test_language_on_held_out_rows(spark, docs):
     m = L.fit(docs, lambda i: ~L.held_out(i), per_language=100)
     r = L.identify(docs, m).join(docs.select("doc_id", "lang"), "doc_id").where(L.held_out(F.col("doc_id"))).toPandas()
