@@ -43,8 +43,16 @@ def import_events(raw: DataFrame, fields: Sequence[str], sep: str = "|", raw_col
     return raw.select(*raw.columns, *[F.get(parts, i).alias(f) for i, f in enumerate(fields)])
 
 
+def _with(rows: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join with one row per group; a null key is a group like any other."""
+    named = groups.select(*[F.col(f"`{k}`").alias(f"__g{i}") for i, k in enumerate(keys)], *[F.col(f"`{c}`") for c in groups.columns if c not in keys])
+    on = [F.col(f"`{k}`").eqNullSafe(F.col(f"__g{i}")) for i, k in enumerate(keys)]
+    return rows.join(named, on).drop(*[f"__g{i}" for i in range(len(keys))])
+
+
 def ordered_events(events: DataFrame, user_col: str = "user_id", order_cols: Sequence[str] = ("ts", "event_id")) -> DataFrame:
-    """AGG-6 in long form: every event with its 1-based position in the user's log.
+    """AGG-6 in long form: every event with its 1-based position in the user's log (events
+    without a user are one log of their own).
 
     A user is never sorted in one task: a range partitioning by (user, order) — Spark
     samples the keys, so a user with a third of the log is split over many tasks — is written
@@ -60,7 +68,7 @@ def ordered_events(events: DataFrame, user_col: str = "user_id", order_cols: Seq
     counts = pos.groupBy(part, user_col).agg(F.max("__loc").alias("__cnt"))
     prior = Window.partitionBy(user_col).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(part, user_col, F.coalesce(F.sum("__cnt").over(prior), F.lit(0)).alias("__off"))
-    out = pos.join(offsets, [part, user_col])
+    out = _with(pos, offsets, [part, user_col])
     return out.select(*events.columns, (F.col("__off") + F.col("__loc")).cast("int").alias("pos"))
 
 
@@ -68,10 +76,11 @@ def pop_oldest(events: DataFrame, user_col: str = "user_id", order_cols: Sequenc
                ) -> tuple[DataFrame, DataFrame]:
     """WIN-4: (popped, remaining).  The oldest event per user is found with a map-side
     combined ``min`` over the ordering struct, not a per-user sort; of several events with
-    that order exactly one is popped."""
+    that order exactly one is popped.  Events without a user are one log of their own; every
+    event is in one of the two results."""
     order = F.struct(*[F.col(c) for c in order_cols])
     first = events.groupBy(user_col).agg(F.min(order).alias("__first"))
-    marked = events.join(first, user_col).withColumn("__is", order.eqNullSafe(F.col("__first")))
+    marked = _with(events, first, [user_col]).withColumn("__is", order.eqNullSafe(F.col("__first")))
     oldest = marked.filter("__is").withColumn("__rn", F.row_number().over(
         Window.partitionBy(user_col).orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in events.columns]))))
     popped = oldest.filter("__rn = 1").select(*events.columns)
@@ -80,7 +89,7 @@ def pop_oldest(events: DataFrame, user_col: str = "user_id", order_cols: Sequenc
 
 
 def delete_users(events: DataFrame, users: DataFrame, user_col: str = "user_id") -> DataFrame:
-    """JN-11: drop every event of the listed users."""
+    """JN-11: drop every event of the listed users; events without a user stay."""
     return events.join(users.select(user_col).distinct(), user_col, "left_anti")
 
 

@@ -183,6 +183,21 @@ def _event_weight() -> str:
 
 EVENT_HIST = f"""hist AS (SELECT CAST(user_id AS VARCHAR) AS user_id, json_extract_string(props, '$.k') AS item_id,
                  {_event_weight()} AS w FROM events)"""
+#: events of the live lists: after the last purchase, in the last run that is open at the watermark, less the popped ones
+LIVE_HIST = f"""le AS (SELECT CAST(user_id AS VARCHAR) AS user_id, epoch_us(ts) AS t, event_id, json_extract_string(props, '$.k') AS item_id, {_event_weight()} AS w,
+       CASE event_type WHEN 'purchase' THEN 2 WHEN 'error' THEN 1 ELSE 0 END AS kind FROM events),
+lmark AS (SELECT (max(t) // 1000 - 3600000) * 1000 AS mark FROM le),
+ld AS (SELECT user_id, max(t) AS d FROM le WHERE kind = 2 GROUP BY user_id),
+lg AS (SELECT *, CASE WHEN t - lag(t) OVER w > 86400000000 THEN 1 ELSE 0 END AS brk FROM le WHERE kind = 0 WINDOW w AS (PARTITION BY user_id ORDER BY t, event_id)),
+ls AS (SELECT *, sum(brk) OVER (PARTITION BY user_id ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS sid FROM lg),
+lr AS (SELECT user_id, arg_max(a, sid) AS a, max(z) AS z FROM (SELECT user_id, sid, min(t) AS a, max(t) AS z FROM ls GROUP BY user_id, sid) GROUP BY user_id),
+lo AS (SELECT lr.*, coalesce(d, -1) AS d FROM lr LEFT JOIN ld USING (user_id), lmark WHERE (z + 86400000000) // 1000 * 1000 >= mark),
+li AS (SELECT le.* FROM le JOIN lo USING (user_id) WHERE kind < 2 AND t > d AND t >= a),
+lb AS (SELECT *, sum(CASE kind WHEN 0 THEN 1 ELSE -1 END) OVER (PARTITION BY user_id ORDER BY t, kind, event_id ROWS UNBOUNDED PRECEDING) AS bal FROM li),
+ll AS (SELECT user_id, sum(CASE kind WHEN 0 THEN 1 ELSE -1 END) - least(0, min(bal)) AS n FROM lb GROUP BY user_id),
+lf AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY t DESC, event_id DESC) AS rn FROM li WHERE kind = 0),
+hist AS (SELECT user_id, item_id, w FROM lf JOIN ll USING (user_id) WHERE rn <= n)"""
+LIVE_USERS = "users AS (SELECT DISTINCT h.user_id FROM hist h JOIN part ON CAST(p_partkey AS VARCHAR) = h.item_id)"
 EVENT_USERS = "users AS (SELECT DISTINCT CAST(user_id AS VARCHAR) AS user_id FROM events)"
 ORDER_HIST = """hist AS (SELECT CAST(o.o_custkey AS VARCHAR) AS user_id, CAST(l.l_partkey AS VARCHAR) AS item_id,
                 {w} AS w FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey)"""
@@ -368,6 +383,7 @@ SELECT query_id, label, CAST(rk AS INTEGER) AS rank, item_id, {rd('distance')} A
     q["user_coldstart"] = cold.replace(f"{PART_ENC}, {part_vec()},", f"{PART_ENC}, {part_vec()}, {COLD_ITEMS},", 1)
     q["user_query_events"] = user_knn_sql(EVENT_HIST, EVENT_USERS, k=2, per_partition=True)
     q["stream_recommend"] = q["user_query_events"]
+    q["stream_recommend_live"] = user_knn_sql(LIVE_HIST, LIVE_USERS, k=2, per_partition=True)
     q["user_dense_events"] = f"""WITH {EVENT_HIST},
 emb AS (SELECT CAST(vec_id AS VARCHAR) AS item_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
 hx AS (SELECT h.user_id, h.w, generate_subscripts(e.v, 1) AS pos, unnest(e.v) AS x

@@ -771,6 +771,29 @@ def stream_recommend(spark, sf):
     return _knn_out(SR.live_recommendations(spark, recs))
 
 
+LIVE = dict(delete_types=["purchase"], pop_types=["error"])  # the control events of stream_recommend_live
+
+
+def stream_recommend_live(spark, sf):
+    """STR-2 x STR-4: recommendations from the live event lists: expired, deleted and popped
+    events no longer count; users without a live event have none."""
+    from ..streaming import live as SL
+    from ..streaming import recommend as SR
+    from ..streaming.runner import file_stream, run_available_now
+    s = part_schema()
+    idx = part_index(spark, sf, s)
+    ev = table(spark, sf, "events")
+    src = _replayed(spark, ev, "live-src", "ts")
+    deltas, sums, recs = (_scratch(spark, f"live-{x}") for x in ("deltas", "sums", "recs"))
+    changes = SL.live_deltas(file_stream(spark, src, ev, max_files_per_trigger=1), EVENT_WEIGHTS, item_col=_event_item(), **LIVE)
+    run_available_now(changes.writeStream.format("parquet").outputMode("append").option("path", deltas), _scratch(spark, "live-ck"))
+    agg = SL.live_profile_sums(file_stream(spark, deltas, SL.DELTAS), idx, s)
+    users = lambda touched: touched.withColumn("p_type", F.array(*[F.lit(t) for t in P_TYPES]))
+    body = SR.recommend_batch_fn(idx, s, users, sums, recs, k=2, min_history=1e-9, tie_decimals=TIES)
+    run_available_now(agg.writeStream.outputMode("update").foreachBatch(body), _scratch(spark, "live-recs-ck"))
+    return _knn_out(SR.live_recommendations(spark, recs))
+
+
 def stream_index(spark, sf):
     """STR-6: items arriving as a stream are coded per micro-batch into the index."""
     from ..streaming import recommend as SR
@@ -799,7 +822,7 @@ def registry() -> dict:
         "user_avg", "user_avg_dedup", "user_weighted", "user_coldstart", "user_coldstart_vector", "user_query_events",
         "user_query_explain", "user_dense_events", "events_ordered", "events_import_export", "events_pop", "events_delete",
         "events_append", "vectors_upsert", "get_vectors", "save_load_roundtrip",
-        "stream_events", "stream_event_lists", "stream_event_lists_unsorted", "stream_event_control", "stream_recommend", "stream_index",
+        "stream_events", "stream_event_lists", "stream_event_lists_unsorted", "stream_event_control", "stream_recommend", "stream_recommend_live", "stream_index",
         "knn_ivf", "knn_lsh", "ann_recall",
     ]
     g = globals()

@@ -9,9 +9,10 @@ aggregation is partial before the shuffle, so a hot user is pre-aggregated per t
 STR-5: ``foreachBatch`` on that aggregation.  Each micro-batch writes the updated sums
 to ``sums/batch_id=N``, reads back the current sums of just the users touched in the
 batch (newest version per key), assembles their profiles and runs the regular kNN join
-against the static index; recommendations go to ``recs/batch_id=N``.  The newest batch
-per user is the live answer; after the stream has consumed the whole log it equals the
-batch ``recommend_from_events`` result.
+against the static index; recommendations go to ``recs/batch_id=N`` and the users that were
+answered to ``recs_users/batch_id=N``.  The newest batch per user is the live answer; after
+the stream has consumed the whole log it equals the batch ``recommend_from_events`` result.
+Over the sums of ``streaming.live`` the profile follows the live event list instead.
 
 STR-6: items stream -> ``build_index`` per micro-batch (stateless coding + rejects) ->
 accepted rows to ``index/batch_id=N/<filters>``, rejects to ``rejects/batch_id=N``.
@@ -21,12 +22,14 @@ from __future__ import annotations
 
 from typing import Callable, Mapping
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import ingest, knn, profiles
 from ..operators.encode import CODES, ITEM_ID
 from ..schema import Schema
+from ..session import remove_folder
 from ..sources.model_io import read_typed, save_types
 from .runner import BATCH_ID
 
@@ -62,37 +65,57 @@ def latest_keep_batch(df: DataFrame, keys) -> DataFrame:
     return top.select(*keys, *[F.col(f"__v.`{c}`").alias(c) for c in vals])
 
 
+def newest_snapshot(spark, sums_path: str) -> tuple[str | None, int | None]:
+    """(path, last batch in it) of the newest finished snapshot of the sums.  A snapshot counts
+    once its marker is written, so the pointer outlives the driver and a torn write is unseen."""
+    try:
+        marks = spark.read.schema("upto long").parquet(f"{sums_path}_markers")
+    except AnalysisException:  # no snapshot yet
+        return None, None
+    upto = marks.agg(F.max("upto")).first()[0]
+    return (f"{sums_path}_snapshots/upto={upto}", upto) if upto is not None else (None, None)
+
+
 def recommend_batch_fn(index: DataFrame, schema: Schema, users_fn: Callable[[DataFrame], DataFrame],
-                       sums_path: str, recs_path: str, k: int = 10, compact_every: int = 16, **knn_kw):
+                       sums_path: str, recs_path: str, k: int = 10, compact_every: int = 16, min_history: float = 0.0, **knn_kw):
     """The ``foreachBatch`` body of STR-5 (see module doc).  ``users_fn`` maps the touched
     ``user_id`` table to the query users (``user_id, <filters>[, <user encoder fields>]``).
+    Users whose weights sum up to less than ``min_history`` get no answer, and lose an earlier
+    one.
 
     Every ``compact_every`` batches the newest sums are written as a snapshot, so a batch
     reads the snapshot plus at most ``compact_every`` newer batch folders instead of the
-    whole history.  The snapshot pointer lives in the driver; after a driver restart the
-    reader falls back to all batch folders (slower, same result) until the next snapshot."""
-    snap = {"upto": None, "path": None}
-
+    whole history; the folders that a newer snapshot covers are removed.  The pointer to the
+    snapshot is a table of its own beside the sums, so a restarted driver goes on from it."""
     def on_batch(upd: DataFrame, batch_id: int) -> None:
         spark = upd.sparkSession
         upd.write.mode("overwrite").parquet(f"{sums_path}/{BATCH_ID}={batch_id}")
         touched = spark.read.parquet(f"{sums_path}/{BATCH_ID}={batch_id}").select(USER_ID).distinct()
-        cur = current_sums(sums_path, spark, touched, snap["path"], snap["upto"]).drop(BATCH_ID)
+        touched.write.mode("overwrite").parquet(f"{recs_path}_users/{BATCH_ID}={batch_id}")
+        touched = spark.read.parquet(f"{recs_path}_users/{BATCH_ID}={batch_id}")
+        path, upto = newest_snapshot(spark, sums_path)
+        cur = current_sums(sums_path, spark, touched, path, upto).drop(BATCH_ID)
         prof = profiles.assemble_profiles(cur, schema)
-        q = profiles.user_queries(users_fn(touched), prof, schema)
+        q = profiles.user_queries(users_fn(touched), prof, schema, min_history=min_history)
         recs = knn.knn(q, index, schema, k=k, **knn_kw)
         recs.write.mode("overwrite").parquet(f"{recs_path}/{BATCH_ID}={batch_id}")
         if compact_every and (batch_id + 1) % compact_every == 0:
-            path = f"{sums_path}_snapshots/upto={batch_id}"
-            current_sums(sums_path, spark, None, snap["path"], snap["upto"]).write.mode("overwrite").parquet(path)
-            snap.update(upto=batch_id, path=path)
+            new = f"{sums_path}_snapshots/upto={batch_id}"
+            current_sums(sums_path, spark, None, path, upto).write.mode("overwrite").parquet(new)
+            spark.range(batch_id, batch_id + 1).select(F.col("id").alias("upto")).coalesce(1).write.mode("append").parquet(f"{sums_path}_markers")
+            for old in range(0 if upto is None else upto + 1, batch_id):  # the newest folder stays, so that the table keeps its schema
+                remove_folder(spark, f"{sums_path}/{BATCH_ID}={old}")
+            if path is not None:
+                remove_folder(spark, path)
     return on_batch
 
 
 def live_recommendations(spark, recs_path: str, query_col: str = knn.QUERY_ID) -> DataFrame:
-    """The newest recommendation set of every user (all rows of its newest batch)."""
+    """The newest recommendation set of every user: all rows of the newest batch that
+    answered the user, none if that batch found no history any more."""
     r = spark.read.parquet(recs_path)
-    newest = r.groupBy(query_col).agg(F.max(BATCH_ID).alias(BATCH_ID))
+    asked = spark.read.parquet(f"{recs_path}_users")
+    newest = asked.groupBy(F.col(USER_ID).alias(query_col)).agg(F.max(BATCH_ID).alias(BATCH_ID))
     return r.join(newest, [query_col, BATCH_ID], "left_semi").drop(BATCH_ID)
 
 

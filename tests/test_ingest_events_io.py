@@ -169,3 +169,13 @@ def test_clusters_need_a_shared_checkpoint_folder(spark, monkeypatch):
     fake = SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="spark://host:7077", getConf=lambda: conf))
     with pytest.raises(ValueError):
         session.ensure_checkpoint_dir(fake)
+
+
+def test_events_without_a_user_are_kept(spark):
+    from proxima.operators import events as EV
+    ev = spark.createDataFrame([(None, 1, 1), (None, 2, 2), ("u", 3, 3), (None, 1, 4)], "user_id string, ts long, event_id long")
+    assert sorted((r.user_id or "", r.pos, r.event_id) for r in EV.ordered_events(ev).collect()) == [("", 1, 1), ("", 2, 4), ("", 3, 2), ("u", 1, 3)]
+    popped, rest = EV.pop_oldest(ev)
+    assert sorted(r.event_id for r in popped.collect()) == [1, 3] and sorted(r.event_id for r in rest.collect()) == [2, 4]
+    listed = spark.createDataFrame([(None,), ("u",)], "user_id string")
+    assert EV.delete_users(ev, listed).count() == 3
