@@ -1,18 +1,19 @@
 """Approximate kNN (Q-6, UDF-3): the reference picks an engine by name (exact flat
 search, or a graph / hashing index); here ``method=`` selects among
 
-* ``exact``  — ``knn.knn`` (scan or blocked; the default ``Flat``),
+* ``exact``  — ``knn.knn`` (scan or cells; the default ``Flat``),
 * ``ivf``    — inverted lists: a coarse k-means quantizer over one vector feature
   (MLlib ``KMeans``, fitted distributedly on the index), every item in the list of its
   nearest centroid, every query probing its ``nprobe`` nearest lists.  Unless given,
   ``nprobe`` is the smallest number of lists that reaches the asked recall against the
   exact search (``measured_probes``).  The candidate join is keyed on
   ``(partition filters, list_id)``, so it is the same equi-join as the exact search, only
-  over fewer pairs; the distances of the candidates are exact, the result has the exact
-  search's columns, and queries that meet fewer than k items are searched exactly,
-* ``lsh``    — bucketed random projections: ids meet on (filters, table, bucket), distinct
-  pairs get exact distances, and queries that meet fewer than k items are searched
-  exactly.
+  over fewer pairs,
+* ``lsh``    — bucketed random projections: ids meet on (filters, table, bucket).
+
+Both only choose candidates: their distances are exact under the caller's strategies, weights
+and metric, the result has the exact search's columns, and queries that meet fewer than k
+items are searched exactly.
 
 Only the centroid matrix (``nlist x dim`` doubles) travels to the executors, as a broadcast
 variable; items and queries never pass through the driver.
@@ -25,15 +26,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import encoders as X
-from ..functions.numeric import rank_key
 from ..schema import Schema
 from .encode import CODES, ITEM_ID
-from ..session import ship_package, write_table
-from .knn import QUERY_ID, STRATEGY_ID, _score, _topk, candidate_pairs, components, distance, knn, rep_x
+from ..session import ship_package
+from .knn import QUERY_ID, STRATEGY_ID, _score, _topk, candidate_pairs, knn, rep_x
 
 LIST_ID = "__blk"
 RECALL = 0.9          # of the exact hits, that an approximate search finds at least
@@ -151,36 +151,40 @@ def _lsh_keys(vec, length: int, tables: int, hashes: int, width: float, seed: in
     return F.transform(F.sequence(F.lit(0), F.lit(tables - 1)), table)
 
 
-def knn_lsh(queries: DataFrame, index: DataFrame, schema: Schema, k: int = 10, bucket_length: float = 2.0,
-            num_tables: int = 12, num_hashes: int = 2, feature: str | None = None, restrict_partition: bool = True,
-            seed: int = 17, tie_decimals: int | None = None) -> DataFrame:
-    """Approximate l2 kNN by bucketed random projections of one vector feature.
+def lsh_pairs(queries: DataFrame, index: DataFrame, schema: Schema, feature: str | None = None, restrict_partition: bool = True, metric: str = "l2",
+              strategies=(None,), weights=None, bucket_length: float = 2.0, num_tables: int = 12, num_hashes: int = 2, seed: int = 17) -> DataFrame:
+    """query x item rows that share a bucket of random projections of one vector feature (of
+    its direction for cosine), each pair once, with the columns that scoring reads.
 
-    Ids meet on (filters, table, bucket) first, without their vectors; distinct pairs then
-    fetch both vectors and get the exact distance over all features.  A query that meets
-    fewer than k items is searched exactly, so none comes back short."""
+    Ids meet on (filters, table, bucket) first, without their vectors.  The feature must weigh
+    something under every strategy; ip has no such buckets, as its nearest items need not lie
+    near the query."""
     e = vector_feature(schema, feature)
+    if metric == "ip":
+        raise ValueError("lsh search ranks by l2 or cosine")
+    if any(schema.weights(s, weights)[e.field] == 0 for s in strategies):
+        raise ValueError(f"lsh search by {e.field}, which has no weight")
     flt = list(schema.filter_fields) if restrict_partition else []
-    q = queries if restrict_partition else queries.dropDuplicates([QUERY_ID])
-    keyed = lambda df, vec, cols: df.select(*cols, F.explode(_lsh_keys(vec, e.length, num_tables, num_hashes, bucket_length, seed)).alias("k")).select(
-        *cols, "k.t", "k.h")
+
+    def keyed(df, vec, cols):
+        if metric == "cosine":
+            vec = vec.cast("array<double>")
+            norm = F.sqrt(X.sqnorm(vec))
+            vec = F.transform(vec, lambda x: F.when(norm > 0, x / norm).otherwise(x))
+        keys = F.explode(_lsh_keys(vec, e.length, num_tables, num_hashes, bucket_length, seed))
+        return df.select(*cols, keys.alias("k")).select(*cols, "k.t", "k.h")
+
     items = keyed(index, F.col(f"{CODES}.`{e.field}`"), [ITEM_ID, *schema.filter_fields])
-    met = keyed(q, F.col(rep_x(e.field)), [QUERY_ID, *flt]).join(items, [*flt, "t", "h"])
+    met = keyed(queries, F.col(rep_x(e.field)), [QUERY_ID, *flt]).join(items, [*flt, "t", "h"])
     met = met.select(QUERY_ID, ITEM_ID, *schema.filter_fields).distinct()
-    reps = q if restrict_partition else q.drop(*schema.filter_fields)
-    pairs = met.join(index, [ITEM_ID, *schema.filter_fields]).join(reps, [QUERY_ID, *flt])
-    total = distance(schema, components(schema, metric="l2"), "l2")
-    scored = pairs.select(QUERY_ID, *schema.filter_fields, ITEM_ID, total.alias("distance"))
-    grp = [QUERY_ID] + flt
-    w = Window.partitionBy(*grp).orderBy(rank_key(F.col("distance"), tie_decimals), F.col(ITEM_ID))
-    near = write_table(scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k), "lsh-hits")
-    full = near.groupBy(*grp).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") >= k)
-    short = q.join(full.select(*grp), grp, "left_anti")
-    rest = knn(short, index, schema, k=k, metric="l2", restrict_partition=restrict_partition, tie_decimals=tie_decimals, method="scan")
-    out = near.join(full.select(*grp), grp, "left_semi").select(QUERY_ID, *schema.filter_fields, ITEM_ID, "distance")
-    out = out.unionByName(rest.select(*out.columns))
-    return out.withColumn("rank", F.row_number().over(Window.partitionBy(QUERY_ID).orderBy(
-        rank_key(F.col("distance"), tie_decimals), F.col(ITEM_ID)))).select(QUERY_ID, *schema.filter_fields, "rank", ITEM_ID, "distance")
+    return met.join(index, [ITEM_ID, *schema.filter_fields]).join(queries, [QUERY_ID, *flt])
+
+
+def knn_lsh(queries: DataFrame, index: DataFrame, schema: Schema, k: int = 10, bucket_length: float = 2.0,
+            num_tables: int = 12, num_hashes: int = 2, feature: str | None = None, seed: int = 17, **kw) -> DataFrame:
+    """``knn.knn`` by the random projections of ``lsh_pairs``; takes its other arguments."""
+    lsh = {"bucket_length": bucket_length, "num_tables": num_tables, "num_hashes": num_hashes, "seed": seed}
+    return knn(queries, index, schema, k=k, method="lsh", ann_feature=feature, lsh=lsh, **kw)
 
 
 def recall_at_k(approx: DataFrame, exact: DataFrame, keys=(QUERY_ID,)) -> DataFrame:

@@ -19,13 +19,12 @@ width is proven below ``broadcast_bytes`` (a bounded ``limit(n+1).count()`` prob
 otherwise it is a shuffle join whose hot keys are cut into buckets by their pair count.
 Candidates are cut to k per query inside each task (``WindowGroupLimit`` partial) before
 the single shuffle on the query id.  Hits are ordered by the exact double distance, then
-by item id.
+by item id.  Which items a query is compared with is decided by ``operators.cells`` (exact
+bounds), by the approximate engines of ``operators.ann``, or not at all (``scan``).
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from typing import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -44,6 +43,9 @@ STRATEGY_ID = "strategy_id"
 DEFAULT_BROADCAST_BYTES = 64 * 1024 * 1024
 METHODS = ("auto", "scan", "blocked", "ivf", "lsh")
 PAIRS_PER_TASK = 20_000_000   # query-item pairs that one task compares
+SCAN_PAIRS = 4_000_000        # up to so many in all, every pair is compared: finding fewer costs more
+NO_ID = "\x00"
+TORN_ID = "query id stands for different rows"
 
 
 # ------------------------------------------------------------------ query reps
@@ -128,10 +130,34 @@ def item_queries(df: DataFrame, schema: Schema, query_id: str | None = None, tab
 
 def query_rejects(df: DataFrame, schema: Schema, query_id: str | None = None, tables=None,
                   strict_unknown: bool = False, restrict_partition: bool = True) -> DataFrame:
-    """``query_id, datum, reason`` of the query rows that ``item_queries`` leaves out (one row
-    for each undeclared value of a listed filter)."""
-    coded = _coded_queries(df, schema, query_id, tables, strict_unknown, restrict_partition).filter(F.col(REJECT).isNotNull())
-    return coded.select(F.col("__qid").alias(QUERY_ID), F.col("__datum").alias("datum"), F.col(REJECT).alias("reason"))
+    """``query_id, datum, reason`` of the query rows that are not searched: those that
+    ``item_queries`` leaves out (one row for each undeclared value of a listed filter), and
+    those of an id that stands for rows with different codes."""
+    coded = _coded_queries(df, schema, query_id, tables, strict_unknown, restrict_partition)
+    h = F.xxhash64(CODES)
+    same = F.coalesce("__qid", F.lit(NO_ID))
+    torn = coded.filter(F.col(REJECT).isNull()).groupBy(same.alias("__torn")).agg(F.min(h).alias("a"), F.max(h).alias("b")).filter("a <> b").select("__torn")
+    bad = coded.join(torn, same == F.col("__torn"), "left").withColumn(REJECT, F.coalesce(F.col(REJECT), F.when(F.col("__torn").isNotNull(), F.lit(TORN_ID))))
+    bad = bad.filter(F.col(REJECT).isNotNull())
+    return bad.select(F.col("__qid").alias(QUERY_ID), F.col("__datum").alias("datum"), F.col(REJECT).alias("reason"))
+
+
+def one_per_id(queries: DataFrame, schema: Schema, restrict_partition: bool = True) -> DataFrame:
+    """One row for each query id and partition.  Equal rows of an id are one query, asked once;
+    an id whose rows differ in what they ask is not searched (``query_rejects``,
+    ``profiles.user_rejects``).  A null id is an id like any other (``NO_ID`` inside a search)."""
+    parts = [c for c in schema.filter_fields if c in queries.columns] if restrict_partition else []
+    reps = [c for c in rep_columns(schema) if c in queries.columns]
+    kinds = dict(queries.dtypes)
+    h = F.xxhash64(*[F.array_sort(F.map_entries(F.col(f"`{c}`"))) if kinds[c].startswith("map") else F.col(f"`{c}`") for c in reps], F.lit(0))
+    some = F.struct(*[F.col(f"`{c}`") for c in reps], F.lit(0).alias("__any"))
+    aggs = [F.first(some).alias("__r"), F.min(h).alias("__a"), F.max(h).alias("__b")]
+    if parts:  # as many as the id lists partitions
+        aggs.append(F.collect_set(F.struct(*parts)).alias("__p"))
+    out = queries.groupBy(F.coalesce(QUERY_ID, F.lit(NO_ID)).alias(QUERY_ID)).agg(*aggs).filter(F.col("__a") == F.col("__b"))
+    if parts:
+        out = out.withColumn("__p", F.explode("__p"))
+    return out.select(QUERY_ID, *[F.col(f"__p.`{c}`").alias(c) for c in parts], *[F.col(f"__r.`{c}`").alias(c) for c in reps])
 
 
 # ------------------------------------------------------------------ components
@@ -243,13 +269,7 @@ def _spread(index: DataFrame) -> DataFrame:
 def _balanced(index: DataFrame, q: DataFrame, keys: list[str], pairs_per_task: int) -> DataFrame:
     """Shuffle join whose hot keys are cut by their pair count: a key with more than
     ``pairs_per_task`` query-item pairs deals its items to that many more buckets and
-    repeats its queries in each.  Without keys all items are one key."""
-    if not keys:
-        n = index.count() * q.count()
-        buckets = F.lit(max(1, -(-n // pairs_per_task)))
-        items = index.withColumn("__salt", F.pmod(F.xxhash64(ITEM_ID), buckets))
-        qq = q.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("bigint"), buckets.cast("bigint") - 1)))
-        return items.join(qq, ["__salt"]).drop("__salt")
+    repeats its queries in each."""
     ni = index.groupBy(*keys).agg(F.count(F.lit(1)).alias("__ni"))
     nq = q.groupBy(*keys).agg(F.count(F.lit(1)).alias("__nq"))
     buckets = F.least(F.col("__ni"), F.ceil(F.col("__ni") * F.col("__nq") / F.lit(float(pairs_per_task)))).cast("bigint")
@@ -266,15 +286,22 @@ def candidate_pairs(queries: DataFrame, index: DataFrame, schema: Schema, restri
     """query ⋈ items on the partition keys (+ ``extra_keys``).
 
     Small query side (size proven by a bounded count): broadcast hash join, items streamed.
-    Otherwise, and always when there is no key, the shuffle join of ``_balanced``.
-    Unrestricted queries are searched once, however many partitions they list."""
+    Otherwise the shuffle join of ``_balanced``.  Unrestricted queries are searched once,
+    however many partitions they list; without any key all queries meet all items in blocks
+    of items, as many as there are cores or as their pairs fill."""
     keys = (list(schema.filter_fields) if restrict_partition else []) + list(extra_keys)
     q = queries
-    if not restrict_partition and schema.filter_fields:
+    if not restrict_partition and any(c in queries.columns for c in schema.filter_fields):
         q = queries.drop(*schema.filter_fields).dropDuplicates([QUERY_ID, *extra_keys])
-    if keys and broadcast is None:
+    if not keys:
+        cores = index.sparkSession.sparkContext.defaultParallelism
+        blocks = F.lit(max(cores, -(-index.count() * q.count() // pairs_per_task))).cast("bigint")
+        index = index.withColumn("__block", F.pmod(F.xxhash64(ITEM_ID), blocks))
+        q = q.withColumn("__block", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)))
+        return index.join(q, ["__block"]).drop("__block")
+    if broadcast is None:
         broadcast = row_count_at_most(q, broadcast_row_limit(schema, broadcast_bytes))
-    if keys and broadcast:
+    if broadcast:
         return _spread(index).join(F.broadcast(q), keys)
     return _balanced(index, q, keys, pairs_per_task)
 
@@ -303,118 +330,6 @@ def _topk(scored: DataFrame, k: int, group, tie_decimals: int | None) -> DataFra
     return scored.withColumn("__r", F.row_number().over(w)).filter(F.col("__r") <= k).drop("__r")
 
 
-def _coded_separation(schema: Schema, e, strategy_id, weights) -> float:
-    return B.separation(e) * schema.factor(e.field, strategy_id, weights) ** 2
-
-
-def _lower_bounds(schema: Schema, e, strategy_id, weights) -> Column:
-    """Per query, the feature's exact l2 component against every code (a lower bound of the
-    whole distance to any item with that code, since all components are >= 0)."""
-    c2 = F.lit(schema.factor(e.field, strategy_id, weights) ** 2)
-    return F.transform(F.sequence(F.lit(0), F.lit(B.n_codes(e) - 1)), lambda b: c2 * F.greatest(
-        F.col(rep_s(e.field)) - 2 * g_at(e.field, b) + diag_at(e, b), F.lit(0.0)))
-
-
-MAX_CODES = 4096        # a query holds one lower bound for each code of a blocking feature
-MAX_BUCKETS = 4096      # and for each bucket of a numeric one
-NUMERIC_BUCKETS = 16
-COARSE_ITEMS_PER_K = 4
-
-
-@dataclass
-class BlockDim:
-    """One blocking dimension: items fall in ``size`` cells by ``item_cell``; for a query,
-    ``lower_bounds`` is its exact per-cell lower bound of that feature's l2 component."""
-    field: str
-    size: int
-    item_cell: Column
-    lower_bounds: Column
-
-
-def _numeric_dim(schema: Schema, e, strategy_id, weights, lo: float, hi: float, nb: int) -> BlockDim:
-    """Equal-width value buckets; the two edge buckets are open-ended, so every value has a
-    cell even if the index changed since ``lo``/``hi`` were taken."""
-    width = (hi - lo) / nb if hi > lo else 1.0
-    x = F.col(f"{CODES}.`{e.field}`")
-    cell = F.least(F.greatest(F.floor((x - F.lit(lo)) / F.lit(width)), F.lit(0)), F.lit(nb - 1)).cast("int")
-    q = F.col(rep_x(e.field))
-    c2 = F.lit(schema.factor(e.field, strategy_id, weights) ** 2)
-
-    def lb(j):
-        a = F.when(j == 0, F.lit(float("-inf"))).otherwise(F.lit(lo) + j.cast("double") * F.lit(width))
-        b = F.when(j == nb - 1, F.lit(float("inf"))).otherwise(F.lit(lo) + (j + 1).cast("double") * F.lit(width))
-        gap = F.greatest(a - q, q - b, F.lit(0.0))
-        return c2 * gap * gap
-    return BlockDim(e.field, nb, cell, F.transform(F.sequence(F.lit(0), F.lit(nb - 1)), lb))
-
-
-def separable(schema: Schema, strategy_id=None, weights=None) -> bool:
-    """Can any feature prune an l2 search under these weights?"""
-    w = schema.weights(strategy_id, weights)
-    return any(w[e.field] != 0 and (e.type == "numeric" or (e.coded and 1 < B.n_codes(e) <= MAX_CODES and B.separation(e) > 0))
-               for e in schema.encoders)
-
-
-def block_plan(schema: Schema, index: DataFrame, k: int, strategy_id=None, weights=None,
-               restrict_partition: bool = True, only_if_useful: bool = True):
-    """(coarse dims, fine dims) of the exact blocked search, or None when nothing separates.
-
-    Dims are the coded features whose codes are separated (largest minimum component
-    first; those with more than ``MAX_CODES`` codes are left to the other dims), then
-    equal-width buckets of the numeric features, whose number grows with the items so that a
-    fine cell holds about ``COARSE_ITEMS_PER_K`` x k of them.  The coarse key is the longest
-    prefix whose cells still hold that many, so pass 1 finds k hits in the query's own
-    coarse cell.  Sizes are per partition that really has items, not per declared one."""
-    w = schema.weights(strategy_id, weights)
-    coded = []
-    for e in schema.encoders:
-        if e.coded and w[e.field] != 0 and 1 < B.n_codes(e) <= MAX_CODES:
-            sep = _coded_separation(schema, e, strategy_id, weights)
-            if sep > 0:
-                coded.append((sep, e))
-    coded.sort(key=lambda t: -t[0])
-    nums = [e for e in schema.encoders if e.type == "numeric" and w[e.field] != 0]
-    if not coded and not nums:
-        return None
-    aggs = [F.count(F.lit(1)).alias("n")]
-    if restrict_partition and schema.filter_fields:
-        aggs.append(F.approx_count_distinct(F.struct(*schema.filter_fields)).alias("parts"))
-    for e in nums:
-        x = F.col(f"{CODES}.`{e.field}`")
-        aggs += [F.min(x).alias(f"lo_{e.field}"), F.max(x).alias(f"hi_{e.field}")]
-    stats = index.agg(*aggs).first()          # one small aggregate over the index
-    per_part = (stats["n"] or 0) / max(1, stats["parts"] if "parts" in stats else 1)
-    fill = COARSE_ITEMS_PER_K * k
-    dims, cells = [], 1
-    for _, e in coded:
-        code = F.col(f"{CODES}.`{e.field}`")
-        dims.append(BlockDim(e.field, B.n_codes(e), code, _lower_bounds(schema, e, strategy_id, weights)))
-        cells *= B.n_codes(e)
-    for e in nums:
-        lo, hi = stats[f"lo_{e.field}"], stats[f"hi_{e.field}"]
-        buckets = int(min(MAX_BUCKETS, max(NUMERIC_BUCKETS, per_part / (cells * fill))))
-        if lo is None:
-            continue
-        dims.append(_numeric_dim(schema, e, strategy_id, weights, float(lo), float(hi), buckets))
-        cells *= buckets
-    if not dims:
-        return None
-    if only_if_useful and per_part < k * dims[0].size:
-        return None      # a coarse cell would rarely hold k items: pruning cannot start, scan instead
-    m, c = 1, dims[0].size
-    while m < len(dims) and per_part / (c * dims[m].size) >= fill:
-        c *= dims[m].size
-        m += 1
-    return dims[:m], dims
-
-
-def _cell_key(cells: Sequence[Column], dims: Sequence[BlockDim]) -> Column:
-    key = F.lit(0).cast("bigint")
-    for c, d in zip(cells, dims):
-        key = key * F.lit(d.size).cast("bigint") + c
-    return key.cast("bigint")
-
-
 def engine(schema: Schema, nlist: int | None = None) -> tuple[str, int | None]:
     """(method, nlist) that the schema's ``index_factory`` names: ``Flat`` (exact, the
     default), ``IVF`` or ``IVF<lists>`` (inverted lists), ``LSH`` (random projections)."""
@@ -434,7 +349,7 @@ def knn(queries: DataFrame, index: DataFrame, schema: Schema, k: int = 10, strat
         broadcast_bytes: int = DEFAULT_BROADCAST_BYTES, pairs_per_task: int = PAIRS_PER_TASK, broadcast: bool | None = None,
         tie_decimals: int | None = None, exclude_self: bool = False, method: str = "auto",
         nlist: int | None = None, nprobe: int | None = None, ann_feature: str | None = None, centroids=None,
-        materialize: bool = True, _written: bool = False) -> DataFrame:
+        lsh: Mapping | None = None, materialize: bool = True) -> DataFrame:
     """k nearest items of every query (exact).
 
     ``k_scope="partition"`` keeps up to k hits per searched partition (the reference's
@@ -443,152 +358,103 @@ def knn(queries: DataFrame, index: DataFrame, schema: Schema, k: int = 10, strat
     same candidate scan (Q-5) and a ``strategy_id`` column is added.
 
     ``method``: ``"scan"`` compares each query with every item of its partition;
-    ``"blocked"`` (l2, one strategy) first searches the query's home block of the best
-    separating coded feature, takes the k-th distance τ found there, and then visits only
-    the blocks whose exact lower bound is ≤ τ — the same result with far fewer pairs;
-    ``"auto"`` picks ``blocked`` when it applies; ``"ivf"`` is the approximate inverted-list
-    search of ``operators.ann`` (``nlist`` lists, ``nprobe`` probed per query, on the vector
-    feature ``ann_feature``; pass fitted ``centroids`` to reuse a quantizer).  Without
-    ``nprobe`` it probes as many lists as reach ``ann.RECALL`` of the exact hits.  A query
-    that meets fewer than k items is searched exactly.
-
-    ``materialize`` writes the query table and, in the blocked search, the first pass's hits
-    once under the checkpoint folder: the size probe and both passes read them instead of
-    encoding the queries and searching the home cells again.
+    ``"blocked"`` visits only the cells of items whose exact bound allows a hit
+    (``operators.cells``; any metric, any number of strategies) and gives the same result;
+    ``"auto"`` picks ``blocked`` unless there are few pairs anyway.  Where most items share
+    their codes with others, both search the distinct codes.  ``"ivf"`` and ``"lsh"`` are the
+    approximate engines of ``operators.ann`` on the vector feature ``ann_feature``: inverted
+    lists (``nlist``, ``nprobe``, or fitted ``centroids``; without ``nprobe`` as many lists as
+    reach ``ann.RECALL`` of the exact hits) and random projections (``lsh``: ``bucket_length``,
+    ``num_tables``, ``num_hashes``, ``seed``).  They choose the candidates; strategies, weights,
+    metric, scopes and explanations are those of the exact search.  A query that meets fewer
+    than k items is searched exactly.
+
+    ``materialize`` writes the query table and an approximate engine's hits once under the
+    checkpoint folder; the cell search always writes its bounded tables.
+
+    Queries are asked once an id (``one_per_id``).
 
     Output: ``query_id, [strategy_id], <filters>, rank, item_id, distance, [x_<feature>...]``
     where ``rank`` is 1-based over the query's merged, distance-ordered hits.
     """
+    from . import cells
     metric = metric or schema.metric
     multi = strategies is not None
     if method == "auto":
         method, nlist = engine(schema, nlist)
     if method not in METHODS:
         raise ValueError(f"unknown search method {method!r}: one of {', '.join(METHODS)}")
-    if method == "lsh":
-        from . import ann
-        if multi or explain or metric != "l2":
-            raise ValueError("lsh search takes one strategy, the l2 metric and no explanation")
-        return ann.knn_lsh(queries, index, schema, k=k, feature=ann_feature, restrict_partition=restrict_partition, tie_decimals=tie_decimals)
-    if materialize and not _written:
-        queries = write_table(queries, "knn-queries")
-    if multi and method in ("auto", "blocked") and metric == "l2" and all(separable(schema, str(s), weights) for s in strategies):
-        # every weight set has its own k-th distance, so each is searched on its own and the
-        # results are stacked (far fewer pairs than one shared full scan)
-        kw = dict(k=k, weights=weights, explain=explain, k_scope=k_scope, restrict_partition=restrict_partition,
-                  l2_root=l2_root, metric=metric, broadcast_bytes=broadcast_bytes, pairs_per_task=pairs_per_task,
-                  broadcast=broadcast, tie_decimals=tie_decimals, exclude_self=exclude_self, method=method, materialize=materialize,
-                  _written=True)
-        parts = []
-        for sid in strategies:
-            one = knn(queries, index, schema, strategy_id=str(sid), **kw)
-            parts.append(one.withColumn(STRATEGY_ID, F.lit(str(sid))))
-        out = parts[0]
-        for p_ in parts[1:]:
-            out = out.unionByName(p_)
-        first = [QUERY_ID, STRATEGY_ID]
-        return out.select(*first, *[c for c in out.columns if c not in first])
     sids = [str(s) for s in strategies] if multi else [strategy_id]
     feats = schema.features
     part_cols = list(schema.filter_fields)
     grp = [QUERY_ID, STRATEGY_ID]
     local_grp = grp + (part_cols if (k_scope == "partition" and restrict_partition) else [])
-    plan = None
-    if method in ("auto", "blocked") and metric == "l2" and not multi:
-        plan = block_plan(schema, index, k, strategy_id, weights, restrict_partition,
-                          only_if_useful=(method == "auto"))
-    if method == "blocked" and plan is None:
-        raise ValueError("blocked search needs the l2 metric, one strategy and a separating feature")
+    met = [c for c in local_grp if c != STRATEGY_ID]
+    saved = (lambda df, name: write_table(df, name)) if materialize else (lambda df, name: df)
+    queries = saved(one_per_id(queries, schema, restrict_partition), "knn-queries")
+
+    ids = None
+    if method in ("auto", "scan", "blocked"):
+        used = [e for e in schema.encoders if any(schema.weights(s, weights)[e.field] != 0 for s in sids)]
+        if cells.repeated_codes(schema, index, used):
+            # search the distinct codes; the query's own id is taken off when they are opened again
+            ids = index = saved(cells.distinct_codes(index, schema, k + exclude_self), "knn-codes")
+    most = k + (1 if ids is not None and exclude_self else 0)
+    not_self = F.coalesce(F.col(ITEM_ID) != F.col(QUERY_ID), F.lit(True))
+
+    def best(pairs, explained=explain):
+        if exclude_self and ids is None:
+            pairs = pairs.filter(not_self)
+        return _topk(_score(pairs, schema, sids, weights, metric, False, explained, part_cols), most, local_grp, tie_decimals)
+
+    def hits(q, items, extra=(), small=broadcast, explained=explain):
+        return best(candidate_pairs(q, items, schema, restrict_partition, broadcast_bytes, pairs_per_task, small, extra), explained)
 
-    if method == "ivf":
+    plan = None
+    if method in ("auto", "blocked"):
+        plan, per_part = cells.plan(schema, index, most, sids, weights, metric, restrict_partition)
+        if method == "auto" and plan is not None and row_count_at_most(queries, int(SCAN_PAIRS / max(1, per_part))):
+            plan = None
+        if method == "blocked" and plan is None and index.take(1):
+            raise ValueError("blocked search needs a feature that bounds distances")
+
+    if method in ("ivf", "lsh"):
         from . import ann
-        cents = centroids if centroids is not None else ann.fit_ivf(index, schema, nlist, ann_feature)
-        ib = ann.assign_lists(index, schema, cents, ann_feature)
-        if nprobe is None:
-            nprobe = ann.measured_probes(queries, ib, schema, cents, k, sids=sids, weights=weights, metric=metric,
-                                         restrict_partition=restrict_partition, group=local_grp, exclude_self=exclude_self,
-                                         tie_decimals=tie_decimals, feature=ann_feature)
-        qb = ann.probe_lists(queries, schema, cents, nprobe, ann_feature)
-
-        def hits(q, items, extra):
-            pairs = candidate_pairs(q, items, schema, restrict_partition, broadcast_bytes, pairs_per_task, broadcast, extra)
-            if exclude_self:
-                pairs = pairs.filter(F.col(ITEM_ID) != F.col(QUERY_ID))
-            return _topk(_score(pairs, schema, sids, weights, metric, l2_root, explain, part_cols), k, local_grp, tie_decimals)
-
-        near = hits(qb, ib, [ann.LIST_ID])
-        if materialize:
-            near = write_table(near, "ivf-hits")
-        # those that met fewer than k items in the lists probed are searched exactly
-        met = [c for c in local_grp if c != STRATEGY_ID]
+        if method == "ivf":
+            cents = centroids if centroids is not None else ann.fit_ivf(index, schema, nlist, ann_feature)
+            ib = ann.assign_lists(index, schema, cents, ann_feature)
+            if nprobe is None:
+                nprobe = ann.measured_probes(queries, ib, schema, cents, k, sids=sids, weights=weights, metric=metric,
+                                             restrict_partition=restrict_partition, group=local_grp, exclude_self=exclude_self,
+                                             tie_decimals=tie_decimals, feature=ann_feature)
+            near = hits(ann.probe_lists(queries, schema, cents, nprobe, ann_feature), ib, [ann.LIST_ID])
+        else:
+            near = best(ann.lsh_pairs(queries, index, schema, ann_feature, restrict_partition, metric, sids, weights, **(lsh or {})))
+        near = saved(near, f"{method}-hits")
+        # queries that met fewer than k items are searched exactly
         full = near.groupBy(*met).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") >= k * len(sids)).select(*met)
-        short = queries.join(full, met, "left_anti")
-        if materialize:
-            short = write_table(short, "ivf-short")
-        top = near.join(full, met, "left_semi").unionByName(hits(short, index, []))
+        short = saved(queries.join(full, met, "left_anti"), f"{method}-short")
+        top = near.join(full, met, "left_semi").unionByName(hits(short, index))
     elif plan is None:
-        pairs = candidate_pairs(queries, index, schema, restrict_partition, broadcast_bytes, pairs_per_task, broadcast)
-        if exclude_self:
-            pairs = pairs.filter(F.col(ITEM_ID) != F.col(QUERY_ID))
-        top = _topk(_score(pairs, schema, sids, weights, metric, l2_root, explain, part_cols), k, local_grp,
-                    tie_decimals)
+        top = hits(queries, index)
     else:
-        coarse, fine = plan
-        nc = len(coarse)
-        b1 = b2 = broadcast
-        if broadcast is None:   # decided up front: counting the pass-2 table would run pass 1 twice
-            limit = broadcast_row_limit(schema, broadcast_bytes)
-            b1 = row_count_at_most(queries, limit)
-            cells = 1
-            for d in fine:
-                cells *= d.size
-            b2 = b1 and row_count_at_most(queries, max(1, limit // cells))
-        items = index.select("*", _cell_key([d.item_cell for d in coarse], coarse).alias("__blk"),
-                             _cell_key([d.item_cell for d in fine], fine).alias("__fblk"))
-        q1 = queries.select("*", *[d.lower_bounds.alias(f"__lb{j}") for j, d in enumerate(fine)])
-        home = [(F.array_position(f"__lb{j}", F.array_min(f"__lb{j}")) - 1).cast("int") for j in range(nc)]
-        q1 = q1.select("*", *[h.alias(f"__h{j}") for j, h in enumerate(home)])
-        q1 = q1.withColumn("__blk", _cell_key([F.col(f"__h{j}") for j in range(nc)], coarse))
-        base_q = [QUERY_ID, *[c for c in schema.filter_fields if c in queries.columns], *rep_columns(schema)]
-        # pass 1: every item of the query's own coarse cell
-        p1 = candidate_pairs(q1.select(*base_q, "__blk"), items, schema, restrict_partition, broadcast_bytes,
-                             pairs_per_task, b1, ["__blk"])
-        if exclude_self:
-            p1 = p1.filter(F.col(ITEM_ID) != F.col(QUERY_ID))
-        t1 = _topk(_score(p1, schema, sids, weights, metric, False, explain, part_cols), k, local_grp,
-                   tie_decimals)
-        if materialize:
-            t1 = write_table(t1, "knn-home")
-        # τ = k-th distance found there (infinite when fewer than k were found)
-        tgrp = [c for c in local_grp if c != STRATEGY_ID]
-        tau = t1.groupBy(*tgrp).agg(F.max("distance").alias("__tau"), F.count(F.lit(1)).alias("__n"))
-        q2 = q1.join(tau, tgrp, "left")
-        # cells whose bound equals tau up to rounding may still hold ties
-        slack = F.abs(F.coalesce(F.col("__tau"), F.lit(0.0))) * F.lit(1e-9)
-        if tie_decimals is not None:
-            slack = slack + F.lit(2.0 * 10.0 ** -tie_decimals)
-        q2 = q2.withColumn("__lim", F.when(F.col("__n") >= k, F.col("__tau") + slack)
-                           .otherwise(F.lit(float("inf"))))
-        # pass 2: the fine cells outside the home coarse cell whose summed lower bound is <= τ,
-        # enumerated one dimension at a time (partial sums are lower bounds too)
-        q2 = q2.withColumn("__acc", F.lit(0.0))
-        for j in range(len(fine)):
-            q2 = (q2.select("*", F.posexplode(f"__lb{j}").alias(f"__d{j}", "__v"))
-                  .withColumn("__acc", F.col("__acc") + F.col("__v")).drop("__v", f"__lb{j}")
-                  .filter(F.col("__acc") <= F.col("__lim")))
-            if j == nc - 1:
-                same = F.lit(True)
-                for i in range(nc):
-                    same = same & (F.col(f"__d{i}") == F.col(f"__h{i}"))
-                q2 = q2.filter(~same)
-        q2 = q2.select(*base_q, _cell_key([F.col(f"__d{j}") for j in range(len(fine))], fine).alias("__fblk"))
-        p2 = candidate_pairs(q2, items, schema, restrict_partition, broadcast_bytes, pairs_per_task, b2, ["__fblk"])
-        if exclude_self:
-            p2 = p2.filter(F.col(ITEM_ID) != F.col(QUERY_ID))
-        s2 = _score(p2, schema, sids, weights, metric, False, explain, part_cols)
-        top = _topk(t1.unionByName(s2), k, local_grp, tie_decimals)
-        if l2_root:
-            top = top.withColumn("distance", F.sqrt("distance"))
+        items = cells.with_cells(index, plan)
+        limit = broadcast_row_limit(schema, broadcast_bytes)
+
+        def search(visits, explained=False):
+            visits = write_table(visits, "cell-visits")
+            small = broadcast if broadcast is not None else row_count_at_most(visits, limit)
+            return hits(visits.join(queries, [QUERY_ID, *plan.keys]), items, [cells.FINE], small, explained)
+
+        found = cells.visits(queries, items, plan, most + (1 if exclude_self and ids is None else 0), search, met, tie_decimals)
+        top = search(found, explain)
+    if ids is not None:
+        top = top.join(ids.select(ITEM_ID, *part_cols, cells.IDS), [ITEM_ID, *part_cols])
+        top = top.withColumn(ITEM_ID, F.explode(cells.IDS)).drop(cells.IDS)
+        top = _topk(top.filter(not_self) if exclude_self else top, k, local_grp, tie_decimals)
+    if l2_root and metric == "l2":
+        top = top.withColumn("distance", F.sqrt("distance"))
+    top = top.withColumn(QUERY_ID, F.nullif(F.col(QUERY_ID), F.lit(NO_ID)))
 
     order = [rank_key(F.col("distance"), tie_decimals), F.col(ITEM_ID)]
     top = top.withColumn("rank", F.row_number().over(Window.partitionBy(*grp).orderBy(*order)))

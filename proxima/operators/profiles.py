@@ -23,7 +23,7 @@ from ..functions import encoders as X
 from ..schema import Schema
 from .encode import CODES, ITEM_ID, REJECT, attach_lookups, feature_code, with_codes
 from .ingest import explode_filters, filter_reject
-from .knn import EMPTY_MAP, QUERY_ID, rep_g, rep_s, rep_x
+from .knn import EMPTY_MAP, QUERY_ID, TORN_ID, rep_g, rep_s, rep_x
 
 USER_ID = "user_id"
 TOTAL = "__n"
@@ -244,8 +244,8 @@ def _override_reps(ue, e, columns) -> list[Column]:
 
 
 def user_rejects(users: DataFrame, schema: Schema, tables: Mapping | None = None, restrict_partition: bool = True) -> DataFrame:
-    """``user_id, datum, reason``: users whose partition is undeclared, or whose override value
-    cannot be encoded."""
+    """``user_id, datum, reason``: users whose partition is undeclared, whose override value
+    cannot be encoded, or whose rows give different override values (they are not searched)."""
     u = users.withColumn(USER_ID, F.col(USER_ID).cast("string")).withColumn("__datum", F.to_json(F.struct(*[F.col(f"`{c}`") for c in users.columns])))
     u = explode_filters(u, schema)
     active = [ue for ue in schema.user_encoders if _user_fields(ue) & set(users.columns)]
@@ -255,6 +255,11 @@ def user_rejects(users: DataFrame, schema: Schema, tables: Mapping | None = None
         w = feature_code(ue, u.columns)[1]
         if w is not None:
             why.append(F.when(_given(ue, users.columns), w))
+    if active:
+        own = F.xxhash64(F.to_json(F.struct(*sorted({f for ue in active for f in _user_fields(ue) if f in users.columns}))))
+        torn = u.groupBy(F.col(USER_ID).alias("__torn")).agg(F.min(own).alias("a"), F.max(own).alias("b")).filter("a <> b").select("__torn")
+        u = u.join(torn, F.col(USER_ID).eqNullSafe(F.col("__torn")), "left")
+        why.append(F.when(F.col("__torn").isNotNull(), F.lit(TORN_ID)))
     reason = F.coalesce(*why) if why else F.lit(None).cast("string")
     return u.select(USER_ID, F.col("__datum").alias("datum"), reason.alias("reason")).filter(F.col("reason").isNotNull())
 

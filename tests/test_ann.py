@@ -65,3 +65,19 @@ def test_measured_probes_stop_at_the_recall(spark):
     part = lambda p: ann.recall_at_k(knn.knn(q, idx, s, k=5, method="ivf", centroids=cents, nprobe=p), exact).first().recall
     assert 1 < n < 8 and part(n) >= 0.5
     assert ann.measured_probes(q, listed, s, cents, 5, recall=1.0, group=["query_id", "strategy_id", "label"]) >= n
+
+
+def test_lsh_honours_the_arguments_of_a_search(spark):
+    """With all buckets one (a very wide cell) the answer is the exact search's."""
+    from test_knn import _mixed, _same
+    s, df, idx = _mixed(spark, "l2", n=200)
+    q = knn.item_queries(df.limit(30), s)
+    wide = {"bucket_length": 1e9, "num_tables": 1, "num_hashes": 1}
+    for kw in ({"strategy_id": "x"}, {"strategies": ["0", "x"]}, {"exclude_self": True}, {"l2_root": True}, {"explain": True}, {"k_scope": "total"}, {"weights": {"n": 0.0}},
+               {"metric": "cosine"}, {"restrict_partition": False}):
+        a = knn.knn(q, idx, s, k=3, method="lsh", lsh=wide, tie_decimals=9, **kw)
+        b = knn.knn(q, idx, s, k=3, method="scan", tie_decimals=9, **kw)
+        assert a.columns == b.columns and _same(a, b, extra=["strategy_id"] if "strategies" in kw else ())
+    for kw in ({"metric": "ip"}, {"strategy_id": "u"}):
+        with pytest.raises(ValueError):
+            knn.knn(q, idx, s, k=3, method="lsh", **kw)

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from proxima.operators import ingest, knn
+from proxima.operators import cells, ingest, knn
 from proxima.plans import recommend as R
 from proxima.schema import Schema
 
@@ -81,6 +81,100 @@ def test_blocked_equals_scan(spark):
     assert ra == rb and len(ra) > 0
 
 
+def _same(a, b, places=6, extra=()):
+    cols = ("query_id", "rank", "item_id", *extra)
+    key = lambda r: tuple(str(r[c]) for c in cols) + (round(r.distance, places) + 0.0,)
+    return sorted(map(key, a.collect())) == sorted(map(key, b.collect()))
+
+
+def _mixed(spark, metric, n=600, seed=1, filters=True):
+    """Items of all kinds of features in clusters, so that cells can tell them apart."""
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(0, 6, (12, 4))
+    rows = []
+    for i in range(n):
+        c = int(rng.integers(12))
+        rows.append((str(i), "ab"[i % 2], f"v{c % 5}", float(rng.integers(0, 40)) - 20, (centres[c] + rng.normal(0, 0.3, 4)).tolist(), f"w{i % 3}"))
+    df = spark.createDataFrame(rows, "id string, p string, c string, n double, v array<double>, o string")
+    s = Schema.build([{"field": "c", "type": "onehot", "values": [f"v{i}" for i in range(5)], "weight": 2}, {"field": "n", "type": "numeric", "weight": 0.3},
+                      {"field": "v", "type": "embedding", "length": 4, "weight": 1}, {"field": "o", "type": "ordinal", "values": ["w0", "w1"], "window": [0.1, 1, 0.1], "weight": 1}],
+                     [{"field": "p", "values": ["a", "b"]}] if filters else [], metric)
+    s = s.with_variant("u", "without vectors", {"v": 0.0, "n": 1.0}).with_variant("x", "vectors only", {"c": 0.0, "n": 0.0, "o": 0.0})
+    return s, df, ingest.build_index(df, s).index
+
+
+@pytest.mark.parametrize("metric", ["l2", "ip", "cosine"])
+@pytest.mark.parametrize("filters", [True, False])
+def test_cells_equal_scan_for_every_metric_and_weight_set(spark, metric, filters):
+    s, df, idx = _mixed(spark, metric, filters=filters)
+    zero = spark.createDataFrame([("zero", "a", "v0", 0.0, [0.0] * 4, "w0")], df.schema)
+    q = knn.item_queries(df.limit(80).unionByName(zero), s)
+    for kw in ({"strategies": ["0", "u", "x"]}, {"exclude_self": True, "explain": True, "restrict_partition": False} if filters else {"strategy_id": "x", "k_scope": "total"}):
+        a = knn.knn(q, idx, s, k=4, method="scan", tie_decimals=9, **kw)
+        b = knn.knn(q, idx, s, k=4, method="blocked", tie_decimals=9, **kw)
+        assert a.columns == b.columns and _same(a, b, extra=["strategy_id"] if "strategies" in kw else ())
+
+
+@pytest.mark.parametrize("metric", ["l2", "ip", "cosine"])
+def test_cells_compare_few_pairs(spark, metric):
+    """Dense vectors without any filter: the cells visited hold few of all query-item pairs."""
+    rng = np.random.default_rng(4)
+    centres = rng.normal(0, 5, (30, 8))
+    rows = [(str(i), (centres[i % 30] + rng.normal(0, 0.2, 8)).tolist()) for i in range(3000)]
+    df = spark.createDataFrame(rows, "id string, v array<double>")
+    s = Schema.build([{"field": "v", "type": "embedding", "length": 8, "weight": 1}], [], metric)
+    idx = ingest.build_index(df, s).index
+    q = knn.one_per_id(knn.item_queries(df.limit(200), s), s)
+    plan, _ = cells.plan(s, idx, 5, [None], metric=metric)
+    items = cells.with_cells(idx, plan)
+    seen = []
+
+    def search(v):
+        seen.append(v)
+        pairs = knn.candidate_pairs(v.join(q, ["query_id"]), items, s, extra_keys=[cells.FINE])
+        return knn._topk(knn._score(pairs, s, [None], None, metric, False, False, []), 5, ["query_id", "strategy_id"], None)
+
+    found = cells.visits(q, items, plan, 5, search, ["query_id"])
+    pairs = sum(knn.candidate_pairs(v.join(q, ["query_id"]), items, s, extra_keys=[cells.FINE]).count() for v in (found, *seen))
+    assert pairs < {"l2": 0.15, "ip": 0.5, "cosine": 0.15}[metric] * 200 * 3000
+    assert _same(knn.knn(q, idx, s, k=5, method="blocked"), knn.knn(q, idx, s, k=5, method="scan"))
+
+
+def test_searches_of_distinct_codes(spark):
+    """2,000 items of 12 combinations: pairs are counted over combinations; ties at the end of
+    the list and the query itself are resolved among the smallest ids."""
+    s = Schema.build([{"field": "c", "type": "onehot", "values": ["x", "y", "z"], "weight": 1}, {"field": "n", "type": "numeric", "weight": 1}], [{"field": "p", "values": ["a", "b"]}], "l2")
+    df = spark.range(2000).select(F.col("id").cast("string"), F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("p"),
+                                  F.element_at(F.array(*map(F.lit, "xyz")), (F.col("id") % 3 + 1).cast("int")).alias("c"), (F.col("id") % 7 % 2).cast("double").alias("n"))
+    idx = ingest.build_index(df, s).index
+    assert cells.repeated_codes(s, idx, list(s.encoders)) and cells.distinct_codes(idx, s, 5).count() == 12
+    rows = [(int(r.id), r.p, r.c, r.n) for r in df.collect()]
+    for kw, skip in (({}, False), ({"exclude_self": True}, True)):
+        for method in ("scan", "blocked"):
+            got = knn.knn(knn.item_queries(df.filter("id < 30"), s), idx, s, k=7, method=method, **kw)
+            want = []
+            for q in rows[:30]:
+                near = sorted((2.0 * (q[2] != i[2]) + (q[3] - i[3]) ** 2, str(i[0])) for i in rows if i[1] == q[1] and not (skip and i[0] == q[0]))[:7]
+                want += [(str(q[0]), r + 1, i, d) for r, (d, i) in enumerate(near)]
+            assert sorted(_rows(got)) == sorted(want)
+
+
+def test_repeated_query_ids(spark, items):
+    s = Schema.build(ENCODERS_2, FILTERS, "l2")
+    idx = ingest.build_index(items, s).index
+    one = items.filter("country = 'US'").limit(1)
+    alone = _rows(R.similar_items(one, idx, s, k=4))
+    assert _rows(R.similar_items(one.unionByName(one), idx, s, k=4)) == alone and len(alone) == 3
+    other = items.filter("country = 'US'").withColumn("id", F.lit("same"))
+    for kw in ({}, {"restrict_partition": False}):
+        mixed = R.similar_items(one.withColumn("id", F.col("id").cast("string")).unionByName(other), idx, s, k=4, **kw)
+        assert {r.query_id for r in mixed.collect()} == {alone[0][0]}
+    bad = R.query_rejects(other, s).collect()
+    assert [(r.query_id, r.reason) for r in bad] == [("same", knn.TORN_ID)] * other.count()
+    none = R.similar_items(one.withColumn("id", F.lit(None).cast("string")), idx, s, k=4, method="blocked")
+    assert [r[1:] for r in _rows(none)] == [r[1:] for r in alone] and none.first().query_id is None
+
+
 def test_broadcast_and_split_key_paths_agree(spark):
     s, parts, idx = _part_setup(spark)
     q = knn.item_queries(parts.orderBy("p_partkey").limit(60), s)
@@ -112,7 +206,8 @@ def test_many_declared_partitions_do_not_turn_off_blocking(spark):
     from proxima.plans import workloads as W
     s = W.part_schema(filters=[{"field": "p_type", "values": W.P_TYPES + [f"T{i}" for i in range(1000)]}])
     idx = ingest.build_index(W.parts(spark, SF_SMALL.replace("0.001", "0.01")), s).index
-    assert knn.block_plan(s, idx, 5) is not None
+    plan, per_part = cells.plan(s, idx, 5)
+    assert plan is not None and per_part > 100
 
 
 def test_ranking_is_by_the_exact_distance(spark):
