@@ -42,7 +42,9 @@ MAX_COARSE = 4096   # coarse cells of a partition
 MAX_BUCKETS = 4096  # of a numeric dimension
 MAX_PIVOTS = 1024   # of a vector dimension
 SAMPLE = 4          # indexed vectors, a pivot, that pivots are chosen from (any choice gives the same hits)
-FILL = 4            # items of a coarse cell, in k
+FILL = 4            # items of a cell, in k; a coarse cell holds so many times more
+VISIT = 16          # pairs that cost as much as one visit of a cell
+SAMPLED = 64        # queries that the cost of a search is measured on
 ROUNDING = 1e-9     # relative error that bounds are widened by
 COARSE, FINE = "__c", "__f"
 
@@ -85,8 +87,8 @@ def plan(schema: Schema, index: DataFrame, k: int, strategies: Sequence = (None,
          restrict_partition: bool = True) -> tuple[Plan | None, int]:
     """(cell plan or None if no feature bounds anything, items of an average partition).
 
-    Dimensions are added while the cells so far are fewer than half of a partition's items:
-    coded features (those whose codes lie furthest apart first), then numeric ones in equal
+    Dimensions are added while a cell holds ``FILL`` x k items on average, as a visit costs
+    about as much as comparing so many: coded features (those whose codes lie furthest apart first), then numeric ones in equal
     buckets, then vectors around pivots.  Sizes are those of the partitions that have items."""
     metric = metric or schema.metric
     keys = list(schema.filter_fields) if restrict_partition else []
@@ -106,7 +108,7 @@ def plan(schema: Schema, index: DataFrame, k: int, strategies: Sequence = (None,
              if e.coded and 1 < B.n_codes(e) <= MAX_CODES]
     cells = 1
     for apart, _, e in sorted(coded, key=lambda x: (-x[0], x[1])):
-        if (apart > 0 or metric != "l2") and (cells == 1 or cells * B.n_codes(e) <= per_part / 2):
+        if (apart > 0 or metric != "l2") and (cells == 1 or cells * B.n_codes(e) * FILL * k <= per_part):
             out.dims.append(Dim(e, "code", B.n_codes(e), _code(e)))
             cells *= B.n_codes(e)
     for i, e in enumerate(nums):
@@ -129,7 +131,7 @@ def plan(schema: Schema, index: DataFrame, k: int, strategies: Sequence = (None,
     out.rest = [e for e in used if all(e is not d.e for d in out.dims)]
     size = 1
     for d in out.dims:
-        if out.coarse and (size * d.size > MAX_COARSE or per_part / (size * d.size) < FILL * k):
+        if out.coarse and (size * d.size > MAX_COARSE or per_part / (size * d.size) < FILL * FILL * k):
             break
         size, out.coarse = size * d.size, out.coarse + 1
     return out, per_part
@@ -376,14 +378,14 @@ def _first_cells(b: Column, k: int) -> Column:
     return F.aggregate(ordered, start, take, lambda acc: acc["c"])
 
 
-def visits(queries: DataFrame, items: DataFrame, p: Plan, k: int, search, tau_keys: Sequence[str], tie_decimals: int | None = None) -> DataFrame:
-    """``query_id, <partition>, __f``: the cells that hold every one of the k nearest items.
+def visits(queries: DataFrame, cells: DataFrame, p: Plan, k: int, search, tau_keys: Sequence[str], tie_decimals: int | None = None) -> DataFrame:
+    """``query_id, <partition>, __f``: the cells (of ``cell_table``) that hold every one of the k
+    nearest items.
 
     ``search(visits)`` returns the scored top k of the cells given; it is called for the first
     pass.  ``tau_keys`` are the columns a result list belongs to, without the strategy."""
     from .knn import QUERY_ID, STRATEGY_ID
     me = [QUERY_ID, *p.keys]
-    cells = cell_table(items, p)
     q = _bounded(prepared(queries, p), cells, p)
     values = [c for c in q.columns if c != "__b"]
     down = lambda rows: rows.join(cells.withColumnRenamed(COARSE, "c"), [*p.keys, "c"])
@@ -411,6 +413,12 @@ def visits(queries: DataFrame, items: DataFrame, p: Plan, k: int, search, tau_ke
     return down(q).where(some(lambda i: under(i) <= F.col(f"__lim{i}"))).select(*me, FINE)
 
 
+def worthwhile(found: DataFrame, cells: DataFrame, p: Plan, asked: int, per_part: float) -> bool:
+    """Is visiting these cells cheaper than comparing the ``asked`` queries with everything?"""
+    n = found.join(cells, [*p.keys, FINE]).agg(F.sum(F.col("n") + VISIT).alias("n")).first()[0]
+    return (n or 0) < 0.5 * asked * per_part
+
+
 def _any(tests: Sequence[Column]) -> Column:
     out = tests[0]
     for t in tests[1:]:

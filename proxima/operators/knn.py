@@ -43,7 +43,7 @@ STRATEGY_ID = "strategy_id"
 DEFAULT_BROADCAST_BYTES = 64 * 1024 * 1024
 METHODS = ("auto", "scan", "blocked", "ivf", "lsh")
 PAIRS_PER_TASK = 20_000_000   # query-item pairs that one task compares
-SCAN_PAIRS = 4_000_000        # up to so many in all, every pair is compared: finding fewer costs more
+SCAN_PAIRS = 500_000          # up to so many in all, every pair is compared: finding fewer costs more
 NO_ID = "\x00"
 TORN_ID = "query id stands for different rows"
 
@@ -435,19 +435,25 @@ def knn(queries: DataFrame, index: DataFrame, schema: Schema, k: int = 10, strat
         full = near.groupBy(*met).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") >= k * len(sids)).select(*met)
         short = saved(queries.join(full, met, "left_anti"), f"{method}-short")
         top = near.join(full, met, "left_semi").unionByName(hits(short, index))
-    elif plan is None:
-        top = hits(queries, index)
     else:
-        items = cells.with_cells(index, plan)
-        limit = broadcast_row_limit(schema, broadcast_bytes)
-
-        def search(visits, explained=False):
-            visits = write_table(visits, "cell-visits")
-            small = broadcast if broadcast is not None else row_count_at_most(visits, limit)
-            return hits(visits.join(queries, [QUERY_ID, *plan.keys]), items, [cells.FINE], small, explained)
-
-        found = cells.visits(queries, items, plan, most + (1 if exclude_self and ids is None else 0), search, met, tie_decimals)
-        top = search(found, explain)
+        if plan is not None:
+            items = cells.with_cells(index, plan)
+            table = cells.cell_table(items, plan)
+            limit = broadcast_row_limit(schema, broadcast_bytes)
+
+            def search(visits, explained=False):
+                visits = write_table(visits, "cell-visits")
+                small = broadcast if broadcast is not None else row_count_at_most(visits, limit)
+                return hits(visits.join(queries, [QUERY_ID, *plan.keys]), items, [cells.FINE], small, explained)
+
+            def found(q):
+                return cells.visits(q, table, plan, most + (1 if exclude_self and ids is None else 0), search, met, tie_decimals)
+
+            if method == "auto":  # do the bounds tell enough apart?  Measured on a few queries; the hits are the same either way
+                few = write_table(queries.orderBy(F.xxhash64(QUERY_ID), QUERY_ID).limit(cells.SAMPLED), "knn-sampled")
+                if not cells.worthwhile(found(few), table, plan, few.count(), per_part):
+                    plan = None
+        top = hits(queries, index) if plan is None else search(found(queries), explain)
     if ids is not None:
         top = top.join(ids.select(ITEM_ID, *part_cols, cells.IDS), [ITEM_ID, *part_cols])
         top = top.withColumn(ITEM_ID, F.explode(cells.IDS)).drop(cells.IDS)

@@ -591,13 +591,14 @@ def user_query_events(spark, sf):
 
 def user_dense_events(spark, sf):
     """Q-3 on a vector feature: weighted event-log profiles as mean embeddings (the event
-    item k is the embedding id), k nearest embeddings over every label."""
+    item k is the embedding id), k nearest embeddings over every label, found through the cells
+    around pivots."""
     s = embedding_schema()
     idx = ingest.build_index(table(spark, sf, "embeddings"), s).index
     ev = table(spark, sf, "events")
     users = ev.select(F.col("user_id").cast("string").alias("user_id")).distinct().withColumn("label", F.lit(None))
     out = recommend_from_events(users, ev, idx, s, EVENT_WEIGHTS, k=K, item_col=_event_item(),
-                                  restrict_partition=False)
+                                  restrict_partition=False, method="blocked")
     return _knn_out(out)
 
 

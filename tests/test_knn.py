@@ -134,7 +134,8 @@ def test_cells_compare_few_pairs(spark, metric):
         pairs = knn.candidate_pairs(v.join(q, ["query_id"]), items, s, extra_keys=[cells.FINE])
         return knn._topk(knn._score(pairs, s, [None], None, metric, False, False, []), 5, ["query_id", "strategy_id"], None)
 
-    found = cells.visits(q, items, plan, 5, search, ["query_id"])
+    table = cells.cell_table(items, plan)
+    found = cells.visits(q, table, plan, 5, search, ["query_id"])
     pairs = sum(knn.candidate_pairs(v.join(q, ["query_id"]), items, s, extra_keys=[cells.FINE]).count() for v in (found, *seen))
     assert pairs < {"l2": 0.15, "ip": 0.5, "cosine": 0.15}[metric] * 200 * 3000
     assert _same(knn.knn(q, idx, s, k=5, method="blocked"), knn.knn(q, idx, s, k=5, method="scan"))
