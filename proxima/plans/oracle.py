@@ -268,8 +268,8 @@ def queries() -> dict:
                      f"FROM embeddings) {long_form('v')}")
     q["enc_json_sparse"] = (
         f"WITH e AS (SELECT CAST(event_id AS VARCHAR) AS item_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, value FROM events) "
-        f"SELECT item_id, CASE WHEN k < 50 THEN 50 END AS n_slots, CASE WHEN k < 50 THEN CAST(50 - CAST(value <> 0 AS INTEGER) AS INTEGER) END AS n_zero, "
-        f"CASE WHEN k < 50 THEN {rd('value')} END AS total, CASE WHEN k >= 50 THEN 'bad vector for sparse' END AS reason FROM e")
+        f"SELECT item_id, CAST(j AS INTEGER) AS pos, {rd('CASE WHEN j = k THEN value ELSE CAST(0 AS DOUBLE) END')} AS val, CAST(NULL AS VARCHAR) AS reason "
+        f"FROM e, range(50) s(j) WHERE k < 50 UNION ALL SELECT item_id, NULL, NULL, 'bad vector for sparse' FROM e WHERE k >= 50")
     q["enc_custom"] = (f"WITH v AS (SELECT CAST(p_partkey AS VARCHAR) AS item_id, [{dbl(2)} * (p_size / {dbl(50)}), "
                        f"{dbl(2)} * ({dbl(1)} - p_size / {dbl(50)})] AS vec FROM part) {long_form('v')}")
     q["enc_feature_table"] = (f"WITH v AS (SELECT CAST(p.p_partkey AS VARCHAR) AS item_id, "
@@ -305,8 +305,8 @@ def queries() -> dict:
     q["query_rejects"] = q["ingest_rejects"].replace("AS item_id", "AS query_id", 1)
     q["ingest_json"] = (f"WITH {PART_ENC} SELECT {codes}, CAST(NULL AS VARCHAR) AS reason FROM part_enc WHERE p_size <> 50 UNION ALL "
                         f"SELECT NULL, NULL, NULL, NULL, NULL, NULL, 'malformed record' FROM part WHERE p_size = 50")
-    q["ingest_csv"] = (f"WITH {PART_ENC} SELECT item_id, CASE WHEN p_size <> 50 THEN c_brand END AS c_p_brand, "
-                       f"CASE WHEN p_size = 50 THEN 'malformed record' END AS reason FROM part_enc")
+    q["ingest_csv"] = (f"WITH {PART_ENC} SELECT {codes}, CAST(NULL AS VARCHAR) AS reason FROM part_enc WHERE p_size <> 50 UNION ALL "
+                       f"SELECT item_id, NULL, NULL, NULL, NULL, NULL, 'malformed record' FROM part_enc WHERE p_size = 50")
     q["stream_index"] = f"WITH {PART_ENC} SELECT {codes} FROM part_enc"
     q["ingest_upsert"] = (f"WITH {PART_ENC} SELECT item_id, p_type, CAST(CASE WHEN p_size > 40 THEN 1 ELSE c_brand "
                           f"END AS INTEGER) AS c_p_brand, c_size AS c_p_size, p_retailprice AS c_p_retailprice, "

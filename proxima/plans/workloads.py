@@ -178,10 +178,9 @@ def enc_json_sparse(spark, sf):
     enc = {"field": "sparse", "type": "json", "length": 50, "weight": 1}
     s = Schema.build([enc], [], "l2", "event_id")
     b = ingest.build_index(_event_sparse(spark, sf), s)
-    v = F.col("codes.sparse")
-    good = b.added.select("item_id", F.size(v).alias("n_slots"), F.size(F.filter(v, lambda x: x == 0)).alias("n_zero"),
-                          _rd(F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x)).alias("total"), F.lit(None).cast("string").alias("reason"))
-    none = [F.lit(None).cast(t).alias(n) for n, t in (("n_slots", "int"), ("n_zero", "int"), ("total", "double"))]
+    good = b.added.select("item_id", F.posexplode("codes.sparse").alias("pos", "val"))
+    good = good.select("item_id", "pos", _rd(F.col("val")).alias("val"), F.lit(None).cast("string").alias("reason"))
+    none = [F.lit(None).cast(t).alias(n) for n, t in (("pos", "int"), ("val", "double"))]
     return good.unionByName(b.rejects.select("item_id", *none, "reason"))
 
 
@@ -341,8 +340,8 @@ def ingest_csv(spark, sf):
     path = _scratch(spark, "parts-csv")
     lines.write.option("header", True).option("sep", "\t").csv(path)  # one column: the lines as they are
     b = files.ingest_csv(spark, path, part_schema())
-    good = b.index.select("item_id", F.col("codes.p_brand").alias("c_p_brand"), F.lit(None).cast("string").alias("reason"))
-    return good.unionByName(b.rejects.select("item_id", F.lit(None).cast("int").alias("c_p_brand"), "reason"))
+    good = _codes_out(b.index, part_schema()).withColumn("reason", F.lit(None).cast("string"))
+    return good.unionByName(b.rejects.select("item_id", "reason"), allowMissingColumns=True)
 
 
 def query_rejects(spark, sf):
