@@ -449,7 +449,9 @@ def knn(queries: DataFrame, index: DataFrame, schema: Schema, k: int = 10, strat
             def found(q):
                 return cells.visits(q, table, plan, most + (1 if exclude_self and ids is None else 0), search, met, tie_decimals)
 
-            if method == "auto":  # do the bounds tell enough apart?  Measured on a few queries; the hits are the same either way
+            # do the bounds tell enough apart?  Those of l2 over codes and values do, others are
+            # measured on a few queries; the hits are the same either way
+            if method == "auto" and (metric != "l2" or any(d.kind == "vector" for d in plan.dims)):
                 few = write_table(queries.orderBy(F.xxhash64(QUERY_ID), QUERY_ID).limit(cells.SAMPLED), "knn-sampled")
                 if not cells.worthwhile(found(few), table, plan, few.count(), per_part):
                     plan = None
