@@ -41,7 +41,7 @@ from .ingest import explode_filters, filter_reject
 QUERY_ID = "query_id"
 STRATEGY_ID = "strategy_id"
 DEFAULT_BROADCAST_BYTES = 64 * 1024 * 1024
-METHODS = ("auto", "scan", "blocked", "ivf", "lsh")
+METHODS = ("auto", "scan", "blocked", "ivf", "lsh", "graph")
 PAIRS_PER_TASK = 20_000_000   # query-item pairs that one task compares
 SCAN_PAIRS = 500_000          # up to so many in all, every pair is compared: finding fewer costs more
 NO_ID = "\x00"
@@ -332,7 +332,8 @@ def _topk(scored: DataFrame, k: int, group, tie_decimals: int | None) -> DataFra
 
 def engine(schema: Schema, nlist: int | None = None) -> tuple[str, int | None]:
     """(method, nlist) that the schema's ``index_factory`` names: ``Flat`` (exact, the
-    default), ``IVF`` or ``IVF<lists>`` (inverted lists), ``LSH`` (random projections)."""
+    default), ``IVF`` or ``IVF<lists>`` (inverted lists), ``LSH`` (random projections),
+    ``HNSW`` or ``HNSW<neighbours>`` (neighbour graph; ``degree`` reads the number)."""
     name = (schema.index_factory or "Flat").split(",")[0].strip()
     if name.lower() in ("flat", "exact", ""):
         return "auto", nlist
@@ -340,7 +341,15 @@ def engine(schema: Schema, nlist: int | None = None) -> tuple[str, int | None]:
         return "ivf", nlist or (int(name[3:]) if name[3:] else None)
     if name.upper() == "LSH":
         return "lsh", nlist
-    raise ValueError(f"unknown index_factory {schema.index_factory!r}: Flat, IVF<lists> or LSH")
+    if name.upper().startswith("HNSW") and name[4:].isdigit() | (len(name) == 4):
+        return "graph", nlist
+    raise ValueError(f"unknown index_factory {schema.index_factory!r}: Flat, IVF<lists>, LSH or HNSW<neighbours>")
+
+
+def degree(schema: Schema, default: int) -> int:
+    """Neighbours of an item in the graph that ``HNSW<neighbours>`` names."""
+    name = (schema.index_factory or "").split(",")[0].strip()
+    return int(name[4:]) if name.upper().startswith("HNSW") and name[4:].isdigit() else default
 
 
 def knn(queries: DataFrame, index: DataFrame, schema: Schema, k: int = 10, strategy_id=None,
@@ -349,7 +358,7 @@ def knn(queries: DataFrame, index: DataFrame, schema: Schema, k: int = 10, strat
         broadcast_bytes: int = DEFAULT_BROADCAST_BYTES, pairs_per_task: int = PAIRS_PER_TASK, broadcast: bool | None = None,
         tie_decimals: int | None = None, exclude_self: bool = False, method: str = "auto",
         nlist: int | None = None, nprobe: int | None = None, ann_feature: str | None = None, centroids=None,
-        lsh: Mapping | None = None, materialize: bool = True) -> DataFrame:
+        lsh: Mapping | None = None, graph: Mapping | None = None, materialize: bool = True) -> DataFrame:
     """k nearest items of every query (exact).
 
     ``k_scope="partition"`` keeps up to k hits per searched partition (the reference's
@@ -365,7 +374,10 @@ def knn(queries: DataFrame, index: DataFrame, schema: Schema, k: int = 10, strat
     approximate engines of ``operators.ann`` on the vector feature ``ann_feature``: inverted
     lists (``nlist``, ``nprobe``, or fitted ``centroids``; without ``nprobe`` as many lists as
     reach ``ann.RECALL`` of the exact hits) and random projections (``lsh``: ``bucket_length``,
-    ``num_tables``, ``num_hashes``, ``seed``).  They choose the candidates; strategies, weights,
+    ``num_tables``, ``num_hashes``, ``seed``).  ``"graph"`` walks a neighbour graph over the whole
+    weighted vector (``operators.graph``; ``graph``: ``m``, ``delta``, ``seed``, ``ef`` or built
+    ``graphs``, one a strategy; without ``ef`` the walks are as wide as reach ``ann.RECALL``).
+    They choose the candidates; strategies, weights,
     metric, scopes and explanations are those of the exact search.  A query that meets fewer
     than k items is searched exactly.
 
@@ -394,9 +406,10 @@ def knn(queries: DataFrame, index: DataFrame, schema: Schema, k: int = 10, strat
     queries = saved(one_per_id(queries, schema, restrict_partition), "knn-queries")
 
     ids = None
-    if method in ("auto", "scan", "blocked"):
+    if method in ("auto", "scan", "blocked", "graph"):
         used = [e for e in schema.encoders if any(schema.weights(s, weights)[e.field] != 0 for s in sids)]
-        if cells.repeated_codes(schema, index, used):
+        given = bool(graph and graph.get("graphs"))
+        if not given and (method == "graph" or cells.repeated_codes(schema, index, used)):
             # search the distinct codes; the query's own id is taken off when they are opened again
             ids = index = saved(cells.distinct_codes(index, schema, k + exclude_self), "knn-codes")
     most = k + (1 if ids is not None and exclude_self else 0)
@@ -418,9 +431,11 @@ def knn(queries: DataFrame, index: DataFrame, schema: Schema, k: int = 10, strat
         if method == "blocked" and plan is None and index.take(1):
             raise ValueError("blocked search needs a feature that bounds distances")
 
-    if method in ("ivf", "lsh"):
+    if method in ("ivf", "lsh", "graph"):
         from . import ann
-        if method == "ivf":
+        if method == "graph":
+            near = best(_graph_pairs(queries, index, schema, most, sids, weights, metric, restrict_partition, best, hits, dict(graph or {})))
+        elif method == "ivf":
             cents = centroids if centroids is not None else ann.fit_ivf(index, schema, nlist, ann_feature)
             ib = ann.assign_lists(index, schema, cents, ann_feature)
             if nprobe is None:
@@ -432,7 +447,7 @@ def knn(queries: DataFrame, index: DataFrame, schema: Schema, k: int = 10, strat
             near = best(ann.lsh_pairs(queries, index, schema, ann_feature, restrict_partition, metric, sids, weights, **(lsh or {})))
         near = saved(near, f"{method}-hits")
         # queries that met fewer than k items are searched exactly
-        full = near.groupBy(*met).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") >= k * len(sids)).select(*met)
+        full = near.groupBy(*met).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") >= most * len(sids)).select(*met)
         short = saved(queries.join(full, met, "left_anti"), f"{method}-short")
         top = near.join(full, met, "left_semi").unionByName(hits(short, index))
     else:
@@ -481,6 +496,18 @@ def knn(queries: DataFrame, index: DataFrame, schema: Schema, k: int = 10, strat
     return top.select(*out_cols)
 
 
+def _graph_pairs(queries, index, schema, k, sids, weights, metric, restrict_partition, best, hits, opts) -> DataFrame:
+    """Candidates of ``graph.graph_pairs`` over given graphs or new ones, one a strategy."""
+    from . import ann, graph
+    ef, graphs, m = opts.pop("ef", None), opts.pop("graphs", None), opts.pop("m", degree(schema, graph.M))
+    if graphs is None:
+        graphs = [graph.build_graph(index, schema, m, s, weights, metric, restrict_partition, **opts) for s in sids]
+    if ef is None:
+        ef = graph.measured_ef(queries, index, schema, graphs, k, best, ann.RECALL, ann.MEASURED_QUERIES, weights, metric,
+                               lambda q: hits(q, index))
+    return graph.graph_pairs(queries, index, schema, graphs, max(int(ef), k + 1), weights, metric)
+
+
 def explanation_map(df: DataFrame, schema: Schema, name: str = "explanation") -> DataFrame:
     """Pack ``x_<feature>`` columns into one ``MAP<STRING,DOUBLE>`` column (Q-4)."""
     feats = schema.features

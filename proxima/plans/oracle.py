@@ -264,6 +264,7 @@ def queries() -> dict:
     q["enc_embedding"] = (f"WITH v AS (SELECT CAST(p.p_partkey AS VARCHAR) AS item_id, list_transform(coalesce("
                           f"CAST(e.embedding AS DOUBLE[]), {zeros(64)}), lambda x: x * 1.0) AS vec FROM part p "
                           f"LEFT JOIN embeddings e ON p.p_partkey = e.vec_id) {long_form('v')}")
+    q["enc_matrix_file"] = q["enc_embedding"]
     q["enc_json"] = (f"WITH v AS (SELECT CAST(vec_id AS VARCHAR) AS item_id, CAST(embedding AS DOUBLE[]) AS vec "
                      f"FROM embeddings) {long_form('v')}")
     q["enc_json_sparse"] = (
@@ -367,6 +368,7 @@ SELECT query_id, label, CAST(rk AS INTEGER) AS rank, item_id, {rd('distance')} A
     q["knn_ivf"] = q["knn_dense"]  # every list probed
     q["ann_recall"] = ("SELECT method, true AS recall_reached, (SELECT count(*) FROM embeddings) > 0 AS all_have_k "
                        "FROM (VALUES ('ivf'), ('lsh')) t(method)")
+    q["graph_recall"] = "SELECT true AS recall_reached, true AS all_have_k, true AS degree_bounded"
     q["knn_global"] = user_knn_sql(EVENT_HIST, EVENT_USERS)
     q["fetch_vectors"] = (f"WITH {PART_ENC}, {part_vec()}, f AS (SELECT * FROM part_vec WHERE item_id IN "
                           f"(SELECT json_extract_string(props, '$.k') FROM events)) "

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..operators import ann
 from ..operators import encode as E
 from ..operators import events as EV
-from ..operators import ingest, knn, profiles
+from ..operators import graph, ingest, knn, profiles
 from ..schema import Schema
 from ..functions import custom
 from ..functions.numeric import quantize
@@ -153,6 +153,17 @@ def enc_embedding(spark, sf):
     return _encode_single(spark, sf, enc)
 
 
+def enc_matrix_file(spark, sf):
+    """SRC-5: the embeddings written as matrix files and read back by row ranges as the lookup
+    table of the parts; unknown keys -> zeros."""
+    from ..sources import matrix
+    rows = matrix.write_matrix(table(spark, sf, "embeddings"), _scratch(spark, "matrix"), "vec_id", "embedding")
+    files = [r[0] for r in rows.select("file").distinct().collect()]  # one for each Arrow batch
+    lookup = matrix.embedding_table(spark, files, rows, row_bytes=1 << 16)
+    enc = {"field": "p_partkey", "type": "embedding", "weight": 1, "length": 64, "key": "key", "vector": "vector"}
+    return _encode_single(spark, sf, enc, tables={"p_partkey": lookup})
+
+
 def _emb_json(spark, sf) -> DataFrame:
     emb = table(spark, sf, "embeddings")
     js = F.translate(F.to_json(F.col("embedding").cast("array<double>")), "[]", "()")
@@ -507,6 +518,22 @@ def ann_recall(spark, sf):
     return out
 
 
+def graph_recall(spark, sf):
+    """Recall@10 of the graph search over all embeddings at once, asked for every vector whose id is
+    divisible by 20: is 0.9 reached, has every query its k hits, is the degree bounded?"""
+    s, emb, idx = _dense_setup(spark, sf)
+    idx = write_table(idx, "dense-index")
+    q = write_table(knn.item_queries(emb.filter("vec_id % 20 = 0"), s, restrict_partition=False), "dense-queries")
+    g = graph.build_graph(idx, s, restrict_partition=False)
+    exact = write_table(search(q, idx, s, k=10, method="scan", restrict_partition=False), "dense-exact")
+    hits = write_table(search(q, idx, s, k=10, method="graph", restrict_partition=False, graph={"graphs": [g]}), "dense-graph")
+    most = g.links.agg((F.max(F.size("links")) <= 2 * graph.M + graph.DEALS * graph.LINKS).alias("degree_bounded"))
+    n = F.count(F.lit(1)).alias("n")
+    short = exact.groupBy("query_id").agg(n).join(hits.groupBy("query_id").agg(n), ["query_id", "n"], "left_anti").agg((F.count(F.lit(1)) == 0).alias("all_have_k"))
+    row = ann.recall_at_k(hits, exact).select((F.col("recall") >= ann.RECALL).alias("recall_reached"))
+    return row.crossJoin(short).crossJoin(most)
+
+
 def knn_global(spark, sf):
     """FLT-5: users from the event log searched over every partition at once."""
     s = part_schema()
@@ -812,7 +839,7 @@ def stream_index(spark, sf):
 def registry() -> dict:
     names = [
         "enc_numeric", "enc_onehot", "enc_strict_onehot", "enc_ordinal", "enc_bin", "enc_binordinal",
-        "enc_hierarchy", "enc_embedding", "enc_json", "enc_json_sparse", "enc_custom", "enc_feature_table", "enc_defaults",
+        "enc_hierarchy", "enc_embedding", "enc_matrix_file", "enc_json", "enc_json_sparse", "enc_custom", "enc_feature_table", "enc_defaults",
         "enc_weights_override", "encode_all", "decode_variant", "enc_user_override",
         "ingest_rejects", "ingest_json", "ingest_csv", "query_rejects", "ingest_skip_existing", "ingest_upsert", "ingest_duplicates", "ingest_multi_partition",
         "partition_stats", "affected_partitions", "total_items", "index_stats", "distinct_keys",
@@ -823,7 +850,7 @@ def registry() -> dict:
         "user_query_explain", "user_dense_events", "events_ordered", "events_import_export", "events_pop", "events_delete",
         "events_append", "vectors_upsert", "get_vectors", "save_load_roundtrip",
         "stream_events", "stream_event_lists", "stream_event_lists_unsorted", "stream_event_control", "stream_recommend", "stream_recommend_live", "stream_index",
-        "knn_ivf", "knn_lsh", "ann_recall",
+        "knn_ivf", "knn_lsh", "ann_recall", "graph_recall",
     ]
     g = globals()
     return {n: g[n] for n in names}
