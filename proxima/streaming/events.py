@@ -66,17 +66,24 @@ def merge_runs(start, last, n, barriers, ttl_us: int):
 
 
 def _partial_runs(ttl_us: int):
-    """Per Arrow batch: each user's events as runs."""
-    none = np.zeros(0, np.int64)
-
+    """Per Arrow batch: the users' events as runs, all users at once."""
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
-            out = []
-            for uid, g in pdf.groupby("user_id", sort=False, dropna=False):
-                s, z, n = merge_runs(g.start_us.to_numpy(np.int64), g.last_us.to_numpy(np.int64), g.n.to_numpy(np.int64), none, ttl_us)
-                out.append(pd.DataFrame({"user_id": uid, "start_us": s, "last_us": z, "n": n, "kind": "event", "at": pd.to_datetime(z, unit="us")}))
-            if out:
-                yield pd.concat(out, ignore_index=True)
+            if not len(pdf):
+                continue
+            users, uid = pd.factorize(pdf["user_id"], use_na_sentinel=False)
+            start, last, n = (pdf[c].to_numpy(np.int64) for c in ("start_us", "last_us", "n"))
+            order = np.lexsort((start, users))
+            users, start, last, n = users[order], start[order], last[order], n[order]
+            first = np.flatnonzero(np.r_[True, users[1:] != users[:-1]])
+            # how far a user's earlier events reach: a running maximum that starts anew with each user
+            reach = pd.Series(last).groupby(users, sort=False).cummax().to_numpy()
+            apart = start[1:] - reach[:-1] > ttl_us
+            apart[first[1:] - 1] = True
+            first = np.flatnonzero(np.r_[True, apart])
+            z = np.maximum.reduceat(last, first)
+            yield pd.DataFrame({"user_id": np.asarray(uid, object)[users[first]], "start_us": start[first], "last_us": z, "n": np.add.reduceat(n, first),
+                                "kind": "event", "at": pd.to_datetime(z, unit="us")})
 
     return run
 

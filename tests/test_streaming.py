@@ -92,3 +92,20 @@ def test_unsorted_and_control_streams_match_batch(spark):
     control = SE.event_lists(W.table(spark, SF_SMALL, "events"), delete_types=["purchase"], pop_types=["error"])
     control = control.select(*cols, (F.col("status") == "deleted").alias("deleted"))
     assert _canon(W.stream_event_control(spark, SF_SMALL)) == _canon(control)
+
+
+def test_runs_of_a_batch_are_found_for_all_users_at_once(monkeypatch):
+    """As ``merge_runs`` finds them user by user, but without a call for each user."""
+    import numpy as np
+    import pandas as pd
+    from proxima.streaming import events as SE
+    rng = np.random.default_rng(5)
+    start = rng.integers(0, 3000, 400)
+    pdf = pd.DataFrame({"user_id": [None if u == 0 else str(u) for u in rng.integers(0, 40, 400)], "start_us": start, "last_us": start + rng.integers(0, 50, 400), "n": 1})
+    want = set()
+    for uid, g in pdf.groupby("user_id", dropna=False):
+        for s, z, n in zip(*SE.merge_runs(*(g[c].to_numpy(np.int64) for c in ("start_us", "last_us", "n")), np.zeros(0, np.int64), 100)):
+            want.add((uid if isinstance(uid, str) else None, int(s), int(z), int(n)))
+    monkeypatch.setattr(SE, "merge_runs", None)
+    got = pd.concat(SE._partial_runs(100)(iter([pdf, pdf.iloc[:0]])))
+    assert {(u if isinstance(u, str) else None, int(s), int(z), int(n)) for u, s, z, n in got[["user_id", "start_us", "last_us", "n"]].itertuples(index=False)} == want
