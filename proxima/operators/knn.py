@@ -430,7 +430,7 @@ def knn(queries: DataFrame, index: DataFrame, schema: Schema, k: int = 10, strat
 
     def hits(q, items, extra=(), explained=explain):
         by = [*keys, *extra]
-        items, table, _ = tiles.tiled(items, by)
+        items, table, _ = tiles.tiled(items, by, size=tiles.tile_size(told(explained)))
         return merged(tiles.met(tiles.all_tiles(q, table, by), items, schema, told(explained), by, part_cols))
 
     ranked = False  # do the hits come with their place in the whole list?
@@ -460,14 +460,14 @@ def knn(queries: DataFrame, index: DataFrame, schema: Schema, k: int = 10, strat
         top = near.join(full, met, "left_semi").unionByName(hits(short, index))
     else:
         plan, items = None, index
-        if method == "blocked" or method == "auto" and tiles.largest(index, keys) > tiles.TILE:
+        if method == "blocked" or method == "auto" and tiles.largest(index, keys) > tiles.tile_size(told(False)):
             plan, _ = cells.plan(schema, index, most, sids, weights, metric, restrict_partition)
             if method == "blocked" and plan is None and index.take(1):
                 raise ValueError("blocked search needs a feature that bounds distances")
             if plan is not None:
                 items = cells.with_cells(index, plan)
-        items, table, tiles_of_a_key = tiles.tiled(items, keys, plan)
         sp = told(explain)
+        items, table, tiles_of_a_key = tiles.tiled(items, keys, plan, tiles.tile_size(sp))
         if plan is None or tiles_of_a_key <= 1:
             top = tiles.met(tiles.all_tiles(queries, table, keys), items, schema, sp, keys, part_cols)
             ranked = tiles_of_a_key <= 1 and (not keys or not queries.groupBy(QUERY_ID).count().filter("count > 1").take(1))

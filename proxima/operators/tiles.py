@@ -6,10 +6,13 @@ meet in one task (a cogroup on key, tile and block), which keeps the ``k`` neare
 query; a pair is never a row.  So neither a hot key nor a large one lands in one task, nothing is
 sorted by pairs, and what leaves a task is bounded by queries x k.
 
-Inside a task the tile is cut into short runs of equal codes and near values.  What bounds a run
-(codes, value range) gives lower bounds of the distances to all its items; the runs with the
-smallest bounds are compared first, the others only if their bound does not exceed the k-th
-distance.  Where the bounds tell little apart, and for vectors, everything is compared.
+Inside a task the tile is cut into pieces of equal codes and near values, the pieces into short
+runs.  What bounds a piece or run (codes, value range) gives lower bounds of the distances to all
+its items.  The best runs of the best pieces give a k-th distance; after that the runs of the pieces
+whose bound does not exceed it are bounded, and the items of those runs compared.  So a query costs
+one bound a piece and little more, however many items the tile has, and tiles without vectors are
+``WIDE`` times as large.  Of items with equal codes and values only the k smallest ids are looked
+at.  Where the bounds tell little apart, and for vectors, everything is compared.
 
 With a cell plan (``operators.cells``) tiles are ranges of its coarse cells.  If a partition has
 several tiles, a first pass searches each query's best tiles, a second those whose bound is at
@@ -34,11 +37,15 @@ from ..schema import Schema
 from ..session import ship_package, write_table
 from .encode import CODES, ITEM_ID
 
-TILE = 32_768         # items of a tile
+TILE = 32_768         # items of a tile with vectors
+WIDE = 8              # so many times more without
 BLOCK = 16_384        # queries of a block
 HITS = 2_000_000      # hits that a task returns at most
 RUN = 32              # items of a run
+PIECE = 32            # runs of a piece
+MAX_GROUPS = 4096     # groups of equal codes in a tile
 PAIRS = 1 << 20       # pairs compared in one step
+BOUNDS = 1 << 18      # bounds of pieces in one step, few enough for a processor's cache
 DENSE = 0.25          # of all pairs: beyond it they are compared without runs
 ROUNDING = 1e-9       # relative error that bounds are widened by
 GRP, SUB, BLK, RANK = "__grp", "__sub", "__blk2", "__r"
@@ -127,8 +134,8 @@ class Items:
         self.first = ordered.filter(pa.array(new)) if self.n else ordered
 
     def runs(self, sp: Spec, i: int) -> Runs | None:
-        """Runs of at most ``RUN`` items with equal codes of the leading features, ordered by the
-        numeric feature that spreads most; None where they cannot tell items apart."""
+        """Pieces of equal codes of the leading features, ordered by the numeric feature that spreads
+        most, and their runs of at most ``RUN`` items; None where they cannot tell items apart."""
         fs = [f for f in sp.features if f.c2[i] > 0]
         if self.n <= 2 * RUN or any(f.kind == "vector" for f in fs):
             return None
@@ -137,23 +144,40 @@ class Items:
             f = sp.features[j]
             if f.c2[i] > 0:
                 wider = np.unique(combo * f.n + self.x[j], return_inverse=True)
-                if len(wider[0]) * RUN <= max(self.n, RUN * f.n):
+                if len(wider[0]) <= max(min(self.n // 8, MAX_GROUPS), f.n if not told else 0):
                     combo, told = wider[1].astype(np.int64), [*told, j]
         nums = [j for j, f in enumerate(sp.features) if f.kind == "numeric" and f.c2[i] > 0]
         main = max(nums, key=lambda j: sp.features[j].c2[i] * np.ptp(self.x[j]) ** 2, default=None)
         if not told and main is None:
             return None
-        order = np.lexsort((*([self.x[main]] if main is not None else []), combo))
+        values = [self.x[j] for j in nums if j != main] + ([self.x[main]] if main is not None else []) + [combo]
+        order = np.lexsort((self.rank, *values))
+        if len(told) + len(nums) == len(fs) and not (sp.exclude_self and len(self.first) < self.n):
+            new = np.any([np.r_[True, np.diff(v[order]) != 0] for v in values], axis=0)
+            start = np.flatnonzero(new)
+            order = order[np.arange(self.n) - np.repeat(start, np.diff(np.r_[start, self.n])) < sp.k + sp.exclude_self]
         starts = np.flatnonzero(np.r_[True, np.diff(combo[order]) != 0])
-        size = np.diff(np.r_[starts, self.n])
-        pieces = -(-size // RUN)
-        at = np.concatenate([s + np.arange(p) * n // p for s, n, p in zip(starts, size, pieces)])
-        return Runs(self, sp, order, at, told, nums, main)
+        pieces, _ = _cut(starts, np.diff(np.r_[starts, len(order)]), RUN * PIECE)
+        runs, of = _cut(pieces, np.diff(np.r_[pieces, len(order)]), RUN)
+        out = Runs(self, sp, order, runs, told, nums, main)
+        out.pieces = Runs(self, sp, order, pieces, told, nums, main)
+        out.pieces.runs = of
+        out.pieces.at = np.cumsum(of) - of  # the first run of a piece
+        return out
+
+
+def _cut(start, size, most: int):
+    """(starts of even parts of at most ``most`` items, parts of each)"""
+    n = -(-size // most)
+    part = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    return np.repeat(start, n) + part * np.repeat(size, n) // np.repeat(n, n), n
 
 
 class Runs:
+    """Runs (or pieces) of items with equal codes, as ``bounds`` reads them."""
+
     def __init__(self, it: Items, sp: Spec, order, at, told, nums, main):
-        self.order, self.at, self.size, self.main = order, at, np.diff(np.r_[at, it.n]), main
+        self.order, self.at, self.size, self.main = order, at, np.diff(np.r_[at, len(order)]), main
         self.code = {j: it.x[j][order[at]] for j in told}
         self.present = {j: np.unique(it.x[j]) for j in sp.order if j not in told and it.x[j] is not None}
         self.range = {j: (np.minimum.reduceat(it.x[j][order], at), np.maximum.reduceat(it.x[j][order], at)) for j in nums}
@@ -161,7 +185,7 @@ class Runs:
 
     def enough(self, need: int) -> int:
         """So many runs hold ``need`` items, whichever they are."""
-        return int(np.searchsorted(np.cumsum(np.sort(self.size)), need)) + 1
+        return min(len(self.size), int(np.searchsorted(np.cumsum(np.sort(self.size)), need)) + 1)
 
 
 class Queries:
@@ -265,35 +289,46 @@ def _all_pairs(q: Queries, it: Items, sp: Spec, i: int, qn, inn) -> tuple[np.nda
 
 
 # ------------------------------------------------------------------ bounds
-def bounds(q: Queries, c, sp: Spec, i: int, qn) -> np.ndarray:
+def bounds(q: Queries, c, sp: Spec, i: int, qn, pairs=None) -> np.ndarray:
     """(queries x cells) lower bounds of the distances to all items of a cell or run: ``c.code``
     (codes by feature), ``c.range`` (lo, hi), ``c.pivot`` (pivots, number, radius) and ``c.norm``
-    (range of squared norms); what a cell does not tell is bounded over all codes."""
+    (range of squared norms); what a cell does not tell is bounded over all codes.  ``pairs``: of
+    these (queries, cells) only."""
     l2, m = sp.metric == "l2", len(c.size)
-    total, size = np.zeros((q.n, m)), np.zeros((q.n, m))
-    low = np.zeros(m)
-    main = c.main if sp.metric == "cosine" else None
+    if pairs is None:
+        shape, row, col, look = (q.n, m), lambda v: v[:, None], lambda v: v, lambda t, at: np.take(t, at, axis=1)
+    else:
+        qi, ci = pairs
+        shape, row, col, look = qi.shape, lambda v: v[qi], lambda v: v[ci], lambda t, at: t[qi, at[ci]]
+    total, size = np.zeros(shape), 0.0 if l2 else np.zeros(shape)
+    low, angle = np.zeros(m if pairs is None else shape), sp.metric == "cosine"
+    main = c.main if angle else None
     for j, f in enumerate(sp.features):
         c2 = f.c2[i]
         if c2 == 0:
             continue
         if f.kind == "code":
             if j in c.code:
-                term, norm = (c2 * q.a[j])[:, c.code[j]], f.diag[c.code[j]]
+                term, norm = look(c2 * q.a[j], c.code[j]), col(f.diag[c.code[j]])
             else:
                 a = q.a[j][:, c.present[j]] if j in c.present else q.a[j]
-                term, norm = c2 * (a.min(axis=1) if l2 else a.max(axis=1))[:, None], f.diag.min()
-            low = low + c2 * norm
+                term, norm = c2 * row(a.min(axis=1) if l2 else a.max(axis=1)), f.diag.min()
+            if angle:
+                low = low + c2 * norm
         elif f.kind == "numeric":
-            (lo, hi), x = c.range[j], q.x[j][:, None]
+            (lo, hi), x = (col(v) for v in c.range[j]), row(q.x[j])
             if j == main:
                 continue
             if l2:
-                gap = np.maximum(np.maximum(lo - x, x - hi), 0.0)
-                term = c2 * (gap * gap)
+                gap = np.maximum(lo - x, x - hi)
+                np.maximum(gap, 0.0, out=gap)
+                gap *= gap
+                gap *= c2
+                term = gap
             else:
                 term = c2 * np.maximum(x * lo, x * hi)
-            low = low + c2 * np.where((lo <= 0) & (hi >= 0), 0.0, np.minimum(lo * lo, hi * hi))
+            if angle:
+                low = low + c2 * np.where((lo <= 0) & (hi >= 0), 0.0, np.minimum(lo * lo, hi * hi))
         else:
             pivot = c.pivot.get(j)
             if l2:
@@ -311,9 +346,10 @@ def bounds(q: Queries, c, sp: Spec, i: int, qn) -> np.ndarray:
                     term = np.minimum(term, dot + own * pivot[2] + np.abs(dot) * ROUNDING)
                 term, low = c2 * term, low + c2 * lo
         total += term
-        size += np.abs(term)
-    if l2:
-        return total - size * ROUNDING
+        if not l2:
+            size += np.abs(term)
+    if l2:  # the terms are not negative: their sizes sum to the total
+        return total * (1 - ROUNDING)
     if sp.metric == "ip":
         return -(total + size * ROUNDING)
     most = total + size * ROUNDING
@@ -321,13 +357,13 @@ def bounds(q: Queries, c, sp: Spec, i: int, qn) -> np.ndarray:
         if main is None:
             near = _ratio(most, np.broadcast_to(low, most.shape))
         else:  # over the range of one numeric feature the bound of the cosine has one extreme
-            c2, (lo, hi), x = sp.features[main].c2[i], c.range[main], q.x[main][:, None]
+            c2, (lo, hi), x = sp.features[main].c2[i], (col(v) for v in c.range[main]), row(q.x[main])
             top = np.nan_to_num(x * low / most, nan=0.0, posinf=np.inf, neginf=-np.inf)
             near = np.zeros_like(most)
             for v in (lo, hi, np.clip(top, lo, hi)):
                 part = c2 * x * v
                 near = np.maximum(near, _ratio(most + part + np.abs(part) * ROUNDING, low + c2 * v * v))
-        own = np.sqrt(qn)[:, None]
+        own = row(np.sqrt(qn))
         return np.where(own > 0, 1.0 - np.minimum(near * (1 + ROUNDING) / own, 1.0), 1.0) - ROUNDING
 
 
@@ -370,30 +406,33 @@ def _chosen(q: Queries, it: Items, sp: Spec, i: int, runs, uid, tau):
     qn = q.norms(sp, i) if sp.metric == "cosine" else None
     found, todo = [], np.arange(q.n)
     need = sp.k + sp.exclude_self
-    if runs is not None:
-        enough = runs.enough(need)
-        if enough * RUN < DENSE * it.n:
-            lb = bounds(q, runs, sp, i, qn)
-            first = np.argpartition(lb, enough - 1, axis=1)[:, :enough] if enough > 1 else lb.argmin(axis=1)[:, None]
-            qi, ii, d = _compared(q, it, sp, i, runs, np.repeat(todo, enough), first.ravel(), uid, qn, inn)
-            tau = np.minimum(tau, _kth(qi, d, q.n, sp.k))
-            lim = _slack(tau, sp)
-            found.append((qi, ii, d))
-            np.put_along_axis(lb, first, np.inf, axis=1)
-            more = (lb <= lim[:, None]) & (lb < np.inf)
-            heavy = (more * runs.size).sum(axis=1) > DENSE * it.n
-            more[heavy] = False
-            rq, rc = np.nonzero(more)
-            per = np.cumsum(runs.size[rc])
-            cuts = np.unique(np.r_[0, np.searchsorted(per, np.arange(PAIRS, per[-1] if len(per) else 0, PAIRS)), len(per)])
-            for lo, hi in zip(cuts[:-1], cuts[1:]):
-                qi, ii, d = _compared(q, it, sp, i, runs, rq[lo:hi], rc[lo:hi], uid, qn, inn)
-                keep = d <= lim[qi]
-                found.append((qi[keep], ii[keep], d[keep]))
-            todo = np.flatnonzero(heavy)
-            if len(todo):
-                gone = heavy
-                found = [(a[~gone[a]], b[~gone[a]], c[~gone[a]]) for a, b, c in found]
+    if runs is not None and runs.enough(need) * RUN < DENSE * it.n:
+        lb = bounds(q, runs.pieces, sp, i, qn)
+        enough = runs.pieces.enough(need)
+        first = np.argpartition(lb, enough - 1, axis=1)[:, :enough] if enough > 1 else lb.argmin(axis=1)[:, None]
+        rq, rr = _runs_of(runs, np.repeat(todo, enough), first.ravel())
+        order = np.lexsort((bounds(q, runs, sp, i, qn, (rq, rr)), rq))
+        rq, rr = rq[order], rr[order]
+        before = np.cumsum(runs.size[rr]) - runs.size[rr]
+        best = before - before[np.searchsorted(rq, todo)][rq] < need
+        qi, ii, d = _compared(q, it, sp, i, runs, rq[best], rr[best], uid, qn, inn)
+        tau = np.minimum(tau, _kth(qi, d, q.n, sp.k))
+        lim = _slack(tau, sp)
+        pq, pp = np.nonzero(lb <= lim[:, None])
+        near = []
+        for lo, hi in _steps(runs.pieces.runs[pp]):
+            rq, rr = _runs_of(runs, pq[lo:hi], pp[lo:hi])
+            some = bounds(q, runs, sp, i, qn, (rq, rr)) <= lim[rq]
+            near.append((rq[some], rr[some]))
+        rq, rr = (np.concatenate([x[c] for x in near]) if near else np.zeros(0, int) for c in range(2))
+        heavy = np.bincount(rq, weights=runs.size[rr], minlength=q.n) > DENSE * it.n
+        todo = np.flatnonzero(heavy)
+        if len(todo):
+            rq, rr = rq[~heavy[rq]], rr[~heavy[rq]]
+        for lo, hi in _steps(runs.size[rr]):
+            qi, ii, d = _compared(q, it, sp, i, runs, rq[lo:hi], rr[lo:hi], uid, qn, inn)
+            keep = d <= lim[qi]
+            found.append((qi[keep], ii[keep], d[keep]))
     if len(todo):
         lim = _slack(tau, sp)
         step = max(1, 2 * PAIRS // max(1, it.n))
@@ -427,6 +466,19 @@ def _rows(q: Queries, rows) -> Queries:
     return out
 
 
+def _runs_of(runs, pq, pp):
+    """The runs of pieces, with their queries."""
+    n = runs.pieces.runs[pp]
+    return np.repeat(pq, n), _ragged(runs.pieces.at[pp], n)
+
+
+def _steps(size):
+    """Stretches of about ``PAIRS`` in all."""
+    per = np.cumsum(size)
+    cuts = np.unique(np.r_[0, np.searchsorted(per, np.arange(PAIRS, per[-1] if len(per) else 0, PAIRS)), len(per)])
+    return zip(cuts[:-1], cuts[1:])
+
+
 def _compared(q, it, sp, i, runs, rq, rc, uid, qn, inn):
     size = runs.size[rc]
     qi, ii = np.repeat(rq, size), runs.order[_ragged(runs.at[rc], size)]
@@ -444,8 +496,8 @@ def _kernel(sp: Spec, carried: Sequence[str], schema: pa.Schema) -> Callable:
             return schema.empty_table()
         it = Items(right, sp)
         runs = [it.runs(sp, i) for i in range(len(sp.strategies))]
-        widest = max([it.n // RUN, *(f.n for f in sp.features), *(RUN * r.enough(sp.k + 1) for r in runs if r is not None)])
-        step, out = max(16, min(4096, 2 * PAIRS // max(1, widest))), []
+        widest = max([1, *(f.n for f in sp.features), *(max(len(r.pieces.size), RUN * r.enough(sp.k + 1), PIECE * r.pieces.enough(sp.k + 1)) for r in runs if r is not None)])
+        step, out = max(16, min(4096, BOUNDS // widest)), []
         for lo in range(0, left.num_rows, step):
             t = left.slice(lo, step)
             q = Queries(t, sp)
@@ -482,17 +534,23 @@ def _code_columns(schema: Schema) -> list[Column]:
     return [F.col(f"{CODES}.`{e.field}`").cast(kind(e)).alias(f"__i{j}") for j, e in enumerate(schema.encoders)]
 
 
-def tiled(items: DataFrame, keys: Sequence[str], plan=None) -> tuple[DataFrame, DataFrame, int]:
+def tile_size(sp: Spec) -> int:
+    """Items of a tile: pieces of codes and values are pruned however many items they hold."""
+    return TILE if any(f.kind == "vector" and max(f.c2) > 0 for f in sp.features) else WIDE * TILE
+
+
+def tiled(items: DataFrame, keys: Sequence[str], plan=None, size: int | None = None) -> tuple[DataFrame, DataFrame, int]:
     """(items with their tile, cells with their tiles, most tiles of a key).  Without a plan a
-    key's items are one cell.  A cell of more than ``TILE`` items is dealt into several tiles."""
+    key's items are one cell.  A cell of more than ``size`` items (default ``TILE``) is dealt into
+    several tiles."""
     from .cells import COARSE, _stats
     by = [COARSE] if plan is not None else []
     aggs = _stats(plan, items) if plan is not None else [F.count(F.lit(1)).alias("n")]
-    each = items.groupBy(*keys, *by).agg(*aggs)
+    each, size = items.groupBy(*keys, *by).agg(*aggs), size or TILE
     before = F.lit(0)
     if by:
         before = F.coalesce(F.sum("n").over(Window.partitionBy(*keys).orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    cells = each.withColumn(GRP, F.floor(before / F.lit(TILE)).cast("int")).withColumn("__parts", F.ceil(F.col("n") / F.lit(TILE)).cast("int"))
+    cells = each.withColumn(GRP, F.floor(before / F.lit(size)).cast("int")).withColumn("__parts", F.ceil(F.col("n") / F.lit(size)).cast("int"))
     cells = write_table(cells, "knn-tiles")
     most = cells.groupBy(*keys, GRP).agg(F.max("__parts").alias("__most")).groupBy(*keys).agg(F.sum("__most").alias("__most")).agg(F.max("__most")).first()[0] or 0
     at = cells.select(*keys, *by, GRP, "__parts")
@@ -635,7 +693,7 @@ def visits(q: DataFrame, cells: DataFrame, schema: Schema, sp: Spec, plan, secon
         names, start = np.unique(grp[order], return_index=True)
         held = np.add.reduceat(c.size[order], start)
         widest = max([len(grp), *(f.n for f in sp.features)])
-        step, out = max(16, min(4096, 2 * PAIRS // max(1, widest))), []
+        step, out = max(16, min(4096, BOUNDS // max(1, widest))), []
         for lo in range(0, left.num_rows, step):
             t = left.slice(lo, step)
             qs = Queries(t, sp)

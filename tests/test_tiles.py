@@ -26,3 +26,24 @@ def test_partitions_of_many_tiles_equal_brute_force(spark, monkeypatch, metric):
         want = sorted((np.rint(far(v) * 1e9 + 0.0123), i) for i, v in vec.items() if i != q)[:4]
         assert [i for _, i, _ in sorted(hits)] == [i for _, i in want]
         assert [d for _, _, d in sorted(hits)] == pytest.approx([far(vec[i]) for _, i in want], abs=1e-9)
+
+
+@pytest.mark.parametrize("metric", ["l2", "ip", "cosine"])
+def test_a_query_costs_a_bound_a_piece_however_many_items(metric, monkeypatch):
+    """Items of few codes: every query is bounded against pieces of equal codes and the runs of the
+    best of them, and finds what comparing everything finds."""
+    import pyarrow as pa
+    rng, n, nq = np.random.default_rng(4), 20_000, 40
+    s = Schema.build([{"field": "c", "type": "onehot", "values": [f"v{i}" for i in range(20)], "weight": 2}, {"field": "n", "type": "numeric", "weight": 0.01}], [], metric)
+    items = pa.table({"item_id": [str(i) for i in rng.permutation(n)], "__i0": pa.array(rng.integers(1, 21, n), pa.int32()), "__i1": 900 + rng.integers(0, 1000, n) / 10})
+    codes = rng.integers(1, 21, nq)
+    queries = pa.table({"query_id": [str(i) for i in range(nq)], "__s0": np.ones(nq), "__x1": 900 + rng.random(nq) * 100,
+                        "__g0": pa.MapArray.from_arrays(pa.array(range(nq + 1), pa.int32()), pa.array(codes, pa.int32()), pa.array(np.ones(nq)))})
+    sp = tiles.spec(s, 5, [None], None, metric, 9, False, False)
+    run = tiles._kernel(sp, [], pa.schema([("query_id", pa.string()), ("strategy_id", pa.string()), ("item_id", pa.string()), ("distance", pa.float64()), ("r", pa.int32())]))
+    made, bounds = [], tiles.bounds
+    monkeypatch.setattr(tiles, "bounds", lambda *a: made.append(bounds(*a)) or made[-1])
+    found = run(queries, items)
+    assert sum(b.size for b in made) < nq * n / tiles.RUN / 2
+    monkeypatch.setattr(tiles, "DENSE", -1)  # everything is compared
+    assert found.select(["query_id", "item_id", "r"]).equals(run(queries, items).select(["query_id", "item_id", "r"]))
