@@ -44,6 +44,7 @@ HITS = 2_000_000      # hits that a task returns at most
 RUN = 32              # items of a run
 PIECE = 32            # runs of a piece
 MAX_GROUPS = 4096     # groups of equal codes in a tile
+ROWS, COLUMNS = 256, 2048  # queries and items that are compared at once
 PAIRS = 1 << 20       # pairs compared in one step
 BOUNDS = 1 << 18      # bounds of pieces in one step, few enough for a processor's cache
 DENSE = 0.25          # of all pairs: beyond it they are compared without runs
@@ -133,6 +134,12 @@ class Items:
         self.rank[at] = np.cumsum(new) - 1
         self.first = ordered.filter(pa.array(new)) if self.n else ordered
 
+    def slice(self, lo: int, hi: int) -> Items:
+        out = Items.__new__(Items)
+        out.x, out.rank = [None if x is None else x[lo:hi] for x in self.x], self.rank[lo:hi]
+        out.n = len(out.rank)
+        return out
+
     def runs(self, sp: Spec, i: int) -> Runs | None:
         """Pieces of equal codes of the leading features, ordered by the numeric feature that spreads
         most, and their runs of at most ``RUN`` items; None where they cannot tell items apart."""
@@ -279,7 +286,13 @@ def _all_pairs(q: Queries, it: Items, sp: Spec, i: int, qn, inn) -> tuple[np.nda
                 total += (c2 * q.x[j])[:, None] * x[None, :]
         else:
             p, a, b = q.x[j] @ x.T, (q.x[j] ** 2).sum(axis=1), (x * x).sum(axis=1)
-            total += c2 * (a[:, None] - 2 * p + b[None, :] if sp.metric == "l2" else p)
+            if sp.metric == "l2":
+                p *= -2
+                p += a[:, None]
+                p += b[None, :]
+            if c2 != 1:
+                p *= c2
+            total += p
             off = off + c2 * 1e-12 * (a + b.max(initial=0.0))
     if sp.metric == "cosine":
         off = off + 1e-12
@@ -433,20 +446,8 @@ def _chosen(q: Queries, it: Items, sp: Spec, i: int, runs, uid, tau):
             qi, ii, d = _compared(q, it, sp, i, runs, rq[lo:hi], rr[lo:hi], uid, qn, inn)
             keep = d <= lim[qi]
             found.append((qi[keep], ii[keep], d[keep]))
-    if len(todo):
-        lim = _slack(tau, sp)
-        step = max(1, 2 * PAIRS // max(1, it.n))
-        for lo in range(0, len(todo), step):
-            rows = todo[lo:lo + step]
-            sub = _rows(q, rows)
-            far, off = _all_pairs(sub, it, sp, i, None if qn is None else qn[rows], inn)
-            if sp.exclude_self:
-                far[it.rank[None, :] == uid[rows][:, None]] = np.inf
-            cut = np.partition(far, sp.k - 1, axis=1)[:, sp.k - 1] if it.n > sp.k else np.full(len(rows), np.inf)
-            cut = np.minimum(_slack(cut, sp) + 2 * off + np.abs(cut) * 1e-12, lim[rows] + off)
-            a, ii = np.nonzero((far <= cut[:, None]) & (far < np.inf))
-            qi = rows[a]
-            found.append((qi, ii, _pairs(q, it, sp, i, qi, ii, qn, inn)))
+    for lo in range(0, len(todo), ROWS):
+        found.append(_block_by_block(q, it, sp, i, todo[lo:lo + ROWS], uid, qn, inn, tau))
     qi, ii, d = (np.concatenate([x[c] for x in found]) if found else np.zeros(0, int) for c in range(3))
     keep = d <= _slack(tau, sp)[qi]
     qi, ii, d = qi[keep], ii[keep], d[keep]
@@ -459,6 +460,33 @@ def _chosen(q: Queries, it: Items, sp: Spec, i: int, runs, uid, tau):
     return qi[keep], ii[keep], d[keep], rank[keep] + 1
 
 
+def _block_by_block(q, it, sp, i, rows, uid, qn, inn, tau):
+    """Everything compared, a block of items at a time: the k-th distance so far says what of the
+    next block is looked at again."""
+    sub, at, best = _rows(q, rows), np.arange(len(rows)), tau[rows]
+    none = np.zeros(0, int)
+    qi, ii, d = none, none, np.zeros(0)
+    step = max(COLUMNS, 4 * sp.k)
+    for lo in range(0, it.n, step):
+        part = it.slice(lo, lo + step)
+        far, off = _all_pairs(sub, part, sp, i, None if qn is None else qn[rows], None if inn is None else inn[lo:lo + step])
+        if sp.exclude_self:
+            far[part.rank[None, :] == uid[rows][:, None]] = np.inf
+        if part.n > sp.k and not np.isfinite(best).all():
+            best = np.minimum(best, np.partition(far, sp.k - 1, axis=1)[:, sp.k - 1] + off)
+        near = far <= (_slack(best, sp) + off + np.abs(best) * 1e-12)[:, None]
+        if sp.exclude_self:
+            near &= far < np.inf
+        a, b = np.divmod(np.flatnonzero(near), part.n)
+        if len(a):
+            b += lo
+            qi, ii, d = np.r_[qi, a], np.r_[ii, b], np.r_[d, _pairs(q, it, sp, i, rows[a], b, qn, inn)]
+            best = np.minimum(best, _kth(qi, d, len(at), sp.k))
+            keep = d <= _slack(best, sp)[qi]
+            qi, ii, d = qi[keep], ii[keep], d[keep]
+    return rows[qi], ii, d
+
+
 def _rows(q: Queries, rows) -> Queries:
     out = Queries.__new__(Queries)
     out.n = len(rows)
