@@ -167,11 +167,73 @@ def assemble_profiles(agg: DataFrame, schema: Schema) -> DataFrame:
     return per_user.select(*out, *cols)
 
 
+MAX_SUMS = 96        # sums of a user that are kept side by side
+MAX_PRODUCTS = 1024  # non-zero products of a feature's codes that are written out
+
+
+def _side_by_side(schema: Schema) -> bool:
+    """Do a user's sums fit one row of plain numbers?"""
+    wide = sum(B.n_codes(e) if e.coded else max(1, e.length) for e in schema.encoders) + 1
+    return wide <= MAX_SUMS and all(B.identity(e) or sum(map(len, B.gram_rows(e))) <= MAX_PRODUCTS for e in schema.encoders if e.coded)
+
+
+def _sums(schema: Schema) -> list[Column]:
+    """A user's summed weight of every code (null: never met), weighted values and weight."""
+    w, out = F.col("w"), [F.sum("w").alias(TOTAL)]
+    for j, e in enumerate(schema.encoders):
+        c = F.col(f"{CODES}.`{e.field}`")
+        if e.coded:
+            out += [F.sum(F.when(c == i, w)).alias(f"__h{j}_{i}") for i in range(B.n_codes(e))]
+        elif e.type == "numeric":
+            out.append(F.sum(w * c).alias(f"__h{j}"))
+        else:
+            out += [F.sum(w * F.get(c, i)).alias(f"__h{j}_{i}") for i in range(e.length)]
+    return out
+
+
+def _sum_of(cols) -> Column:
+    out = F.lit(0.0)
+    for c in cols:
+        out = out + c
+    return out
+
+
+def _wide_profiles(rows: DataFrame, schema: Schema) -> DataFrame:
+    """The profiles of ``assemble_profiles(profile_sums(rows))`` from one aggregation by user: no row
+    is exploded, and only sums are shuffled."""
+    per = rows.groupBy(USER_ID).agg(*_sums(schema))
+    known = {j: range(1 if e.type == "strict_onehot" else 0, B.n_codes(e)) for j, e in enumerate(schema.encoders) if e.coded}
+    h = lambda j, i: F.coalesce(F.col(f"__h{j}_{i}"), F.lit(0.0))
+    products = []
+    for j, e in enumerate(schema.encoders):
+        if e.coded:
+            rows_of = None if B.identity(e) else B.gram_rows(e)
+            for i in known[j]:
+                own = h(j, i) if rows_of is None else _sum_of(h(j, b) * F.lit(float(rows_of[b][i])) for b in known[j] if i in rows_of[b])
+                products.append(own.alias(f"__p{j}_{i}"))
+    per = per.select("*", *products)
+    total, cols = F.col(TOTAL), []
+    for j, e in enumerate(schema.encoders):
+        if e.coded:
+            s = _sum_of(h(j, i) * F.col(f"__p{j}_{i}") for i in known[j])
+            met = F.filter(F.array(*[F.struct(F.lit(i).alias("c"), (F.col(f"__p{j}_{i}") / total).alias("v")) for i in known[j]]), lambda x: x["v"] != 0)
+            cols.append(F.when(total > 0, s / (total * total)).otherwise(F.lit(0.0)).alias(rep_s(e.field)))
+            cols.append(F.when(total > 0, F.map_from_entries(met)).otherwise(EMPTY_MAP()).alias(rep_g(e.field)))
+        elif e.type == "numeric":
+            cols.append(F.when(total > 0, F.coalesce(F.col(f"__h{j}"), F.lit(0.0)) / total).otherwise(0.0).alias(rep_x(e.field)))
+        else:
+            mean = F.array(*[F.col(f"__h{j}_{i}") / total for i in range(e.length)])
+            cols.append(F.when(total > 0, mean).otherwise(F.array_repeat(F.lit(0.0), e.length)).alias(rep_x(e.field)))
+    return per.select(USER_ID, TOTAL, *cols)
+
+
 def profiles(history: DataFrame, index: DataFrame, schema: Schema, dedupe: bool = False,
              cold_start: DataFrame | None = None, cold_start_weight: float = 1.0) -> DataFrame:
     """``user_id, __n, <reps>``: one row per user with matched history or a cold-start item
     (see ``weighted_rows`` for the arguments)."""
     rows = weighted_rows(history, index, schema, dedupe, cold_start, cold_start_weight)
+    if _side_by_side(schema):
+        return _wide_profiles(rows, schema)
     return assemble_profiles(profile_sums(rows, schema), schema)
 
 
@@ -302,6 +364,9 @@ def profiles_with_vectors(history: DataFrame, index: DataFrame, schema: Schema,
     Everything is summed slot by slot in unweighted blocks: a history row adds its codes'
     block rows, a stored vector its slots; a user's sums are bounded by the schema."""
     rows = weighted_rows(history, index, schema, dedupe)
+    offsets = schema.offsets()
+    if _side_by_side(schema) and all(not e.coded and e.field in offsets for e in schema.encoders):
+        return _mean_vectors(rows, schema, vectors, weight)
     sums = profile_sums(rows, schema)
     slots = []
     for e in schema.encoders:
@@ -340,6 +405,32 @@ def profiles_with_vectors(history: DataFrame, index: DataFrame, schema: Schema,
     return per.select(USER_ID, TOTAL, *cols)
 
 
+def _mean_vectors(rows: DataFrame, schema: Schema, vectors: DataFrame, weight: float) -> DataFrame:
+    """``profiles_with_vectors`` where every feature is a number or a vector: a stored vector is a
+    row of weighted codes, and all rows are summed by user at once."""
+    offsets, codes = schema.offsets(), []
+    for e in schema.encoders:
+        lo, hi = offsets[e.field]
+        units = F.transform(F.slice(F.col("vec").cast("array<double>"), lo + 1, hi - lo), _unweighted(schema.factor(e.field)))
+        codes.append((F.get(units, 0) if e.type == "numeric" else units).alias(e.field))
+    v = vectors.filter(X.valid_vector(F.col("vec").cast("array<double>"), max(hi for _, hi in offsets.values())))
+    stored = v.select(F.col(USER_ID).cast("string").alias(USER_ID), F.lit(float(weight)).alias("w"), F.struct(*codes).alias(CODES), F.lit(True).alias("__own"))
+    same = F.struct(*[F.col(f"{CODES}.`{e.field}`").cast("double" if e.type == "numeric" else "array<double>").alias(e.field) for e in schema.encoders])
+    long = rows.select(USER_ID, "w", same.alias(CODES), F.lit(None).cast("boolean").alias("__own")).unionByName(stored)
+    n = F.coalesce(F.sum(F.when(F.col("__own").isNull(), F.col("w"))), F.lit(0.0)) + F.coalesce(F.max(F.when(F.col("__own"), F.lit(float(weight)))), F.lit(0.0))
+    per = long.groupBy(USER_ID).agg(n.alias(TOTAL), *_sums(schema)[1:])
+    total, cols = F.col(TOTAL), []
+    mean = lambda name: F.coalesce(F.try_divide(F.col(name), total), F.lit(0.0))
+    for j, e in enumerate(schema.encoders):
+        x = mean(f"__h{j}") if e.type == "numeric" else F.array(*[mean(f"__h{j}_{i}") for i in range(e.length)])
+        cols.append(x.alias(rep_x(e.field)))
+    return per.select(USER_ID, TOTAL, *cols)
+
+
+def _unweighted(factor: float):
+    return lambda x: x / F.lit(factor)
+
+
 def _reader(m: Column):
     return lambda slot: F.coalesce(F.try_element_at(m, slot), F.lit(0.0))
 

@@ -146,3 +146,45 @@ def test_rejected_users_are_listed(spark, items):
     assert out == [("b", "undeclared partition value for country"), ("c", "non-numeric value for n")]
     cold = spark.createDataFrame([("a", "1"), ("b", "NaN")], "user_id string, n string")
     assert [r.user_id for r in profiles.cold_start_rejects(cold, s).collect()] == ["b"]
+
+
+def _as_rows(df):
+    return {r.user_id: r.asDict(True) for r in df.collect()}
+
+
+def _near(a, b):
+    if isinstance(a, dict):
+        return all(_near(a.get(k, 0.0), b.get(k, 0.0)) for k in {*a, *b})
+    if isinstance(a, list):
+        return len(a) == len(b) and all(_near(x, y) for x, y in zip(a, b))
+    return a == b or abs(a - b) < 1e-9
+
+
+def test_profiles_are_one_aggregation_that_explodes_nothing(spark, monkeypatch):
+    """Sums side by side give the profiles that the long sums give, without a row for each feature."""
+    s = Schema.build([{"field": "c", "type": "soh", "values": ["a", "b"], "weight": 2},
+                      {"field": "b", "type": "binordinal", "values": [1, 2, 3], "window": [0.1, 1, 0.1], "weight": 1},
+                      {"field": "n", "type": "numeric", "weight": 0.5}], [], "l2", "id")
+    items = spark.createDataFrame([(str(i), "abz"[i % 3], i % 5, float(i)) for i in range(12)], "id string, c string, b int, n double")
+    hist = spark.createDataFrame([(f"u{i % 4}" if i % 4 else None, str(i * 7 % 13), float(i % 3) - 0.5) for i in range(60)], "user_id string, item_id string, w double")
+    idx = ingest.build_index(items, s).index
+    out = profiles.profiles(hist, idx, s)
+    assert "Generate" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got = _as_rows(out)
+    monkeypatch.setattr(profiles, "MAX_SUMS", 0)
+    want = _as_rows(profiles.profiles(hist, idx, s))
+    assert len(got) == 4 and got.keys() == want.keys() and all(_near(got[u][c], want[u][c]) for u in want for c in want[u])
+
+
+def test_stored_vectors_are_summed_with_the_history_at_once(spark, monkeypatch):
+    s = Schema.build([{"field": "v", "type": "embedding", "length": 3, "weight": 2}, {"field": "n", "type": "numeric", "weight": 0.5}], [], "l2", "id")
+    items = spark.createDataFrame([(str(i), [float(i), 1.0, -1.0], float(i)) for i in range(6)], "id string, v array<double>, n double")
+    hist = spark.createDataFrame([("a", "1", 1.0), ("a", "2", 3.0), ("b", "5", 1.0), ("c", "9", 1.0)], "user_id string, item_id string, w double")
+    own = spark.createDataFrame([("a", [1.0, 2.0, 3.0, 4.0]), ("d", [4.0, 3.0, 2.0, 1.0]), ("d", [1.0, 0.0, 0.0, 1.0]), ("b", [1.0])], "user_id string, vec array<double>")
+    idx = ingest.build_index(items, s).index
+    out = profiles.profiles_with_vectors(hist, idx, s, own, 2.0)
+    assert "Generate" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got = _as_rows(out)
+    monkeypatch.setattr(profiles, "MAX_SUMS", 0)
+    want = _as_rows(profiles.profiles_with_vectors(hist, idx, s, own, 2.0))
+    assert sorted(got) == ["a", "b", "d"] and got.keys() == want.keys() and all(_near(got[u][c], want[u][c]) for u in want for c in want[u])
