@@ -35,7 +35,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..operators import profiles
 from ..schema import Schema
 from ..session import ship_package
-from .events import DAY_S, merge_runs
+from .events import DAY_S, _partial_runs, merge_runs
 
 USER_ID = profiles.USER_ID
 DELTAS = "user_id string, item_id string, w double, n long"
@@ -46,16 +46,15 @@ NONE = np.zeros(0, np.int64)
 
 
 def _dealt(ttl_us: int, slots: int):
-    """Per Arrow batch: events to their slots, and each user's runs and deletes to every slot."""
+    """Per Arrow batch: events to their slots, and the users' runs (found at once) and deletes to every slot."""
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
             events = pdf[pdf.kind == EVENT]
             yield pdf[pdf.kind != DELETE]
             few = [pdf[pdf.kind == DELETE]]
-            for uid, g in events.groupby("user_id", sort=False):
-                t = g.t.to_numpy(np.int64)
-                s, z, _ = merge_runs(t, t, np.ones(len(t), np.int64), NONE, ttl_us)
-                few.append(pd.DataFrame({"user_id": uid, "slot": 0, "kind": RUN, "t": s, "z": z, "seq": 0, "item": None, "w": 0.0}))
+            at = pd.DataFrame({"user_id": events.user_id, "start_us": events.t, "last_us": events.t, "n": 1})
+            for runs in _partial_runs(ttl_us)(iter([at])):
+                few.append(pd.DataFrame({"user_id": runs.user_id, "slot": 0, "kind": RUN, "t": runs.start_us, "z": runs.last_us, "seq": 0, "item": None, "w": 0.0}))
             few = pd.concat(few, ignore_index=True)
             for slot in range(slots):
                 yield few.assign(slot=np.int32(slot))

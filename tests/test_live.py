@@ -104,3 +104,24 @@ def test_recommendations_follow_the_live_lists(spark, monkeypatch):
     live = W.stream_recommend_live(spark, "/root/testdata/sf0.001")
     everyone = W.user_query_events(spark, "/root/testdata/sf0.001").select("query_id").distinct().count()
     assert 0 < live.select("query_id").distinct().count() < everyone
+
+
+def test_a_batch_is_dealt_for_all_users_at_once(monkeypatch):
+    """The users' runs as ``merge_runs`` finds them, without a call for each user."""
+    import numpy as np
+    import pandas as pd
+    from proxima.streaming import events as SE
+    from proxima.streaming import live as SL
+    rng = np.random.default_rng(6)
+    t = rng.integers(0, 3000, 300)
+    pdf = pd.DataFrame({"user_id": [str(u) for u in rng.integers(0, 30, 300)], "slot": 0, "kind": rng.choice([SL.EVENT, SL.EVENT, SL.POP, SL.DELETE], 300), "t": t, "z": t,
+                        "seq": np.arange(300), "item": "x", "w": 1.0})
+    want = set()
+    for uid, g in pdf[pdf.kind == SL.EVENT].groupby("user_id"):
+        at = g.t.to_numpy(np.int64)
+        for s, z in zip(*SE.merge_runs(at, at, np.ones(len(at), np.int64), SL.NONE, 100)[:2]):
+            want.add((uid, int(s), int(z)))
+    monkeypatch.setattr(SL, "merge_runs", None)
+    got = pd.concat(SL._dealt(100, 1)(iter([pdf, pdf.iloc[:0]])))
+    assert set(got[got.kind == SL.RUN][["user_id", "t", "z"]].itertuples(index=False, name=None)) == want
+    assert len(got) - len(want) == len(pdf)
