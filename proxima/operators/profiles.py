@@ -198,10 +198,22 @@ def _sum_of(cols) -> Column:
     return out
 
 
-def _wide_profiles(rows: DataFrame, schema: Schema) -> DataFrame:
-    """The profiles of ``assemble_profiles(profile_sums(rows))`` from one aggregation by user: no row
-    is exploded, and only sums are shuffled."""
-    per = rows.groupBy(USER_ID).agg(*_sums(schema))
+def running_sums(rows: DataFrame, schema: Schema) -> DataFrame:
+    """The sums that a user's profile is made of, additive as a stream needs them: a row a user
+    where they fit side by side (no row is exploded, and only sums are shuffled), else the long
+    ``profile_sums``."""
+    return rows.groupBy(USER_ID).agg(*_sums(schema)) if _side_by_side(schema) else profile_sums(rows, schema)
+
+
+def sums_key(sums: DataFrame) -> list[str]:
+    """What a row of ``running_sums`` is about."""
+    return [USER_ID] if TOTAL in sums.columns else [USER_ID, "f", "c"]
+
+
+def profiles_of_sums(per: DataFrame, schema: Schema) -> DataFrame:
+    """``running_sums`` -> ``user_id, __n, <reps>`` (one row per user)."""
+    if TOTAL not in per.columns:
+        return assemble_profiles(per, schema)
     known = {j: range(1 if e.type == "strict_onehot" else 0, B.n_codes(e)) for j, e in enumerate(schema.encoders) if e.coded}
     h = lambda j, i: F.coalesce(F.col(f"__h{j}_{i}"), F.lit(0.0))
     products = []
@@ -232,9 +244,7 @@ def profiles(history: DataFrame, index: DataFrame, schema: Schema, dedupe: bool
     """``user_id, __n, <reps>``: one row per user with matched history or a cold-start item
     (see ``weighted_rows`` for the arguments)."""
     rows = weighted_rows(history, index, schema, dedupe, cold_start, cold_start_weight)
-    if _side_by_side(schema):
-        return _wide_profiles(rows, schema)
-    return assemble_profiles(profile_sums(rows, schema), schema)
+    return profiles_of_sums(running_sums(rows, schema), schema)
 
 
 def zero_reps(schema: Schema) -> list[Column]:

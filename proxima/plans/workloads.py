@@ -725,21 +725,23 @@ def save_load_roundtrip(spark, sf):
 STREAM_CHUNKS = 4
 
 
-def _replayed(spark, df, name, order_col):
-    """The table replayed as an in-order file feed of STREAM_CHUNKS micro-batches."""
-    from ..streaming.runner import replay_in_order
-    return replay_in_order(df, _scratch(spark, name), order_col, STREAM_CHUNKS)
+def _feed(spark, df, name, order_col, *runs):
+    """The table replayed as an in-order file feed of STREAM_CHUNKS micro-batches.  Each of ``runs`` makes
+    a writer from the feed (or from what an earlier one wrote); after every chunk they are run in turn,
+    each from its own checkpoint."""
+    from ..streaming.runner import appended_in_order, file_stream, run_available_now
+    src, checkpoints = _scratch(spark, f"{name}-src"), [_scratch(spark, f"{name}-ck") for _ in runs]
+    for _ in appended_in_order(df, src, order_col, STREAM_CHUNKS):
+        for run, checkpoint in zip(runs, checkpoints):
+            run_available_now(run(file_stream(spark, src, df)), checkpoint)
 
 
 def stream_events(spark, sf):
     """STR-1: the event stream appended to a Parquet sink; read back = the whole log."""
     from ..streaming import events as SE
-    from ..streaming.runner import file_stream, run_available_now
     ev = table(spark, sf, "events")
-    src = _replayed(spark, ev, "events-src", "ts")
     sink = _scratch(spark, "events-sink")
-    stream = file_stream(spark, src, ev, max_files_per_trigger=1)
-    run_available_now(SE.append_stream(stream, sink), _scratch(spark, "events-ck"))
+    _feed(spark, ev, "events", "ts", lambda stream: SE.append_stream(stream, sink))
     out = EV.ordered_events(spark.read.parquet(sink).select(
         F.col("user_id").cast("string").alias("user_id"), "ts", "event_id", "event_type",
         _event_item().alias("item_id")))
@@ -748,12 +750,11 @@ def stream_events(spark, sf):
 
 def _stream_lists(spark, sf, name, order_col, ev=None, **kw):
     from ..streaming import events as SE
-    from ..streaming.runner import batch_sink, file_stream, run_available_now
+    from ..streaming.runner import batch_sink
     ev = table(spark, sf, "events") if ev is None else ev
-    src = _replayed(spark, ev, f"{name}-src", order_col)
     sink = _scratch(spark, f"{name}-sink")
-    lists = SE.event_lists(file_stream(spark, src, ev, max_files_per_trigger=1), SE.DAY_S, **kw)
-    run_available_now(lists.writeStream.outputMode("update").foreachBatch(batch_sink(sink)), _scratch(spark, f"{name}-ck"))
+    lists = lambda stream: SE.event_lists(stream, SE.DAY_S, **kw)
+    _feed(spark, ev, name, order_col, lambda stream: lists(stream).writeStream.outputMode("update").foreachBatch(batch_sink(sink)))
     return SE.live_lists(spark.read.parquet(sink))
 
 
@@ -783,18 +784,15 @@ def stream_recommend(spark, sf):
     users it touched; the newest answer per user (= user_query_events)."""
     from ..sources.model_io import load_model, save_model
     from ..streaming import recommend as SR
-    from ..streaming.runner import file_stream, run_available_now
     model = _scratch(spark, "rec-model")           # the live stream serves a saved model
     save_model(coded_parts(spark, sf, part_schema()), part_schema(), model)
     idx, s = load_model(spark, model)
     ev = table(spark, sf, "events")
-    src = _replayed(spark, ev, "rec-src", "ts")
     sums, recs = _scratch(spark, "rec-sums"), _scratch(spark, "rec-out")
-    stream = file_stream(spark, src, ev, max_files_per_trigger=1)
-    agg = SR.profile_sums_stream(stream, idx, s, EVENT_WEIGHTS, item_col=_event_item())
+    agg = lambda stream: SR.profile_sums_stream(stream, idx, s, EVENT_WEIGHTS, item_col=_event_item())
     users = lambda touched: touched.withColumn("p_type", F.array(*[F.lit(t) for t in P_TYPES]))
     body = SR.recommend_batch_fn(idx, s, users, sums, recs, k=2, tie_decimals=TIES)
-    run_available_now(agg.writeStream.outputMode("update").foreachBatch(body), _scratch(spark, "rec-ck"))
+    _feed(spark, ev, "rec", "ts", lambda stream: agg(stream).writeStream.outputMode("update").foreachBatch(body))
     return _knn_out(SR.live_recommendations(spark, recs))
 
 
@@ -806,32 +804,27 @@ def stream_recommend_live(spark, sf):
     events no longer count; users without a live event have none."""
     from ..streaming import live as SL
     from ..streaming import recommend as SR
-    from ..streaming.runner import file_stream, run_available_now
+    from ..streaming.runner import file_stream
     s = part_schema()
     idx = part_index(spark, sf, s)
     ev = table(spark, sf, "events")
-    src = _replayed(spark, ev, "live-src", "ts")
     deltas, sums, recs = (_scratch(spark, f"live-{x}") for x in ("deltas", "sums", "recs"))
-    changes = SL.live_deltas(file_stream(spark, src, ev, max_files_per_trigger=1), EVENT_WEIGHTS, item_col=_event_item(), **LIVE)
-    run_available_now(changes.writeStream.format("parquet").outputMode("append").option("path", deltas), _scratch(spark, "live-ck"))
-    agg = SL.live_profile_sums(file_stream(spark, deltas, SL.DELTAS), idx, s)
+    changes = lambda stream: SL.live_deltas(stream, EVENT_WEIGHTS, item_col=_event_item(), **LIVE)
+    agg = lambda: SL.live_profile_sums(file_stream(spark, deltas, SL.DELTAS), idx, s)
     users = lambda touched: touched.withColumn("p_type", F.array(*[F.lit(t) for t in P_TYPES]))
     body = SR.recommend_batch_fn(idx, s, users, sums, recs, k=2, min_history=1e-9, tie_decimals=TIES)
-    run_available_now(agg.writeStream.outputMode("update").foreachBatch(body), _scratch(spark, "live-recs-ck"))
+    _feed(spark, ev, "live", "ts", lambda stream: changes(stream).writeStream.format("parquet").outputMode("append").option("path", deltas),
+          lambda _: agg().writeStream.outputMode("update").foreachBatch(body))
     return _knn_out(SR.live_recommendations(spark, recs))
 
 
 def stream_index(spark, sf):
     """STR-6: items arriving as a stream are coded per micro-batch into the index."""
     from ..streaming import recommend as SR
-    from ..streaming.runner import file_stream, run_available_now
     s = part_schema()
     p = parts(spark, sf)
-    src = _replayed(spark, p, "items-src", "p_partkey")
     ipath, rpath = _scratch(spark, "items-index"), _scratch(spark, "items-rejects")
-    stream = file_stream(spark, src, p, max_files_per_trigger=1)
-    run_available_now(stream.writeStream.foreachBatch(SR.index_batch_fn(s, ipath, rpath)),
-                      _scratch(spark, "items-ck"))
+    _feed(spark, p, "items", "p_partkey", lambda stream: stream.writeStream.foreachBatch(SR.index_batch_fn(s, ipath, rpath)))
     return _codes_out(SR.read_stream_index(spark, ipath, s), s)
 
 

@@ -10,7 +10,7 @@ what the list loses, so the sums behind it are retractable:
    expiry, delete or pop, also when the event or the control event that causes it arrives late
    (within the watermark's delay).
 2. The deltas are an append-only table, and the profile sums are a native streaming
-   aggregation over it: ``profile_sums`` of the signed weights.
+   aggregation over it: ``running_sums`` of the signed weights.
 3. ``recommend.recommend_batch_fn`` answers the users whose sums changed; who has no live
    event left has no answer.
 
@@ -192,4 +192,4 @@ def live_deltas(events: DataFrame, event_weights=None, ttl_s: int = DAY_S, laten
 def live_profile_sums(deltas: DataFrame, index: DataFrame, schema: Schema) -> DataFrame:
     """Streaming (or batch) profile sums of a table of deltas (update mode): additive in the
     signed weights, so an event that left a list leaves no trace."""
-    return profiles.profile_sums(profiles.weighted_rows(deltas.select(USER_ID, "item_id", "w"), index, schema), schema)
+    return profiles.running_sums(profiles.weighted_rows(deltas.select(USER_ID, "item_id", "w"), index, schema), schema)

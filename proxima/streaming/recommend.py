@@ -1,14 +1,15 @@
 """Live user profiles and recommendations from an event stream (STR-4, STR-5), and
 incremental indexing of an item stream (STR-6).
 
-STR-4: events -> stream-static join with the indexed codes -> ``profile_sums`` as a
-native streaming aggregation ``groupBy(user, feature, code).sum`` in update mode.  The
+STR-4: events -> stream-static join with the indexed codes -> ``running_sums`` as a
+native streaming aggregation in update mode: ``groupBy(user)`` with the sums of all codes side
+by side, or ``groupBy(user, feature, code).sum`` for larger schemas.  The
 state store holds the running sums (bounded by users x schema, not by events), and the
 aggregation is partial before the shuffle, so a hot user is pre-aggregated per task.
 
 STR-5: ``foreachBatch`` on that aggregation.  Each micro-batch writes the updated sums
 to ``sums/batch_id=N``, reads back the current sums of just the users touched in the
-batch (newest version per key), assembles their profiles and runs the regular kNN join
+batch (side by side an updated row has all of them; else the newest version per key), assembles their profiles and runs the regular kNN join
 against the static index; recommendations go to ``recs/batch_id=N`` and the users that were
 answered to ``recs_users/batch_id=N``.  The newest batch per user is the live answer; after
 the stream has consumed the whole log it equals the batch ``recommend_from_events`` result.
@@ -39,15 +40,15 @@ USER_ID = profiles.USER_ID
 def profile_sums_stream(events: DataFrame, index: DataFrame, schema: Schema,
                         event_weights: Mapping[str, float] | None = None, user_col: str = "user_id",
                         item_col="item_id", event_col: str = "event_type") -> DataFrame:
-    """STR-4: streaming ``user_id, f, c, ws, xs`` running sums (write in update mode)."""
+    """STR-4: streaming ``profiles.running_sums`` (write in update mode)."""
     hist = profiles.history_from_events(events, event_weights, user_col, item_col, event_col)
     rows = profiles.weighted_rows(hist, index, schema)
-    return profiles.profile_sums(rows, schema)
+    return profiles.running_sums(rows, schema)
 
 
 def current_sums(sums_path: str, spark, users: DataFrame | None = None, base_path: str | None = None,
                  base_upto: int | None = None) -> DataFrame:
-    """Newest running sums per ``(user_id, f, c)`` from the batch-keyed sums sink, or from
+    """Newest running sums per user (or ``(user_id, f, c)``) from the batch-keyed sums sink, or from
     a compacted snapshot (newest per key up to batch ``base_upto``) plus the batches
     after it (``batch_id > base_upto`` prunes the older folders)."""
     s = spark.read.parquet(sums_path)
@@ -55,7 +56,7 @@ def current_sums(sums_path: str, spark, users: DataFrame | None = None, base_pat
         s = s.filter(F.col(BATCH_ID) > F.lit(base_upto)).unionByName(spark.read.parquet(base_path))
     if users is not None:
         s = s.join(users, USER_ID, "left_semi")
-    return latest_keep_batch(s, [USER_ID, "f", "c"])
+    return latest_keep_batch(s, profiles.sums_key(s))
 
 
 def latest_keep_batch(df: DataFrame, keys) -> DataFrame:
@@ -90,12 +91,14 @@ def recommend_batch_fn(index: DataFrame, schema: Schema, users_fn: Callable[[Dat
     def on_batch(upd: DataFrame, batch_id: int) -> None:
         spark = upd.sparkSession
         upd.write.mode("overwrite").parquet(f"{sums_path}/{BATCH_ID}={batch_id}")
-        touched = spark.read.parquet(f"{sums_path}/{BATCH_ID}={batch_id}").select(USER_ID).distinct()
+        new_sums = spark.read.parquet(f"{sums_path}/{BATCH_ID}={batch_id}")
+        touched = new_sums.select(USER_ID).distinct()
         touched.write.mode("overwrite").parquet(f"{recs_path}_users/{BATCH_ID}={batch_id}")
         touched = spark.read.parquet(f"{recs_path}_users/{BATCH_ID}={batch_id}")
         path, upto = newest_snapshot(spark, sums_path)
-        cur = current_sums(sums_path, spark, touched, path, upto).drop(BATCH_ID)
-        prof = profiles.assemble_profiles(cur, schema)
+        whole = profiles.sums_key(new_sums) == [USER_ID]  # an updated row has all sums of its user
+        cur = new_sums if whole else current_sums(sums_path, spark, touched, path, upto).drop(BATCH_ID)
+        prof = profiles.profiles_of_sums(cur, schema)
         q = profiles.user_queries(users_fn(touched), prof, schema, min_history=min_history)
         recs = knn.knn(q, index, schema, k=k, **knn_kw)
         recs.write.mode("overwrite").parquet(f"{recs_path}/{BATCH_ID}={batch_id}")

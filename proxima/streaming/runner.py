@@ -10,7 +10,7 @@ own earlier attempt instead of duplicating it.
 
 from __future__ import annotations
 
-from typing import Callable, Sequence
+from typing import Callable, Iterator, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,20 +61,23 @@ def latest(df: DataFrame, keys: Sequence[str], order: str = BATCH_ID) -> DataFra
     return top.select(*keys, *[F.col(f"__v.`{c}`").alias(c) for c in vals])
 
 
-def replay_in_order(df: DataFrame, path: str, order_col: str, chunks: int) -> str:
-    """Write ``df`` to ``path`` as ``chunks`` successive appends ordered by ``order_col``
-    (a numeric or timestamp column), so a file stream with ``maxFilesPerTrigger`` sees
-    it as an in-order feed of several micro-batches.  Used to replay a table as a stream
-    in tests and registered checks; each append is a distributed write."""
+def appended_in_order(df: DataFrame, path: str, order_col: str, chunks: int) -> Iterator[int]:
+    """Append ``df`` to ``path`` as ``chunks`` successive writes ordered by ``order_col`` (a
+    numeric or timestamp column), and hand over after each, so that a file stream that is run
+    there (``run_available_now`` with one checkpoint) takes a chunk as one micro-batch, however
+    many files it has.  Were a chunk's files taken one by one, a micro-batch would be as small as
+    a file, and the first would move the watermark past the events of the others.  Used to replay
+    a table as a stream in tests and registered checks; each append is a distributed write."""
     x = F.col(order_col)
     if dict(df.dtypes)[order_col].startswith("timestamp"):
         x = x.cast("timestamp").cast("double")
     lo, hi = df.agg(F.min(x), F.max(x)).first()
     if lo is None:
         df.limit(0).write.mode("append").parquet(path)
-        return path
+        yield 0
+        return
     span = (hi - lo) or 1.0
     bucket = F.least(F.floor((x - F.lit(lo)) / F.lit(span) * chunks), F.lit(chunks - 1))
     for i in range(chunks):
         df.filter(bucket == i).write.mode("append").parquet(path)
-    return path
+        yield i

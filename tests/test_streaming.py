@@ -109,3 +109,49 @@ def test_runs_of_a_batch_are_found_for_all_users_at_once(monkeypatch):
     monkeypatch.setattr(SE, "merge_runs", None)
     got = pd.concat(SE._partial_runs(100)(iter([pdf, pdf.iloc[:0]])))
     assert {(u if isinstance(u, str) else None, int(s), int(z), int(n)) for u, s, z, n in got[["user_id", "start_us", "last_us", "n"]].itertuples(index=False)} == want
+
+
+def _dealt_tables(spark, path, files, by=()):
+    """The small tables with the events in so many files, each over the whole time."""
+    ev = W.table(spark, SF_SMALL, "events")
+    ev.repartition(files, *by).write.parquet(f"{path}/events.parquet")
+    W.table(spark, SF_SMALL, "part").write.parquet(f"{path}/part.parquet")
+    return str(path)
+
+
+def test_a_chunk_is_one_batch_however_many_files_it_has(spark, monkeypatch, tmp_path):
+    from proxima.streaming import recommend as SR
+    orig, batches = SR.recommend_batch_fn, []
+
+    def counted(*a, **kw):
+        body = orig(*a, **kw)
+        return lambda upd, batch_id: (batches.append(batch_id), body(upd, batch_id))[1]
+
+    monkeypatch.setattr(SR, "recommend_batch_fn", counted)
+    monkeypatch.setattr(W, "STREAM_CHUNKS", 2)
+    sf = _dealt_tables(spark, tmp_path / "sf", 4)
+    assert _canon(W.stream_recommend(spark, sf)) == _canon(W.user_query_events(spark, sf))
+    assert batches == [0, 1]
+
+
+def test_no_event_is_late_because_it_is_in_another_file(spark, tmp_path):
+    sf = _dealt_tables(spark, tmp_path / "sf", 3, ["user_id"])
+    batch = SE.event_lists(W.table(spark, sf, "events")).select(*W.LIST_COLS)
+    assert _canon(W.stream_event_lists(spark, sf)) == _canon(batch)
+
+
+def test_running_sums_are_a_row_a_user(spark):
+    """One state row for each user, with the profiles of the long sums."""
+    from proxima.operators import profiles as P
+    s, long = W.part_schema(), ["user_id", "f", "c"]
+    idx = W.coded_parts(spark, SF_SMALL, s)
+    rows = P.weighted_rows(P.history_from_events(W.table(spark, SF_SMALL, "events"), W.EVENT_WEIGHTS, item_col=W._event_item()), idx, s)
+    wide = P.running_sums(rows, s)
+    assert P.sums_key(wide) == ["user_id"] and P.sums_key(P.profile_sums(rows, s)) == long
+    read = lambda df: {r.user_id: r.asDict() for r in df.collect()}
+    a, b = read(P.profiles_of_sums(wide, s)), read(P.profiles_of_sums(P.profile_sums(rows, s), s))
+    assert a.keys() == b.keys() and len(a) > 10
+    for u in a:
+        for c, x in a[u].items():
+            y = b[u][c]
+            assert x == y or (all(abs(x.get(k, 0) - y.get(k, 0)) < 1e-9 for k in {*x, *y}) if isinstance(x, dict) else abs(x - y) < 1e-6), (u, c)
