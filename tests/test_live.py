@@ -125,3 +125,28 @@ def test_a_batch_is_dealt_for_all_users_at_once(monkeypatch):
     got = pd.concat(SL._dealt(100, 1)(iter([pdf, pdf.iloc[:0]])))
     assert set(got[got.kind == SL.RUN][["user_id", "t", "z"]].itertuples(index=False, name=None)) == want
     assert len(got) - len(want) == len(pdf)
+
+
+def test_the_users_of_a_bucket_are_advanced_at_once():
+    """One call for all users, batch after batch, gives what a replay of each user's log gives."""
+    import numpy as np
+    import pandas as pd
+    rows = [r for r in log(7, users=40, n=1500)]
+    random.Random(3).shuffle(rows)
+    blob, live, mark = None, Counter(), 0
+    for k in range(0, len(rows), 300):
+        part = rows[k:k + 300]
+        kinds = {"view": SL.EVENT, "pop": SL.POP, "delete": SL.DELETE}
+        pdf = pd.DataFrame({"user_id": [r[0] for r in part], "slot": 0, "kind": [kinds[r[3]] for r in part], "t": [r[1] for r in part], "z": [r[1] for r in part],
+                            "seq": [r[2] for r in part], "item": [r[4] for r in part], "w": 1.0})
+        lists = SL.Lists.of(blob, list(SL._dealt(TTL * 1_000_000, 1)(iter([pdf]))))
+        mark = mark_of(rows, 5000) if k + 300 >= len(rows) else 0
+        entered, left, keep, merged, again = lists.advance(TTL * 1_000_000, mark)
+        for mask, sign in ((entered, 1), (left, -1)):
+            for at in np.flatnonzero(mask):
+                live[(lists.names[lists.user[at]], lists.item[at])] += sign
+        blob = lists.blob(keep, merged)
+    assert {k: n for k, n in live.items() if n} == slow(rows, mark) and len(lists.names) == 40
+    lists = SL.Lists.of(blob, [])
+    entered, left, keep, merged, again = lists.advance(TTL * 1_000_000, max(r[1] for r in rows) + 10_000_000_000)
+    assert not entered.any() and left.sum() == sum(slow(rows, mark).values()) and not keep.any() and again is None
