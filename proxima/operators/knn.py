@@ -512,10 +512,11 @@ def _graph_pairs(queries, index, schema, k, sids, weights, metric, restrict_part
     ef, graphs, m = opts.pop("ef", None), opts.pop("graphs", None), opts.pop("m", degree(schema, graph.M))
     if graphs is None:
         graphs = [graph.build_graph(index, schema, m, s, weights, metric, restrict_partition, **opts) for s in sids]
+    items = [graph.placed(index, schema, g) for g in graphs]
     if ef is None:
-        ef = graph.measured_ef(queries, index, schema, graphs, k, best, ann.RECALL, ann.MEASURED_QUERIES, weights, metric,
+        ef = graph.measured_ef(queries, index, schema, graphs, items, k, best, ann.RECALL, ann.MEASURED_QUERIES, weights, metric,
                                lambda q: hits(q, index))
-    return graph.graph_pairs(queries, index, schema, graphs, max(int(ef), k + 1), weights, metric)
+    return graph.graph_pairs(queries, index, schema, graphs, items, max(int(ef), k + 1), weights, metric)
 
 
 def explanation_map(df: DataFrame, schema: Schema, name: str = "explanation") -> DataFrame:

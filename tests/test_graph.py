@@ -80,3 +80,30 @@ def test_wide_walks_are_the_exact_search(spark):
         b = knn.knn(q, idx, s, k=4, method="scan", tie_decimals=9, **kw)
         assert a.columns == b.columns and rows(a) == rows(b)
     assert knn.knn(q, idx.limit(0), s, k=4, method="graph", graph={"ef": 8}).count() == 0
+
+
+@pytest.mark.parametrize("metric", ["l2", "cosine"])
+def test_walks_cross_the_tiles(spark, monkeypatch, metric):
+    """Leaves of a few items: the lists of many tiles make one graph, and a walk that may hold
+    all items finds them all, wherever it starts."""
+    monkeypatch.setattr(graph, "LEAF", 24)
+    monkeypatch.setattr(graph, "WALKED", 2)
+    df, s = _clusters(spark, n=300), _schema(metric)
+    idx = ingest.build_index(df, s).index
+    vec = write_table(graph.vectors(idx, s, metric=metric), "graph-test")
+    nodes = graph.numbered(vec, [], 6, 17)
+    assert nodes.select(graph.NUMBER).distinct().count() == 300 == nodes.count()
+    for j in range(graph.DEALS):
+        sizes = [r["count"] for r in nodes.groupBy(f"__l{j}.leaf").count().collect()]
+        assert len(sizes) > 6 and max(sizes) <= 3 * graph.LEAF
+    g = graph.build_graph(idx, s, m=6, restrict_partition=False)
+    q = write_table(knn.item_queries(df.filter("id % 20 = 0"), s, restrict_partition=False), "graph-test-queries")
+    rows = lambda d: sorted((r.query_id, r["rank"], r.item_id, round(r.distance, 6)) for r in d.collect())
+    a = knn.knn(q, idx, s, k=4, method="graph", graph={"ef": 300, "graphs": [g]}, tie_decimals=9, restrict_partition=False)
+    assert rows(a) == rows(knn.knn(q, idx, s, k=4, method="scan", tie_decimals=9, restrict_partition=False))
+    there = graph.placed(idx, s, g)
+    assert there.select(graph.TILE).distinct().count() > 3
+    asked = q.drop(*s.filter_fields).dropDuplicates(["query_id"])
+    met = graph.walk(asked, there, s, g, 300, None, metric)
+    assert met.distinct().count() == met.count() >= 0.99 * 300 * 15  # an item that no other lists can only be an entry
+    assert graph.walk(asked, there, s, g, 12, None, metric).groupBy("query_id").count().filter("count <> 12").count() == 0
