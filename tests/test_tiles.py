@@ -47,3 +47,50 @@ def test_a_query_costs_a_bound_a_piece_however_many_items(metric, monkeypatch):
     assert sum(b.size for b in made) < nq * n / tiles.RUN / 2
     monkeypatch.setattr(tiles, "DENSE", -1)  # everything is compared
     assert found.select(["query_id", "item_id", "r"]).equals(run(queries, items).select(["query_id", "item_id", "r"]))
+
+
+@pytest.mark.parametrize("exclude_self", [False, True])
+@pytest.mark.parametrize("decimals", [None, 0])
+def test_one_number_is_searched_along_its_order(monkeypatch, decimals, exclude_self):
+    """No bounds where values lie apart; ties, equal values, both ends and far queries as when everything is compared."""
+    import pyarrow as pa
+    rng, n, k = np.random.default_rng(8), 3000, 3
+    s = Schema.build([{"field": "n", "type": "numeric", "weight": 2}], [], "l2")
+    value = np.r_[rng.integers(0, 400, n // 2) * 100.0, rng.random(n - n // 2) * 1e5 + 5e4]
+    rank = rng.permutation(n)
+    x = np.r_[value[:200], rng.random(50) * 1e5, -1e6, 1e6, 150.0, 250.0]
+    ids = [*(f"i{r:05}" for r in rank[:200]), *(f"q{i}" for i in range(54))]
+    items = pa.table({"item_id": [f"i{r:05}" for r in rank], "__i0": value})
+    queries = pa.table({"query_id": ids, "__x0": x})
+    sp = tiles.spec(s, k, [None], None, "l2", decimals, exclude_self, False)
+    run = tiles._kernel(sp, [], pa.schema([("query_id", pa.string()), ("strategy_id", pa.string()), ("item_id", pa.string()), ("distance", pa.float64()), ("r", pa.int32())]))
+    got = {}
+    for r in run(queries, items).to_pylist():
+        got.setdefault(r["query_id"], []).append((r["r"], r["item_id"], r["distance"]))
+    assert len(got) == len(x)
+    for qid, v in zip(ids, x):
+        d = s.factor("n") ** 2 * ((v - value) * (v - value))
+        key = d if decimals is None else np.rint(d + tiles.GRID_OFFSET)
+        order = [j for j in np.lexsort((rank, key)) if not (exclude_self and f"i{rank[j]:05}" == qid)][:k]
+        assert [(r, i) for r, i, _ in sorted(got[qid])] == [(p + 1, f"i{rank[j]:05}") for p, j in enumerate(order)]
+        assert [f for _, _, f in sorted(got[qid])] == [d[j] for j in order]
+    monkeypatch.setattr(tiles, "bounds", None)
+    apart = items.slice(n // 2)
+    assert run(queries.slice(200), apart).num_rows == k * 54
+
+
+def test_one_number_in_many_tiles(spark, monkeypatch):
+    """Both passes, with equal values and ends of tiles."""
+    monkeypatch.setattr(tiles, "TILE", 10)
+    rng = np.random.default_rng(9)
+    value = np.r_[rng.integers(0, 300, 500) * 10.0, rng.random(400) * 3000]
+    df = spark.createDataFrame([(f"i{i:04}", float(v)) for i, v in enumerate(value)], "id string, n double")
+    s = Schema.build([{"field": "n", "type": "numeric", "weight": 1}], [], "l2")
+    got = {}
+    for r in knn.knn(knn.item_queries(df, s), ingest.build_index(df, s).index, s, k=3).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.item_id, r.distance))
+    assert len(got) == len(value)
+    for i, v in enumerate(value):
+        d = (v - value) ** 2
+        order = np.lexsort((np.arange(len(value)), d))[:3]
+        assert sorted(got[f"i{i:04}"]) == [(p + 1, f"i{j:04}", d[j]) for p, j in enumerate(order)]
